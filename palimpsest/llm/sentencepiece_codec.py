@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from palimpsest.shipping import ship
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -461,6 +463,7 @@ def encode_documents(
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
+    ship(docs.sparkSession)
     picked = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = picked.schema["id"].dataType
     schema = T.StructType(
