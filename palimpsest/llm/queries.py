@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, sentencepiece_codec, shard, warc
+from palimpsest.llm import chat, minhash, sentencepiece_codec, shard, warc
 from palimpsest.llm.common import table
 
 
@@ -61,6 +61,12 @@ FROM t GROUP BY conv_id
 """
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates, and whether it is the one that stays."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("component").alias("component_id"), "kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in forty shards of equal counts."""
     docs = table(spark, sf_dir, "documents").select(
@@ -105,6 +111,7 @@ FROM b
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat": op2_chat,
+    "op4_minhash": op4_minhash,
     "op6_sharding": op6_sharding,
     "op10_warc": op10_warc,
 }
