@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, minhash, sentencepiece_codec, shard, warc
+from palimpsest.llm import chat, linededup, minhash, sentencepiece_codec, shard, warc
 from palimpsest.llm.common import table
 
 
@@ -67,6 +67,19 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("component").alias("component_id"), "kept")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines that are later copies of repeated runs, and its text without them."""
+    docs = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id",
+        "n_lines",
+        F.size("dropped").alias("n_dropped"),
+        F.array_join("dropped", ",").alias("dropped_lines"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in forty shards of equal counts."""
     docs = table(spark, sf_dir, "documents").select(
@@ -112,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat": op2_chat,
     "op4_minhash": op4_minhash,
+    "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
     "op10_warc": op10_warc,
 }
