@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, linededup, minhash, sentencepiece_codec, shard, warc
+from palimpsest.llm import chat, decontaminate, linededup, minhash, sentencepiece_codec, shard, warc
 from palimpsest.llm.common import table
 
 
@@ -61,6 +61,11 @@ FROM t GROUP BY conv_id
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with the edits between them."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near-duplicates, and whether it is the one that stays."""
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -124,6 +129,7 @@ FROM b
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat": op2_chat,
+    "op3_decontamination": op3_decontamination,
     "op4_minhash": op4_minhash,
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
