@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontaminate, linededup, minhash, sentencepiece_codec, shard, warc
+from palimpsest.llm import chat, decontaminate, html, linededup, minhash, rules, sentencepiece_codec, shard, warc
 from palimpsest.llm.common import table
 
 
+#: A document whose score is lower is rejected.
+GOOD = 0.7
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, their spans and the text they decode to, as counts and digests."""
     import public_tokenizers
@@ -97,6 +101,24 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by rules learnt from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rules.train(docs, table(spark, sf_dir, "labels"))
+    return rules.score(docs, model).select(
+        "doc_id",
+        rules.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    found = html.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -133,6 +155,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
+    "op8_quality": op8_quality,
+    "op9_html": op9_html,
     "op10_warc": op10_warc,
 }
 ORACLE_SQL: dict[str, str] = {
