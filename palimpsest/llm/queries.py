@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontaminate, html, linededup, minhash, rules, sentencepiece_codec, shard, warc
+from palimpsest.llm import chat, decontaminate, html, linededup, minhash, pq, rules, sentencepiece_codec, shard, warc
 from palimpsest.llm.common import table
 
 
@@ -101,6 +101,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's links at a cosine of 0.9 or more, and its component."""
+    found = pq.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality by rules learnt from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -155,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
+    "op7_embeddings": op7_embeddings,
     "op8_quality": op8_quality,
     "op9_html": op9_html,
     "op10_warc": op10_warc,
