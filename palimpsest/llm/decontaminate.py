@@ -147,19 +147,20 @@ def matched(benchmark: DataFrame, text: str = "text", **options: object) -> Colu
     """A column of the benchmark items in ``text``: array of (item_id, edits, end), empty for null texts."""
     spark = benchmark.sparkSession
     ship(spark)
-    whole = F.array().cast(MATCH)
-    for one in matchers(benchmark, **options):
+
+    def column(one: Matcher) -> Column:
         held = spark.sparkContext.broadcast(one)
 
         @F.arrow_udf(MATCH)
-        def work(texts: pa.Array, held=held) -> pa.Array:
+        def work(texts: pa.Array) -> pa.Array:
             me = held.value
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("end", pa.int32())]))
             rows = (me.matches(t.as_py() or "") for t in texts)
             return pa.array([[{"item_id": i, "edits": e, "end": z} for i, e, z in r] for r in rows], kind)
 
-        whole = F.concat(whole, work(F.col(text)))
-    return whole
+        return work(F.col(text))
+
+    return F.concat(F.array().cast(MATCH), *(column(one) for one in matchers(benchmark, **options)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:

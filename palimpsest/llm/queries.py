@@ -15,11 +15,16 @@ from palimpsest.llm.common import table
 GOOD = 0.7
 
 
-def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of every document, their spans and the text they decode to, as counts and digests."""
+def piece_model() -> str:
+    """Where the SentencePiece model lies."""
     import public_tokenizers
 
-    out = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, their spans and the text they decode to, as counts and digests."""
+    out = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model())
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -451,24 +451,24 @@ def codec(path: str) -> Codec:
 
 
 def encode_documents(
-    docs: DataFrame, model: str, text: str = "text", id: str = "doc_id", slice_bytes: int = 1_500_000
+    docs: DataFrame, model: str, text: str = "text", id: str = "doc_id", slice_bytes: int = 1_500_000, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Encode every text and decode it again.
 
     Returns ``id`` and ids array<int>, begins array<int>, ends array<int> (the source bytes of each piece) and decoded
     string, a row for each input row. A null text counts as empty and has no pieces; other columns of ``docs`` do not
-    take part, so their names cannot clash. Rows are worked on in slices of about ``slice_bytes`` bytes, which
+    take part but those in ``keep``, which follow ``id``. Rows are worked on in slices of about ``slice_bytes`` bytes, which
     bounds memory; a longer text is a slice of its own. No shuffle.
     """
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
     ship(docs.sparkSession)
-    picked = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = picked.schema["id"].dataType
+    picked = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("__text"), *keep)
     schema = T.StructType(
         [
-            T.StructField(id, kind),
+            docs.schema[id],
+            *(docs.schema[k] for k in keep),
             *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("ids", "begins", "ends")),
             T.StructField("decoded", T.StringType()),
         ]
@@ -491,8 +491,8 @@ def encode_documents(
                 offsets = pa.array(where, pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, begins, ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), *lists, pa.array(decoded, pa.string())],
-                    names=[id, "ids", "begins", "ends", "decoded"],
+                    [*(batch.column(k).slice(at, end - at) for k in (0, *range(2, 2 + len(keep)))), *lists, pa.array(decoded, pa.string())],
+                    names=schema.names,
                 )
                 at = end
 
