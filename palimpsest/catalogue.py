@@ -1,10 +1,8 @@
-"""The queries this library registers, with the SQL each is checked against."""
+"""All queries this library registers, with the SQL each is checked against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from palimpsest.queries import questions, relational, texts, vectors, versions
+from palimpsest.queries.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "questions", "relational", "texts", "vectors", "versions"]

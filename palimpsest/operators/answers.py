@@ -72,13 +72,15 @@ def markers(answer: Column) -> Column:
 def resolve_citations(answers: DataFrame, passages: DataFrame, answer: str = "answer", by: list[str] | None = None) -> DataFrame:
     """Every cited marker with its passage: by.., place, marker, chunk_ref, distance, problem (null if it resolves).
 
-    ``passages`` has marker, source, document_id, chunk_index and distance.
+    ``passages`` has marker, source, document_id, chunk_index and distance, and those of ``by`` that tell apart answers
+    with passages of their own.
     """
     by = by or []
+    own = [c for c in by if c in passages.columns]
     cited = answers.select(*by, F.posexplode(markers(F.col(answer))).alias("place", "marker"))
-    found = passages.select(*by, "marker", chunk_ref(F.col("source"), F.col("document_id").cast("string"), F.col("chunk_index")).alias("chunk_ref"), F.round("distance", 4).alias("distance"))
+    found = passages.select(*own, "marker", chunk_ref(F.col("source"), F.col("document_id").cast("string"), F.col("chunk_index")).alias("chunk_ref"), F.round("distance", 4).alias("distance"))
     missing = F.concat(F.lit("["), F.col("marker"), F.lit("] does not match any retrieved passage"))
-    return cited.join(found, [*by, "marker"], "left").select(*by, "place", "marker", "chunk_ref", "distance", F.when(F.col("chunk_ref").isNull(), missing).alias("problem"))
+    return cited.join(found, [*own, "marker"], "left").select(*by, "place", "marker", "chunk_ref", "distance", F.when(F.col("chunk_ref").isNull(), missing).alias("problem"))
 
 
 def keep_relevant(passages: DataFrame, scores: DataFrame, on: list[str], least: int = RELEVANT) -> DataFrame:

@@ -33,7 +33,7 @@ def ranked(vectors: DataFrame, query: list[float], k: int, embedding: str = "emb
     The query is a literal, so the plan is a scan, a projection and TakeOrderedAndProject: no join and no shuffle.
     """
     q = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.withColumn("distance", F.round(cosine_distance(F.col(embedding), q, unit), DIGITS)).orderBy("distance", tie).limit(k)
+    return vectors.withColumn("distance", F.round(cosine_distance(F.col(embedding), q, unit), DIGITS) + 0.0).orderBy("distance", tie).limit(k)
 
 
 def capped(hits: DataFrame, k: int, per_document: int = PER_DOCUMENT, document: list[str] | None = None, tie: str = "vec_id", by: list[str] | None = None) -> DataFrame:
@@ -96,7 +96,7 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, embedding: str =
                 continue
             x = np.stack(pdf[embedding].to_numpy()).astype(np.float64)
             x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-            d = np.round(1 - q @ x.T, DIGITS)
+            d = np.round(1 - q @ x.T, DIGITS) + 0.0
             ties = pdf[tie].to_numpy()
             for i, row in enumerate(d):
                 best = np.lexsort((ties, row))[:k]
@@ -112,7 +112,7 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, embedding: str =
 def fan_out(vectors: DataFrame, query: list[float], group: str, k: int = 8, embedding: str = "embedding", tie: str = "vec_id") -> DataFrame:
     """The ``k`` nearest rows of every group, merged by distance: one scan and one window instead of a search each."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    near = vectors.withColumn("distance", F.round(cosine_distance(F.col(embedding), q), DIGITS))
+    near = vectors.withColumn("distance", F.round(cosine_distance(F.col(embedding), q), DIGITS) + 0.0)
     w = Window.partitionBy(group).orderBy("distance", tie)
     return near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
 
