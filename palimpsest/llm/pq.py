@@ -25,6 +25,9 @@ SAMPLE = 20_000
 #: A probe goes to each list whose border with its own is nearer than this. A copy at cosine 0.9 lies 0.45 away, of
 #: which about 0.06 points in the direction of any one border in 64 dimensions.
 MARGIN = 0.1
+#: It also goes to each list whose centre is nearer to its own list's than this: lists that share a dense group, where a
+#: copy lies in no random direction.
+CLOSE = 0.6
 #: Entries of a list that one task holds; larger lists are split and probes go to every part.
 PART = 2048
 PARTS, CODES = 16, 64
@@ -44,7 +47,7 @@ class Quantiser:
         apart = np.sqrt(np.maximum(((c[own][:, None, :] - c[None]) ** 2).sum(2), 0)) if len(c) * len(x) < 200_000 else np.stack([np.sqrt(((c - c[i]) ** 2).sum(1)) for i in own])
         border = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart + 1e-12)
         border[np.arange(len(x)), own] = -1
-        probes = [np.flatnonzero(row <= MARGIN).astype(np.int32) for row in border]
+        probes = [np.flatnonzero(row).astype(np.int32) for row in (border <= MARGIN) | (apart <= CLOSE)]
         rest = x - c[own]
         codes = np.zeros((len(x), len(self.books)), np.uint8)
         error = np.zeros(len(x))
