@@ -158,29 +158,23 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def page_tokens(page: str) -> list[tuple[int, int, int, int]]:
-    """(token, count, first place, characters of text inside) of a page; token 0 stands for the page itself."""
+def page_tokens(page: str) -> list[tuple[int, int, int]]:
+    """(token, count, first place) of a page; token 0 stands for the page itself."""
     nodes, texts = parse(page)
-    chars = [0] * len(nodes)
-    found: dict[int, list[int]] = {0: [1, 0, 0]}
+    found: dict[int, list[int]] = {0: [1, 0]}
     for i, node in enumerate(nodes[1:], 1):
         node.token = name(node.path)
-        entry = found.setdefault(node.token, [0, i, 0])
+        entry = found.setdefault(node.token, [0, i])
         entry[0] += 1
     for i, text, _ in texts:
         if text := " ".join(text.split()):
-            entry = found.setdefault(name(f"{nodes[i].path}\n{text}"), [0, i, 0])
+            entry = found.setdefault(name(f"{nodes[i].path}\n{text}"), [0, i])
             entry[0] += 1
-            if not nodes[i].furniture:
-                chars[i] += len(text)
-    for i in range(len(nodes) - 1, 0, -1):
-        chars[nodes[i].parent] += chars[i]
-        found[nodes[i].token][2] += chars[i]
     return [(token, *entry) for token, entry in found.items()]
 
 
 def templates(pages: DataFrame, share: float = 0.5, members: int = 3) -> DataFrame:
-    """A row for each host: host, template array<struct<class, token, at, chars>>.
+    """A row for each host: host, template array<struct<class, token, at>>.
 
     ``pages`` has id, host and html. Equal sums of two numbers that a page and a token's count on it determine stand for
     equal occurrence vectors. A class is part of the template if at least ``share`` of the host's pages, and two, have
@@ -193,34 +187,34 @@ def templates(pages: DataFrame, share: float = 0.5, members: int = 3) -> DataFra
         for batch in batches:
             rows: list[tuple] = []
             for where, key, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for token, count, at, chars in page_tokens(page):
+                for token, count, at in page_tokens(page):
                     mixed = (key * 0x9E3779B97F4A7C15 + count * 0xC2B2AE3D27D4EB4F) % (1 << 64)
                     mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64)
                     mixed ^= mixed >> 32
-                    rows.append((where, token, mixed & 0xFFFFFFFF, mixed >> 32, at, chars))
-            kinds = [pa.string(), *[pa.int64()] * 5]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "token", "x", "y", "at", "chars"])
+                    rows.append((where, token, mixed & 0xFFFFFFFF, mixed >> 32, at))
+            kinds = [pa.string(), *[pa.int64()] * 4]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "token", "x", "y", "at"])
 
     rows = pages.select("host", F.xxhash64("id", "html").alias("key"), "html").mapInArrow(
-        work, "host string, token long, x long, y long, at long, chars long"
+        work, "host string, token long, x long, y long, at long"
     )
     tokens = rows.groupBy("host", "token").agg(
-        F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.avg("at").alias("at"), F.sum("chars").alias("chars")
+        F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.avg("at").alias("at")
     )
     size = tokens.where("token = 0").select("host", F.col("n").alias("pages"))
     shared = tokens.where("token <> 0 and n >= 2").join(size, "host").where(F.col("n") >= share * F.col("pages"))
-    classes = shared.groupBy("host", "n", "x", "y").agg(F.sort_array(F.collect_list(F.struct("at", "token", "chars"))).alias("tokens"))
+    classes = shared.groupBy("host", "n", "x", "y").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("tokens"))
     classes = classes.where(F.size("tokens") >= members)
-    one = F.transform("tokens", lambda t: F.struct(F.xxhash64("n", "x", "y").alias("class"), t.token.alias("token"), t.at.alias("at"), t.chars.alias("chars")))
+    one = F.transform("tokens", lambda t: F.struct(F.xxhash64("n", "x", "y").alias("class"), t.token.alias("token"), t.at.alias("at")))
     return classes.groupBy("host").agg(F.flatten(F.collect_list(one)).alias("template"))
 
 
 @dataclass
 class Template:
-    """A host's template: the class of every token, its mean place and the text inside."""
+    """A host's template: the class of every token and its mean place."""
 
-    tokens: dict[int, tuple[int, float, int]]
+    tokens: dict[int, tuple[int, float]]
 
     def valid(self, nodes: list[Node]) -> set[int]:
         """Tokens of the classes whose members keep the template's order on this page and nest with it."""
@@ -229,7 +223,7 @@ class Template:
         for i, node in enumerate(nodes[1:], 1):
             if node.token in self.tokens and node.token not in first:
                 first.add(node.token)
-                kind, at, _ = self.tokens[node.token]
+                kind, at = self.tokens[node.token]
                 seen.setdefault(kind, []).append((at, i, node.token))
         good: set[int] = set()
         for members in seen.values():
@@ -246,14 +240,16 @@ def extract(page: str, template: Template | None) -> str:
         node.token = name(node.path)
     good = template.valid(nodes) if template else set()
     # The slot of the articles: content elements that the template confirms, else the page's own, else the innermost
-    # element of the template through which most of the host's text flows, else the page.
+    # element of the template with all but a little of the text that isn't the template's, else the page.
     tops = [i for i, n in enumerate(nodes) if n.content and not nodes[n.parent].content and not n.furniture]
     roots = [i for i in tops if nodes[i].token in good] or tops
     if not roots and good:
-        plain = [(template.tokens[n.token][2], i) for i, n in enumerate(nodes) if n.token in good and not n.furniture]
-        most = max((c for c, _ in plain), default=0)
-        roots = [max(i for c, i in plain if c >= 0.8 * most)] if most else []
-        roots = [i for i in range(len(nodes)) if roots and nodes[i].token == nodes[roots[0]].token]
+        fixed, mass = good_texts(nodes, texts, template), [0] * len(nodes)
+        for k, (i, text, _) in enumerate(texts):
+            mass[i] += 0 if k in fixed or nodes[i].furniture else len(text.strip())
+        for i in range(len(nodes) - 1, 0, -1):
+            mass[nodes[i].parent] += mass[i]
+        roots = [i for i, n in enumerate(nodes) if n.token in good and not n.furniture and mass[i] and mass[i] >= 0.95 * mass[0]][-1:]
     inside = [not roots] * len(nodes)
     for i in range(1, len(nodes)):
         inside[i] = inside[nodes[i].parent] or i in roots
@@ -299,7 +295,7 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
                     if len(known) > 500:
                         known.clear()
                     rows = template[k].as_py()
-                    known[hosts[k]] = Template({r["token"]: (r["class"], r["at"], r["chars"]) for r in rows}) if rows else None
+                    known[hosts[k]] = Template({r["token"]: (r["class"], r["at"]) for r in rows}) if rows else None
                 out.append(extract(page, known[hosts[k]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
 
