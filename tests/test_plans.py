@@ -120,3 +120,15 @@ def test_stream_of_first_seen_records(spark, tmp_path):
     stream = observations.first_seen(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["entity"], "record_hash", "observed_at")
     observations.run_available(stream, lambda df, _: got.extend(df.collect()), str(tmp_path / "c"))
     assert sorted(r.record_hash for r in got) == ["x", "y"]
+
+
+def test_stream_of_closed_versions(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "entity string, record_hash string, observed_at timestamp"
+    at = [dt.datetime(2026, 8, n) for n in (1, 2, 3, 4)]
+    got = []
+    for rows in ([("A", "x", at[0]), ("A", "x", at[1]), ("B", "u", at[0])], [("A", "y", at[2]), ("A", "z", at[3])]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = observations.closed_versions(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "entity", "record_hash", "observed_at")
+        observations.run_available(stream, lambda df, _: got.extend(df.collect()), str(tmp_path / "c"))
+    assert sorted(map(tuple, got)) == [("A", "x", at[0], at[2]), ("A", "y", at[2], at[3])]
