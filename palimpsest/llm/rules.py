@@ -177,4 +177,6 @@ def score(docs: DataFrame, model: Ensemble, text: str = "text", out: str = "scor
     used = {model.names[k] for rule in model.rules for k, _, _ in rule}
     values = {k: v for k, v in statistics(F.col(text)).items() if k in used}
     packed = docs.withColumn("__s", F.struct(*(v.cast("double").alias(k) for k, v in values.items())) if values else F.lit(None))
-    return packed.withColumn(out, model.column({k: F.col(f"__s.{k}") for k in values})).drop("__s")
+    # A generator keeps a later filter on the score from being pushed down to the texts, where every rule would work out
+    # its statistics anew.
+    return packed.select(*docs.columns, F.explode(F.array(model.column({k: F.col(f"__s.{k}") for k in values}))).alias(out))
