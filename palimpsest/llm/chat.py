@@ -62,26 +62,27 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
         ids.join(known, same, "left")
         .select("tree", "node", F.col("n").alias("up"), "score", F.when(F.col("n").isNotNull(), 1).otherwise(0).alias("dist"))
     )
-    jumps, rounds = [level], 0
+    # Nodes whose look-up has reached a root are done and only serve others.
+    jumps, done, rounds = [level.where("up is not null")], level.where("up is null"), 0
     limit = max(1, ids.count()).bit_length() + 1
-    while rounds < limit and level.where("up is not null").limit(1).count():
-        far = level.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("dist").alias("d2"))
+    while rounds < limit and jumps[-1].limit(1).count():
+        far = jumps[-1].unionByName(done)
+        far = far.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("dist").alias("d2"))
         level = cut(
-            level.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select(
-                "tree", "node", F.col("up2").alias("up"),
-                (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"),
-                (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"),
+            jumps[-1].join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select(
+                "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("dist") + F.col("d2")).alias("dist")
             )
         )
-        jumps.append(level)
+        jumps.append(level.where("up is not null"))
+        done = done.unionByName(level.where("up is null"))
         rounds += 1
-    parents = jumps[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
-    leaves = level.where("up is null").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+    parents = jumps[0].select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+    leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
     found = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= best)
     found = found.select("tree", "branch", F.col("dist").alias("depth"), "node")
     for k in range(len(jumps) - 2, -1, -1):
-        up = jumps[k].where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        up = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         more = found.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
         found = cut(found.unionByName(more.select("tree", "branch", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("node"))))
     return found
