@@ -1,12 +1,13 @@
-"""Repeated runs of lines: prefix doubling over line sequences, in DataFrame operations alone.
-
-Every line of every document is a suffix of the corpus' line sequence. Rank classes of suffixes by their first 1, 2, 4,
-8 ... lines come from prefix doubling: the class of a window of 2^(k+1) lines is the pair of classes of its halves, named
-by its first place. Suffixes whose class has one member take no further part. The suffixes that share their first L
-lines are one interval of the suffix array with a longest common prefix of L or more; its class is the pair of classes
-of two windows of 2^k <= L lines that overlap to cover it. For each suffix L is the least number of lines that hold
-``min_words`` words, forwards and backwards, so that the members of such intervals, put together, cover exactly the
-maximal repeated runs of that many words. Of every interval the first member stays and later ones are deleted.
+"""Repeated runs of lines: a suffix array of line ids by prefix doubling, in DataFrame operations alone.
+
+Every line of every document begins a suffix of the corpus' line sequence. Ranks of suffixes by their first 1, 2, 4, 8 ...
+lines come from prefix doubling: a window of 2^(k+1) lines sorts by the ranks of its halves, and a range-partitioned sort
+of the pairs that occur gives the new ranks. Suffixes whose rank no other shares are in their final place and take no
+further part, so only repeated lines are ever sorted. The suffixes that share their first L lines are one interval of the
+array with a longest common prefix of L or more; two ranks of windows of 2^k <= L lines that overlap to cover it name the
+interval. For each suffix L is the least number of lines that hold ``min_words`` words, forwards and backwards, so that
+the members of such intervals, put together, cover exactly the maximal repeated runs of that many words. Of every
+interval the member that comes first in the corpus stays and later ones are deleted.
 """
 
 from __future__ import annotations
@@ -34,15 +35,23 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _ranked(keys: DataFrame, by: list[str]) -> DataFrame:
+    """``keys``, which occur once each, with c long: their places in the order of ``by``, from a range-partitioned sort."""
+    sorted_ = cut(cut(keys).repartitionByRange(*by).withColumn("p", F.spark_partition_id()))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sorted_.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("p").orderBy(*by))
+    return sorted_.withColumn("at", place).join(starts, "p").select(*by, (F.col("start") + F.col("at")).alias("c"))
+
+
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc and drop array<int>: the lines, counted from 0, of later copies of runs of ``min_words`` words or more.
 
     ``docs`` has id and text. A run is any sequence of whole lines that occurs, line for line, at an earlier place: in a
     document of smaller id or further up in the same one. Only documents with such lines have a row.
     """
-    names = _lines(docs).groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("c"), F.max(F.struct("doc", "at")).alias("z"))
-    names = names.where("c < z").select("h1", "h2", "c")
-    level = _lines(docs).join(names, ["h1", "h2"]).select("doc", "at", "w", "c")
+    shared = _lines(docs).groupBy("h1", "h2").agg(F.count("*").alias("m")).where("m > 1").select("h1", "h2")
+    level = _lines(docs).join(_ranked(shared, ["h1", "h2"]), ["h1", "h2"]).select("doc", "at", "w", "c")
     # Runs lie inside islands: lines in a row that all occur elsewhere, too.
     order = Window.partitionBy("doc").orderBy("at")
     island = F.col("at") - F.row_number().over(order)
@@ -78,9 +87,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             "doc", "at", (F.col("w") + F.col("wr")).alias("w"), "w0", F.col("w1r").alias("w1"), F.col("c").alias("cl"), "cr"
         )
         pairs = cut(pairs.where(F.col("w") - F.greatest("w0", "w1") < min_words))
-        named = pairs.groupBy("cl", "cr").agg(F.min(F.struct("doc", "at")).alias("c"), F.max(F.struct("doc", "at")).alias("z"))
-        named = named.where("c < z").select("cl", "cr", "c")
-        now = cut(pairs.join(named, ["cl", "cr"]).select("doc", "at", "w", "w0", "w1", "c"))
+        shared = pairs.groupBy("cl", "cr").agg(F.count("*").alias("m")).where("m > 1").select("cl", "cr")
+        now = cut(pairs.join(_ranked(shared, ["cl", "cr"]), ["cl", "cr"]).select("doc", "at", "w", "w0", "w1", "c"))
         k += 1
     if ranks is None:
         return level.where("false").select("doc", F.array("at").alias("drop"))
