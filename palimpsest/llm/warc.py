@@ -148,17 +148,14 @@ def frames(source: Any, chunk: int = 1 << 18) -> Iterator[bytes]:
         yield raw
 
 
-def train(pages: DataFrame, html: str = "html", samples: int = 400, sample_bytes: int = 8192, size: int = 16384) -> bytes:
-    """A dictionary from the first ``sample_bytes`` of up to ``samples`` pages, by the order of their digests.
+def train(pages: DataFrame, id: str = "page_id", html: str = "html", samples: int = 400, sample_bytes: int = 8192, size: int = 16384) -> bytes:
+    """A dictionary from the first ``sample_bytes`` of up to ``samples`` pages, picked by the hash of their id.
 
     Only compression depends on it. Too few or too small pages give none, an empty frame.
     """
-    rows = (
-        pages.select(F.encode(F.substring(F.coalesce(html, F.lit("")), 1, sample_bytes // 4), "utf-8").alias("b"))
-        .orderBy(F.xxhash64("b"), "b")
-        .limit(samples)
-        .collect()
-    )
+    part = min(1.0, samples / max(1, pages.select(id).count()))
+    picked = pages.where(F.pmod(F.xxhash64(id), F.lit(1_000_000)) < int(1_000_000 * part))
+    rows = picked.select(F.encode(F.substring(F.coalesce(html, F.lit("")), 1, sample_bytes // 4), "utf-8").alias("b")).limit(samples).collect()
     try:
         return zstandard.train_dictionary(size, [bytes(r.b) for r in rows if r.b]).as_bytes()
     except zstandard.ZstdError:
