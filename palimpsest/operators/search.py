@@ -17,6 +17,8 @@ K, MAX_DISTANCE, MIN_GAP, EXEMPT, PER_DOCUMENT = 5, 0.48, 0.025, 0.42, 1
 #: Rows fetched for each one wanted when documents are capped, and the window of the gate.
 FETCH, GATE_WINDOW = 4, 10
 DIGITS = 6
+#: Queries of one matrix product, and about how many rows each part of the vectors has where many blocks meet them.
+BLOCK, PART = 4096, 4096
 
 
 def filtered(vectors: DataFrame, protocol: str | None = None, source: str | None = None, as_of: Column | None = None, **equal: object) -> DataFrame:
@@ -77,35 +79,57 @@ def search(
 def search_many(vectors: DataFrame, queries: DataFrame, k: int, embedding: str = "embedding", tie: str = "vec_id", query: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """The ``k`` nearest rows of every query: query, rank, distance, and the rows' columns but the vector.
 
-    Queries are a block of bounded size on the driver (checked: 4096 at most; larger sets go block by block). Each Arrow
-    batch is one matrix product and keeps its k best of every query, so what is shuffled is k rows a query and batch.
+    Up to BLOCK queries are a block on the driver; each Arrow batch is one matrix product and keeps its k best of every
+    query, so what is shuffled is k rows a query and batch. More queries are dealt by hash into blocks that meet every
+    hashed part of the vectors on the executors: the same products, and neither side is ever in one place.
     """
     ship(vectors.sparkSession)
-    rows = queries.select(query, query_vector).limit(4097).collect()
-    if len(rows) > 4096:
-        raise ValueError("at most 4096 queries in one block")
-    ids = [r[0] for r in rows]
+    rows = queries.select(query, query_vector).limit(BLOCK + 1).collect()
     kept = [c for c in vectors.columns if c != embedding]
-    q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-    q /= np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            pdf = pdf[pdf[embedding].notna()]
-            if pdf.empty or not ids:
-                continue
-            x = np.stack(pdf[embedding].to_numpy()).astype(np.float64)
-            x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-            d = np.round(1 - q @ x.T, DIGITS) + 0.0
-            ties = pdf[tie].to_numpy()
-            for i, row in enumerate(d):
-                best = np.lexsort((ties, row))[:k]
-                yield pdf.iloc[best][kept].assign(**{query: ids[i], "distance": row[best]})[[query, "distance", *kept]]
+    most = BLOCK
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+    def best_of(pdf: pd.DataFrame, ids: list, q: np.ndarray) -> Iterator[pd.DataFrame]:
+        d = np.round(1 - q @ unit(np.stack(pdf[embedding].to_numpy()).astype(np.float64)).T, DIGITS) + 0.0
+        ties = pdf[tie].to_numpy()
+        for i, row in enumerate(d):
+            best = np.lexsort((ties, row))[:k]
+            yield pdf.iloc[best][kept].assign(**{query: ids[i], "distance": row[best]})[[query, "distance", *kept]]
 
     kind = dict(queries.dtypes)[query]
     schema = ", ".join([f"`{query}` {kind}", "distance double", *(f"`{c}` {t}" for c, t in vectors.dtypes if c != embedding)])
+    if len(rows) <= most:
+        ids = [r[0] for r in rows]
+        q = unit(np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1))
+
+        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                pdf = pdf[pdf[embedding].notna()]
+                if not pdf.empty and ids:
+                    yield from best_of(pdf, ids, q)
+
+        near = vectors.mapInPandas(work, schema)
+    else:
+        # Half a block on average, so that hashing fills none beyond it; one that is larger is worked on in slices.
+        blocks = -(-2 * queries.count() // most)
+        parts = -(-vectors.count() // PART) or 1
+
+        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            for at in range(0, len(right) if len(left) else 0, most):
+                block = right.iloc[at : at + most]
+                found += best_of(left, block[query].tolist(), unit(np.stack(block[query_vector].to_numpy()).astype(np.float64)))
+            return pd.concat(found) if found else pd.DataFrame(columns=[query, "distance", *kept])
+
+        every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+        dealt = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+        left = vectors.where(F.col(embedding).isNotNull()).withColumn("__part", dealt(parts, tie, embedding)).select("*", every(blocks, "__block"))
+        right = queries.select(query, query_vector, dealt(blocks, query, query_vector).alias("__block")).select("*", every(parts, "__part"))
+        near = left.groupBy("__block", "__part").cogroup(right.groupBy("__block", "__part")).applyInPandas(meet, schema)
     w = Window.partitionBy(query).orderBy("distance", tie)
-    best = vectors.mapInPandas(work, schema).withColumn("rank", F.row_number().over(w))
+    best = near.withColumn("rank", F.row_number().over(w))
     return best.where(F.col("rank") <= k).select(query, "rank", "distance", *kept)
 
 

@@ -117,3 +117,19 @@ def test_keep_relevant_counts_missing_as_zero(spark):
     scores = spark.createDataFrame([("a", 2), ("b", 1)], "m string, score int")
     assert [r.m for r in answers.keep_relevant(passages, scores, ["m"]).collect()] == ["a"]
     assert answers.keep_relevant(passages.withColumn("x", F.lit(1)), scores, ["m"]).columns == ["m", "x"]
+
+
+def test_more_queries_than_one_block(spark):
+    import numpy as np
+
+    n = search.BLOCK + 300
+    q = np.random.default_rng(2).normal(size=(n, 3))
+    queries = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(q)], "query_id long, query_vector array<double>")
+    data = vectors(spark)
+    rows = data.collect()
+    x = np.array([r.embedding for r in rows])
+    x, q = x / np.linalg.norm(x, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
+    d = np.round(1 - q @ x.T, search.DIGITS) + 0.0
+    want = {(i, r + 1, int(j)) for i in range(n) for r, j in enumerate(np.lexsort((np.arange(30), d[i]))[:2])}
+    found = search.search_many(data, queries, 2).collect()
+    assert len(found) == 2 * n and {(r.query_id, r.rank, r.vec_id) for r in found} == want
