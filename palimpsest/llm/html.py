@@ -240,7 +240,7 @@ def extract(page: str, template: Template | None) -> str:
         node.token = name(node.path)
     good = template.valid(nodes) if template else set()
     # The slot of the articles: content elements that the template confirms, else the page's own, else the innermost
-    # element of the template with all but a little of the text that isn't the template's, else the page.
+    # element of the template with all of the text that isn't the template's, else the page.
     tops = [i for i, n in enumerate(nodes) if n.content and not nodes[n.parent].content and not n.furniture]
     roots = [i for i in tops if nodes[i].token in good] or tops
     if not roots and good:
@@ -249,11 +249,11 @@ def extract(page: str, template: Template | None) -> str:
             mass[i] += 0 if k in fixed or nodes[i].furniture else len(text.strip())
         for i in range(len(nodes) - 1, 0, -1):
             mass[nodes[i].parent] += mass[i]
-        roots = [i for i, n in enumerate(nodes) if n.token in good and not n.furniture and mass[i] and mass[i] >= 0.95 * mass[0]][-1:]
+        roots = [i for i, n in enumerate(nodes) if n.token in good and not n.furniture and mass[i] and mass[i] == mass[0]][-1:]
     inside = [not roots] * len(nodes)
     for i in range(1, len(nodes)):
         inside[i] = inside[nodes[i].parent] or i in roots
-    fixed = good_texts(nodes, texts, template) if template and not roots else set()
+    fixed = good_texts(nodes, texts, template) if template and not any(nodes[i].content for i in roots) else set()
     blocks: list[list[str]] = []
     new = True
     for k, (i, text, fresh) in enumerate(texts):

@@ -75,3 +75,14 @@ def test_all_pages_of_the_table(spark):
         parts = [" ".join(entities.unescape(re.sub("</?b>", "", x).replace("<br>", " ")).split()) for x in re.split("</?(?:p|h1)>", inner)]
         want = "\n\n".join(x for x in parts if x)
         assert (r.text, r.n_chars) == (want, len(want))
+
+
+def texts_of(spark, bodies):
+    rows = [(n, "http://h.com/" + str(n), page(n, body)) for n, body in enumerate(bodies)]
+    return {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_slot_keeps_short_texts_beside_a_long_body(spark):
+    body = "<div id=post><h1>Title {0}</h1><div class=body><p>{1}</p></div><div class=last>End of {0}</div></div><div class=low>All rights reserved</div>"
+    found = texts_of(spark, [body.format(n, f"word{n} " * 300) for n in range(12)])
+    assert found == {n: f"Title {n}\n\n{' '.join([f'word{n}'] * 300)}\n\nEnd of {n}" for n in range(12)}
