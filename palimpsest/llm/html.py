@@ -40,13 +40,13 @@ CLOSES = {
 }
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "summary"}
 
-# Furniture by element, and by words of a class or id.
+# Furniture by element, and by names of a class, id or role that consist of these words alone.
 FURNITURE = frozenset("head nav footer aside form button select script style noscript iframe template svg title textarea dialog menu".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|"
-    r"notices?|popup|modal|newsletter|subscri\w*|share|social|related|comments?|replies|disqus|login|search)(?:$|[\s_-])",
-    re.I,
+WORD = (
+    r"(?:ads?|advert\w*?|banner|sponsor\w*?|promo\w*?|nav\w*?|menu\w*?|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|"
+    r"notices?|popup|modal|newsletter|subscri\w*?|share|social|related|comments?|replies|disqus|login|search)"
 )
+NAMED = re.compile(rf"(?<!\S){WORD}(?:[_-]+{WORD})*(?!\S)", re.I)
 CONTENT = frozenset({"article", "main"})
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>""", re.S)
@@ -56,13 +56,14 @@ ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 
 @dataclass(slots=True)
 class Node:
-    """An element: its parent, tag, path and whether it or a parent is furniture."""
+    """An element: its parent, tag, path, whether it or a parent is furniture by kind, and whether its own name says so."""
 
     parent: int
     tag: str
     path: str
     furniture: bool
     content: bool
+    named: bool = False
     token: int = 0
 
 
@@ -138,10 +139,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
         up = nodes[stack[-1]]
         named = tag not in ("html", "body") and any(NAMED.search(attributes[k]) for k in ("class", "id", "role") if k in attributes)
         inside = up.content or tag in CONTENT or attributes.get("role") == "main"
-        furniture = up.furniture or tag in FURNITURE or named or (tag == "header" and not up.content)
+        furniture = up.furniture or tag in FURNITURE or (tag == "header" and not up.content)
         if tag in BLOCK:
             fresh = True
-        nodes.append(Node(stack[-1], tag, f"{up.path}/{label}", furniture, inside))
+        nodes.append(Node(stack[-1], tag, f"{up.path}/{label}", furniture, inside, named))
         if tag in VOID:
             continue
         if tag in RAW:
@@ -239,6 +240,7 @@ def extract(page: str, template: Template | None) -> str:
     for node in nodes[1:]:
         node.token = name(node.path)
     good = template.valid(nodes) if template else set()
+    drop_named(nodes, texts, good_texts(nodes, texts, template) if template else set())
     # The slot of the articles: content elements that the template confirms, else the page's own, else the innermost
     # element of the template with all of the text that isn't the template's, else the page.
     tops = [i for i, n in enumerate(nodes) if n.content and not nodes[n.parent].content and not n.furniture]
@@ -269,6 +271,26 @@ def extract(page: str, template: Template | None) -> str:
     return "\n\n".join(b for b in found if b)
 
 
+def drop_named(nodes: list[Node], texts: list[tuple[int, str, bool]], fixed: set[int]) -> None:
+    """Marks what is furniture by name, but for elements that hold the page's content elements or most of its own text."""
+    if not any(n.named for n in nodes):
+        return
+    mass, tops, under = [0] * len(nodes), [False] * len(nodes), [False] * len(nodes)
+    for k, (i, text, _) in enumerate(texts):
+        mass[i] += 0 if k in fixed or nodes[i].furniture else len(text.strip())
+    for i, n in enumerate(nodes[1:], 1):
+        tops[i] = n.content and not nodes[n.parent].content and not n.furniture
+        under[i] = under[n.parent] or (n.named and not tops[i])
+    # Teasers in what is named are no reason to keep it where the page has a content element elsewhere.
+    elsewhere = any(t and not u for t, u in zip(tops, under, strict=True))
+    holds = [t and not elsewhere for t in tops]
+    for i in range(len(nodes) - 1, 0, -1):
+        mass[nodes[i].parent] += mass[i]
+        holds[nodes[i].parent] |= holds[i]
+    for i, n in enumerate(nodes[1:], 1):
+        n.furniture |= nodes[n.parent].furniture or (n.named and not tops[i] and not holds[i] and 2 * mass[i] <= mass[0])
+
+
 def good_texts(nodes: list[Node], texts: list[tuple[int, str, bool]], template: Template) -> set[int]:
     """Texts that are part of the template themselves."""
     return {k for k, (i, text, _) in enumerate(texts) if (t := " ".join(text.split())) and name(f"{nodes[i].path}\n{t}") in template.tokens}

@@ -86,3 +86,15 @@ def test_slot_keeps_short_texts_beside_a_long_body(spark):
     body = "<div id=post><h1>Title {0}</h1><div class=body><p>{1}</p></div><div class=last>End of {0}</div></div><div class=low>All rights reserved</div>"
     found = texts_of(spark, [body.format(n, f"word{n} " * 300) for n in range(12)])
     assert found == {n: f"Title {n}\n\n{' '.join([f'word{n}'] * 300)}\n\nEnd of {n}" for n in range(12)}
+
+
+def test_names_never_drop_the_content():
+    for wrap in ("has-sidebar", "layout with-sidebar", "page-header-fixed", "post type-post comments-open", "layout sidebar", "header"):
+        assert html.extract(page(1, f"<div class='{wrap}'><h1>T</h1><p>the whole text</p></div>"), None) == "T\n\nthe whole text"
+        assert html.extract(page(1, f"<article class='{wrap}'><p>a</p></article>"), None) == "a"
+        assert html.extract(page(1, f"<div class='{wrap}'><article><p>a</p></article></div>"), None) == "a"
+    assert html.extract(page(1, "<article class='post comments'><p>a</p></article><div class='comments'>no</div>"), None) == "a"
+    furniture = "".join(f"<div class='{n}'>no</div>" for n in ("nav-menu", "box ad-banner", "cookie_notice", "navbar", "advertisement"))
+    assert html.extract(page(1, furniture + "<div class=story>the whole text, which is longer than what is dropped</div>"), None) == "the whole text, which is longer than what is dropped"
+    teaser = "<div class='related'><article><p>no</p></article></div>"
+    assert html.extract(page(1, "<article><p>the text</p></article>" + teaser), None) == "the text"
