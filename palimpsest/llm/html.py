@@ -2,9 +2,10 @@
 
 Tokens are start tags and text nodes, told apart by their path in the page. Tokens that occur equally often on every page
 of a host form an equivalence class; large classes that many pages share, whose members keep their order and whose
-elements nest, are the host's template. What lies between its tokens are slots. The slot that holds the host's articles
-is found from the template's elements and the text that flows through them, and everything in it is extracted but for
-elements that are furniture by kind or name.
+elements nest around text that fewer pages share, are the host's template. What lies between its tokens are slots. The
+slot that holds a page's article is found from the template's elements and the text that flows through them (or is the
+page's content elements, where these hold most of that text), and everything in it is extracted but for the template's
+own texts and elements that are furniture by kind or name.
 """
 
 from __future__ import annotations
@@ -175,7 +176,7 @@ def page_tokens(page: str) -> list[tuple[int, int, int]]:
 
 
 def templates(pages: DataFrame, share: float = 0.5, members: int = 3) -> DataFrame:
-    """A row for each host: host, template array<struct<class, token, at>>.
+    """A row for each host: host, template array<struct<class, token, at, n>>.
 
     ``pages`` has id, host and html. Equal sums of two numbers that a page and a token's count on it determine stand for
     equal occurrence vectors. A class is part of the template if at least ``share`` of the host's pages, and two, have
@@ -207,55 +208,75 @@ def templates(pages: DataFrame, share: float = 0.5, members: int = 3) -> DataFra
     shared = tokens.where("token <> 0 and n >= 2").join(size, "host").where(F.col("n") >= share * F.col("pages"))
     classes = shared.groupBy("host", "n", "x", "y").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("tokens"))
     classes = classes.where(F.size("tokens") >= members)
-    one = F.transform("tokens", lambda t: F.struct(F.xxhash64("n", "x", "y").alias("class"), t.token.alias("token"), t.at.alias("at")))
+    one = F.transform("tokens", lambda t: F.struct(F.xxhash64("n", "x", "y").alias("class"), t.token.alias("token"), t.at.alias("at"), F.col("n").alias("n")))
     return classes.groupBy("host").agg(F.flatten(F.collect_list(one)).alias("template"))
 
 
 @dataclass
 class Template:
-    """A host's template: the class of every token and its mean place."""
+    """A host's template: the class of every token, its mean place and the pages that have it."""
 
-    tokens: dict[int, tuple[int, float]]
+    tokens: dict[int, tuple[int, float, int]]
 
-    def valid(self, nodes: list[Node]) -> set[int]:
-        """Tokens of the classes whose members keep the template's order on this page and nest with it."""
+    def valid(self, nodes: list[Node], texts: list[tuple[int, str, bool]]) -> tuple[set[int], set[int]]:
+        """Elements' tokens, and texts, of the classes that are the template's on this page.
+
+        Their members keep the template's order, and an element of theirs holds text that fewer pages have: copies of an
+        article share classes too, but nothing flows through these.
+        """
+        known = [self.tokens.get(name(f"{nodes[i].path}\n{t}")) if (t := " ".join(text.split())) else None for i, text, _ in texts]
+        aside, rarest = [False] * len(nodes), [float("inf")] * len(nodes)
+        for i, node in enumerate(nodes[1:], 1):
+            aside[i] = aside[node.parent] or node.furniture or node.named
+        for (i, text, _), kind in zip(texts, known, strict=True):
+            if text.strip() and not aside[i]:
+                rarest[i] = min(rarest[i], kind[2] if kind else 0)
+        for i in range(len(nodes) - 1, 0, -1):
+            up = nodes[i].parent
+            rarest[up] = min(rarest[up], rarest[i])
         seen: dict[int, list[tuple[float, int, int]]] = {}
         first: set[int] = set()
+        around: set[int] = set()
         for i, node in enumerate(nodes[1:], 1):
-            if node.token in self.tokens and node.token not in first:
-                first.add(node.token)
-                kind, at = self.tokens[node.token]
-                seen.setdefault(kind, []).append((at, i, node.token))
+            if node.token in self.tokens:
+                kind, at, n = self.tokens[node.token]
+                if rarest[i] < n:
+                    around.add(kind)
+                if node.token not in first:
+                    first.add(node.token)
+                    seen.setdefault(kind, []).append((at, i, node.token))
         good: set[int] = set()
-        for members in seen.values():
+        kinds: set[int] = set()
+        for kind, members in seen.items():
             places = [i for _, i, _ in sorted(members)]
-            if places == sorted(places):
+            if kind in around and places == sorted(places):
+                kinds.add(kind)
                 good |= {token for _, _, token in members}
-        return good
+        return good, {k for k, kind in enumerate(known) if kind and kind[0] in kinds}
 
 
 def extract(page: str, template: Template | None) -> str:
     """The article's blocks, joined by blank lines."""
     nodes, texts = parse(page)
-    for node in nodes[1:]:
-        node.token = name(node.path)
-    good = template.valid(nodes) if template else set()
-    drop_named(nodes, texts, good_texts(nodes, texts, template) if template else set())
-    # The slot of the articles: content elements that the template confirms, else the page's own, else the innermost
-    # element of the template with all of the text that isn't the template's, else the page.
-    tops = [i for i, n in enumerate(nodes) if n.content and not nodes[n.parent].content and not n.furniture]
-    roots = [i for i in tops if nodes[i].token in good] or tops
-    if not roots and good:
-        fixed, mass = good_texts(nodes, texts, template), [0] * len(nodes)
+    if template:
+        for node in nodes[1:]:
+            node.token = name(node.path)
+    good, fixed = template.valid(nodes, texts) if template else (set(), set())
+    drop_named(nodes, texts, fixed)
+    # The slot of the article: the page's content elements, but on pages with a template only if most of the text that
+    # isn't the template's lies in them; else the innermost element of the template with all of that text; else the page.
+    roots = [i for i, n in enumerate(nodes) if n.content and not nodes[n.parent].content and not n.furniture]
+    if good:
+        mass = [0] * len(nodes)
         for k, (i, text, _) in enumerate(texts):
             mass[i] += 0 if k in fixed or nodes[i].furniture else len(text.strip())
         for i in range(len(nodes) - 1, 0, -1):
             mass[nodes[i].parent] += mass[i]
-        roots = [i for i, n in enumerate(nodes) if n.token in good and not n.furniture and mass[i] and mass[i] == mass[0]][-1:]
+        if 2 * sum(mass[i] for i in roots) < mass[0] or not roots:
+            roots = [i for i, n in enumerate(nodes) if n.token in good and not n.furniture and mass[i] and mass[i] == mass[0]][-1:]
     inside = [not roots] * len(nodes)
     for i in range(1, len(nodes)):
         inside[i] = inside[nodes[i].parent] or i in roots
-    fixed = good_texts(nodes, texts, template) if template and not any(nodes[i].content for i in roots) else set()
     blocks: list[list[str]] = []
     new = True
     for k, (i, text, fresh) in enumerate(texts):
@@ -281,19 +302,14 @@ def drop_named(nodes: list[Node], texts: list[tuple[int, str, bool]], fixed: set
     for i, n in enumerate(nodes[1:], 1):
         tops[i] = n.content and not nodes[n.parent].content and not n.furniture
         under[i] = under[n.parent] or (n.named and not tops[i])
-    # Teasers in what is named are no reason to keep it where the page has a content element elsewhere.
+    # Where the page has a content element elsewhere, teasers or much text (comments) in what is named don't keep it.
     elsewhere = any(t and not u for t, u in zip(tops, under, strict=True))
     holds = [t and not elsewhere for t in tops]
     for i in range(len(nodes) - 1, 0, -1):
         mass[nodes[i].parent] += mass[i]
         holds[nodes[i].parent] |= holds[i]
     for i, n in enumerate(nodes[1:], 1):
-        n.furniture |= nodes[n.parent].furniture or (n.named and not tops[i] and not holds[i] and 2 * mass[i] <= mass[0])
-
-
-def good_texts(nodes: list[Node], texts: list[tuple[int, str, bool]], template: Template) -> set[int]:
-    """Texts that are part of the template themselves."""
-    return {k for k, (i, text, _) in enumerate(texts) if (t := " ".join(text.split())) and name(f"{nodes[i].path}\n{t}") in template.tokens}
+        n.furniture |= nodes[n.parent].furniture or (n.named and not tops[i] and (elsewhere or not holds[i] and 2 * mass[i] <= mass[0]))
 
 
 def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -317,7 +333,7 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
                     if len(known) > 500:
                         known.clear()
                     rows = template[k].as_py()
-                    known[hosts[k]] = Template({r["token"]: (r["class"], r["at"]) for r in rows}) if rows else None
+                    known[hosts[k]] = Template({r["token"]: (r["class"], r["at"], r["n"]) for r in rows}) if rows else None
                 out.append(extract(page, known[hosts[k]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
 

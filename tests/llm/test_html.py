@@ -98,3 +98,21 @@ def test_names_never_drop_the_content():
     assert html.extract(page(1, furniture + "<div class=story>the whole text, which is longer than what is dropped</div>"), None) == "the whole text, which is longer than what is dropped"
     teaser = "<div class='related'><article><p>no</p></article></div>"
     assert html.extract(page(1, "<article><p>the text</p></article>" + teaser), None) == "the text"
+
+
+def test_template_decides_inside_and_beside_content_elements(spark):
+    notice = "<div class=box1>Write to us about this story</div>"
+    found = texts_of(spark, [f"<article><p>first words of {n}</p>{notice}<p>last words of {n}</p></article><article><p>more {n}</p></article>" for n in range(8)])
+    assert found == {n: f"first words of {n}\n\nlast words of {n}\n\nmore {n}" for n in range(8)}
+    found = texts_of(spark, [f"<div class=story><p>{f'long {n} ' * 20}</p></div><article class=teaser><p>short {n}</p></article>" for n in range(8)])
+    assert all(found[n] == f"{' '.join([f'long {n}'] * 20)}\n\nshort {n}" for n in range(8))
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    table = "<table><tr><td>cell one</td><td>cell two</td></tr></table>"
+    for copies in (12, 8):
+        bodies = [f"<div class=main><article><p>same text</p>{table}<p>to the end</p></article></div>"] * copies
+        bodies += [f"<div class=main><article><p>text {n}</p></article></div>" for n in range(12 - copies)]
+        found = texts_of(spark, bodies)
+        assert [found[n] for n in range(copies)] == ["same text\n\ncell one\n\ncell two\n\nto the end"] * copies
+        assert [found[n + copies] for n in range(12 - copies)] == [f"text {n}" for n in range(12 - copies)]
