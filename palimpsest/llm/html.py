@@ -161,7 +161,7 @@ def host(url: Column) -> Column:
 
 
 def page_tokens(page: str) -> list[tuple[int, int, int]]:
-    """(token, count, first place) of a page; token 0 stands for the page itself."""
+    """(token, count, first place or -1 for a text) of a page; token 0 stands for the page itself."""
     nodes, texts = parse(page)
     found: dict[int, list[int]] = {0: [1, 0]}
     for i, node in enumerate(nodes[1:], 1):
@@ -170,18 +170,20 @@ def page_tokens(page: str) -> list[tuple[int, int, int]]:
         entry[0] += 1
     for i, text, _ in texts:
         if text := " ".join(text.split()):
-            entry = found.setdefault(name(f"{nodes[i].path}\n{text}"), [0, i])
+            entry = found.setdefault(name(f"{nodes[i].path}\n{text}"), [0, -1])
             entry[0] += 1
     return [(token, *entry) for token, entry in found.items()]
 
 
-def templates(pages: DataFrame, share: float = 0.5, members: int = 3) -> DataFrame:
+def templates(pages: DataFrame, share: float = 0.02, members: int = 3) -> DataFrame:
     """A row for each host: host, template array<struct<class, token, at, n>>.
 
     ``pages`` has id, host and html. Equal sums of two numbers that a page and a token's count on it determine stand for
-    equal occurrence vectors. A class is part of the template if at least ``share`` of the host's pages, and two, have
-    it and it has ``members`` tokens or more. Each page gives a row for each of its tokens and all meet in partial
-    sums, so a host of any size costs no task more than others; a template holds at most pages' mean tokens / share.
+    equal occurrence vectors. A class is part of the template if three pages (of hosts of up to four, half of them and
+    two), and ``share`` of the host's pages, have it, so that each layout of a host gets its own; if it has ``members``
+    tokens or more; and if some are elements, as texts alone enclose nothing. Each page gives a row for each of its
+    tokens and all meet in partial sums, so a host of any size costs no task more than others; a template holds at most
+    pages' mean tokens / share.
     """
     ship(pages.sparkSession)
 
@@ -205,9 +207,9 @@ def templates(pages: DataFrame, share: float = 0.5, members: int = 3) -> DataFra
         F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.avg("at").alias("at")
     )
     size = tokens.where("token = 0").select("host", F.col("n").alias("pages"))
-    shared = tokens.where("token <> 0 and n >= 2").join(size, "host").where(F.col("n") >= share * F.col("pages"))
+    shared = tokens.where("token <> 0 and n >= 2").join(size, "host").where((F.col("n") >= share * F.col("pages")) & ((F.col("n") >= 3) | (F.col("n") >= 0.5 * F.col("pages"))))
     classes = shared.groupBy("host", "n", "x", "y").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("tokens"))
-    classes = classes.where(F.size("tokens") >= members)
+    classes = classes.where((F.size("tokens") >= members) & (F.element_at("tokens", -1)["at"] > 0))
     one = F.transform("tokens", lambda t: F.struct(F.xxhash64("n", "x", "y").alias("class"), t.token.alias("token"), t.at.alias("at"), F.col("n").alias("n")))
     return classes.groupBy("host").agg(F.flatten(F.collect_list(one)).alias("template"))
 

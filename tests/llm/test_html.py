@@ -116,3 +116,10 @@ def test_copies_of_an_article_are_no_template(spark):
         found = texts_of(spark, bodies)
         assert [found[n] for n in range(copies)] == ["same text\n\ncell one\n\ncell two\n\nto the end"] * copies
         assert [found[n + copies] for n in range(12 - copies)] == [f"text {n}" for n in range(12 - copies)]
+
+
+def test_each_layout_of_a_host_has_its_template(spark):
+    menus = {"news": "<ul class=top><li>Politics</li><li>Culture</li></ul>", "forum": "<p class=rules>Be kind</p>", "product": "<p class=pay>Pay by card</p>"}
+    bodies = [f"<div class=page-{k}>{m}<div class=body><h1>{k} {n}</h1><p>text {n} of {k}</p></div></div>" for k, m in menus.items() for n in range(5)]
+    found = texts_of(spark, bodies)
+    assert [found[n] for n in range(15)] == [f"{k} {n}\n\ntext {n} of {k}" for k in menus for n in range(5)]
