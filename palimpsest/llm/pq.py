@@ -22,9 +22,11 @@ from palimpsest.shipping import ship
 SIMILAR = 0.9
 #: Vectors that the quantiser is fitted on at most.
 SAMPLE = 20_000
-#: A probe goes to each list whose border with its own is nearer than this. A copy at cosine 0.9 lies 0.45 away, of
-#: which about 0.06 points in the direction of any one border in 64 dimensions.
+#: A probe goes to each list whose border with its own is nearer than this at least. A copy at cosine 0.9 lies 0.45 away,
+#: of which about 0.06 points in the direction of any one border in 64 dimensions; where vectors fill fewer dimensions it
+#: is more, so the margin is taken from the sample: what this share of its pairs needs.
 MARGIN = 0.1
+FOUND = 0.995
 #: It also goes to each list whose centre is nearer to its own list's than this: lists that share a dense group, where a
 #: copy lies in no random direction.
 CLOSE = 0.6
@@ -38,6 +40,7 @@ class Quantiser:
     coarse: np.ndarray
     books: list[np.ndarray]  # by part: codes x width
     edges: list[int]
+    margin: float = MARGIN
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
         """Nearest list, lists to probe, codes and coding error of unit vectors."""
@@ -47,7 +50,7 @@ class Quantiser:
         apart = np.sqrt(np.maximum(((c[own][:, None, :] - c[None]) ** 2).sum(2), 0)) if len(c) * len(x) < 200_000 else np.stack([np.sqrt(((c - c[i]) ** 2).sum(1)) for i in own])
         border = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart + 1e-12)
         border[np.arange(len(x)), own] = -1
-        probes = [np.flatnonzero(row).astype(np.int32) for row in (border <= MARGIN) | (apart <= CLOSE)]
+        probes = [np.flatnonzero(row).astype(np.int32) for row in (border <= self.margin) | (apart <= CLOSE)]
         rest = x - c[own]
         codes = np.zeros((len(x), len(self.books)), np.uint8)
         error = np.zeros(len(x))
@@ -72,6 +75,35 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c
 
 
+def _margin(x: np.ndarray, coarse: np.ndarray, own: np.ndarray, rng: np.random.Generator, rows: int = 4000) -> float:
+    """The margin that FOUND of the sample's links need: of its own pairs, and of copies turned towards other vectors."""
+
+    def crossing(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+        # How far the nearer of two vectors lies from the border of their lists; none where close lists are probed anyway.
+        ca, cb = coarse[la], coarse[lb]
+        apart = np.sqrt(((ca - cb) ** 2).sum(1))
+        gap = lambda v, c, o: ((v - o) ** 2).sum(1) - ((v - c) ** 2).sum(1)
+        return np.where(apart <= CLOSE, 0, np.minimum(gap(a, ca, cb), gap(b, cb, ca)) / (2 * apart + 1e-12))
+
+    some = rng.permutation(len(x))[:rows]
+    y = x[rng.integers(0, len(x), len(some))]
+    y = y - (y * x[some]).sum(1, keepdims=True) * x[some]
+    size = np.sqrt((y * y).sum(1))
+    at = some[size > 1e-9]
+    y = SIMILAR * x[at] + np.sqrt(1 - SIMILAR**2) * (y / np.maximum(size, 1e-9)[:, None])[size > 1e-9]
+    needs = [crossing(x[at], y, own[at], (y @ coarse.T - 0.5 * (coarse * coarse).sum(1)).argmax(1))]
+    real = []
+    for i in range(0, len(some), 256):
+        part = some[i : i + 256]
+        cosine = x[part] @ x.T
+        a, b = np.nonzero((cosine >= SIMILAR) & (cosine <= (1 + SIMILAR) / 2))
+        pick = rng.permutation(len(a))[:65536]
+        real.append(crossing(x[part][a[pick]], x[b[pick]], own[part][a[pick]], own[b[pick]]))
+    needs.append(np.concatenate(real))
+    # No copy at the threshold crosses by more than its distance.
+    return float(min(np.sqrt(2 - 2 * SIMILAR) + 1e-9, max(MARGIN, *(np.quantile(n, FOUND) for n in needs if len(n)))))
+
+
 def fit(x: np.ndarray, lists: int, seed: int = 5) -> Quantiser:
     """A quantiser from sampled unit vectors."""
     rng = np.random.default_rng(seed)
@@ -80,7 +112,8 @@ def fit(x: np.ndarray, lists: int, seed: int = 5) -> Quantiser:
     rest = x - coarse[own]
     parts = min(PARTS, x.shape[1])
     edges = [i * x.shape[1] // parts for i in range(parts + 1)]
-    return Quantiser(coarse, [_means(rest[:, a:b], CODES, rng) for a, b in zip(edges, edges[1:], strict=False)], edges)
+    books = [_means(rest[:, a:b], CODES, rng) for a, b in zip(edges, edges[1:], strict=False)]
+    return Quantiser(coarse, books, edges, _margin(x, coarse, own, rng))
 
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:

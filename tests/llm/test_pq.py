@@ -105,3 +105,15 @@ def test_nothing_and_one(spark):
     found = sorted(map(tuple, pq.near_duplicates(df).collect()), key=str)
     assert found == sorted([(0, 0, 0, True), (None, 0, None, True)], key=str)
     assert pq.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_recall_on_vectors_of_low_rank():
+    for rank in (6, 8, 12):
+        rng = np.random.default_rng(rank)
+        x = rng.normal(size=(9000, rank)) @ rng.normal(size=(rank, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        q = pq.fit(x[:6000], 380)
+        own, probes, *_ = q.place(x)
+        a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+        sets = [set(p.tolist()) for p in probes]
+        assert np.mean([own[j] in sets[i] or own[i] in sets[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.98
