@@ -84,3 +84,11 @@ def test_repeated_rows_null_ids_and_nothing(spark):
     found = sorted(((r.doc_id, r.component, r.kept) for r in mh.near_duplicates(df).collect()), key=lambda r: (r[0] is None, r))
     assert found == [(5, 5, True), (5, 5, True), (7, 7, True), (9, 5, False), (None, None, True)]
     assert mh.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_sketch_filter_loses_less_than_the_bands():
+    from math import comb
+
+    agree = mh.SIMILAR + (1 - mh.SIMILAR) / 4
+    lost = sum(comb(mh.K, k) * agree**k * (1 - agree) ** (mh.K - k) for k in range(mh.AGREE))
+    assert lost < (1 - mh.SIMILAR**mh.ROWS) ** mh.BANDS
