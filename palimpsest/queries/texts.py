@@ -214,6 +214,12 @@ def greedy_batches(spark: SparkSession, d: str) -> DataFrame:
     return chunking.greedy_batches(rows, "w", ["item_id"], 5, 900).select("item_id", "batch")
 
 
+@query(BATCHES.replace("benchmark", "documents").replace("item_id", "doc_id").replace("n >= 5", "n >= 128").replace("> 900", "> 100000"))
+def greedy_batches_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("w"))
+    return chunking.greedy_batches(rows, "w", ["doc_id"]).select("doc_id", "batch")
+
+
 @query(f"SELECT count(*) AS chunks, CAST(sum(n) AS BIGINT) AS tokens, round(CAST(sum(n) AS BIGINT) / 1e6 * 0.131, 6) AS cost FROM (SELECT {TOKENS.format('text')} AS n FROM documents)")
 def cost_estimate(spark: SparkSession, d: str) -> DataFrame:
     return estimate(table(spark, d, "documents").select(text.token_count(F.col("text")).alias("tokens")))
