@@ -6,10 +6,10 @@ and backslashes are doubled, so formatting is reversible and a text can never op
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import scratch
 
 # The strings that a chat model may read as control.
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -53,39 +53,63 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     ``nodes`` has tree, node (unique in its tree), parent and score. A path's score is the sum of its nodes' (null: 0);
     equal scores rank by the leaf's node. A parent that is null or not in the tree makes a root; nodes on or under a
     cycle have no root and are on no path. Every self-join doubles the distance that a node looks up, so a tree of
-    depth d takes about log2(d) rounds up and as many down, and no join key is a tree alone.
+    depth d takes about log2(d) rounds up and as many down, and no join key is a tree alone. All rounds live in one
+    table with a column ``level``, so plans stay the same size however many there are.
     """
-    ids = cut(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
-    known = ids.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    same = (F.col("tree").eqNullSafe(F.col("t"))) & (F.col("parent") == F.col("n"))
-    level = cut(
-        ids.join(known, same, "left")
-        .select("tree", "node", F.col("n").alias("up"), "score", F.when(F.col("n").isNotNull(), 1).otherwise(0).alias("dist"))
+    spark, folder = nodes.sparkSession, scratch(nodes.sparkSession, "paths")
+
+    def put(rows: DataFrame, name: str, *by: str) -> int:
+        # How many of the rows still look up.
+        seen = Observation()
+        rows = rows.observe(seen, F.count_if(F.col("up").isNotNull()).alias("n"))
+        rows.write.mode("append").partitionBy(*by).parquet(f"{folder}/{name}")
+        return seen.get["n"]
+
+    def table(name: str) -> DataFrame:
+        return spark.read.schema(kinds[name]).parquet(f"{folder}/{name}")
+
+    start = nodes.select("tree", "node", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    key = [(n, start.schema[n].dataType.simpleString()) for n in ("tree", "node")]
+    up = ", ".join(f"{n} {t}" for n, t in (*key, ("up", key[1][1])))
+    kinds = {
+        "nodes": f"{up}, score double",
+        "jumps": f"{up}, score double, dist long, level int, done boolean",
+        "found": f"{up}, branch int, depth long, round int",
+    }
+    put(start, "nodes")
+    known = table("nodes").select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    level = (
+        table("nodes")
+        .join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
+        .select("tree", "node", F.col("n").alias("up"), "score", F.when(F.col("n").isNotNull(), 1).otherwise(0).cast("long").alias("dist"))
     )
-    # Nodes whose look-up has reached a root are done and only serve others.
-    jumps, done, rounds = [level.where("up is not null")], level.where("up is null"), 0
-    limit = max(1, ids.count()).bit_length() + 1
-    while rounds < limit and jumps[-1].limit(1).count():
-        far = jumps[-1].unionByName(done)
+    # Nodes whose look-up has reached a root are done and only serve others. On a cycle it never does, but no path
+    # without one is longer than the nodes that looked up at first.
+    last = 0
+    moving = most = put(level.withColumns({"level": F.lit(0), "done": F.col("up").isNull()}), "jumps", "level", "done")
+    while moving and 1 << last <= most:
+        far = table("jumps").where(F.col("done") | (F.col("level") == last))
         far = far.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("s2"), F.col("dist").alias("d2"))
-        level = cut(
-            jumps[-1].join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select(
-                "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("dist") + F.col("d2")).alias("dist")
-            )
-        )
-        jumps.append(level.where("up is not null"))
-        done = done.unionByName(level.where("up is null"))
-        rounds += 1
-    parents = jumps[0].select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
-    leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+        near = table("jumps").where((F.col("level") == last) & ~F.col("done"))
+        level = near.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("s2")).alias("score"), (F.col("dist") + F.col("d2")).alias("dist")
+        )
+        last += 1
+        moving = put(level.withColumns({"level": F.lit(last), "done": F.col("up").isNull()}), "jumps", "level", "done")
+    first = table("jumps").where(F.col("level") == 0)
+    parents = first.where(~F.col("done")).select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+    leaves = table("jumps").where("done").join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
-    found = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= best)
-    found = found.select("tree", "branch", F.col("dist").alias("depth"), "node")
-    for k in range(len(jumps) - 2, -1, -1):
-        up = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        more = found.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
-        found = cut(found.unionByName(more.select("tree", "branch", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("node"))))
-    return found
+    chosen = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= best)
+    put(chosen.select("tree", "node", "up", "branch", F.col("dist").alias("depth"), F.lit(last).alias("round")), "found", "round")
+    for k in range(last - 1, -1, -1):
+        # Everything found jumps up 2^k places, from where there are as many.
+        there = table("found").where(F.col("depth") >= 1 << k)
+        jump = table("jumps").where((F.col("level") == k) & ~F.col("done")).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("to"))
+        more = there.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
+        more = more.select("tree", F.col("to").alias("node"), "up", "branch", (F.col("depth") - (1 << k)).alias("depth"), F.lit(k).alias("round"))
+        put(more, "found", "round")
+    return table("found").select("tree", "branch", "depth", "node")
 
 
 def conversations(nodes: DataFrame, best: int = 1) -> DataFrame:
