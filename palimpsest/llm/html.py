@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import cut
 from palimpsest.shipping import ship
 
 # Fixed values of HTML: elements without an end tag, elements whose content is no markup, elements that break text into
@@ -41,13 +43,19 @@ CLOSES = {
 }
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "summary"}
 
-# Furniture by element, and by names of a class, id or role that consist of these words alone.
+# Furniture by element; words of a class, id or role that mean furniture, and those of them that can just as
+# well name a part of an article.
 FURNITURE = frozenset("head nav footer aside form button select script style noscript iframe template svg title textarea dialog menu".split())
-WORD = (
-    r"(?:ads?|advert\w*?|banner|sponsor\w*?|promo\w*?|nav\w*?|menu\w*?|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|"
-    r"notices?|popup|modal|newsletter|subscri\w*?|share|social|related|comments?|replies|disqus|login|search)"
+PLAIN = (
+    r"(?:ads?|advert\w*?|banner|sponsor\w*?|promo\w*?|nav\w*?|breadcrumbs?|sidebar|masthead|cookies?|consent|popup|modal|newsletter|"
+    r"subscri\w*?|share|social|comments?|replies|disqus|login)"
 )
+EITHER = r"(?:menu\w*?|header|footer|notices?|related|search)"
+WORD = rf"(?:{PLAIN}|{EITHER})"
+#: A name that consists of such words alone, among others; and all names of an element that do, one of them unmistakably.
 NAMED = re.compile(rf"(?<!\S){WORD}(?:[_-]+{WORD})*(?!\S)", re.I)
+SURELY = re.compile(rf"(?=.*(?<![^\s_-]){PLAIN}(?![^\s_-]))\s*{WORD}(?:[\s_-]+{WORD})*\s*", re.I)
+LOOSELY, STRICTLY = 1, 2
 CONTENT = frozenset({"article", "main"})
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>""", re.S)
@@ -57,14 +65,15 @@ ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 
 @dataclass(slots=True)
 class Node:
-    """An element: its parent, tag, path, whether it or a parent is furniture by kind, and whether its own name says so."""
+    """An element: its parent, tag, path, whether it or a parent is furniture by kind, whether it or a parent is a content
+    element, and how surely its own name makes it furniture."""
 
     parent: int
     tag: str
     path: str
     furniture: bool
     content: bool
-    named: bool = False
+    named: int = 0
     token: int = 0
 
 
@@ -138,7 +147,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
         attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(hit[3])} if hit[3] else {}
         label = tag + "".join(f"[{k}={' '.join(v.split())}]" for k, v in sorted(attributes.items()) if k != "id" or not re.search(r"\d", v))
         up = nodes[stack[-1]]
-        named = tag not in ("html", "body") and any(NAMED.search(attributes[k]) for k in ("class", "id", "role") if k in attributes)
+        names = [attributes[k] for k in ("class", "id", "role") if k in attributes] if tag not in ("html", "body") else []
+        named = LOOSELY if any(map(NAMED.search, names)) else 0
+        if named and all(map(SURELY.fullmatch, names)):
+            named = STRICTLY
         inside = up.content or tag in CONTENT or attributes.get("role") == "main"
         furniture = up.furniture or tag in FURNITURE or (tag == "header" and not up.content)
         if tag in BLOCK:
@@ -176,7 +188,7 @@ def page_tokens(page: str) -> list[tuple[int, int, int]]:
 
 
 def templates(pages: DataFrame, share: float = 0.02, members: int = 3) -> DataFrame:
-    """A row for each host: host, template array<struct<class, token, at, n>>.
+    """A row for each host: host, pages long, template array<struct<class, token, at, n>>, null where it has none.
 
     ``pages`` has id, host and html. Equal sums of two numbers that a page and a token's count on it determine stand for
     equal occurrence vectors. A class is part of the template if three pages (of hosts of up to four, half of them and
@@ -206,12 +218,13 @@ def templates(pages: DataFrame, share: float = 0.02, members: int = 3) -> DataFr
     tokens = rows.groupBy("host", "token").agg(
         F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.avg("at").alias("at")
     )
+    tokens = cut(tokens.where("token = 0 or n >= 2"))
     size = tokens.where("token = 0").select("host", F.col("n").alias("pages"))
-    shared = tokens.where("token <> 0 and n >= 2").join(size, "host").where((F.col("n") >= share * F.col("pages")) & ((F.col("n") >= 3) | (F.col("n") >= 0.5 * F.col("pages"))))
+    shared = tokens.where("token <> 0").join(size, "host").where((F.col("n") >= share * F.col("pages")) & ((F.col("n") >= 3) | (F.col("n") >= 0.5 * F.col("pages"))))
     classes = shared.groupBy("host", "n", "x", "y").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("tokens"))
     classes = classes.where((F.size("tokens") >= members) & (F.element_at("tokens", -1)["at"] > 0))
     one = F.transform("tokens", lambda t: F.struct(F.xxhash64("n", "x", "y").alias("class"), t.token.alias("token"), t.at.alias("at"), F.col("n").alias("n")))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list(one)).alias("template"))
+    return size.join(classes.groupBy("host").agg(F.flatten(F.collect_list(one)).alias("template")), "host", "left")
 
 
 @dataclass
@@ -223,8 +236,8 @@ class Template:
     def valid(self, nodes: list[Node], texts: list[tuple[int, str, bool]]) -> tuple[set[int], set[int]]:
         """Elements' tokens, and texts, of the classes that are the template's on this page.
 
-        Their members keep the template's order, and an element of theirs holds text that fewer pages have: copies of an
-        article share classes too, but nothing flows through these.
+        Their members keep the template's order, they nest in each other, and an element of theirs holds text that fewer
+        pages have: copies of an article share classes too, but nothing flows through these.
         """
         known = [self.tokens.get(name(f"{nodes[i].path}\n{t}")) if (t := " ".join(text.split())) else None for i, text, _ in texts]
         aside, rarest = [False] * len(nodes), [float("inf")] * len(nodes)
@@ -247,16 +260,31 @@ class Template:
                 if node.token not in first:
                     first.add(node.token)
                     seen.setdefault(kind, []).append((at, i, node.token))
-        good: set[int] = set()
-        kinds: set[int] = set()
+        ordered = []
         for kind, members in seen.items():
-            places = [i for _, i, _ in sorted(members)]
+            members.sort()
+            places = [i for _, i, _ in members]
             if kind in around and places == sorted(places):
-                kinds.add(kind)
-                good |= {token for _, _, token in members}
+                ordered.append((-self.tokens[members[0][2]][2], -len(members), kind))
+        where: dict[int, list[int]] = {kind: [] for _, _, kind in ordered}
+        for i, node in enumerate(nodes[1:], 1):
+            if (own := self.tokens.get(node.token)) and own[0] in where:
+                where[own[0]].append(i)
+        # Commonest first, a class joins the template if it lies between two members of each one there, or each between
+        # two of its own.
+        kinds: list[int] = []
+        for _, _, kind in sorted(ordered):
+            if all(between(where[kind], where[k]) or between(where[k], where[kind]) for k in kinds):
+                kinds.append(kind)
+        good = {token for kind in kinds for _, _, token in seen[kind]}
         return good, {k for k, kind in enumerate(known) if kind and kind[0] in kinds}
 
 
+def between(inner: list[int], outer: list[int]) -> bool:
+    """Whether all of ``inner`` lies in one gap of ``outer``, or before or after it; both in order."""
+    return bisect(outer, inner[0]) == bisect(outer, inner[-1])
+
+
 def extract(page: str, template: Template | None) -> str:
     """The article's blocks, joined by blank lines."""
     nodes, texts = parse(page)
@@ -264,26 +292,31 @@ def extract(page: str, template: Template | None) -> str:
         for node in nodes[1:]:
             node.token = name(node.path)
     good, fixed = template.valid(nodes, texts) if template else (set(), set())
-    drop_named(nodes, texts, fixed)
+    dropped = dropped_by_name(nodes, texts, fixed)
     # The slot of the article: the page's content elements, but on pages with a template only if most of the text that
     # isn't the template's lies in them; else the innermost element of the template with all of that text; else the page.
-    roots = [i for i, n in enumerate(nodes) if n.content and not nodes[n.parent].content and not n.furniture]
+    roots = [i for i, n in enumerate(nodes) if n.content and not nodes[n.parent].content and not dropped[i]]
     if good:
         mass = [0] * len(nodes)
         for k, (i, text, _) in enumerate(texts):
-            mass[i] += 0 if k in fixed or nodes[i].furniture else len(text.strip())
+            mass[i] += 0 if k in fixed or dropped[i] else len(text.strip())
         for i in range(len(nodes) - 1, 0, -1):
             mass[nodes[i].parent] += mass[i]
         if 2 * sum(mass[i] for i in roots) < mass[0] or not roots:
-            roots = [i for i, n in enumerate(nodes) if n.token in good and not n.furniture and mass[i] and mass[i] == mass[0]][-1:]
+            roots = [i for i, n in enumerate(nodes) if n.token in good and not dropped[i] and mass[i] and mass[i] == mass[0]][-1:]
     inside = [not roots] * len(nodes)
+    # In a slot that is less than the whole body, a name alone drops nothing that might be a part of the article.
+    sure = bool(roots) and all(nodes[i].tag not in ("html", "body") for i in roots)
     for i in range(1, len(nodes)):
-        inside[i] = inside[nodes[i].parent] or i in roots
+        n, up = nodes[i], nodes[i].parent
+        inside[i] = inside[up] or i in roots
+        if sure and inside[up]:
+            dropped[i] = dropped[up] or n.furniture or n.named == STRICTLY or (n.named == LOOSELY and n.token in good)
     blocks: list[list[str]] = []
     new = True
     for k, (i, text, fresh) in enumerate(texts):
         new |= fresh
-        if not inside[i] or nodes[i].furniture or k in fixed:
+        if not inside[i] or dropped[i] or k in fixed:
             new = True
             continue
         if new:
@@ -294,16 +327,18 @@ def extract(page: str, template: Template | None) -> str:
     return "\n\n".join(b for b in found if b)
 
 
-def drop_named(nodes: list[Node], texts: list[tuple[int, str, bool]], fixed: set[int]) -> None:
-    """Marks what is furniture by name, but for elements that hold the page's content elements or most of its own text."""
+def dropped_by_name(nodes: list[Node], texts: list[tuple[int, str, bool]], fixed: set[int]) -> list[bool]:
+    """Elements that are furniture by kind, or by name, but for those named so that hold the page's content elements or
+    most of its own text."""
+    dropped = [n.furniture for n in nodes]
     if not any(n.named for n in nodes):
-        return
+        return dropped
     mass, tops, under = [0] * len(nodes), [False] * len(nodes), [False] * len(nodes)
     for k, (i, text, _) in enumerate(texts):
         mass[i] += 0 if k in fixed or nodes[i].furniture else len(text.strip())
     for i, n in enumerate(nodes[1:], 1):
         tops[i] = n.content and not nodes[n.parent].content and not n.furniture
-        under[i] = under[n.parent] or (n.named and not tops[i])
+        under[i] = under[n.parent] or (n.named > 0 and not tops[i])
     # Where the page has a content element elsewhere, teasers or much text (comments) in what is named don't keep it.
     elsewhere = any(t and not u for t, u in zip(tops, under, strict=True))
     holds = [t and not elsewhere for t in tops]
@@ -311,34 +346,74 @@ def drop_named(nodes: list[Node], texts: list[tuple[int, str, bool]], fixed: set
         mass[nodes[i].parent] += mass[i]
         holds[nodes[i].parent] |= holds[i]
     for i, n in enumerate(nodes[1:], 1):
-        n.furniture |= nodes[n.parent].furniture or (n.named and not tops[i] and (elsewhere or not holds[i] and 2 * mass[i] <= mass[0]))
+        by_name = n.named and not tops[i] and (elsewhere or not holds[i] and 2 * mass[i] <= mass[0])
+        dropped[i] = dropped[i] or dropped[n.parent] or bool(by_name)
+    return dropped
+
+
+#: Tokens of templates that are sent to every executor whole (some 64 bytes each); beyond, pages meet their host's template
+#: in a shuffle.
+HELD = 1_000_000
+#: A host of more than this share of all pages is split into as many parts as it has such shares.
+HOT = 200
 
 
-def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", held: int = HELD) -> DataFrame:
     """id, url and text string: the main text of every page, a row for each row of ``pages``.
 
     Null and empty pages have empty text; pages of a null or odd URL share the host ''. Hosts of one page, or whose pages
     share no template, go by elements alone. Rows that repeat give rows that repeat; other columns don't take part; an
     empty table gives an empty result.
+
+    Templates of up to ``held`` tokens in all are broadcast, and pages stay where they are. Larger ones are dealt out with
+    the pages by host, hot hosts in parts that each get a copy, and each part's pages stream past its template.
     """
+    spark = pages.sparkSession
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     rows = rows.withColumn("host", host(F.col("url")))
-    found = rows.join(templates(rows), "host", "left").select("id", "url", "html", "host", "template")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Template | None] = {}
-        for batch in batches:
-            hosts, template = batch.column(3).to_pylist(), batch.column(4)
-            out = []
-            for k, page in enumerate(batch.column(2).to_pylist()):
-                if hosts[k] not in known:
-                    if len(known) > 500:
-                        known.clear()
-                    rows = template[k].as_py()
-                    known[hosts[k]] = Template({r["token"]: (r["class"], r["at"], r["n"]) for r in rows}) if rows else None
-                out.append(extract(page, known[hosts[k]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
-
-    kind = found.schema["id"].dataType.simpleString()
-    done = found.mapInArrow(work, f"id {kind}, url string, text string")
+    made = cut(templates(rows))
+    total, tokens = made.agg(F.sum("pages"), F.sum(F.size("template"))).first()
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, url string, text string"
+
+    def result(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
+
+    def template(found: list) -> Template | None:
+        return Template({t["token"]: (t["class"], t["at"], t["n"]) for t in found}) if found else None
+
+    if (tokens or 0) <= held:
+        known = spark.sparkContext.broadcast({r.host: template(r.template) for r in made.where("template is not null").toLocalIterator()})
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hosts = batch.column(3).to_pylist()
+                yield result(batch, [extract(page, known.value.get(h)) for page, h in zip(batch.column(2).to_pylist(), hosts, strict=True)])
+
+        done = rows.mapInArrow(work, schema)
+    else:
+        # Fewer than HOT hosts are larger than this.
+        hot = F.broadcast(made.where(F.col("pages") * HOT > total).select("host", F.ceil(F.col("pages") * HOT / total).cast("int").alias("parts")))
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = rows.join(hot, "host", "left").withColumn("part", F.pmod(F.xxhash64("id", "html"), parts).cast("int"))
+        copies = made.where("template is not null").join(hot, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        both = copies.select("host", "part", F.lit(0).alias("role"), "template").unionByName(
+            dealt.select("id", "url", "html", "host", "part", F.lit(1).alias("role")), allowMissingColumns=True
+        )
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, mine = None, None
+            for batch in batches:
+                hosts, roles, htmls = (batch.column(k).to_pylist() for k in (3, 4, 2))
+                pages, texts = [], []
+                for k, role in enumerate(roles):
+                    if role == 0:
+                        now, mine = hosts[k], template(batch.column(5)[k].as_py())
+                    else:
+                        pages.append(k)
+                        texts.append(extract(htmls[k], mine if hosts[k] == now else None))
+                yield result(batch.take(pa.array(pages, pa.int64())), texts)
+
+        both = both.repartition("host", "part").sortWithinPartitions("host", "part", "role")
+        done = both.select("id", "url", "html", "host", "role", "template").mapInArrow(stream, schema)
     return done.select(F.col("id").alias(id), F.col("url").alias(url), "text")

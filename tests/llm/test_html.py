@@ -1,7 +1,9 @@
 """Op 9: parsing, templates, extraction."""
 
 import html as entities
+import random
 import re
+from collections import Counter
 
 from palimpsest.llm import html
 
@@ -123,3 +125,78 @@ def test_each_layout_of_a_host_has_its_template(spark):
     bodies = [f"<div class=page-{k}>{m}<div class=body><h1>{k} {n}</h1><p>text {n} of {k}</p></div></div>" for k, m in menus.items() for n in range(5)]
     found = texts_of(spark, bodies)
     assert [found[n] for n in range(15)] == [f"{k} {n}\n\ntext {n} of {k}" for k in menus for n in range(5)]
+
+
+def test_templates_are_the_classes_of_equal_occurrence_vectors(spark):
+    rng = random.Random(3)
+    rows = []
+    for h in range(4):
+        for n in range(rng.randint(2, 14)):
+            body = "".join(f"<div class={rng.choice('abc')}><p>{rng.choice(['one', 'two', n])}</p><i>x</i></div>" for _ in range(rng.randint(0, 4)))
+            rows.append((n, f"h{h}", f"<body><ul><li>{h}</li></ul><div><h1>{n}</h1>{body}</div><b>end</b></body>"))
+    made = html.templates(spark.createDataFrame(rows, "id long, host string, html string")).collect()
+    assert {r.host: r.pages for r in made} == Counter(r[1] for r in rows)
+    for r in made:
+        pages = [html.page_tokens(page) for _, where, page in rows if where == r.host]
+        vectors, elements = {}, set()
+        for k, page in enumerate(pages):
+            for token, count, at in page:
+                vectors.setdefault(token, {})[k] = count
+                if at >= 0:
+                    elements.add(token)
+        classes = {}
+        for token, vector in vectors.items():
+            if token and len(vector) >= max(2, 0.02 * len(pages)) and (len(vector) >= 3 or len(vector) >= 0.5 * len(pages)):
+                classes.setdefault(tuple(sorted(vector.items())), set()).add(token)
+        # A token whose mean place is that of the page itself (0) is none; texts alone make no class.
+        want = {frozenset(c) for c in classes.values() if len(c) >= 3 and c & elements}
+        got = {}
+        for t in r.template or []:
+            got.setdefault(t["class"], set()).add(t.token)
+        assert {frozenset(c) for c in got.values()} == want
+
+
+def test_classes_that_cross_do_not_both_belong():
+    nodes, texts = html.parse("<a1></a1><b1></b1><a2></a2><b2></b2><a3></a3><b3>text</b3><c1></c1><c2></c2><c3>more</c3>")
+    for node in nodes[1:]:
+        node.token = html.name(node.path)
+    tokens = {n.token: (ord(n.tag[0]), i, {"a": 9, "b": 5, "c": 4}[n.tag[0]]) for i, n in enumerate(nodes) if i}
+    tokens[nodes[5].token] = (ord("a"), 5, 9)
+    texts.append((5, "in a", True))
+    good, _ = html.Template(tokens).valid(nodes, texts)
+    assert {n.tag for n in nodes if n.token in good} == {"a1", "a2", "a3", "c1", "c2", "c3"}
+    assert html.between([3, 4], [1, 2, 5]) and html.between([6], [1, 2]) and not html.between([1, 3], [2, 4])
+
+
+def test_names_drop_no_part_of_the_slot(spark):
+    parts = ("<section class='related work'><p>prior art</p></section>", "<p class='notice period'>thirty days</p>", "<div id='search'>how we searched</div>")
+    for part in parts:
+        inner = re.sub("<[^>]*>", "", part)
+        assert html.extract(page(1, f"<article><p>a</p>{part}<p>b</p></article>"), None) == f"a\n\n{inner}\n\nb"
+        found = texts_of(spark, [f"<div class=story><h1>title {n}</h1><p>text {n}</p>{part if n == 3 else ''}</div>" for n in range(6)])
+        assert found == {n: f"title {n}\n\ntext {n}" + (f"\n\n{inner}" if n == 3 else "") for n in range(6)}
+    # What stands there on every page and is named so is no part of it.
+    found = texts_of(spark, [f"<article><h1>t {n}</h1><p>text {n}</p><div class='related'><a href=/{n}>see {n + 1}</a></div></article>" for n in range(6)])
+    assert found == {n: f"t {n}\n\ntext {n}" for n in range(6)}
+
+
+def test_chrome_inside_the_slot_and_pages_without_content_elements(spark):
+    story = "<div class=story><div class=tools><span>Print</span><span>Mail</span></div><h1>t {0}</h1><p>{1}</p><div class=comments><p>me too {0}</p></div></div><div class=low>Rights</div>"
+    found = texts_of(spark, [story.format(n, f"text of {n} " * 9) for n in range(7)])
+    assert found == {n: f"t {n}\n\n" + (f"text of {n} " * 9).strip() for n in range(7)}
+
+
+def test_large_templates_and_hot_hosts(spark, monkeypatch):
+    body = "<div class=top>Site {1}</div><div class='story'><h2>Title {0}</h2><p>Words of page {0}</p></div><div class='low'>Rights</div>"
+    rows = [(n, f"http://h{n % 9 % 7 % 3}.com/{n}", page(n, body.format(n, n % 9 % 7 % 3))) for n in range(60)] + [(60 + n, f"http://lone{n}.com", page(n, f"<p>lone {n}</p>")) for n in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = sorted(map(tuple, html.main_text(df).collect()))
+    assert [t for i, _, t in want][:2] == ["Title 0\n\nWords of page 0", "Title 1\n\nWords of page 1"]
+    monkeypatch.setattr(html, "HOT", 8)
+    assert sorted(map(tuple, html.main_text(df, held=0).collect())) == want
+    assert html.main_text(df.limit(0), held=-1).count() == 0
+
+
+def test_very_long_pages():
+    long = "word " * 200_000
+    assert html.extract(f"<body><nav>no</nav><article><p>{long}</p></article></body>", None) == long.strip()
