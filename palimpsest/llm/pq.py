@@ -1,13 +1,14 @@
 """Near-duplicate embeddings by product quantisation: inverted lists, residual codes, table look-ups, exact rerank.
 
-Each vector lies in the list of its nearest coarse centroid, as codes of its residual's parts. A vector probes every list
-that a copy of it may have fallen into: those whose border it is near. Distances to a list come from tables of a probe's
-parts and the codebook; whatever they, and the error that each code is known to have, cannot rule out is compared
+Each vector lies in the list of its nearest coarse centroid, as codes of its residual's parts. A vector probes the lists
+of its nearest centroids, as many as the sample shows copies of it to need. Distances to a list come from tables of a
+probe's parts and the codebook; whatever they, and the error that each code is known to have, cannot rule out is compared
 exactly. So only the choice of lists can lose a link.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,16 +23,14 @@ from palimpsest.shipping import ship
 SIMILAR = 0.9
 #: Vectors that the quantiser is fitted on at most.
 SAMPLE = 20_000
-#: A probe goes to each list whose border with its own is nearer than this at least. A copy at cosine 0.9 lies 0.45 away,
-#: of which about 0.06 points in the direction of any one border in 64 dimensions; where vectors fill fewer dimensions it
-#: is more, so the margin is taken from the sample: what this share of its pairs needs.
-MARGIN = 0.1
-FOUND = 0.995
-#: It also goes to each list whose centre is nearer to its own list's than this: lists that share a dense group, where a
-#: copy lies in no random direction.
-CLOSE = 0.6
+#: Lists that a vector probes at least. There are more where this share of the sample's copies at the threshold (turned
+#: towards other vectors), or of its own links, would else be missed.
+PROBES = 8
+FOUND, FOUND_REAL = 0.99, 0.999
+#: Centroids nearer to each other than this share a dense group: one of them stands for it.
+CLOSE = 0.25
 #: Entries of a list that one task holds; larger lists are split and probes go to every part.
-PART = 2048
+PART = 4096
 PARTS, CODES = 16, 64
 
 
@@ -40,18 +39,19 @@ class Quantiser:
     coarse: np.ndarray
     books: list[np.ndarray]  # by part: codes x width
     edges: list[int]
-    margin: float = MARGIN
+    probes: int = 1
 
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    def far(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances to the centroids, less the vectors' own squares."""
+        return (self.coarse * self.coarse).sum(1) - 2 * x @ self.coarse.T
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Nearest list, lists to probe, codes and coding error of unit vectors."""
-        c = self.coarse
-        d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
-        own = d.argmin(1)
-        apart = np.sqrt(np.maximum(((c[own][:, None, :] - c[None]) ** 2).sum(2), 0)) if len(c) * len(x) < 200_000 else np.stack([np.sqrt(((c - c[i]) ** 2).sum(1)) for i in own])
-        border = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart + 1e-12)
-        border[np.arange(len(x)), own] = -1
-        probes = [np.flatnonzero(row).astype(np.int32) for row in (border <= self.margin) | (apart <= CLOSE)]
-        rest = x - c[own]
+        d = self.far(x)
+        own, n = d.argmin(1), min(self.probes, len(self.coarse))
+        d[np.arange(len(x)), own] = -np.inf
+        probes = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(self.coarse) else np.tile(np.arange(n), (len(x), 1))
+        rest = x - self.coarse[own]
         codes = np.zeros((len(x), len(self.books)), np.uint8)
         error = np.zeros(len(x))
         for k, book in enumerate(self.books):
@@ -66,7 +66,7 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        own = (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+        own = np.concatenate([(x[i : i + 2048] @ c.T - 0.5 * (c * c).sum(1)).argmax(1) for i in range(0, len(x), 2048)])
         order = np.argsort(own, kind="stable")
         starts = np.searchsorted(own[order], np.arange(k))
         n = np.bincount(own, minlength=k)
@@ -75,63 +75,107 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c
 
 
-def _margin(x: np.ndarray, coarse: np.ndarray, own: np.ndarray, rng: np.random.Generator, rows: int = 4000) -> float:
-    """The margin that FOUND of the sample's links need: of its own pairs, and of copies turned towards other vectors."""
+def _spread(c: np.ndarray) -> np.ndarray:
+    """The centroids but for those closer than CLOSE to one before them."""
+    keep = np.ones(len(c), bool)
+    for i in range(len(c)):
+        if keep[i]:
+            keep[i + 1 :] &= ((c[i + 1 :] - c[i]) ** 2).sum(1) >= CLOSE**2
+    return c[keep]
+
+
+def _probes(x: np.ndarray, q: Quantiser, rng: np.random.Generator, rows: int = 4000) -> int:
+    """How many lists to probe, so that one of two vectors that link mostly probes the other's."""
 
-    def crossing(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
-        # How far the nearer of two vectors lies from the border of their lists; none where close lists are probed anyway.
-        ca, cb = coarse[la], coarse[lb]
-        apart = np.sqrt(((ca - cb) ** 2).sum(1))
-        gap = lambda v, c, o: ((v - o) ** 2).sum(1) - ((v - c) ** 2).sum(1)
-        return np.where(apart <= CLOSE, 0, np.minimum(gap(a, ca, cb), gap(b, cb, ca)) / (2 * apart + 1e-12))
+    def needs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        da, db, at = q.far(a), q.far(b), np.arange(len(a))
+        la, lb = da.argmin(1), db.argmin(1)
+        return 1 + np.minimum((da < da[at, lb][:, None]).sum(1), (db < db[at, la][:, None]).sum(1))
 
     some = rng.permutation(len(x))[:rows]
-    y = x[rng.integers(0, len(x), len(some))]
-    y = y - (y * x[some]).sum(1, keepdims=True) * x[some]
-    size = np.sqrt((y * y).sum(1))
-    at = some[size > 1e-9]
-    y = SIMILAR * x[at] + np.sqrt(1 - SIMILAR**2) * (y / np.maximum(size, 1e-9)[:, None])[size > 1e-9]
-    needs = [crossing(x[at], y, own[at], (y @ coarse.T - 0.5 * (coarse * coarse).sum(1)).argmax(1))]
-    real = []
+    copies, real = [], []
     for i in range(0, len(some), 256):
-        part = some[i : i + 256]
-        cosine = x[part] @ x.T
-        a, b = np.nonzero((cosine >= SIMILAR) & (cosine <= (1 + SIMILAR) / 2))
-        pick = rng.permutation(len(a))[:65536]
-        real.append(crossing(x[part][a[pick]], x[b[pick]], own[part][a[pick]], own[b[pick]]))
-    needs.append(np.concatenate(real))
-    # No copy at the threshold crosses by more than its distance.
-    return float(min(np.sqrt(2 - 2 * SIMILAR) + 1e-9, max(MARGIN, *(np.quantile(n, FOUND) for n in needs if len(n)))))
+        part = x[some[i : i + 256]]
+        y = x[rng.integers(0, len(x), len(part))]
+        y = y - (y * part).sum(1, keepdims=True) * part
+        size = np.sqrt((y * y).sum(1, keepdims=True))
+        turned = (SIMILAR * part + np.sqrt(1 - SIMILAR**2) * y / np.maximum(size, 1e-9))[size[:, 0] > 1e-9]
+        copies.append(needs(part[size[:, 0] > 1e-9], turned))
+        cosine = part @ x.T
+        cosine[np.arange(len(part)), some[i : i + 256]] = 0
+        a, b = np.nonzero(cosine >= SIMILAR)
+        pick = rng.permutation(len(a))[:2048]
+        real.append(needs(part[a[pick]], x[b[pick]]))
+    shares = ((np.concatenate(copies), FOUND), (np.concatenate(real), FOUND_REAL))
+    return max([PROBES, *(int(np.quantile(n, f, method="higher")) for n, f in shares if len(n))])
 
 
 def fit(x: np.ndarray, lists: int, seed: int = 5) -> Quantiser:
     """A quantiser from sampled unit vectors."""
     rng = np.random.default_rng(seed)
-    coarse = _means(x, lists, rng)
-    own = (x @ coarse.T - 0.5 * (coarse * coarse).sum(1)).argmax(1)
-    rest = x - coarse[own]
+    coarse = _spread(_means(x, lists, rng))
+    made = Quantiser(coarse, [], [])
+    rest = x - coarse[np.concatenate([made.far(x[i : i + 2048]).argmin(1) for i in range(0, len(x), 2048)])]
     parts = min(PARTS, x.shape[1])
-    edges = [i * x.shape[1] // parts for i in range(parts + 1)]
-    books = [_means(rest[:, a:b], CODES, rng) for a, b in zip(edges, edges[1:], strict=False)]
-    return Quantiser(coarse, books, edges, _margin(x, coarse, own, rng))
+    made.edges = [i * x.shape[1] // parts for i in range(parts + 1)]
+    made.books = [_means(rest[:, a:b], CODES, rng) for a, b in zip(made.edges, made.edges[1:], strict=False)]
+    made.probes = _probes(x, made, rng)
+    return made
+
+
+@dataclass
+class Index:
+    """A quantiser for each length of vectors that the sample has. Lists are numbered through all of them; those of a
+    length without a quantiser are one list, of a negative number."""
+
+    known: dict[int, tuple[int, Quantiser]]
+
+    @classmethod
+    def fit(cls, sample: list[list[float]], n: int) -> Index:
+        by: dict[int, list[list[float]]] = {}
+        for v in sample:
+            by.setdefault(len(v), []).append(v)
+        known, base = {}, 0
+        for width, rows in sorted(by.items()):
+            there = n * len(rows) / len(sample)
+            one = fit(unit(np.array(rows, np.float64)), int(max(1, min(4096, len(rows) // 8 + 1, round(2 * there**0.5)))))
+            known[width] = (base, one)
+            base += len(one.coarse)
+        return cls(known)
+
+    def of_width(self, width: int) -> tuple[int, Quantiser]:
+        if width not in self.known:
+            return -width, Quantiser(np.zeros((1, width)), [np.zeros((1, width))], [0, width])
+        return self.known[width]
+
+    def of_list(self, which: int) -> tuple[int, Quantiser]:
+        if which < 0:
+            return self.of_width(-which)
+        found = sorted(self.known.values(), key=lambda k: k[0])
+        return found[bisect_right([base for base, _ in found], which) - 1]
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1)
-    return x / np.sqrt((x * x).sum(1))[:, None]
+    return unit(np.frombuffer(b"".join(raw), kind).astype(np.float64).reshape(len(raw), -1))
 
 
 def links_within(quantiser: Quantiser, which: int, entries: dict[str, np.ndarray], probes: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (probe row, entry row) of a list at cosine SIMILAR or more: table look-up first, exact then."""
     c = quantiser.coarse[which]
     rest = probes["x"] - c
-    d = np.zeros((len(rest), len(entries["x"])), np.float64)
+    d = np.zeros((len(rest), len(entries["x"])), np.float32)
     for k, book in enumerate(quantiser.books):
         part = rest[:, quantiser.edges[k] : quantiser.edges[k + 1]]
         table = (part * part).sum(1)[:, None] - 2 * part @ book.T + (book * book).sum(1)
-        d += table[:, entries["codes"][:, k]]
-    reach = np.sqrt(2 - 2 * SIMILAR) + entries["error"] + 1e-9
-    q, e = np.nonzero(d <= reach**2)
+        d += table.astype(np.float32)[:, entries["codes"][:, k]]
+    reach = np.sqrt(2 - 2 * SIMILAR) + entries["error"]
+    q, e = np.nonzero(d <= (reach**2 + 1e-4).astype(np.float32))
     keep = probes["id"][q] != entries["id"][e]
     q, e = q[keep], e[keep]
     good = np.zeros(len(q), bool)
@@ -167,10 +211,10 @@ def _forest(q: np.ndarray, e: np.ndarray, probes: int, entries: int) -> np.ndarr
 def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """A row for each row of ``vectors``: id, n_links long, component (smallest id that links reach), kept.
 
-    Two vectors link at a cosine of 0.9 or more in double precision. Vectors that are null or zero, or hold null or
-    non-finite components, and vectors of another length than most of the sample, link with nothing. Equal vectors are
-    one entry with a weight from the start, and their copies link with each other; rows that share an id are taken to
-    be different vectors of one document. Other columns don't take part; an empty table gives an empty result.
+    Two vectors of the same length link at a cosine of 0.9 or more in double precision. Vectors that are null or zero, or
+    hold null or non-finite components, link with nothing. Equal vectors are one entry with a weight from the start, and
+    their copies link with each other; rows that share an id are taken to be different vectors of one document. Other
+    columns don't take part; an empty table gives an empty result.
 
     A list's entries are held in parts of PART; its probes stream past them. A task reports counts of links and a
     spanning forest of each block, never the pairs.
@@ -203,35 +247,32 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     seen = sorted((r.id, r.v) for r in picked.collect())
     if n < 2 or not seen:
         return done(None, None)
-    lengths = [len(v) for _, v in seen]
-    dims = max(set(lengths), key=lambda d: (lengths.count(d), d))
-    x = np.array([v for _, v in seen if len(v) == dims], np.float64)
-    x /= np.sqrt((x * x).sum(1))[:, None]
-    quantiser = fit(x, int(max(1, min(4096, len(x) // 8 + 1, round(2 * n**0.5)))))
-    held = spark.sparkContext.broadcast(quantiser)
+    held = spark.sparkContext.broadcast(Index.fit([v for _, v in seen], n))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "w", "x", "own", "probes", "codes", "error"]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
-                raw = [r.tobytes() for r in flat.reshape(batch.num_rows, -1)]
-                own, probes, codes, error = held.value.place(_unit(raw, kind))
-                sizes = np.concatenate([[0], np.cumsum([len(p) for p in probes])])
-                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(probes)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(raw, pa.binary()), pa.array(own.astype(np.int32)), lists, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
-                    names=["id", "w", "x", "own", "probes", "codes", "error"],
-                )
+                some = whole.slice(at, 256)
+                widths = np.diff(some.column(1).offsets.to_numpy())
+                for width in np.unique(widths):
+                    batch = some.take(pa.array(np.flatnonzero(widths == width)))
+                    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
+                    raw = [r.tobytes() for r in flat.reshape(batch.num_rows, -1)]
+                    base, quantiser = held.value.of_width(int(width))
+                    own, probes, codes, error = quantiser.place(_unit(raw, kind))
+                    sizes = np.arange(len(own) + 1) * probes.shape[1]
+                    lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array((base + probes).astype(np.int32).ravel()))
+                    columns = [pa.array(raw, pa.binary()), pa.array((base + own).astype(np.int32)), lists, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
 
     id_kind = rows.schema["id"].dataType.simpleString()
-    placed = cut(reps.where(F.size("v") == dims).mapInArrow(place, f"id {id_kind}, w long, x binary, own int, probes array<int>, codes binary, error double"))
+    placed = cut(reps.mapInArrow(place, f"id {id_kind}, w long, x binary, own int, probes array<int>, codes binary, error double"))
     parts = placed.groupBy("own").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     entries = placed.join(parts, "own").select(
         F.col("own").alias("list"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("role"), "id", "w", "x", "own", "probes", "codes", "error"
     )
-    sent = placed.select(F.explode("probes").alias("list"), "id", "w", "x", "own")
-    sent = sent.join(parts.withColumnRenamed("own", "l"), F.col("list") == F.col("l"))
+    sent = placed.select("id", "w", "x", "own", F.explode("probes").alias("list")).join(parts.withColumnRenamed("own", "list"), "list")
     sent = sent.select(
         "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "id", "w", "x", "own",
         F.lit(None).cast("array<int>").alias("probes"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"),
@@ -251,7 +292,7 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
             probes = table["probes"].combine_chunks()
             sizes = np.diff(probes.offsets.to_numpy())
             rows = np.repeat(np.arange(table.num_rows), sizes)
-            keys = rows.astype(np.int64) * len(me.coarse) + probes.flatten().to_numpy()
+            keys = (rows.astype(np.int64) << 32) + probes.flatten().to_numpy()
             return {
                 "id": table["id"].to_numpy(), "w": table["w"].to_numpy(), "x": _unit(table["x"].to_pylist(), kind),
                 "codes": np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(table.num_rows, -1),
@@ -272,18 +313,19 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
                     continue  # probes of a list without entries in this part
                 entries = entries or finish(gathered)
                 gathered = []
-                for at in range(a, b, 512):
-                    batch = whole.slice(at, min(512, b - at))
+                base, quantiser = me.of_list(group[0])
+                for at in range(a, b, 256):
+                    batch = whole.slice(at, min(256, b - at))
                     own = batch.column(6).to_numpy()
                     probes = {"id": batch.column(3).to_numpy(), "w": batch.column(4).to_numpy(), "x": _unit(batch.column(5).to_pylist(), kind)}
-                    q, e = links_within(me, group[0], entries, probes)
+                    q, e = links_within(quantiser, group[0] - base, entries, probes)
                     if not len(q):
                         continue
                     links = np.bincount(q, entries["w"][e], len(own)).astype(np.int64)
                     hit = np.flatnonzero(links)
                     yield out(probes["id"][hit], probes["id"][hit], links[hit])
                     # The other way round is found in the probe's own list if the entry probes that; else it counts here.
-                    back = ~np.isin(e * len(me.coarse) + own[q], entries["keys"])
+                    back = ~np.isin((e.astype(np.int64) << 32) + own[q], entries["keys"])
                     links = np.bincount(e[back], probes["w"][q[back]], len(entries["id"])).astype(np.int64)
                     hit = np.flatnonzero(links)
                     yield out(entries["id"][hit], entries["id"][hit], links[hit])

@@ -112,6 +112,22 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9 ELSE false END),
+reach AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, v.vec_id) AS component_id,
+  v.vec_id IS NULL OR v.vec_id = component_id AS kept
+FROM v LEFT JOIN least ON node = v.vec_id LEFT JOIN counted ON counted.a = v.vec_id
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality by rules learnt from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -173,5 +189,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
+    "op7_embeddings": OP7_SQL,
     "op10_warc": OP10_SQL,
 }

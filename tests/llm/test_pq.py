@@ -9,10 +9,11 @@ def plain(rows):
     ids = [i for i, v in rows]
     x = {}
     for i, v in rows:
-        if v is not None and len(v) == 64 and all(c is not None and np.isfinite(c) for c in v) and any(v):
+        if v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v):
             a = np.array(v, np.float64)
+            a /= np.abs(a).max()
             x[i] = a / np.linalg.norm(a)
-    links = {i: {j for j in x if i in x and j != i and x[i] @ x[j] >= 0.9} for i in ids}
+    links = {i: {j for j in x if i in x and j != i and len(x[i]) == len(x[j]) and x[i] @ x[j] >= 0.9} for i in ids}
     out = {}
     for i in ids:
         seen, todo = {i}, [i]
@@ -51,6 +52,17 @@ def test_links_and_components(spark):
         assert result(df) == plain(rows)
 
 
+def test_vectors_of_every_length_and_size(spark):
+    rng = np.random.default_rng(8)
+    rows = [(n, list(map(float, rng.normal(size=d)))) for n, d in enumerate([5] * 40 + [3] * 30 + [1] * 4)]
+    rows += [(100 + n, [2 * c for c in v]) for n, v in rows[::3]]
+    rows += [(200, [1e300, 1e300, -1e290]), (201, [3e307, 3e307, 0.0]), (202, [5e-324, 5e-324, 0.0]), (203, [1e-200, 1e-200, 1e-201])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert result(df) == plain(rows)
+    # Lengths that the sample doesn't have.
+    assert {r.vec_id: (r.n_links, r.component, r.kept) for r in pq.near_duplicates(df, sample=3).collect()} == plain(rows)
+
+
 def test_large_lists_are_split(spark, monkeypatch):
     monkeypatch.setattr(pq, "PART", 16)
     rows = data()
@@ -117,3 +129,29 @@ def test_recall_on_vectors_of_low_rank():
         a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
         sets = [set(p.tolist()) for p in probes]
         assert np.mean([own[j] in sets[i] or own[i] in sets[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]) >= 0.98
+
+
+def test_query_equals_its_sql_on_vectors_with_links(spark, tmp_path):
+    import duckdb
+    from palimpsest.llm.queries import OP7_SQL, op7_embeddings
+
+    rows = [(i, v) for i, v in data() + odd() if i < 30 or 250 < i < 330 or i >= 1000]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = duckdb.sql(f"SELECT vec_id, n_links, component_id, kept FROM ({OP7_SQL})").fetchall()
+    found = op7_embeddings(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sum(r[1] for r in want) > 500
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_recall_of_the_query_on_the_check_table(spark):
+    """Vectors with links at a size at which most lists are not probed."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding").collect()]
+    x = np.array([v for _, v in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.concatenate([((x[i : i + 1000] @ x.T) >= 0.9).sum(1) - 1 for i in range(0, len(x), 1000)])
+    q = pq.fit(x, round(2 * len(x) ** 0.5))
+    assert 8 * q.probes < len(q.coarse)
+    found = {r.vec_id: r.n_links for r in pq.near_duplicates(spark.read.parquet("/root/testdata/check_s/embeddings.parquet")).collect()}
+    got = np.array([found[i] for i, _ in rows])
+    assert links.sum() > 1000 and (got <= links).all() and got.sum() >= 0.99 * links.sum()
