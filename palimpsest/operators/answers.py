@@ -35,8 +35,8 @@ def normalise_routes(raw: DataFrame, protocols: list[str]) -> DataFrame:
 
 def normalise_route(raw: dict[str, Any], protocols: list[str]) -> dict[str, Any]:
     """``normalise_routes`` for one question on the driver."""
-    text = lambda k: str(raw.get(k) or "").strip().lower()
-    named = text("protocol") if isinstance(raw.get("protocol"), str) and text("protocol") in protocols else None
+    text = lambda k: str(raw.get(k) or "").strip(" ").lower()
+    named = raw["protocol"].lower() if isinstance(raw.get("protocol"), str) and raw["protocol"].lower() in protocols else None
     route = text("route") if text("route") in ROUTES else "vector"
     scope = text("scope") if text("scope") in SCOPES else "all"
     since = raw.get("since")
@@ -45,7 +45,7 @@ def normalise_route(raw: dict[str, Any], protocols: list[str]) -> dict[str, Any]
         "scope": "one" if named and route != "sql" else scope,
         "protocol": named,
         "source": raw.get("source") if raw.get("source") in SOURCES else None,
-        "since": since if isinstance(since, str) and re.fullmatch(r".{4}-.{5}", since) else None,
+        "since": since if isinstance(since, str) and len(since) == 10 and since[4] == "-" else None,
         "reason": str(raw.get("reason", ""))[:120],
     }
 
@@ -117,14 +117,23 @@ def embed(docs: DataFrame, embedder: Callable[[list[str]], list[list[float]]], t
     @F.pandas_udf("array<float>")
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            found = embedder(texts.fillna("").tolist())
-            if len(found) != len(texts):
-                raise ValueError("the embedder gave another number of vectors than texts")
-            yield pd.Series(found)
+            yield pd.Series(in_order(embedder(texts.fillna("").tolist()), len(texts)))
 
     return docs.withColumn(out, work(F.col(text)))
 
 
+def in_order(found: list, n: int) -> list[list[float]]:
+    """``n`` vectors in the order of their texts: as they come, or by the index that an API's items carry."""
+    if found and isinstance(found[0], dict):
+        found = sorted(found, key=lambda item: item["index"])
+        if [item["index"] for item in found] != list(range(len(found))):
+            raise ValueError("the embedder's items don't have each index once")
+        found = [item["embedding"] for item in found]
+    if len(found) != n:
+        raise ValueError("the embedder gave another number of vectors than texts")
+    return found
+
+
 def hashing_embedder(texts: list[str], dims: int = 64) -> list[list[float]]:
     """The offline embedder: signed word hashes, scaled to unit length."""
     import zlib
@@ -155,13 +164,81 @@ def recall(expected: DataFrame, retrieved: DataFrame, question: str, key: list[s
 
 def recall_summary(scores: DataFrame) -> DataFrame:
     """micro (found over expected) and macro (mean by question) recall; 0 without questions."""
-    return scores.agg(
-        (F.coalesce(F.sum("matched"), F.lit(0)) / F.greatest(F.coalesce(F.sum("expected"), F.lit(0)), F.lit(1))).alias("micro"),
-        (F.coalesce(F.sum("recall"), F.lit(0.0)) / F.greatest(F.count("*"), F.lit(1))).alias("macro"),
+    return scores.agg(*_recalls())
+
+
+def _recalls() -> list[Column]:
+    # Negative questions have no recall, and what they expect doesn't count.
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("recall").isNotNull(), F.col(c))), F.lit(0))
+    micro = total("matched") / F.greatest(total("expected"), F.lit(1))
+    return [micro.alias("micro"), (F.coalesce(F.sum("recall"), F.lit(0.0)) / F.greatest(F.count("recall"), F.lit(1))).alias("macro")]
+
+
+NEGATIVE = "negative"
+
+
+def score_questions(questions: DataFrame, expected: DataFrame, retrieved: DataFrame, gated: DataFrame, question: str, key: list[str], least: int = RELEVANT) -> DataFrame:
+    """A row for each question: question, kind, expected, matched, recall, answerable, leaked, judge_leaked, passed.
+
+    ``questions`` has question and kind; ``retrieved`` is what a search without cut-offs gave, ``gated`` what it gave with
+    them, with a judge's score of each passage (null: 0). Positive questions pass if all that is expected was retrieved,
+    and are answerable if the cut-offs leave anything. Negative ones pass if no passage that the cut-offs leave (leaked)
+    is relevant to the judge (judge_leaked).
+    """
+    found = recall(expected, retrieved, question, key)
+    left = gated.groupBy(question).agg(F.count("*").alias("leaked"), F.count_if(F.coalesce("score", F.lit(0)) >= least).alias("judge_leaked"))
+    none, negative = F.lit(0).cast("long"), F.col("kind") == NEGATIVE
+    rows = questions.select(question, "kind").join(found, question, "left").join(left, question, "left")
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("expected", "matched", "leaked", "judge_leaked")})
+    return rows.select(
+        question,
+        "kind",
+        "expected",
+        "matched",
+        F.when(~negative, F.coalesce("recall", F.lit(0.0))).alias("recall"),
+        F.when(~negative, F.col("leaked") > 0).alias("answerable"),
+        "leaked",
+        "judge_leaked",
+        F.when(negative, F.col("judge_leaked") == 0).otherwise(F.col("matched") == F.col("expected")).alias("passed"),
     )
 
 
+def evaluation(scored: DataFrame) -> DataFrame:
+    """One row over ``score_questions``: micro, macro, positives, survived (answerable), negatives, clean (no relevant
+    passage) and prefilter_clean (none past the cut-offs)."""
+    negative = F.col("kind") == NEGATIVE
+    return scored.agg(
+        *_recalls(),
+        F.count_if(~negative).alias("positives"),
+        F.count_if(F.coalesce("answerable", F.lit(False))).alias("survived"),
+        F.count_if(negative).alias("negatives"),
+        F.count_if(negative & F.col("passed")).alias("clean"),
+        F.count_if(negative & (F.col("leaked") == 0)).alias("prefilter_clean"),
+    )
+
+
+def recall_by_kind(scored: DataFrame) -> DataFrame:
+    """Mean recall and the number of questions of every kind but the negative."""
+    return scored.where(F.col("kind") != NEGATIVE).groupBy("kind").agg(F.avg("recall").alias("recall"), F.count("*").alias("questions"))
+
+
 def routing_accuracy(scored: DataFrame, got: str = "got_route", expected: str = "expected_route") -> DataFrame:
     """Accuracy by expected route, and overall in the row whose route is null."""
     ok = F.avg(F.col(got).eqNullSafe(F.col(expected)).cast("double"))
     return scored.groupingSets([[F.col(expected)], []], F.col(expected)).agg(F.count("*").alias("questions"), ok.alias("accuracy"))
+
+
+def scope_accuracy(scored: DataFrame, got: str = "got_scope", expected: str = "expected_scope") -> DataFrame:
+    """The same by scope, over the questions that expect one."""
+    return routing_accuracy(scored.where(F.col(expected).isNotNull()), got, expected)
+
+
+def resolve_labels(rows: DataFrame, labels: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` with ``columns`` of their label and resolved boolean; labels are one for each key."""
+    known = labels.select(*key, *columns, F.lit(True).alias("resolved"))
+    return rows.join(known, key, "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+
+
+def unresolved(resolved: DataFrame) -> DataFrame:
+    """One row: rows and how many of them have no label."""
+    return resolved.agg(F.count("*").alias("rows"), F.count_if(~F.col("resolved")).alias("unresolved"))

@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +20,7 @@ from palimpsest.shipping import ship
 TARGET, OVERLAP, LEAST = 400, 80, 12
 
 # Fixed value: a heading line.
-HEADING = re.compile(r"^(#{1,6})\s+(.+)$", re.MULTILINE)
+HEADING, BARE = re.compile(r"(#{1,6})\s+(.+)"), re.compile(r"#{1,6}\s*")
 
 CHUNK = "chunk_index int, heading string, chunk string, tokens int, body_tokens int"
 
@@ -39,14 +40,22 @@ def sections(text: str) -> list[tuple[str | None, str]]:
 
     A text that is one heading and nothing else is kept whole, without the leading signs.
     """
-    found = list(HEADING.finditer(text))
-    if not found:
+    parts: list[tuple[str | None, list[str]]] = [(None, [])]
+    lines = deque(text.split("\n"))
+    while lines:
+        line = lines.popleft()
+        # A bare sign takes the next line that isn't blank.
+        while BARE.fullmatch(line) and lines:
+            line = f"{line}\n{lines.popleft()}"
+        if heading := HEADING.fullmatch(line):
+            parts.append((heading[2].strip(), []))
+        else:
+            parts[-1][1].append(line)
+    if len(parts) == 1:
         return [(None, text)]
-    if len(found) == 1 and not text[found[0].end() :].strip():
-        return [(None, text.lstrip("# ").strip())]
-    edges = [*(m.start() for m in found), len(text)]
-    parts = [(None, text[: edges[0]]), *((m[2].strip(), text[m.end() : end]) for m, end in zip(found, edges[1:], strict=True))]
-    return [(heading, body.strip()) for heading, body in parts if body.strip()]
+    bodies = [(heading, "\n".join(lines).strip()) for heading, lines in parts]
+    kept = [(heading, body) for heading, body in bodies if body]
+    return kept if kept or len(parts) > 2 else [(None, text.lstrip("# ").strip())]
 
 
 def token_windows(text: str, tokenizer, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:
@@ -123,39 +132,39 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def native_windows(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
-    """array<string>: windows of blank-separated tokens, joined by single blanks."""
-    pieces = tokens(F.coalesce(text, F.lit("")))
+def windows_of(pieces: str, target: int = TARGET, overlap: int = OVERLAP) -> Column:
+    """array<string>: windows of the tokens in the column ``pieces``, joined by single blanks. A column and no expression,
+    as a window's lambda would work an expression out anew."""
     step = max(1, target - overlap)
-    last = F.when(F.size(pieces) > target, F.ceil((F.size(pieces) - target) / step) * step).otherwise(0).cast("int")
-    return F.when(F.size(pieces) == 0, F.array().cast("array<string>")).otherwise(
+    size = F.size(pieces)
+    last = F.when(size > target, F.ceil((size - target) / step) * step).otherwise(0).cast("int")
+    return F.when(size == 0, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda at: F.array_join(F.slice(pieces, at + 1, target), " "))
     )
 
 
-def fold_short(pieces: Column, least: int = LEAST) -> Column:
-    """array<string>: every piece of fewer than ``least`` tokens joins the one before it; the first never does."""
-    empty = F.array().cast("array<string>")
-    return F.aggregate(
-        pieces,
-        empty,
-        lambda done, p: F.when(
-            (F.size(done) > 0) & (token_count(p) < least),
-            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws("\n\n", F.try_element_at(done, F.lit(-1)), p))),
-        ).otherwise(F.concat(done, F.array(p))),
+def fold_short(pieces: str, least: int = LEAST) -> Column:
+    """array<string>: every piece, of the column ``pieces``, of fewer than ``least`` tokens joins the one before it; the
+    first never does. So a piece that doesn't join begins a run, and runs are cut by their beginnings."""
+    begins = F.filter(F.transform(pieces, lambda p, i: F.when((i == 0) | (token_count(p) >= least), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(begins, 2, F.size(pieces)), F.array(F.size(pieces)))
+    runs = F.arrays_zip(begins.alias("a"), ends.alias("z"))
+    return F.when(F.size(pieces) == 0, F.array().cast("array<string>")).otherwise(
+        F.transform(runs, lambda r: F.array_join(F.slice(pieces, r["a"] + 1, r["z"] - r["a"]), "\n\n"))
     )
 
 
 def chunks_native(docs: DataFrame, text: str, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """``docs`` exploded into windows: chunk_index int, chunk string."""
-    return docs.select("*", F.posexplode(native_windows(F.col(text), target, overlap)).alias("chunk_index", "chunk"))
+    """``docs`` exploded into windows: chunk_index int, chunk string. Linear in the text: it is cut into tokens once."""
+    cut = docs.withColumn("__t", tokens(F.coalesce(text, F.lit(""))))
+    return cut.select(*docs.columns, F.posexplode(windows_of("__t", target, overlap)).alias("chunk_index", "chunk"))
 
 
 def greedy_batches(df: DataFrame, weight: str, order: list[str], most_rows: int = 128, most_weight: int = 100_000) -> DataFrame:
     """``df`` with batch long: rows in order, a new batch when the next would pass either bound.
 
     The state resets at every batch, so this is one pass over one ordered stream: for lists that a single client will
-    send anyway. Only weight and order columns travel to it.
+    send anyway. Only ``df``'s columns travel to that task, through a shuffle, so that what makes them stays parallel.
     """
     ship(df.sparkSession)
 
@@ -171,11 +180,11 @@ def greedy_batches(df: DataFrame, weight: str, order: list[str], most_rows: int
                 out.append(batch)
             yield pdf.assign(batch=out)
 
-    return df.coalesce(1).sortWithinPartitions(*order).mapInPandas(work, _with(df, "batch long"))
+    return df.repartition(1).sortWithinPartitions(*order).mapInPandas(work, _with(df, "batch long"))
 
 
 def _with(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), more])
 
 
-__all__ = ["chunk", "chunk_documents", "chunk_titled", "chunks_native", "fold_short", "greedy_batches", "native_sections", "native_windows", "prefixed", "sections", "token_windows"]
+__all__ = ["chunk", "chunk_documents", "chunk_titled", "chunks_native", "fold_short", "greedy_batches", "native_sections", "prefixed", "sections", "token_windows", "windows_of"]

@@ -10,10 +10,10 @@ def first_observations(observations: DataFrame, keys: list[str], record: str = "
     """One row for each entity and record: its first observation, or with ``keep='last'`` its last.
 
     A state that returns after another is the same record and so isn't seen again. ``observed`` always is the first time.
-    Ties break by all other columns. One shuffle, on keys and record, after a partial aggregate.
+    Ties break by a hash of all other columns. One shuffle, on keys and record, after a partial aggregate.
     """
     rest = [c for c in observations.columns if c not in (*keys, record)]
-    order = F.struct(F.col(observed), *(F.to_json(F.struct(c)) for c in rest if c != observed))
+    order = F.struct(F.col(observed), F.xxhash64(*rest))
     pick = (F.min_by if keep == "first" else F.max_by)(F.struct(*rest), order).alias("__row")
     found = observations.groupBy(*keys, record).agg(pick, F.min(observed).alias("__seen"))
     return found.select(*((F.col(c) if c in (*keys, record) else F.col("__seen").alias(c) if c == observed else F.col(f"__row.{c}").alias(c)) for c in observations.columns))

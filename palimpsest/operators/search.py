@@ -16,26 +16,29 @@ from palimpsest.shipping import ship
 K, MAX_DISTANCE, MIN_GAP, EXEMPT, PER_DOCUMENT = 5, 0.48, 0.025, 0.42, 1
 #: Rows fetched for each one wanted when documents are capped, and the window of the gate.
 FETCH, GATE_WINDOW = 4, 10
-DIGITS = 6
 #: Queries of one matrix product, and about how many rows each part of the vectors has where many blocks meet them.
 BLOCK, PART = 4096, 4096
 
 
-def filtered(vectors: DataFrame, protocol: str | None = None, source: str | None = None, as_of: Column | None = None, **equal: object) -> DataFrame:
-    """Rows a search may see: model, scheme and the like by equality, protocol, source, and what was valid at a time."""
-    for name, value in {"protocol_name": protocol, "source": source, **equal}.items():
+def filtered(
+    vectors: DataFrame, *, model: str | None, scheme: str | None, protocol: str | None = None, source: str | None = None, as_of: Column | None = None, **equal: object
+) -> DataFrame:
+    """Rows a search may see: those of one embedding model and one chunk scheme, as distances between others mean
+    nothing; further columns by equality, protocol, source, and what was valid at a time. ``model`` and ``scheme`` must be
+    given: None says that the table holds only one."""
+    for name, value in {"embedding_model": model, "chunk_scheme": scheme, "protocol_name": protocol, "source": source, **equal}.items():
         if value is not None:
             vectors = vectors.where(F.col(name) == F.lit(value))
     return vectors if as_of is None else vectors.where(valid_at(as_of))
 
 
 def ranked(vectors: DataFrame, query: list[float], k: int, embedding: str = "embedding", tie: str = "vec_id", unit: bool = False) -> DataFrame:
-    """The ``k`` nearest rows with distance, rounded so that order doesn't hang on the last bit; ties by ``tie``.
+    """The ``k`` nearest rows with distance; ties by ``tie``.
 
     The query is a literal, so the plan is a scan, a projection and TakeOrderedAndProject: no join and no shuffle.
     """
     q = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.withColumn("distance", F.round(cosine_distance(F.col(embedding), q, unit), DIGITS) + 0.0).orderBy("distance", tie).limit(k)
+    return vectors.withColumn("distance", cosine_distance(F.col(embedding), q, unit)).orderBy("distance", tie).limit(k)
 
 
 def capped(hits: DataFrame, k: int, per_document: int = PER_DOCUMENT, document: list[str] | None = None, tie: str = "vec_id", by: list[str] | None = None) -> DataFrame:
@@ -49,6 +52,10 @@ def capped(hits: DataFrame, k: int, per_document: int = PER_DOCUMENT, document:
     return hits.withColumn("__n", F.row_number().over(overall)).where(F.col("__n") <= k).drop("__n")
 
 
+def _flat(n: Column, best: Column, mean: Column, min_gap: float, exempt: float) -> Column:
+    return F.coalesce((n >= 2) & (best > exempt) & (mean - best < min_gap), F.lit(False))
+
+
 def flatness(hits: DataFrame, tie: str = "vec_id", by: list[str] | None = None, min_gap: float = MIN_GAP, exempt: float = EXEMPT, window: int = GATE_WINDOW) -> DataFrame:
     """Whether a profile of distances is too flat to hold an answer: by.., best, gap, flat.
 
@@ -59,18 +66,26 @@ def flatness(hits: DataFrame, tie: str = "vec_id", by: list[str] | None = None,
     w = Window.partitionBy(*by).orderBy("distance", tie) if by else Window.orderBy("distance", tie)
     head = hits.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= window)
     found = (head.groupBy(*by) if by else head.groupBy()).agg(F.count("*").alias("n"), F.min("distance").alias("best"), F.avg("distance").alias("mean"))
-    gap = F.round(F.col("mean") - F.col("best"), 9)
-    return found.select(*by, "best", gap.alias("gap"), F.coalesce((F.col("n") >= 2) & (F.col("best") > exempt) & (gap < min_gap), F.lit(False)).alias("flat"))
+    return found.select(*by, "best", (F.col("mean") - F.col("best")).alias("gap"), _flat(F.col("n"), F.col("best"), F.col("mean"), min_gap, exempt).alias("flat"))
+
+
+def gated(hits: DataFrame, tie: str = "vec_id", min_gap: float = MIN_GAP, exempt: float = EXEMPT, window: int = GATE_WINDOW) -> DataFrame:
+    """``hits``, or nothing if their profile is flat. They are a search's few rows, so one window sees them all."""
+    head = F.row_number().over(Window.orderBy("distance", tie)) <= window
+    every = Window.partitionBy(F.lit(0))
+    kept = hits.withColumn("__d", F.when(head, F.col("distance")))
+    flat = _flat(F.count("__d").over(every), F.min("__d").over(every), F.avg("__d").over(every), min_gap, exempt)
+    return kept.withColumn("__flat", flat).where(~F.col("__flat")).drop("__d", "__flat")
 
 
 def search(
     vectors: DataFrame, query: list[float], k: int = K, max_distance: float | None = MAX_DISTANCE, min_gap: float | None = MIN_GAP,
     per_document: int | None = PER_DOCUMENT, document: list[str] | None = None, embedding: str = "embedding", tie: str = "vec_id", **filters: object,
 ) -> DataFrame:
-    """Filters, the nearest rows, the gate on the raw profile, the cap, the ceiling: in this order. Lazy throughout."""
+    """Filters, the nearest rows, the gate on the raw profile, the cap, the ceiling: in this order. Lazy, and one scan."""
     hits = ranked(filtered(vectors, **filters), query, k * FETCH if per_document else k, embedding, tie)
     if min_gap is not None:
-        hits = hits.crossJoin(F.broadcast(flatness(hits, tie, min_gap=min_gap).select("flat"))).where(~F.col("flat")).drop("flat")
+        hits = gated(hits, tie, min_gap)
     if per_document:
         hits = capped(hits, k, per_document, document, tie)
     return hits if max_distance is None else hits.where(F.col("distance") <= max_distance)
@@ -92,7 +107,7 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, embedding: str =
         return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
 
     def best_of(pdf: pd.DataFrame, ids: list, q: np.ndarray) -> Iterator[pd.DataFrame]:
-        d = np.round(1 - q @ unit(np.stack(pdf[embedding].to_numpy()).astype(np.float64)).T, DIGITS) + 0.0
+        d = 1 - q @ unit(np.stack(pdf[embedding].to_numpy()).astype(np.float64)).T
         ties = pdf[tie].to_numpy()
         for i, row in enumerate(d):
             best = np.lexsort((ties, row))[:k]
@@ -133,12 +148,17 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, embedding: str =
     return best.where(F.col("rank") <= k).select(query, "rank", "distance", *kept)
 
 
-def fan_out(vectors: DataFrame, query: list[float], group: str, k: int = 8, embedding: str = "embedding", tie: str = "vec_id") -> DataFrame:
-    """The ``k`` nearest rows of every group, merged by distance: one scan and one window instead of a search each."""
+def fan_out(
+    vectors: DataFrame, query: list[float], group: str, k: int = 8, per_document: int | None = PER_DOCUMENT, document: list[str] | None = None,
+    embedding: str = "embedding", tie: str = "vec_id",
+) -> DataFrame:
+    """A search of every group, merged: its nearest rows, at most ``per_document`` of a document, then ``k``. One scan and
+    one window instead of a search each."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    near = vectors.withColumn("distance", F.round(cosine_distance(F.col(embedding), q), DIGITS) + 0.0)
+    near = vectors.withColumn("distance", cosine_distance(F.col(embedding), q))
     w = Window.partitionBy(group).orderBy("distance", tie)
-    return near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).drop("__n")
+    near = near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= (k * FETCH if per_document else k)).drop("__n")
+    return capped(near, k, per_document, document, tie, [group]) if per_document else near
 
 
 def empty_groups(dimension: DataFrame, hits: DataFrame, on: str) -> DataFrame:

@@ -13,7 +13,8 @@ from palimpsest.operators import answers
 from palimpsest.operators.search import empty_groups, fan_out, filtered, narrowed, search
 from palimpsest.plans.templates import TemplateError, Templates
 
-CITED = r"^c\d+$"
+#: What the offline embedder's vectors are stored under, and the hits of each protocol when all are asked.
+MODEL, SCHEME, FAN_OUT = "hashing", "v2", 8
 
 
 @dataclass
@@ -41,7 +42,8 @@ def offline_writer(question: str, passages: list[dict[str, Any]], rows: list[dic
 
 @dataclass
 class Assistant:
-    """One question at a time. ``vectors`` has source, document_id, protocol_name, chunk_index, chunk, embedding, chunk_id."""
+    """One question at a time. ``vectors`` has source, document_id, protocol_name, chunk_index, chunk, embedding,
+    chunk_id, embedding_model and chunk_scheme; only those of ``model`` and ``scheme`` are searched."""
 
     spark: SparkSession
     vectors: DataFrame
@@ -51,16 +53,19 @@ class Assistant:
     router: Callable[[str, list[str]], dict[str, Any]] = offline_router
     judge: Callable[[list[str], list[str]], list[int]] = answers.overlap_judge
     writer: Callable[[str, list[dict[str, Any]], list[dict[str, Any]]], str] = offline_writer
+    model: str = MODEL
+    scheme: str = SCHEME
 
     def retrieve(self, question: str, plan: dict[str, Any]) -> tuple[DataFrame, list[str]]:
         """Hits without cut-offs, and the protocols that have none if all were asked."""
         query = self.embedder([question])[0]
         if plan["scope"] == "all" and not plan["protocol"]:
-            hits = fan_out(filtered(self.vectors, source=plan["source"]), query, "protocol_name", 8, tie="chunk_id")
+            seen = filtered(self.vectors, model=self.model, scheme=self.scheme, source=plan["source"])
+            hits = fan_out(seen, query, "protocol_name", FAN_OUT, tie="chunk_id")
             missing = [r[0] for r in empty_groups(self.dimension.select("protocol_name"), hits, "protocol_name").collect()]
             return hits, sorted(missing)
         k = answers.wanted(plan["route"], plan["scope"])
-        hits = search(self.vectors, query, k, None, None, tie="chunk_id", document=["source", "document_id"], protocol=plan["protocol"], source=plan["source"])
+        hits = search(self.vectors, query, k, None, None, tie="chunk_id", model=self.model, scheme=self.scheme, protocol=plan["protocol"], source=plan["source"])
         return hits, []
 
     def structured(self, raw: dict[str, Any]) -> tuple[DataFrame | None, str]:

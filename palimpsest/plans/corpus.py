@@ -70,3 +70,13 @@ def check_cost(chunks: DataFrame, ceiling: float = CEILING, price: float = PRICE
     if cost > ceiling:
         raise CostError(f"{cost:.4f} is more than the ceiling of {ceiling:.4f}")
     return cost
+
+
+def incomplete(vectors: DataFrame) -> DataFrame:
+    """Stored chunks that lack what a citation shows: their title or their document's date."""
+    return vectors.where(F.col("title").isNull() | F.col("document_date").isNull())
+
+
+def completeness(vectors: DataFrame) -> DataFrame:
+    """One row: chunks, and how many of them are incomplete."""
+    return vectors.agg(F.count("*").alias("chunks"), F.count_if(F.col("title").isNull() | F.col("document_date").isNull()).alias("incomplete"))

@@ -1,4 +1,4 @@
-"""The whole run: objects to versions to chunks to vectors, each step skipping what is already there."""
+"""The whole run: harvest to objects to versions to chunks to vectors, each step skipping what is already there."""
 
 from __future__ import annotations
 
@@ -8,10 +8,29 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.identity import VOLATILE, json_hash, object_key
 from palimpsest.operators.answers import embed, hashing_embedder
 from palimpsest.operators.upsert import VersionedTable
 from palimpsest.plans import corpus, silver
-from palimpsest.sources.objects import protocols, scan_proposals, scan_topics
+from palimpsest.sources.objects import protocols, scan_proposals, scan_topics, write_manifest, write_objects
+from palimpsest.sources.paged import OBJECTS, Transport, proposal_objects, read_paged, topic_objects
+
+
+def harvest(spark: SparkSession, transport: Transport, path: str, run: str, names: list[str] | None = None, proposals: int = 100, topics: int = 30, per_minute: float = 60.0) -> dict[str, Any]:
+    """Fetch every protocol's proposals and topics (all, or those of ``names``) into content-addressed objects under
+    ``path``: snapshot/space=.../ and discourse/space=.../. Counts by source; they also go into a manifest of the run."""
+    known = protocols(spark, names)
+    report: dict[str, Any] = {}
+    for source, column, fetch, volatile in (
+        ("snapshot", "snapshot_space", proposal_objects(transport, proposals, per_minute), ()),
+        ("discourse", "discourse_host", topic_objects(transport, topics, per_minute), VOLATILE),
+    ):
+        spaces = [r[0] for r in known.select(column).collect()]
+        found = json_hash(read_paged(spark, spaces, fetch, OBJECTS), "payload", volatile)
+        keyed = found.withColumn("key", object_key(F.lit(source), F.col("space_key"), F.col("id"), F.col("hash")))
+        report[source] = write_objects(keyed, path)
+    write_manifest(spark, path, run, report)
+    return report
 
 
 def run(

@@ -32,30 +32,32 @@ def _number(c: str) -> Column:
 
 
 def proposals(raw: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Proposal observations: typed columns, content_hash over title and body, record_hash over what makes a version."""
+    """Proposal observations: typed columns, content_hash over title and body, record_hash over what makes a version. The
+    space is that of the object's path, of its payload where the path has none."""
     df = raw.select(
         F.col("id").alias("proposal_id"),
-        F.coalesce("space.id", "space_key").alias("snapshot_space"),
-        F.col("ipfs").alias("ipfs_hash"),
+        F.coalesce(F.nullif("space_key", F.lit("")), "space.id").alias("space_id"),
+        F.lit("snapshot").alias("source"),
         "title",
         "body",
         F.col("discussion").alias("discussion_url"),
         F.col("state").alias("proposal_state"),
         F.col("type").alias("proposal_type"),
         "author",
-        F.timestamp_seconds("start").alias("voting_start"),
-        F.timestamp_seconds("end").alias("voting_end"),
-        F.timestamp_seconds("created").alias("proposal_created"),
+        F.col("ipfs").alias("ipfs_cid"),
+        "link",
         "quorum",
-        "scores",
         "scores_total",
         F.col("votes").alias("vote_count"),
         "choices",
-        "link",
+        "scores",
+        F.timestamp_seconds("start").alias("voting_start"),
+        F.timestamp_seconds("end").alias("voting_end"),
+        F.timestamp_seconds("created").alias("proposal_created"),
         "source_key",
         "observed_at",
     )
-    df = with_protocol(df, dimension, "snapshot_space", "snapshot_space").where("protocol_name <> 'unknown'")
+    df = with_protocol(df, dimension, "space_id", "snapshot_space").where("protocol_name <> 'unknown'")
     df = df.withColumn("content_hash", digest("title", "body"))
     return df.withColumn("record_hash", digest("content_hash", "proposal_state", _number("scores_total"), F.col("vote_count").cast("string"), "discussion_url"))
 

@@ -186,17 +186,41 @@ WITH RECURSIVE lines AS (
 SELECT doc_id, CAST(len(done) AS BIGINT) AS pieces, sha256(array_to_string(done, '|')) AS folded FROM f WHERE i = len(l)
 """)
 def runt_merge(spark: SparkSession, d: str) -> DataFrame:
-    folded = chunking.fold_short(F.split("text", "\n"))
-    rows = table(spark, d, "documents").select("doc_id", folded.alias("f"))
+    lines = table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    rows = lines.select("doc_id", chunking.fold_short("lines").alias("f"))
     return rows.select("doc_id", F.size("f").cast("long").alias("pieces"), F.sha2(F.array_join("f", "|"), 256).alias("folded"))
 
 
-@query()
-def chunk_titled(spark: SparkSession, d: str) -> DataFrame:
-    rows = threads(spark, d).select("conv_id", F.lit("forum").alias("label"), F.concat(F.lit("thread "), F.col("conv_id").cast("string")).alias("title"), "body")
+CHUNKED = f"""
+WITH turns AS (SELECT conv_id, turn, role, trim(text, ' ' || chr(10)) AS body, {TOKENS.format('text')} AS n,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n]+'), lambda t: t <> '') AS w FROM conversations WHERE text <> ''),
+pieces AS (SELECT conv_id, turn, i, role, CASE WHEN n <= 400 THEN body ELSE array_to_string(w[i * 320 + 1 : i * 320 + 400], ' ') END AS piece, CASE WHEN n <= 400 THEN n ELSE len(w[i * 320 + 1 : i * 320 + 400]) END AS size
+  FROM turns, range(CASE WHEN n <= 400 THEN 1 ELSE CAST(ceil((n - 400) / 320.0) AS BIGINT) + 1 END) t(i)),
+runs AS (SELECT *, sum(CASE WHEN size >= 12 OR first THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS chunk_index
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) = 1 AS first FROM pieces))
+SELECT conv_id, CAST(chunk_index AS INTEGER) AS chunk_index, arg_min(role, (turn, i)) AS heading,
+  'Forum — thread ' || conv_id || chr(10) || chr(10) || string_agg(role || chr(10) || chr(10) || piece, chr(10) || chr(10) ORDER BY turn, i) AS chunk,
+  CAST(sum(size + 1) + 4 AS INTEGER) AS tokens, CAST(sum(size + 1) AS INTEGER) AS body_tokens FROM runs GROUP BY conv_id, chunk_index
+"""
+
+
+def titled(spark: SparkSession, d: str) -> DataFrame:
+    rows = threads(spark, d).select("conv_id", F.lit("Forum").alias("label"), F.concat(F.lit("thread "), F.col("conv_id").cast("string")).alias("title"), "body")
     return chunking.chunk_documents(rows, "label", "title", "body").select("conv_id", "chunk_index", "heading", "chunk", "tokens", "body_tokens")
 
 
+@query(CHUNKED)
+def chunk_titled(spark: SparkSession, d: str) -> DataFrame:
+    return titled(spark, d)
+
+
+@query("SELECT conv_id, 'Forum — thread ' || conv_id AS chunk, CAST(4 AS INTEGER) AS tokens, CAST(0 AS INTEGER) AS body_tokens FROM conversations GROUP BY conv_id")
+def chunk_title_only(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id").distinct()
+    rows = rows.select("conv_id", F.lit("Forum").alias("label"), F.concat(F.lit("thread "), F.col("conv_id").cast("string")).alias("title"), F.lit(" ").alias("body"))
+    return chunking.chunk_documents(rows, "label", "title", "body").select("conv_id", "chunk", "tokens", "body_tokens")
+
+
 BATCHES = """
 WITH RECURSIVE o AS (SELECT item_id, length(text) AS w, row_number() OVER (ORDER BY item_id) AS i FROM benchmark), f AS (
   SELECT item_id, w, i, CAST(0 AS BIGINT) AS batch, 1 AS n, w AS total FROM o WHERE i = 1

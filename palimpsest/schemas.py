@@ -1,60 +1,106 @@
-"""Explicit schemas: a key that no object has reads as a typed null, so nothing is ever inferred."""
+"""Explicit schemas: a key that no object has reads as a typed null, so nothing is ever inferred.
+
+Fixed values: the fields of the objects and the columns of both version tables, with their types and in their order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
-
-
-def _of(**groups: str) -> dict[str, T.DataType]:
-    """Types by name: ``kind='name name ..'``."""
-    return {n: _KINDS[k] for k, names in groups.items() for n in names.split()}
+STRING, INT, LONG, DOUBLE, BOOLEAN, TIMESTAMP = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
 
 
-def _struct(order: str, kinds: dict[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(n, kinds[n]) for n in order.split()])
+def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(*f) for f in fields])
 
 
-_STRINGS, _DOUBLES = T.ArrayType(T.StringType()), T.ArrayType(T.DoubleType())
-
-_PROPOSAL = _of(string="id ipfs title body discussion state type author link", long="start end created votes", double="quorum scores_total")
 PROPOSAL = _struct(
-    "id ipfs title body discussion state type start end created author quorum scores scores_total votes choices link space",
-    _PROPOSAL | {"scores": _DOUBLES, "choices": _STRINGS, "space": _struct("id name", _of(string="id name"))},
+    ("id", STRING),
+    ("ipfs", STRING),
+    ("title", STRING),
+    ("body", STRING),
+    ("discussion", STRING),
+    ("state", STRING),
+    ("type", STRING),
+    ("start", LONG),
+    ("end", LONG),
+    ("created", LONG),
+    ("author", STRING),
+    ("quorum", DOUBLE),
+    ("scores", T.ArrayType(DOUBLE)),
+    ("scores_total", DOUBLE),
+    ("votes", LONG),
+    ("choices", T.ArrayType(STRING)),
+    ("link", STRING),
+    ("space", _struct(("id", STRING), ("name", STRING))),
 )
 
-_POST = _struct(
-    "id post_number username cooked created_at updated_at reply_count",
-    _of(long="id", int="post_number reply_count", string="username cooked created_at updated_at"),
+POST = _struct(
+    ("id", LONG),
+    ("post_number", INT),
+    ("username", STRING),
+    ("cooked", STRING),
+    ("created_at", STRING),
+    ("updated_at", STRING),
+    ("reply_count", INT),
 )
-_STREAM = T.StructType([T.StructField("posts", T.ArrayType(_POST))])
-TOPIC = _struct("id title slug post_stream", _of(long="id", string="title slug") | {"post_stream": _STREAM})
 
-_VERSION = _of(string="content_hash record_hash source_key", timestamp="observed_at valid_from valid_to", boolean="is_current")
-_TAIL = "content_hash record_hash source_key observed_at valid_from valid_to is_current"
+TOPIC = _struct(
+    ("id", LONG),
+    ("title", STRING),
+    ("slug", STRING),
+    ("post_stream", _struct(("posts", T.ArrayType(POST)))),
+)
 
 PROPOSAL_VERSIONS = _struct(
-    "proposal_id protocol_name snapshot_space ipfs_hash title body discussion_url proposal_state proposal_type author voting_start "
-    "voting_end proposal_created quorum scores scores_total vote_count choices link " + _TAIL,
-    _of(
-        string="proposal_id protocol_name snapshot_space ipfs_hash title body discussion_url proposal_state proposal_type author link",
-        timestamp="voting_start voting_end proposal_created",
-        double="quorum scores_total",
-        long="vote_count",
-    )
-    | {"scores": _DOUBLES, "choices": _STRINGS}
-    | _VERSION,
+    ("proposal_id", STRING),
+    ("protocol_name", STRING),
+    ("space_id", STRING),
+    ("source", STRING),
+    ("record_hash", STRING),
+    ("content_hash", STRING),
+    ("title", STRING),
+    ("body", STRING),
+    ("discussion_url", STRING),
+    ("proposal_state", STRING),
+    ("proposal_type", STRING),
+    ("author", STRING),
+    ("ipfs_cid", STRING),
+    ("link", STRING),
+    ("quorum", DOUBLE),
+    ("scores_total", DOUBLE),
+    ("vote_count", LONG),
+    ("choices", T.ArrayType(STRING)),
+    ("scores", T.ArrayType(DOUBLE)),
+    ("voting_start", TIMESTAMP),
+    ("voting_end", TIMESTAMP),
+    ("proposal_created", TIMESTAMP),
+    ("source_key", STRING),
+    ("observed_at", TIMESTAMP),
+    ("valid_from", TIMESTAMP),
+    ("valid_to", TIMESTAMP),
+    ("is_current", BOOLEAN),
 )
 
 FORUM_POSTS = _struct(
-    "forum_host protocol_name topic_id topic_title topic_slug post_id post_number username body_html body_text post_created_at "
-    "post_updated_at reply_count " + _TAIL,
-    _of(
-        string="forum_host protocol_name topic_title topic_slug username body_html body_text",
-        long="topic_id post_id",
-        int="post_number reply_count",
-        timestamp="post_created_at post_updated_at",
-    )
-    | _VERSION,
+    ("forum_host", STRING),
+    ("protocol_name", STRING),
+    ("topic_id", LONG),
+    ("post_id", LONG),
+    ("post_number", INT),
+    ("record_hash", STRING),
+    ("content_hash", STRING),
+    ("topic_title", STRING),
+    ("topic_slug", STRING),
+    ("username", STRING),
+    ("body_html", STRING),
+    ("body_text", STRING),
+    ("post_created_at", TIMESTAMP),
+    ("post_updated_at", TIMESTAMP),
+    ("reply_count", INT),
+    ("source_key", STRING),
+    ("observed_at", TIMESTAMP),
+    ("valid_from", TIMESTAMP),
+    ("valid_to", TIMESTAMP),
+    ("is_current", BOOLEAN),
 )

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import os
+import re
+import uuid
+from collections.abc import Iterable, Iterator
 from typing import Any
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.identity import space_of
 from palimpsest.schemas import PROPOSAL, TOPIC
+from palimpsest.shipping import ship
 
 # The protocols, their spaces and forums.
 PROTOCOLS = [
@@ -53,8 +59,16 @@ def scan_json_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query_files(spark: SparkSession, path: str, columns: str = "*", kind: str = "json") -> DataFrame:
-    """SQL straight over files."""
-    return spark.sql(f"select {columns} from {kind}.`{path}`")
+    """SQL straight over files. The path is quoted; ``kind`` is a format's name."""
+    if not kind.isidentifier():
+        raise ValueError(f"no format: {kind!r}")
+    quoted = path.replace("`", "``")
+    return spark.sql(f"select {columns} from {kind}.`{quoted}`")
+
+
+def map_value(entries: Column, key: str) -> Column:
+    """A value of a map by its key, null where the map or the key is missing: such as a snapshot summary's counters."""
+    return F.try_element_at(entries, F.lit(key))
 
 
 def optional(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -84,20 +98,50 @@ def put_if_absent(objects: DataFrame, known: DataFrame, key: str = "key") -> Dat
 
 
 def write_objects(objects: DataFrame, path: str, key: str = "key", payload: str = "payload") -> dict[str, int]:
-    """Write JSON text objects not yet under ``path``; how many were written and skipped.
+    """Put each JSON text at ``path``/its key unless an object is there; counts of written, skipped and errors.
 
-    Objects are lines of JSON files in one append; their key stays in the line's place as column ``key``.
+    Executors ask for each key by itself, so neither listings nor stored payloads are read, and put what is new under
+    another name first and then move it: a task that is lost and run again finds what it has written. Rows that repeat a
+    key are one object and skipped rows; those of a null key or payload are errors, as are objects that can't be written.
     """
-    spark = objects.sparkSession
-    schema = "key string, payload string"
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
-    known = spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
-    seen, put = Observation(), Observation()
-    incoming = objects.select(F.col(key).alias("key"), F.col(payload).alias("payload")).observe(seen, F.count("*").alias("n"))
-    fresh = put_if_absent(incoming, known).observe(put, F.count("*").alias("n"))
-    fresh.write.mode("append").json(path)
-    return {"written": put.get["n"], "skipped": seen.get["n"] - put.get["n"]}
+    ship(objects.sparkSession)
+    top = path.rstrip("/")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fs, base = FileSystem.from_uri(top if "://" in top else f"file://{os.path.abspath(top)}")
+            said = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    if name is None or text is None:
+                        raise ValueError("nothing to put")
+                    target = f"{base}/{name}"
+                    if fs.get_file_info(target).type != FileType.NotFound:
+                        said.append("skipped")
+                        continue
+                    folder, _, last = target.rpartition("/")
+                    fs.create_dir(folder, recursive=True)
+                    part = f"{folder}/_{last}.{uuid.uuid4().hex}"
+                    with fs.open_output_stream(part) as out:
+                        out.write(text.encode("utf-8", "replace"))
+                    fs.move(part, target)
+                    said.append("written")
+                except (OSError, ValueError):
+                    said.append("errors")
+            yield pa.RecordBatch.from_arrays([pa.array(said, pa.string())], names=["what"])
+
+    rows = objects.select(F.col(key).alias("key"), F.col(payload).alias("payload"))
+    seen = Observation()
+    one = rows.observe(seen, F.count("*").alias("n")).groupBy("key").agg(F.min("payload").alias("payload"), F.count("*").alias("n"))
+    again = Observation()
+    done = one.observe(again, F.sum(F.when(F.col("key").isNotNull(), F.col("n") - 1)).alias("n"), F.sum(F.when(F.col("key").isNull(), F.col("n") - 1)).alias("null"))
+    found = {r.what: r["count"] for r in done.select("key", "payload").mapInArrow(work, "what string").groupBy("what").count().collect()}
+    repeats = again.get
+    return {
+        "written": found.get("written", 0),
+        "skipped": found.get("skipped", 0) + (repeats["n"] or 0),
+        "errors": found.get("errors", 0) + (repeats["null"] or 0),
+    }
 
 
 def write_manifest(spark: SparkSession, path: str, run: str, body: dict[str, Any]) -> str:
@@ -117,15 +161,39 @@ def read_manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(f"{path.rstrip('/')}/_manifests")
 
 
+# Fixed value: the line that opens a table's block in a dump.
+COPY_HEADER = r"^COPY\s+(\S+)\s+\(([^)]+)\)\s+FROM\s+stdin;\s*$"
+
+
 def read_copy(spark: SparkSession, path: str, schema: str, table: str | None = None) -> DataFrame:
-    """Rows of the COPY block of a (gzipped) SQL dump: tab-separated, ``\\N`` null, backslash escapes, ended by ``\\.``.
+    """Rows of one COPY block of a (gzipped) SQL dump: tab-separated, ``\\N`` null, backslash escapes, ended by ``\\.``.
 
-    Lines of a dump that don't have the block's number of fields are not its rows. A gzipped file is one split.
+    The block is that of ``table`` (with or without its schema's name), or the first. A dump is text in order, so a file
+    is one stream: a gzipped one is one split anyway. A row with another number of fields than ``schema`` is an error.
     """
+    ship(spark)
     fields = T._parse_datatype_string(schema).fields
-    lines = spark.read.text(path)
-    parts = F.split("value", "\t")
-    rows = lines.where((F.size(parts) == len(fields)) & ~F.col("value").startswith("COPY ") & (F.col("value") != "\\.")).select(parts.alias("p"))
+    header = re.compile(COPY_HEADER)
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside, over = False, False
+        for batch in batches:
+            kept = []
+            for line in batch.column(0).to_pylist():
+                if inside:
+                    if line == "\\.":
+                        inside, over = False, table is None
+                    else:
+                        kept.append(line)
+                elif not over and (hit := header.match(line)):
+                    inside = table is None or table in (hit[1], hit[1].rpartition(".")[2])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["value"])
+
+    # Several files or splits of one: lines in the order of files and places, in one task for each read.
+    lines = spark.read.option("wholetext", "false").text(path).coalesce(1).mapInArrow(block, "value string")
+    parts = F.split("value", "\t", -1)
+    wrong = F.raise_error(F.format_string(f"a row of %d fields, not {len(fields)}", F.size("p")))
+    rows = lines.select(parts.alias("p")).select(F.when(F.size("p") == len(fields), F.col("p")).otherwise(wrong).alias("p"))
 
     def plain(c: Column) -> Column:
         text = F.replace(c, F.lit("\\\\"), F.lit("\u0001"))

@@ -7,17 +7,23 @@ runs bring their own; nothing here opens a connection by itself.
 from __future__ import annotations
 
 import base64
+import json
 import random
+import re
 import threading
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from palimpsest.shipping import ship
+
 Transport = Callable[[str, str, dict[str, Any]], tuple[int, dict[str, str], Any]]
 
 
@@ -48,13 +54,17 @@ class RateLimit:
             self.sleep(wait)
 
 
+#: Answers worth another try, and the longest wait between two.
+AGAIN, LONGEST = frozenset({429, 500, 502, 503, 504}), 60.0
+
+
 def request(transport: Transport, method: str, url: str, params: dict[str, Any], limit: RateLimit | None = None, attempts: int = 5, base: float = 1.0, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> Any:
-    """The body of a successful call. 429, 5xx and transport errors are tried again, after Retry-After or twice as long
-    each time with up to a tenth more; other 4xx fail at once."""
+    """The body of a successful call. 429, 5xx and transport errors are tried again, after Retry-After (seconds; a date
+    counts as none) or twice as long each time with up to a tenth more, a minute at most; other answers fail at once."""
     for n in range(attempts):
         if limit:
             limit.acquire()
-        wait = base * 2**n * (1 + 0.1 * jitter())
+        wait = min(base * 2**n, LONGEST) * (1 + 0.1 * jitter())
         try:
             status, headers, body = transport(method, url, params)
         except OSError as e:
@@ -63,10 +73,13 @@ def request(transport: Transport, method: str, url: str, params: dict[str, Any],
             if status < 400:
                 return body
             problem = SourceError(f"{method} {url}: {status}")
-            if status != 429 and status < 500:
+            if status not in AGAIN:
                 raise problem
             after = {k.lower(): v for k, v in headers.items()}.get("retry-after", "")
-            wait = float(after) if after.replace(".", "", 1).isdigit() else wait
+            try:
+                wait = min(float(after), LONGEST) if after else wait
+            except ValueError:
+                pass
         if n + 1 < attempts:
             sleep(wait)
     raise SourceError(f"{method} {url}: gave up after {attempts} attempts") from problem
@@ -94,11 +107,11 @@ def numbered_pages(fetch: Callable[[int], list[dict]], limit: int = 30, most: in
     """Objects of pages 0, 1 ..: ends at the limit, after ``most`` pages, or at a page with nothing new."""
     seen: set[Any] = set()
     for number in range(most):
-        fresh = [item for item in fetch(number) if item["id"] not in seen]
-        if not fresh or len(seen) >= limit:
+        fresh = [item for item in fetch(number) if item["id"] not in seen] if len(seen) < limit else []
+        if not fresh:
             return
         for item in fresh:
-            if len(seen) < limit:
+            if len(seen) < limit and item["id"] not in seen:
                 seen.add(item["id"])
                 yield item
 
@@ -111,6 +124,123 @@ def graph_query(call: Callable[[dict[str, Any]], dict], query: str, variables: d
     return answer.get("data") or {}
 
 
+# Where proposals are asked for, and the queries in the API's language.
+PROPOSALS_URL = "https://hub.snapshot.org/graphql"
+PROPOSALS_QUERY = """
+query Proposals($space: String!, $first: Int!, $createdLt: Int) {
+  proposals(first: $first, where: {space: $space, created_lt: $createdLt}, orderBy: "created", orderDirection: desc) {
+    id ipfs title body discussion state type start end created author quorum scores scores_total votes choices link
+    space { id name }
+  }
+}
+"""
+SPACE_QUERY = "query Space($id: String!) { space(id: $id) { id name about network symbol proposalsCount followersCount } }"
+
+
+@dataclass
+class ProposalClient:
+    """Proposals by space from a GraphQL API. One limiter for each client, made where the client is used."""
+
+    transport: Transport
+    per_minute: float = 60.0
+    url: str = PROPOSALS_URL
+    sleep: Callable[[float], None] = time.sleep
+    limit: RateLimit = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.limit = RateLimit(self.per_minute, sleep=self.sleep)
+
+    def ask(self, query: str, variables: dict[str, Any]) -> dict:
+        return graph_query(lambda body: request(self.transport, "POST", self.url, body, self.limit, sleep=self.sleep), query, variables)
+
+    def space(self, name: str) -> dict | None:
+        """A space's metadata, null for an unknown one."""
+        return self.ask(SPACE_QUERY, {"id": name}).get("space")
+
+    def proposals(self, space: str, limit: int = 100, page: int = 50) -> Iterator[dict]:
+        """The newest proposals of a space."""
+        fetch = lambda n, before: self.ask(PROPOSALS_QUERY, {"space": space, "first": n, "createdLt": before}).get("proposals") or []
+        return cursor_pages(fetch, limit, page)
+
+
+@dataclass
+class ForumClient:
+    """Topics of a forum from its REST API."""
+
+    host: str
+    transport: Transport
+    per_minute: float = 60.0
+    sleep: Callable[[float], None] = time.sleep
+    limit: RateLimit = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.host = re.sub(r"^https?://|/+$", "", self.host)
+        self.limit = RateLimit(self.per_minute, sleep=self.sleep)
+
+    def get(self, path: str, params: dict[str, Any] | None = None) -> dict:
+        return request(self.transport, "GET", f"https://{self.host}/{path}", params or {}, self.limit, sleep=self.sleep)
+
+    def latest(self, page: int = 0) -> list[dict]:
+        """A page of the listing: topics without posts."""
+        return (self.get("latest.json", {"page": page}).get("topic_list") or {}).get("topics") or []
+
+    def topic(self, id: int) -> dict:
+        """A topic with its first posts."""
+        return self.get(f"t/{id}.json")
+
+    def topics(self, limit: int = 30, most: int = 10) -> Iterator[dict]:
+        return numbered_pages(self.latest, limit, most)
+
+    def with_posts(self, limit: int = 30, most: int = 10) -> Iterator[dict]:
+        """Listed topics, each looked up: the listing has no posts."""
+        return (self.topic(t["id"]) for t in self.topics(limit, most))
+
+
+def sql_rows(spark: SparkSession, statement: str, **values: Any) -> list[dict[str, Any]]:
+    """Rows of a statement as dictionaries, paged to the driver by partition; ``values`` fill its ``:names``."""
+    return [r.asDict(recursive=True) for r in spark.sql(statement, args=values or None).toLocalIterator()]
+
+
+OBJECTS = "space_key string, id string, payload string"
+
+
+def proposal_objects(transport: Transport, limit: int = 100, per_minute: float = 60.0) -> Callable[[str], Iterator[dict]]:
+    """What ``read_paged`` takes to fetch a space's proposals as JSON text. Each partition has a limiter of its own."""
+
+    def fetch(space: str) -> Iterator[dict]:
+        for one in ProposalClient(transport, per_minute).proposals(space, limit):
+            yield {"id": one["id"], "payload": json.dumps(one, sort_keys=True, ensure_ascii=False)}
+
+    return fetch
+
+
+def topic_objects(transport: Transport, limit: int = 30, per_minute: float = 60.0) -> Callable[[str], Iterator[dict]]:
+    """The same for a forum's topics with their posts."""
+
+    def fetch(host: str) -> Iterator[dict]:
+        for one in ForumClient(host, transport, per_minute).with_posts(limit):
+            yield {"id": str(one["id"]), "payload": json.dumps(one, sort_keys=True, ensure_ascii=False)}
+
+    return fetch
+
+
+def with_details(topics: DataFrame, transport: Transport, host: str = "forum_host", id: str = "topic_id", per_minute: float = 60.0) -> DataFrame:
+    """Listed topics with payload string, each one's detail; a limiter for each host in each task."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clients: dict[str, ForumClient] = {}
+        for pdf in frames:
+            found = []
+            for h, i in zip(pdf[host], pdf[id], strict=True):
+                client = clients.setdefault(h, ForumClient(h, transport, per_minute))
+                found.append(json.dumps(client.topic(int(i)), sort_keys=True, ensure_ascii=False))
+            yield pdf.assign(payload=found)
+
+    ship(topics.sparkSession)
+    kinds = ", ".join(f"`{n}` {t}" for n, t in topics.dtypes)
+    return topics.repartition(host).mapInPandas(work, f"{kinds}, payload string")
+
+
 class Space(InputPartition):
     def __init__(self, name: str):
         self.name = name
@@ -145,6 +275,7 @@ class PagedSource(DataSource):
 
 def read_paged(spark: SparkSession, spaces: list[str], fetch: Callable[[str], Iterator[dict]], schema: StructType | str | None = None):
     """Objects of every space as rows, one partition each; ``fetch`` runs on the workers."""
+    ship(spark)
     spark.dataSource.register(PagedSource)
     reader = spark.read.format("paged").option("spaces", ",".join(spaces)).option("fetch", base64.b64encode(cloudpickle.dumps(fetch)).decode())
     return (reader.schema(schema) if schema is not None else reader).load()

@@ -22,17 +22,19 @@ def first_seen(stream: DataFrame, keys: list[str], record: str, observed: str, l
 def fold_into(stream: DataFrame, table: VersionedTable, log: VersionedTable, keys: list[str], checkpoint: str, record: str = "record_hash", observed: str = "observed_at") -> StreamingQuery:
     """Take what is there and stop: each batch joins the log, and the versions of touched entities are folded anew.
 
-    Late observations re-splice their entity's timeline, as folding is a pure function of the log. The log merges on
-    keys, record and time, so a batch that is replayed after a failure changes nothing.
+    Late observations re-splice their entity's timeline, as folding is a pure function of the log. The log only grows: a
+    batch adds the observations that it lacks by keys, record and time, so one that is replayed after a failure changes
+    nothing. Log and table are bucketed by entity, so a batch reads and writes the buckets of its own entities.
     """
+    log.bucket_by, table.bucket_by = keys, keys
 
     def one(batch: DataFrame, _: int) -> None:
-        log.merge(batch.dropDuplicates([*keys, record, observed]), [*keys, record, observed])
+        log.append_new(batch, [*keys, record, observed])
         if not log.versions():
             return
         touched = batch.select(*keys).distinct()
-        folded = versions(log.read().join(touched, keys, "left_semi"), keys, record, observed)
-        table.merge(folded, [*keys, record])
+        rows = log.read(buckets=log.buckets_of(touched)).join(touched, keys, "left_semi")
+        table.merge(versions(rows, keys, record, observed), [*keys, record])
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -43,19 +43,43 @@ def test_search_against_plain_ranking(spark):
 
     data = vectors(spark).collect()
     q = np.array([1.0, 3.0, 0.5])
-    dist = {r.vec_id: round(1 - float(q @ np.array(r.embedding) / np.linalg.norm(q) / np.linalg.norm(r.embedding)), 6) for r in data}
+    dist = {r.vec_id: 1 - float(q @ np.array(r.embedding) / np.linalg.norm(q) / np.linalg.norm(r.embedding)) for r in data}
     want = sorted(dist, key=lambda i: (dist[i], i))
     found = [r.vec_id for r in search.ranked(vectors(spark), list(q), 7).collect()]
     assert found == want[:7]
     narrow = [i for i in want if i % 3 == 1 and i % 2]
-    assert [r.vec_id for r in search.search(vectors(spark), list(q), 3, None, None, None, protocol="p1", source="proposal").collect()] == narrow[:3]
-    per = search.fan_out(vectors(spark), list(q), "protocol_name", 2)
+    assert [r.vec_id for r in search.search(vectors(spark), list(q), 3, None, None, None, model=None, scheme=None, protocol="p1", source="proposal").collect()] == narrow[:3]
+    per = search.fan_out(vectors(spark), list(q), "protocol_name", 2, None)
     assert {r.vec_id for r in per.collect()} == {i for k in range(3) for i in [j for j in want if j % 3 == k][:2]}
     queries = spark.createDataFrame([(1, [1.0, 3.0, 0.5]), (2, [1.0, 20.0, 0.5])], "query_id int, query_vector array<double>")
     many = search.search_many(vectors(spark), queries, 4)
     assert [r.vec_id for r in many.where("query_id = 1").orderBy("rank").collect()] == want[:4]
 
 
+def test_fan_out_caps_documents(spark):
+    rows = [(i, "a" if i < 20 else "b", "s", "one" if i < 15 else str(i), [1.0, i / 50]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, protocol_name string, source string, document_id string, embedding array<double>")
+    found = search.fan_out(df, [1.0, 0.0], "protocol_name", 3).orderBy("protocol_name", "distance").collect()
+    # Twelve rows are fetched for three, all of one document: the others of the group are never looked at.
+    assert [(r.protocol_name, r.vec_id) for r in found] == [("a", 0), ("b", 20), ("b", 21), ("b", 22)]
+    assert [r.vec_id for r in search.fan_out(df, [1.0, 0.0], "protocol_name", 3, per_document=2).where("protocol_name = 'a'").orderBy("distance").collect()] == [0, 1]
+
+
+def test_a_search_names_its_model_and_scheme(spark):
+    with pytest.raises(TypeError):
+        search.search(vectors(spark), [1.0, 0.0, 0.5])
+    two = vectors(spark).withColumns({"embedding_model": F.when(F.col("vec_id") < 15, "a").otherwise("b"), "chunk_scheme": F.lit("v2")})
+    found = search.search(two, [1.0, 0.0, 0.5], 30, None, None, None, model="b", scheme="v2")
+    assert {r.vec_id for r in found.collect()} == set(range(15, 30))
+    assert search.search(two, [1.0, 0.0, 0.5], 30, None, None, None, model="b", scheme="v1").count() == 0
+
+
+def test_a_search_scans_once(spark, tmp_path):
+    vectors(spark).write.parquet(f"{tmp_path}/v")
+    plan = search.search(spark.read.parquet(f"{tmp_path}/v"), [1.0, 0.0, 0.5], model=None, scheme=None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
 def test_no_join_for_a_single_query(spark):
     plan = search.ranked(vectors(spark), [1.0, 2.0, 3.0], 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan and "Join" not in plan
@@ -63,7 +87,7 @@ def test_no_join_for_a_single_query(spark):
 
 def test_ceiling_comes_after_the_cap(spark):
     q = [1.0, 0.0, 0.5]
-    found = search.search(vectors(spark), q, 5, max_distance=0.2, min_gap=None)
+    found = search.search(vectors(spark), q, 5, max_distance=0.2, min_gap=None, model=None, scheme=None)
     assert all(r.distance <= 0.2 for r in found.collect())
 
 
@@ -71,8 +95,8 @@ def test_a_flat_profile_gives_nothing(spark):
     same = spark.createDataFrame([(i, "s", str(i), [0.0, 1.0]) for i in range(12)], "vec_id long, source string, document_id string, embedding array<double>")
     low = search.ranked(same, [1.0, 0.3], 12)
     assert search.flatness(low).first().flat is True
-    assert search.search(same, [1.0, 0.3], 5, max_distance=None).count() == 0
-    assert search.search(same, [1.0, 0.3], 5, max_distance=None, min_gap=None).count() == 5
+    assert search.search(same, [1.0, 0.3], 5, max_distance=None, model=None, scheme=None).count() == 0
+    assert search.search(same, [1.0, 0.3], 5, max_distance=None, min_gap=None, model=None, scheme=None).count() == 5
 
 
 def test_narrowing_lets_other_sources_pass(spark):
@@ -92,6 +116,7 @@ def test_routes_on_driver_and_in_frames_agree(spark):
     raws = [
         {"route": "SQL", "scope": "all", "protocol": "Aave", "source": "forum", "since": "2024-01-01", "reason": "x" * 200},
         {"route": "search", "scope": "both", "protocol": "aave", "source": "web", "since": "last year", "reason": ""},
+        {"route": " sql ", "scope": "one", "protocol": " Aave ", "source": None, "since": "2024-01-01x", "reason": None},
         {"route": None, "scope": None, "protocol": None, "source": None, "since": None, "reason": None},
         {"route": "hybrid", "scope": "all", "protocol": "ENS", "source": "proposal", "since": "2024/01/01", "reason": "r"},
     ]
@@ -99,7 +124,8 @@ def test_routes_on_driver_and_in_frames_agree(spark):
     framed = [r.asDict() for r in answers.normalise_routes(df, ["aave", "ens"]).collect()]
     single = [answers.normalise_route({k: v for k, v in r.items() if v is not None}, ["aave", "ens"]) for r in raws]
     assert framed == single
-    assert [r["scope"] for r in single] == ["all", "one", "all", "one"]
+    assert [r["scope"] for r in single] == ["all", "one", "one", "all", "one"]
+    assert single[2]["protocol"] is None and single[2]["route"] == "sql"
 
 
 def test_recall(spark):
@@ -112,6 +138,40 @@ def test_recall(spark):
     assert answers.recall_summary(scores.limit(0)).first().micro == 0
 
 
+def test_evaluation(spark):
+    questions = spark.createDataFrame([(1, "lookup"), (2, "theme"), (3, "negative"), (4, "negative"), (5, "lookup")], "q int, kind string")
+    want = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "q int, d string")
+    got = spark.createDataFrame([(1, "a"), (2, "c"), (3, "x")], "q int, d string")
+    gated = spark.createDataFrame([(1, 0), (3, 2), (3, None), (4, 1)], "q int, score int")
+    scored = answers.score_questions(questions, want, got, gated, "q", ["d"])
+    assert sorted(map(tuple, scored.collect())) == [
+        (1, "lookup", 2, 1, 0.5, True, 1, 0, False),
+        (2, "theme", 1, 1, 1.0, False, 0, 0, True),
+        (3, "negative", 0, 0, None, None, 2, 1, False),
+        (4, "negative", 0, 0, None, None, 1, 0, True),
+        (5, "lookup", 0, 0, 0.0, False, 0, 0, True),
+    ]
+    total = answers.evaluation(scored).first()
+    assert (round(total.micro, 6), total.macro, total.positives, total.survived, total.negatives, total.clean, total.prefilter_clean) == (round(2 / 3, 6), 0.5, 3, 1, 2, 1, 0)
+    assert sorted(map(tuple, answers.recall_by_kind(scored).collect())) == [("lookup", 0.25, 2), ("theme", 1.0, 1)]
+
+
+def test_scopes_and_labels(spark):
+    rows = spark.createDataFrame([("one", "one"), ("all", "one"), ("all", None), ("all", "all")], "got_scope string, expected_scope string")
+    assert {(r.expected_scope, r.questions, r.accuracy) for r in answers.scope_accuracy(rows).collect()} == {("one", 2, 0.5), ("all", 1, 1.0), (None, 3, 2 / 3)}
+    labels = spark.createDataFrame([(1, "x")], "id int, label string")
+    joined = answers.resolve_labels(spark.createDataFrame([(1,), (2,), (3,)], "id int"), labels, ["id"], ["label"])
+    assert tuple(answers.unresolved(joined).first()) == (3, 2)
+
+
+def test_vectors_take_the_order_of_their_index():
+    items = [{"index": 1, "embedding": [1.0]}, {"index": 0, "embedding": [0.0]}]
+    assert answers.in_order(items, 2) == [[0.0], [1.0]] and answers.in_order([[3.0]], 1) == [[3.0]]
+    for wrong, n in ((items, 3), ([{"index": 2, "embedding": []}], 1), ([[1.0]], 2)):
+        with pytest.raises(ValueError):
+            answers.in_order(wrong, n)
+
+
 def test_keep_relevant_counts_missing_as_zero(spark):
     passages = spark.createDataFrame([("a",), ("b",), ("c",)], "m string")
     scores = spark.createDataFrame([("a", 2), ("b", 1)], "m string, score int")
@@ -129,7 +189,7 @@ def test_more_queries_than_one_block(spark):
     rows = data.collect()
     x = np.array([r.embedding for r in rows])
     x, q = x / np.linalg.norm(x, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
-    d = np.round(1 - q @ x.T, search.DIGITS) + 0.0
+    d = 1 - q @ x.T
     want = {(i, r + 1, int(j)) for i in range(n) for r, j in enumerate(np.lexsort((np.arange(30), d[i]))[:2])}
     found = search.search_many(data, queries, 2).collect()
     assert len(found) == 2 * n and {(r.query_id, r.rank, r.vec_id) for r in found} == want

@@ -41,21 +41,38 @@ def test_protocols(spark):
 
 
 def test_writes_are_put_if_absent(spark, tmp_path):
-    rows = [("k1", "{}"), ("k1", "{}"), ("k2", '{"a":1}')]
+    rows = [("snapshot/space=ens.eth/0x1/k1.json", '{"id": "0x1"}')] * 2 + [("snapshot/space=ens.eth/0x2/k2.json", '{"id": "0x2", "title": "é"}')]
     df = spark.createDataFrame(rows, "key string, payload string")
-    assert objects.write_objects(df, str(tmp_path / "o")) == {"written": 2, "skipped": 1}
-    assert objects.write_objects(df, str(tmp_path / "o")) == {"written": 0, "skipped": 3}
+    top = str(tmp_path / "o")
+    assert objects.write_objects(df, top) == {"written": 2, "skipped": 1, "errors": 0}
+    assert objects.write_objects(df, top) == {"written": 0, "skipped": 3, "errors": 0}
+    odd = spark.createDataFrame([(None, "{}"), (None, "{}"), ("a/b.json", None), ("snapshot/space=ens.eth/0x1/k1.json/under", "{}")], "key string, payload string")
+    assert objects.write_objects(odd, top) == {"written": 0, "skipped": 0, "errors": 4}
+    # What was put is what a scan reads.
+    found = {(r.id, r.title, r.space_key, r.source_key.rpartition("/")[2]) for r in objects.scan_proposals(spark, f"{top}/snapshot").collect()}
+    assert found == {("0x1", None, "ens.eth", "k1.json"), ("0x2", "é", "ens.eth", "k2.json")}
     path = objects.write_manifest(spark, str(tmp_path), "r1", {"written": 2})
     assert path.endswith("_manifests/r1.json")
     assert objects.read_manifests(spark, str(tmp_path), "run_id string, written int").first().written == 2
 
 
 def test_copy_block(spark, tmp_path):
-    dump = "SET x;\nCOPY t (a, b, c) FROM stdin;\n1\tx\\ty\\\\n\t\\N\n2\t\t3.5\n\\.\nSELECT 1;\n"
+    dump = "SET x;\nCOPY t (a, b, c) FROM stdin;\n1\tx\\ty\\\\n\t\\N\n2\t\t3.5\n\\.\nSELECT 1;\nCOPY public.u (a, b, c) FROM stdin;\n7\tu\t1\n\\.\n"
     with gzip.open(tmp_path / "d.sql.gz", "wt") as f:
         f.write(dump)
-    found = sorted(map(tuple, objects.read_copy(spark, str(tmp_path / "d.sql.gz"), "a int, b string, c double").collect()))
-    assert found == [(1, "x\ty\\n", None), (2, "", 3.5)]
+    read = lambda table: sorted(map(tuple, objects.read_copy(spark, str(tmp_path / "d.sql.gz"), "a int, b string, c double", table).collect()))
+    assert read(None) == read("t") == [(1, "x\ty\\n", None), (2, "", 3.5)]
+    assert read("u") == read("public.u") == [(7, "u", 1.0)]
+    assert read("nobody") == []
+    with pytest.raises(Exception, match="fields"):
+        objects.read_copy(spark, str(tmp_path / "d.sql.gz"), "a int, b string").collect()
+
+
+def test_paths_are_quoted(spark, tmp_path):
+    write(tmp_path / "odd`name/a.json", {"id": "x"})
+    assert objects.query_files(spark, f"{tmp_path}/odd`name", "id").first()[0] == "x"
+    with pytest.raises(ValueError):
+        objects.query_files(spark, "p", "id", "json`.x")
 
 
 def test_restore(spark, tmp_path):
@@ -120,6 +137,64 @@ def test_pages():
         paged.graph_query(lambda q: {"errors": ["no"]}, "q", {})
 
 
+def api(calls):
+    """A transport that plays both APIs: five proposals of each space, a listing and topics with posts."""
+
+    def call(method, url, params):
+        calls.append((method, url, params))
+        if url.endswith("/graphql"):
+            v = params["variables"]
+            if "id" in v:
+                return 200, {}, {"data": {"space": {"id": v["id"], "name": "N"} if v["id"] == "ens.eth" else None}}
+            rows = [{"id": f"{v['space']}-{n}", "title": f"t{n}", "body": "b", "created": 100 - n, "space": {"id": v["space"]}} for n in range(5)]
+            return 200, {}, {"data": {"proposals": [r for r in rows if v["createdLt"] is None or r["created"] < v["createdLt"]][: v["first"]]}}
+        if url.endswith("/latest.json"):
+            return 200, {}, {"topic_list": {"topics": [{"id": 10 * params["page"] + n, "title": "x"} for n in range(3)] if params["page"] < 2 else []}}
+        topic = int(url.rpartition("/")[2].removesuffix(".json"))
+        return 200, {}, {"id": topic, "title": "x", "views": len(calls), "post_stream": {"posts": [{"id": topic * 10, "cooked": f"<p>{topic}</p>", "reads": len(calls)}]}}
+
+    return call
+
+
+def test_clients():
+    calls = []
+    client = paged.ProposalClient(api(calls), sleep=lambda s: None)
+    assert client.space("ens.eth") == {"id": "ens.eth", "name": "N"} and client.space("nobody") is None
+    assert [p["id"] for p in client.proposals("ens.eth", 4, 2)] == [f"ens.eth-{n}" for n in range(4)]
+    assert [c[2]["variables"].get("createdLt") for c in calls[2:]] == [None, 99]
+    assert "proposals(" in calls[-1][2]["query"] and calls[-1][:2] == ("POST", paged.PROPOSALS_URL)
+    calls.clear()
+    forum = paged.ForumClient("https://f.org/", api(calls), sleep=lambda s: None)
+    assert [t["id"] for t in forum.topics(5)] == [0, 1, 2, 10, 11] and [c[1] for c in calls] == ["https://f.org/latest.json"] * 2
+    assert [t["post_stream"]["posts"][0]["id"] for t in forum.with_posts(2)] == [0, 10]
+    assert client.limit.held < client.limit.burst and forum.limit.held < forum.limit.burst  # every call took a token
+    with pytest.raises(paged.SourceError):
+        paged.ProposalClient(lambda *a: (200, {}, {"errors": ["no"]})).space("x")
+
+
+def test_waits_are_bounded_and_dates_count_as_none():
+    slept, answers = [], iter([(503, {"Retry-After": "Wed, 21 Oct 2026 07:28:00 GMT"}), (429, {"retry-after": "999"}), (502, {}), (200, {})])
+    paged.request(lambda *a: (*next(answers), "x"), "GET", "u", {}, sleep=slept.append, jitter=lambda: 0.0)
+    assert slept == [1.0, 60.0, 4.0]
+    with pytest.raises(paged.SourceError):
+        paged.request(lambda *a: (501, {}, ""), "GET", "u", {}, sleep=slept.append)
+
+
+def test_listed_topics_get_their_posts(spark):
+    listed = spark.createDataFrame([("f.org", 3), ("g.org", 4)], "forum_host string, topic_id long")
+    found = {r.topic_id: json.loads(r.payload)["post_stream"]["posts"][0]["id"] for r in paged.with_details(listed, api([])).collect()}
+    assert found == {3: 30, 4: 40}
+
+
+def test_sql_rows(spark):
+    assert paged.sql_rows(spark, "select id, :x as x from range(3) where id > :least order by id", least=0, x="q") == [{"id": 1, "x": "q"}, {"id": 2, "x": "q"}]
+
+
+def test_map_values(spark):
+    df = spark.sql("select map('total-records', '7') m union all select map() union all select null")
+    assert sorted((r[0] for r in df.select(objects.map_value(F.col("m"), "total-records")).collect()), key=str) == ["7", None, None]
+
+
 def test_paged_source(spark):
     def fetch(space):
         yield {"id": f"{space}-1", "title": "t", "created": 5}
