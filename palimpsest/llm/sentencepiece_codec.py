@@ -2,8 +2,8 @@
 
 The text is normalised by longest-prefix look-up in the model's compiled character map (a double-array trie), which
 records for every normalised byte the source byte it came from. BPE merges then cut the normalised text into pieces,
-and each piece is projected through that alignment to a byte span of the source. Where the map is empty, so that the
-alignment is one to one but for the leading dummy space, words are merged once by the library and remembered.
+and each piece is projected through that alignment to a byte span of the source. Cuts of words are remembered. Where the
+map is empty, no look-up can hit and the same alignment is worked out for all bytes at once.
 """
 
 from __future__ import annotations
@@ -100,7 +100,6 @@ class Codec:
     squeeze: bool = True
     escape: bool = True
     unk: int = 0
-    path: str = ""
     unk_surface: str = " ⁇ "
 
     #: Words remembered by one worker, and the longest remembered.
@@ -131,7 +130,6 @@ class Codec:
                 me.dummy_prefix, me.squeeze, me.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
             elif number == 5 and dict(_fields(value)).get(2):
                 raise ValueError("a denormaliser is not supported")
-        me.path = path
         me._prepare()
         return me
 
@@ -145,10 +143,13 @@ class Codec:
         self.byte_id = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         own = sorted((p for p, k in zip(self.pieces, self.kinds, strict=True) if k == USER_DEFINED), key=len, reverse=True)
         self.own = re.compile("|".join(map(re.escape, own))) if own else None
+        self.widest = max((len(p.encode()) for p in own), default=0)
         self.unused = {i for i, k in enumerate(self.kinds) if k == UNUSED}
         # No merge can cross the start of a word if no piece holds a space mark after another character.
         self.by_word = not own and not self.unused and not any(SPACE in p.lstrip(SPACE) for p in self.index)
-        self.direct = self.by_word and self.charmap is None and self.dummy_prefix and self.escape and not self.squeeze and bool(self.byte_id)
+        # Normalising changes nothing but blanks then.
+        self.plain = self.charmap is None and not own and not self.squeeze
+        self.rank = {p: cost for p, (cost, _) in self.index.items()}
         self.surface = [
             bytes([int(p[3:5], 16)])
             if k == BYTE
@@ -159,23 +160,31 @@ class Codec:
             else p.replace(SPACE, " ").encode()
             for p, k in zip(self.pieces, self.kinds, strict=True)
         ]
-        # A line break that no longer piece holds never merges either. The source bytes of a piece in texts whose spaces
-        # became marks of three bytes each:
+        # A line break that no longer piece holds never merges either.
         breaks = "" if any("\n" in p and len(p) > 1 for p in self.index) else "\n"
-        self.units = re.compile(f" +[^ {breaks}]*|\n[^ {breaks}]*" if breaks else " +[^ ]*").findall
-        self.source_len = np.array([1 if k == BYTE else len(p.encode()) - 2 * p.count(SPACE) for p, k in zip(self.pieces, self.kinds, strict=True)])
-        self.library = None
+        self.units = re.compile(f"{SPACE}+[^{SPACE}{breaks}]*|{f'{breaks}?' if breaks else ''}[^{SPACE}{breaks}]+{f'|{breaks}' if breaks else ''}").findall
         self._forget()
 
     def _forget(self) -> None:
         self.memo: dict[str, int] = {}
-        self.table = (np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64))
+        self.table = (np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64))
         self.filled = (0, 1)
 
     # Normalising
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its bytes and its end, the source byte it came from."""
+        if self.plain and text:
+            data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+            times = np.where(data == 32, len(SPACE.encode()), 1) if self.escape else np.ones(len(data), np.int64)
+            lead = [0] * (len(SPACE.encode()) if self.escape else 1) if self.dummy_prefix else []
+            where = np.concatenate([np.array(lead, np.int64), np.repeat(np.arange(len(data)), times), [len(data)]])
+            text = f" {text}" if self.dummy_prefix else text
+            return text.replace(" ", SPACE) if self.escape else text, where
+        return self.normalise_by_prefix(text)
+
+    def normalise_by_prefix(self, text: str) -> tuple[str, np.ndarray]:
+        """The same by longest-prefix look-ups: a replacement came from the first byte of what it replaces."""
         data = text.encode("utf-8", "surrogatepass")
         out, where = bytearray(), []
         mark = SPACE.encode() if self.escape else b" "
@@ -193,16 +202,17 @@ class Codec:
             where += [at] * len(mark)
         while at < end:
             size, new = self._prefix(data, at)
+            same = new == data[at : at + size]
             if self.squeeze and seen_space:
                 new = new.lstrip(b" ")
             if new:
-                for byte in new:
+                for k, byte in enumerate(new):
                     if byte == 32:
                         out += mark
                         where += [at] * len(mark)
                     else:
                         out.append(byte)
-                        where.append(at)
+                        where.append(at + k if same else at)
                 seen_space = new.endswith(b" ")
             at += size
             if not self.squeeze:
@@ -216,7 +226,7 @@ class Codec:
         return out.decode("utf-8", "replace"), np.array(where, np.int64)
 
     def _prefix(self, data: bytes, at: int) -> tuple[int, bytes]:
-        if self.own and (hit := self.own.match(data[at : at + 256].decode("utf-8", "ignore"))):
+        if self.own and (hit := self.own.match(data[at : at + self.widest].decode("utf-8", "ignore"))):
             raw = hit[0].encode()
             return len(raw), raw
         if self.charmap and (hit := self.charmap.longest(data, at)):
@@ -234,6 +244,8 @@ class Codec:
 
     def cut(self, text: str) -> list[str]:
         """The pieces that merging, best score first and leftmost among equals, leaves of normalised ``text``."""
+        if not self.own and not self.unused and len(text) <= self.WORD:
+            return self._cut_word(text)
         if self.own:
             parts, fixed, at = [], set(), 0
             for hit in self.own.finditer(text):
@@ -282,6 +294,20 @@ class Codec:
         found = [p for p in parts if p]
         return [q for p in found for q in split(p)] if self.unused else found
 
+    def _cut_word(self, text: str) -> list[str]:
+        """The same for a short text: the best of all pairs is looked for anew after each merge."""
+        parts, get, none = list(text), self.rank.get, float("inf")
+        costs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while costs and (best := min(costs)) < none:
+            i = costs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(costs):
+                costs[i] = get(parts[i] + parts[i + 1], none)
+        return parts
+
     def _ids(self, text: str) -> tuple[list[int], list[int]]:
         """Ids and the normalised bytes each covers."""
         ids, sizes = [], []
@@ -307,38 +333,16 @@ class Codec:
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids and spans of all texts, one after the other, and where each text's start (one more than texts)."""
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(self.memo) > self.REMEMBER:
             self._forget()
-        jobs: list[tuple[bool, int]] = []
-        words: list[str] = []
-        slow: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        direct = [bool(t) and self.direct and SPACE not in t for t in texts]
-        for text, quick in zip(texts, direct, strict=True):
-            if quick:
-                units = self.units(" " + text)
-                jobs.append((True, len(units)))
-                words += units
-            else:
-                slow.append(self._aligned(text))
-                jobs.append((False, 0))
-        ids, token_at = self._gather(self._places(words))
-        lens = self.source_len[ids]
-        at, k = 0, 0
-        for direct, n in jobs:
-            if direct:
-                lo, hi = int(token_at[at]), int(token_at[at + n])
-                ends = np.cumsum(lens[lo:hi]) - 1
-                parts.append((ids[lo:hi], np.maximum(ends - lens[lo:hi], 0), np.maximum(ends, 0)))
-                at += n
-            else:
-                parts.append(slow[k])
-                k += 1
-        where = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int64)
-        if not parts:
-            empty = np.zeros(0, np.int32)
-            return empty, empty, empty, where
-        return (*(np.concatenate([p[k] for p in parts]).astype(np.int32) for k in range(3)), where)
+        aligned = [self.normalise(t) for t in texts]
+        units = [(self.units(normal) if self.by_word else [normal]) if normal else [] for normal, _ in aligned]
+        ids, sizes, token_at = self._gather(self._places([w for own in units for w in own]))
+        starts = token_at[np.concatenate([[0], np.cumsum([len(u) for u in units], dtype=np.int64)])]
+        # Each text's alignment has one entry more than its normalised bytes, that of its end.
+        where = np.concatenate([w for _, w in aligned]) if aligned else np.zeros(0, np.int64)
+        ends = np.cumsum(sizes, dtype=np.int64) + np.repeat(np.arange(len(texts)), np.diff(starts))
+        return ids, where[ends - sizes].astype(np.int32), where[ends].astype(np.int32), starts
 
     def _places(self, words: list[str]) -> np.ndarray:
         """The place of every word in the tables; new ones are merged and added."""
@@ -346,48 +350,28 @@ class Codec:
         found = list(map(known.get, words))
         if None not in found:
             return np.array(found, np.int64)
-        if self.library is None:
-            import sentencepiece
-
-            self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)
         fresh = list(dict.fromkeys(w for w, k in zip(words, found, strict=True) if k is None))
-        # The library puts a space before what it is given: words start with one, and before a line break it is a
-        # piece of its own.
-        cut = [a if w[0] == " " else a[1:] for w, a in zip(fresh, self.library.encode([w[1:] if w[0] == " " else w for w in fresh], num_threads=1), strict=True)]
-        for i, w in enumerate(fresh):
-            if not cut[i]:
-                cut[i] = self._ids(w.replace(" ", SPACE))[0]
+        cut = [self._ids(w) for w in fresh]
         n, m = self.filled
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat = np.fromiter((i for a in cut for i in a), np.int32, int(sizes.sum()))
-        ids, starts = (_room(t, k) for t, k in zip(self.table, (n + len(flat), m + len(cut)), strict=True))
-        ids[n : n + len(flat)] = flat
-        starts[m : m + len(cut)] = n + np.cumsum(sizes)
-        self.table, self.filled = (ids, starts), (n + len(flat), m + len(cut))
+        count = np.fromiter((len(a) for a, _ in cut), np.int64, len(cut))
+        total = int(count.sum())
+        ids, sizes, starts = (_room(t, k) for t, k in zip(self.table, (n + total, n + total, m + len(cut)), strict=True))
+        ids[n : n + total] = np.fromiter((i for a, _ in cut for i in a), np.int32, total)
+        sizes[n : n + total] = np.fromiter((i for _, a in cut for i in a), np.int32, total)
+        starts[m : m + len(cut)] = n + np.cumsum(count)
+        self.table, self.filled = (ids, sizes, starts), (n + total, m + len(cut))
         now = dict(zip(fresh, range(m - 1, m - 1 + len(fresh)), strict=True))
         places = [now[w] if k is None else k for w, k in zip(words, found, strict=True)]
         known.update((w, k) for w, k in now.items() if len(w) <= self.WORD)
         return np.array(places, np.int64)
 
-    def _gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, starts = self.table
+    def _gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and normalised bytes of all pieces, and where each word's start (one more than words)."""
+        ids, sizes, starts = self.table
         count = starts[words + 1] - starts[words]
-        token_at = np.concatenate([[0], np.cumsum(count)])
-        return ids[np.arange(token_at[-1]) + np.repeat(starts[words] - token_at[:-1], count)], token_at
-
-    def _aligned(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        normal, where = self.normalise(text)
-        if not normal:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        ids: list[int] = []
-        sizes: list[int] = []
-        for unit in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", normal) if self.by_word else [normal]:
-            a, b = self._ids(unit)
-            ids += a
-            sizes += b
-        ends = np.cumsum(sizes)
-        return np.array(ids), where[ends - np.array(sizes)], where[ends]
+        token_at = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        at = np.arange(token_at[-1]) + np.repeat(starts[words] - token_at[:-1], count)
+        return ids[at], sizes[at], token_at
 
     # Decoding
 

@@ -33,18 +33,57 @@ def test_ids_and_decoding_are_the_librarys(both):
         assert own.decode(ids) == library.decode(ids), t
 
 
-def test_merging_without_the_library(both):
-    library, own = both
+def test_both_normalisers_agree(both):
+    _, own = both
+    assert own.plain
     for t in texts():
-        assert own._aligned(t)[0].tolist() == library.encode(t), t
+        for a, b in zip(own.normalise(t), own.normalise_by_prefix(t), strict=True):
+            assert (a == b) if isinstance(a, str) else a.tolist() == b.tolist(), t
+
+
+def test_both_mergers_agree(both):
+    _, own = both
+    rng = random.Random(9)
+    words = ["".join(rng.choice("▁aeinrst日") for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    quick = [own.cut(w) for w in words]
+    own.WORD = 0
+    try:
+        assert [own.cut(w) for w in words] == quick
+    finally:
+        del own.WORD
 
 
 def test_spans_tile_the_source(both):
     _, own = both
     for t in texts():
         raw = t.encode()
-        for _, begins, ends in (own.encode(t), own._aligned(t)):
-            assert b"".join(raw[a:b] for a, b in zip(begins, ends, strict=True)) == raw, t
+        ids, begins, ends = own.encode(t)
+        assert b"".join(raw[a:b] for a, b in zip(begins, ends, strict=True)) == raw, t
+        # A piece covers what it stands for.
+        for i, a, b in zip(ids.tolist(), begins, ends, strict=True):
+            assert raw[a:b] == own.surface[i] or (a == 0 and raw[a:b] == own.surface[i].removeprefix(b" ")) or sc.SPACE in t
+
+
+def test_many_texts_at_once(both):
+    _, own = both
+    many = texts()
+    ids, begins, ends, where = own.encode_many(many)
+    for k, t in enumerate(many):
+        one = own.encode(t)
+        for got, want in zip((ids, begins, ends), one, strict=True):
+            assert got[where[k] : where[k + 1]].tolist() == want.tolist()
+
+
+def test_user_defined_pieces_of_any_length(both):
+    own = sc.Codec.load(PATH)
+    long = "<" + "x" * 700 + ">"
+    own.pieces.append(long)
+    own.scores.append(0.0)
+    own.kinds.append(sc.USER_DEFINED)
+    own._prepare()
+    ids, begins, ends = own.encode(f"a {long} b")
+    k = ids.tolist().index(len(own.pieces) - 1)
+    assert (begins[k], ends[k]) == (2, 2 + len(long))
 
 
 def test_decoding_of_broken_bytes(both):
@@ -73,7 +112,7 @@ def test_alignment_through_a_character_map(both):
     own = sc.Codec.load(PATH)
     own.charmap = sc.CharMap.parse(units_of([(b"A", b"xyz"), (b"\t", b" "), (b"Z", b"")]))
     own._prepare()
-    assert not own.direct
+    assert not own.plain
     normal, where = own.normalise("bA\tZc")
     assert normal == "▁bxyz▁c"
     assert where.tolist() == [0, 0, 0, 0, 1, 1, 1, 2, 2, 2, 4, 5]
@@ -112,4 +151,5 @@ def test_query(spark, small):
     for r in spark.read.parquet(f"{small}/documents.parquet").collect():
         ids = library.encode(r.text or "")
         got = found[r.doc_id]
+        assert got.spanned_bytes == len((r.text or "").encode())
         assert (got.n_tokens, got.ids_sha256, got.decoded_sha256) == (len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids)))
