@@ -3,11 +3,13 @@
 Every line of every document begins a suffix of the corpus' line sequence. Ranks of suffixes by their first 1, 2, 4, 8 ...
 lines come from prefix doubling: a window of 2^(k+1) lines sorts by the ranks of its halves, and a range-partitioned sort
 of the pairs that occur gives the new ranks. Suffixes whose rank no other shares are in their final place and take no
-further part, so only repeated lines are ever sorted. The suffixes that share their first L lines are one interval of the
-array with a longest common prefix of L or more; two ranks of windows of 2^k <= L lines that overlap to cover it name the
-interval. For each suffix L is the least number of lines that hold ``min_words`` words, forwards and backwards, so that
-the members of such intervals, put together, cover exactly the maximal repeated runs of that many words. Of every
-interval the member that comes first in the corpus stays and later ones are deleted.
+further part, so only repeated lines are ever sorted. For each suffix L is the least number of lines that hold
+``min_words`` words, forwards and backwards; its prefix of L lines has the ranks of two windows of 2^k <= L lines that
+overlap to cover it, and doubling ends where no suffix has a longer L. The suffix array orders suffixes by these ranks, and
+equal prefixes by place in the corpus. A suffix whose neighbour before it has the same ranks has a longest common prefix of
+L lines or more with it: both lie in one interval of the array. Put together, the members of such intervals cover exactly
+the maximal repeated runs of ``min_words`` words. The first member of an interval is the first in the corpus and stays;
+all others are later copies and are deleted. The array is dealt out by ranges that split an interval of any size.
 """
 
 from __future__ import annotations
@@ -97,33 +99,49 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     tail = ranks.select("doc", F.col("at").alias("end"), "k", F.col("c").alias("cr"))
     runs = runs.withColumn("end", F.col("at") + F.col("n") - F.expr("shiftleft(1, k)"))
     runs = cut(runs.join(tail, ["doc", "end", "k"]).select("doc", "at", "n", "cl", "cr"))
-    intervals = runs.groupBy("n", "cl", "cr").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("z"))
-    later = runs.join(intervals.where("first < z"), ["n", "cl", "cr"]).where(F.struct("doc", "at") > F.col("first"))
+    later = _copies(runs)
     lines = later.select("doc", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).distinct()
     return lines.groupBy("doc").agg(F.sort_array(F.collect_list("at")).alias("drop"))
 
 
+def _copies(runs: DataFrame) -> DataFrame:
+    """The members of the array's intervals but the first of each. ``runs`` has doc, at, n, and the ranks cl and cr."""
+    prefix, place = ["n", "cl", "cr"], ["doc", "at"]
+    array = cut(runs.repartitionByRange(*prefix, *place).withColumn("p", F.spark_partition_id()))
+    # The neighbour of a part's first suffix is the last one of the part before it that has any.
+    before = Window.orderBy("p")
+    edge = array.groupBy("p").agg(F.max(F.struct(*prefix, *place)).alias("last"))
+    edge = edge.select("p", F.lag("last").over(before).alias("edge"))
+    inside = Window.partitionBy("p").orderBy(*prefix, *place)
+    array = array.withColumn("up", F.lag(F.struct(*prefix)).over(inside)).join(F.broadcast(edge), "p")
+    up = F.coalesce("up", F.col("edge").dropFields(*place))
+    return array.where(F.coalesce(up == F.struct(*prefix), F.lit(False))).select(*place, "n")
+
+
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with text without later copies of repeated line runs, n_lines int and dropped array<int> beside it.
 
     Lines are split at line feeds and compared whole; a line counts its blanks plus one as words, and a run needs
     ``min_words`` of them. The order of places is that of ids (nulls first), then lines. A document all of whose lines
     go has an empty text. Null and empty texts have no lines and stay as they are; rows with the same id and text are
-    the same document and change alike. An empty table gives an empty result. Columns named n_lines or dropped in
-    ``docs`` are an error; others stay.
+    the same document and change alike. An empty table gives an empty result. Columns named n_lines, dropped, __i,
+    __t, __drop or __lines in ``docs`` are an error; others stay.
     """
-    if clash := {"n_lines", "dropped", "__doc"} & {c.lower() for c in docs.columns}:
+    if clash := {"n_lines", "dropped", "__i", "__t", "__drop", "__lines"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {sorted(clash)} are taken")
     found = repeated_lines(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), min_words)
     found = found.select(F.col("doc.id").alias("__i"), F.col("doc.t").alias("__t"), F.col("drop").alias("__drop"))
     same = F.col(id).eqNullSafe(F.col("__i")) & (F.xxhash64(F.col(text)) == F.col("__t"))
-    joined = docs.join(found, same, "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("__drop"), i)), "\n")
-    fast = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(kept)
+    # Lines of changed texts only, and as a column of its own: within the lambda they'd be split anew for each stretch.
+    lines = F.when(F.col("__drop").isNotNull(), F.split(F.col(text), "\n"))
+    joined = docs.join(found, same, "left").withColumn("__lines", lines)
+    at = lambda i: F.when(i == 0, -1).otherwise(F.get("__drop", i - 1))
+    end = lambda i: F.coalesce(F.get("__drop", i), F.size("__lines"))
+    stretch = F.transform(F.sequence(F.lit(0), F.size("__drop")), lambda i: F.slice("__lines", at(i) + 2, end(i) - at(i) - 1))
+    kept = F.array_join(F.flatten(stretch), "\n")
     count = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1).otherwise(0)
     return joined.select(
-        *(fast.alias(c) if c == text else F.col(c) for c in docs.columns),
+        *(F.when(F.col("__lines").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns),
         count.cast("int").alias("n_lines"),
         F.coalesce("__drop", F.array().cast("array<int>")).alias("dropped"),
     )

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from palimpsest.llm import linededup as ld
 
 
@@ -76,6 +78,51 @@ def test_repeated_rows_null_ids_and_nothing(spark):
     assert ld.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_very_common_lines_and_very_long_texts(spark):
+    line = " ".join("abcdefghij")
+    docs = [(i, "\n".join([line] * 6 + [f"own {i}"])) for i in range(60)] + [(100, "\n".join(f"x {i % 3000} y" for i in range(6500)))]
+    assert check_large(spark, docs) > 59 * 6
+
+
+def check_large(spark, docs):
+    """Against the longest earlier copies by hashing of each window of just enough lines, forwards and backwards."""
+    drop = {}
+    for d, t in docs:
+        rows = t.split("\n")
+        words = [r.count(" ") + 1 for r in rows]
+        for step in (1, -1):
+            for a in range(len(rows)):
+                b, n = a, 0
+                while 0 <= b < len(rows) and n < ld.MIN_WORDS:
+                    n += words[b]
+                    b += step
+                if n >= ld.MIN_WORDS:
+                    lo, hi = (a, b) if step > 0 else (b + 1, a + 1)
+                    drop.setdefault(tuple(rows[lo:hi]), set()).add((d, lo))
+    gone = {d: set() for d, _ in docs}
+    for run, places in drop.items():
+        for d, lo in sorted(places)[1:]:
+            gone[d] |= set(range(lo, lo + len(run)))
+    found = {r.doc_id: r for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, t in docs:
+        assert found[d].dropped == sorted(gone[d])
+        assert found[d].text == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[d])
+    return sum(map(len, gone.values()))
+
+
+def test_intervals_of_the_array_may_span_parts(spark):
+    rows = [(d, a, 2, d % 3 // 2, 7) for d in range(40) for a in range(25)]
+    df = spark.createDataFrame(rows, "doc long, at int, n int, cl long, cr long").repartition(7)
+    found = sorted((r.doc, r.at) for r in ld._copies(df).collect())
+    assert found == sorted((d, a) for d, a, *_ in rows if (d, a) not in ((0, 0), (2, 0)))
+
+
+def test_clashing_names_are_errors(spark):
+    for name in ("n_lines", "__drop", "__Lines"):
+        with pytest.raises(ValueError):
+            ld.dedup_lines(spark.createDataFrame([(1, "a", 1)], f"doc_id long, text string, `{name}` int"))
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a b\nc"), (2, "a b\nc")], "doc_id long, text string")
     plan = ld.dedup_lines(df, min_words=1)._jdf.queryExecution().executedPlan().toString()
