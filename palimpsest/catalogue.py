@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.queries import questions, relational, texts, vectors, versions
+from palimpsest.queries import files, questions, relational, texts, vectors, versions
 from palimpsest.queries.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "questions", "relational", "texts", "vectors", "versions"]
+__all__ = ["ORACLE_SQL", "QUERIES", "files", "questions", "relational", "texts", "vectors", "versions"]

@@ -123,7 +123,7 @@ class VersionedTable:
             with_.close()
 
     def history(self) -> DataFrame:
-        """A row for each version: number, committed_at, operation, buckets, summary map<string,string>."""
+        """A row for each version: version, committed_at, operation, buckets, summary map<string,string>."""
         found = [(n, *(v[k] for k in ("committed_at", "operation")), len(v["buckets"]), {k: str(x) for k, x in v["summary"].items()}) for n, v in ((n, self._version(n)[1]) for n in self.versions())]
         return self.spark.createDataFrame(found, "version int, committed_at string, operation string, buckets int, summary map<string,string>")
 

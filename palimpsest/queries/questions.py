@@ -51,6 +51,38 @@ def routing_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return found.select("expected_route", "questions", F.round("accuracy", 9).alias("accuracy"))
 
 
+@query(f"""
+SELECT expected_scope, count(*) AS questions, round(avg(CASE WHEN scope = expected_scope THEN 1.0 ELSE 0.0 END), 9) AS accuracy
+FROM (SELECT scope, CASE WHEN event_id % 3 = 0 THEN 'one' WHEN event_id % 3 = 1 THEN 'all' END AS expected_scope FROM ({ROUTED})) WHERE expected_scope IS NOT NULL GROUP BY GROUPING SETS ((expected_scope), ())
+""")
+def scope_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    scored = routed(spark, d).withColumn("expected_scope", F.when(i % 3 == 0, "one").when(i % 3 == 1, "all"))
+    found = answers.scope_accuracy(scored, "scope", "expected_scope")
+    return found.select("expected_scope", "questions", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query(f"""
+SELECT q.question, q.gap AS data_gap, CASE WHEN counted THEN (SELECT count(DISTINCT lower(o_orderpriority)) FROM orders) ELSE 0 END AS rows, cited
+FROM (VALUES ('how many proposals are there', FALSE, TRUE, FALSE), ('what about nothing3 nothing4 nothing5', TRUE, FALSE, FALSE), ('tell about proposal word1 word2 word3', FALSE, FALSE, TRUE)) q(question, gap, counted, cited)
+""")
+def ask(spark: SparkSession, d: str) -> DataFrame:
+    """Three questions through the whole assistant: one counts, one has no answer, one is answered with a citation."""
+    from palimpsest.plans.ask import MODEL, SCHEME, Assistant
+    from palimpsest.queries.relational import PRIORITIES, templates
+
+    chunk = F.concat(F.lit("tell about proposal word1 word2 word3 of "), F.col("o_orderkey").cast("string"))
+    chunks = table(spark, d, "orders").where("o_orderkey < 40").select(
+        F.lit("proposal").alias("source"), F.col("o_orderkey").cast("string").alias("document_id"), F.lower("o_orderpriority").alias("protocol_name"),
+        F.lit(0).cast("long").alias("chunk_index"), F.col("o_orderkey").cast("string").alias("chunk_id"), chunk.alias("chunk"), F.lit(MODEL).alias("embedding_model"), F.lit(SCHEME).alias("chunk_scheme"),
+    )
+    dimension = spark.createDataFrame([(p,) for p in PRIORITIES], "protocol_name string")
+    me = Assistant(spark, answers.embed(chunks, answers.hashing_embedder), templates(spark, d), dimension)
+    asked = ("how many proposals are there", "what about nothing3 nothing4 nothing5", "tell about proposal word1 word2 word3")
+    said = [(q, me.ask(q)) for q in asked]
+    return spark.createDataFrame([(q, a.data_gap, len(a.rows), bool(a.citations)) for q, a in said], "question string, data_gap boolean, rows bigint, cited boolean")
+
+
 @query("SELECT d.doc_id FROM documents d LEFT JOIN (SELECT doc_id, max(quality * 2 + toxic) AS score FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id WHERE coalesce(l.score, 0) >= 2")
 def judge_filter(spark: SparkSession, d: str) -> DataFrame:
     scores = table(spark, d, "labels").groupBy("doc_id").agg(F.max(F.col("quality") * 2 + F.col("toxic")).alias("score"))
@@ -59,9 +91,8 @@ def judge_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT d.doc_id, l.doc_id IS NOT NULL AS resolved, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def label_resolution(spark: SparkSession, d: str) -> DataFrame:
-    labels = table(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("known"))
-    joined = table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left")
-    return joined.select("doc_id", F.coalesce("known", F.lit(False)).alias("resolved"), F.coalesce("quality", F.lit(-1)).alias("quality"))
+    joined = answers.resolve_labels(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"], ["quality"])
+    return joined.select("doc_id", "resolved", F.coalesce("quality", F.lit(-1)).alias("quality"))
 
 
 ANSWER = "'see [c' || (turn % 4) || '] and [c' || (conv_id % 7) || '] or [c' || (turn % 4) || ']'"

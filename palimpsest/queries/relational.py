@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.flags import choice_scores, risk_flags
 from palimpsest.functions.text import label
+from palimpsest.operators.scd2 import versions
 from palimpsest.plans.silver import drop_unknown as split_unknown
 from palimpsest.plans.templates import Templates
 from palimpsest.queries.registry import query, table
+from palimpsest.schemas import PROPOSAL_VERSIONS
+from palimpsest.sources.objects import ensure_columns
 
 PRIORITIES = ("1-urgent", "2-high", "3-medium", "4-not specified", "5-low")
 PROPOSALS = """
@@ -75,6 +78,37 @@ def get_one(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").where("o_orderkey = 7").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+@query(f"""
+SELECT proposal_id, protocol_name, title, NULL::VARCHAR AS body, proposal_state, NULL::VARCHAR AS author, NULL::TIMESTAMP AS voting_start, NULL::TIMESTAMP AS voting_end, CAST(vote_count AS BIGINT) AS vote_count,
+  scores_total, proposal_created, NULL::DOUBLE AS quorum, NULL::VARCHAR[] AS choices, NULL::DOUBLE[] AS scores, NULL::VARCHAR AS discussion_url FROM ({PROPOSALS}) WHERE is_current AND proposal_id = '7'
+""")
+def get_proposal(spark: SparkSession, d: str) -> DataFrame:
+    found = stored(spark, d).render("get_proposal", {"proposal_id": "7"})
+    return found.withColumn("proposal_created", F.col("proposal_created").cast("timestamp_ntz"))
+
+
+def stored(spark: SparkSession, d: str) -> Templates:
+    """Orders with every column that versions have."""
+    rows = proposals(spark, d).withColumn("valid_from", F.col("proposal_created"))
+    return Templates(ensure_columns(rows, PROPOSAL_VERSIONS), None, PRIORITIES, ("f", "o", "p"))
+
+
+@query("""
+SELECT CAST(user_id AS VARCHAR) AS proposal_id, event_type AS title, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS valid_from, strftime(lead(ts) OVER (ORDER BY ts, event_type), '%Y-%m-%d %H:%M:%S.%f') AS valid_to
+FROM (SELECT user_id, event_type, min(ts) AS ts FROM events WHERE user_id = 8 GROUP BY ALL)
+""")
+def get_proposal_history(spark: SparkSession, d: str) -> DataFrame:
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("proposal_id"), F.col("event_type").alias("title"), F.col("event_type").alias("record_hash"), F.col("ts").alias("observed_at"))
+    made = ensure_columns(versions(log, ["proposal_id"]), PROPOSAL_VERSIONS)
+    return Templates(made).render("get_proposal_history", {"proposal_id": "8"}).select("proposal_id", "title", "valid_from", "valid_to")
+
+
+@query(f"SELECT proposal_id FROM ({PROPOSALS}) WHERE is_current ORDER BY proposal_created DESC NULLS LAST, proposal_id LIMIT 100")
+def list_clamped(spark: SparkSession, d: str) -> DataFrame:
+    """A limit beyond the most and an offset below zero."""
+    return templates(spark, d).render("list_proposals", {"limit": 1000, "offset": -5}).select("proposal_id")
+
+
 @query("SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS valid_from FROM events WHERE user_id = 8")
 def history(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").where("user_id = 8").orderBy("ts", "event_id")
@@ -82,14 +116,14 @@ def history(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT n_nationkey, n_name, coalesce(r_name, 'unknown') AS protocol_name, coalesce(nullif(CASE WHEN r_name = 'ASIA' THEN '' ELSE r_name END, ''), upper(n_name[1]) || lower(n_name[2:])) AS label
-FROM nation LEFT JOIN (SELECT * FROM region WHERE r_name <> 'EUROPE') ON n_regionkey = r_regionkey WHERE strpos(n_name, ' ') = 0
+SELECT n_nationkey, n_name, coalesce(r_name, 'unknown') AS protocol_name, coalesce(nullif(CASE WHEN r_name = 'ASIA' THEN '' ELSE r_name END, ''), array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')) AS label
+FROM nation LEFT JOIN (SELECT * FROM region WHERE r_name <> 'EUROPE') ON n_regionkey = r_regionkey
 """)
 def dim_lookup(spark: SparkSession, d: str) -> DataFrame:
     from palimpsest.plans.silver import with_protocol
 
     regions = table(spark, d, "region").where("r_name <> 'EUROPE'").withColumnRenamed("r_name", "protocol_name")
-    found = with_protocol(table(spark, d, "nation"), regions, "n_regionkey", "r_regionkey").where(F.instr("n_name", " ") == 0)
+    found = with_protocol(table(spark, d, "nation"), regions, "n_regionkey", "r_regionkey")
     shown = F.when(~F.col("protocol_name").isin("ASIA", "unknown"), F.col("protocol_name"))
     return found.select("n_nationkey", "n_name", "protocol_name", label(shown, F.col("n_name")).alias("label"))
 
@@ -200,7 +234,7 @@ def distinct_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").agg(F.count_distinct(F.to_date(made)).alias("days"), F.min(made).alias("first_at"), F.max(made).alias("last_at"))
 
 
-@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 6) AS total FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 10 GROUP BY ALL")
+@query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def scan_json_props(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select(F.from_json("props", "k bigint").k.alias("k"), "value").where("k > 10")
+    rows = table(spark, d, "events").select(F.from_json("props", "k bigint").k.alias("k"), "value")
     return rows.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))

@@ -99,3 +99,59 @@ def test_fingerprint_ignores_order(spark):
     a = spark.createDataFrame([("ab" * 32,), ("cd" * 32,)], "h string")
     assert scd2.fingerprint(a, "h").collect() == scd2.fingerprint(a.orderBy(F.desc("h")), "h").collect()
     assert scd2.exact_fingerprint(a, "h").collect() == scd2.exact_fingerprint(a.orderBy(F.desc("h")), "h").collect()
+
+
+def files_of(table, version=None):
+    return {r.file for r in table.files(version).collect()}
+
+
+def test_a_merge_rewrites_only_buckets_that_change(spark, tmp_path):
+    table = upsert.VersionedTable(spark, str(tmp_path / "t"))
+    table.merge(spark.range(200).select(F.col("id").alias("k"), F.lit("a").alias("s")), ["k"])
+    one = spark.createDataFrame([(7, "b")], "k long, s string")
+    assert table.merge(one, ["k"]) == {"inserts": 0, "updates": 1}
+    before, after = files_of(table, 1), files_of(table, 2)
+    assert len(before & after) == len(before) - 1 == len(after) - 1
+    assert sorted((r.k, r.s) for r in table.read().where("s <> 'a' or k < 2").collect()) == [(0, "a"), (1, "a"), (7, "b")]
+    assert table.read().count() == 200 and table.read(buckets=table.buckets_of(one.select("k"))).where("k = 7").count() == 1
+    assert [(r.version, r.operation, r.summary.get("updates")) for r in table.history().orderBy("version").collect()] == [(1, "write", None), (2, "merge", "1")]
+    with pytest.raises(ValueError):
+        table.merge(one, ["s"])
+
+
+def test_logs_only_grow(spark, tmp_path):
+    log = upsert.VersionedTable(spark, str(tmp_path / "t"), bucket_by=["k"])
+    first = spark.createDataFrame([(1, 1), (1, 2), (None, 3), (1, 1)], "k int, at int")
+    assert log.append_new(first, ["k", "at"]) == 3
+    assert log.append_new(first, ["k", "at"]) == 0 and log.versions() == [1]
+    assert log.append_new(spark.createDataFrame([(1, 9), (None, 3)], "k int, at int"), ["k", "at"]) == 1
+    assert files_of(log, 1) < files_of(log, 2)
+    assert sorted((r.k or 0, r.at) for r in log.read().collect()) == [(0, 3), (1, 1), (1, 2), (1, 9)]
+
+
+def test_of_two_writers_the_later_fails(spark, tmp_path, monkeypatch):
+    a = upsert.VersionedTable(spark, str(tmp_path / "t"))
+    df = spark.createDataFrame([(1, "a")], "k int, s string")
+    a.write(df, ["k"])
+    real = a._put
+
+    def meanwhile(*args):
+        made = real(*args)
+        upsert.VersionedTable(spark, str(tmp_path / "t")).merge(df.withColumn("s", F.lit("other")), ["k"])
+        return made
+
+    monkeypatch.setattr(a, "_put", meanwhile)
+    with pytest.raises(upsert.ConcurrentWrite):
+        a.merge(df.withColumn("s", F.lit("late")), ["k"])
+    assert [r.s for r in a.read().collect()] == ["other"] and a.versions() == [1, 2]
+
+
+def test_insert_if_absent_of_null_keys(spark):
+    staged = spark.createDataFrame([(1, None), (2, "y")], "id int, h string")
+    assert rows(upsert.only_new(staged, staged, ["h"]), "id") == []
+    assert rows(upsert.only_new(staged, staged.limit(0), ["h"]), "id") == [(1,), (2,)]
+
+
+def test_statements_end_at_semicolons_outside_quotes():
+    ddl = "a 'x;''y';\n-- no; comment\nb \"q;\" `c;d` /* e; */ f - g / h;;"
+    assert upsert.statements(ddl) == ["a 'x;''y'", 'b "q;" `c;d`  f - g / h']
