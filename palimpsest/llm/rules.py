@@ -171,9 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 
 def score(docs: DataFrame, model: Ensemble, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the column ``out``, a double from 0 to 1; a column of that name is an error."""
-    if out.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {out} is taken")
+    """``docs`` with the column ``out``, a double from 0 to 1; a column of that name, or one named __s, is an error."""
+    if clash := {out.lower(), "__s"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(clash)} are taken")
     used = {model.names[k] for rule in model.rules for k, _, _ in rule}
     values = {k: v for k, v in statistics(F.col(text)).items() if k in used}
     packed = docs.withColumn("__s", F.struct(*(v.cast("double").alias(k) for k, v in values.items())) if values else F.lit(None))

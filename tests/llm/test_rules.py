@@ -67,3 +67,49 @@ def test_odd_texts(spark, small):
     assert {r.score for r in rules.score(odd, empty).collect()} == {0.5}
     nulls = labels.unionByName(spark.createDataFrame([(None, 1, 0), (3, None, None)], labels.schema))
     assert rules.train(docs, nulls) == model
+
+
+def plain_statistics(text):
+    import regex
+
+    t = text or ""
+    share = lambda pattern: sum(map(len, regex.findall(pattern, t))) / max(len(t), 1)
+    words, lines, split = t.count(" ") + 1, t.count("\n") + 1, regex.split("[ \n]", t)
+    return {
+        "chars": len(t),
+        "word_chars": len(t) / words,
+        "line_words": words / lines,
+        "symbols": share(r"[^\p{L}\p{N} \t\n\x0b\f\r.,;:'\"!?()\-]+"),
+        "marks": share(r"[.,;:'\"!?()\-]+"),
+        "exclaims": share("!+"),
+        "capitals": share(r"\p{Lu}+"),
+        "digits": share(r"\p{N}+"),
+        "distinct_words": len(set(split)) / len(split),
+        "repeats": len(regex.findall(r"(?:^|[ \t\n\x0b\f\r])([^ \t\n\x0b\f\r]+)[ \t\n\x0b\f\r]\1(?![^ \t\n\x0b\f\r])", t)) / words,
+    }
+
+
+def test_the_query_against_plain_statistics_and_rules(spark, small):
+    """Every document's score, by statistics and rules worked out one by one in Python."""
+    from math import exp
+
+    from palimpsest.llm.queries import GOOD, op8_quality
+
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = rules.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in op8_quality(spark, small).collect():
+        values = plain_statistics(texts[r.doc_id])
+        total = model.bias
+        for rule, weight in zip(model.rules, model.weights, strict=True):
+            if all((values[model.names[k]] > edge) == above for k, above, edge in rule):
+                total += weight
+        assert abs(r.score - 1 / (1 + exp(-total))) < 1e-9 and r.predicted == (r.score >= GOOD)
+
+
+def test_clashing_names_are_errors(spark):
+    import pytest
+
+    for name in ("score", "__s", "__S"):
+        with pytest.raises(ValueError):
+            rules.score(spark.createDataFrame([("a", 1)], f"text string, `{name}` int"), rules.Ensemble([]))

@@ -62,6 +62,11 @@ def test_query(spark, small):
     from palimpsest.llm.queries import op6_sharding
 
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
-    for r in op6_sharding(spark, small).collect():
+    found = op6_sharding(spark, small).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    slots = {s: sorted(r.slot for r in found if r.shard == s) for s in range(40)}
+    assert {r.shard for r in found} == set(range(40)) and all(slots[s] == list(range(len(slots[s]))) for s in slots)
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    for r in found:
         raw = texts[r.doc_id].encode()
         assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
