@@ -35,6 +35,21 @@ class BlankTokenizer:
         return " ".join(pieces)
 
 
+class PieceTokenizer:
+    """Tokens are those of a SentencePiece model at a path; the library is only needed where this is used."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def encode(self, text: str) -> list[int]:
+        return self.model.encode(text)
+
+    def decode(self, pieces: list[int]) -> str:
+        return self.model.decode(pieces)
+
+
 def sections(text: str) -> list[tuple[str | None, str]]:
     """(heading, body) parts. Text before the first heading has none; parts without a body go.
 
@@ -187,4 +202,4 @@ def _with(df: DataFrame, more: str) -> str:
     return ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), more])
 
 
-__all__ = ["chunk", "chunk_documents", "chunk_titled", "chunks_native", "fold_short", "greedy_batches", "native_sections", "prefixed", "sections", "token_windows", "windows_of"]
+__all__ = ["BlankTokenizer", "PieceTokenizer", "chunk", "chunk_documents", "chunk_titled", "chunks_native", "fold_short", "greedy_batches", "native_sections", "prefixed", "sections", "token_windows", "windows_of"]

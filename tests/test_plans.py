@@ -68,6 +68,13 @@ def test_answers(spark, built):
 def test_command_line(spark, built, capsys, monkeypatch):
     assert cli.main(["search", "fee switch word1 word2", "--data", built[0], "--json", "--min-gap", "0", "--max-distance", "2"]) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    out = lambda: json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    asked = ["search", "zzzz qqqqq unheard", "--data", built[0], "--json"]
+    assert cli.main(asked) == 0 and out() == []
+    assert cli.main([*asked, "--no-threshold"]) == 0 and len(out()) == 3
+    assert cli.main([*asked, "--no-threshold", "--as-of", "2000-01-01"]) == 0 and out() == []
+    assert cli.main([*asked, "--no-threshold", "--model", "other"]) == 0 and out() == []
+    assert cli.main(["search", "zzzz", "--data", built[0]]) == 0 and "--no-threshold" in capsys.readouterr().out
     assert cli.snippet("a " * 400, 20, 2).endswith(" ...") and cli.snippet("short") == "short"
 
 

@@ -133,3 +133,36 @@ def test_risk_flags(spark):
 def test_choice_scores(spark):
     df = spark.createDataFrame([(["a", "b"], [1.0])], "c array<string>, s array<double>")
     assert [tuple(x) for x in df.select(flags.choice_scores(F.col("c"), F.col("s"))).first()[0]] == [(0, "a", 1.0), (1, "b", 0.0)]
+
+
+def test_piece_tokenizer(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    pytest.importorskip("sentencepiece")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    words = " ".join(f"token{i}" for i in range(300))
+    me = chunking.PieceTokenizer(path)
+    df = spark.createDataFrame([(words,)], "body string")
+    found = chunking.chunk_documents(df, tokenizer=lambda: chunking.PieceTokenizer(path)).collect()
+    assert [r.chunk for r in found] == chunking.token_windows(words, me) and len(found) > 2
+    assert [r.tokens for r in found] == [len(me.encode(r.chunk)) for r in found]
+
+
+def test_folding_is_linear_and_right(spark):
+    pieces = [["a"], ["a " * 20, "b", "c", "d " * 12, "e"], [], ["x"] * 3, ["long " * 30] * 3]
+    df = spark.createDataFrame([(p,) for p in pieces], "p array<string>")
+
+    def plain(parts):
+        out = []
+        for p in parts:
+            if out and len(p.split()) < 12:
+                out[-1] += "\n\n" + p
+            else:
+                out.append(p)
+        return out
+
+    assert [r[0] for r in df.select(chunking.fold_short("p")).collect()] == [plain(p) for p in pieces]
+
+
+def test_windows_cut_the_text_once(spark):
+    plan = chunking.chunks_native(spark.createDataFrame([("a b",)], "t string"), "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
