@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -24,6 +24,9 @@ class Answer:
     rows: list[dict[str, Any]] = field(default_factory=list)
     data_gap: bool = False
     note: str = ""
+    route: str = ""
+    scope: str = ""
+    filters: dict[str, Any] = field(default_factory=dict)
 
 
 def offline_router(question: str, protocols: list[str]) -> dict[str, Any]:
@@ -75,9 +78,18 @@ class Assistant:
             return None, str(e)
 
     def ask(self, question: str) -> Answer:
+        """Route, retrieve, judge, answer and cite."""
+        said: dict[str, Any] = {}
+        for _, update in self.steps(question):
+            said |= update
+        return Answer(said["answer"], said["citations"], said.get("rows", []), said["data_gap"], said["note"], said["route"], said["scope"], said["filters"])
+
+    def steps(self, question: str) -> Iterator[tuple[str, dict[str, Any]]]:
+        """(step, what it adds) as each step is done: router, then sql, vector or hybrid, then synthesis."""
         names = [r[0] for r in self.dimension.select("protocol_name").collect()]
         raw = self.router(question, names)
         plan = answers.normalise_route(raw, names)
+        yield "router", {"route": plan["route"], "scope": plan["scope"], "filters": {k: plan[k] for k in ("protocol", "source", "since")}}
         notes, rows, table, hits = [], [], None, None
         if plan["route"] in ("sql", "hybrid"):
             table, problem = self.structured(raw)
@@ -89,11 +101,13 @@ class Assistant:
             if table is not None and "proposal_id" in table.columns:
                 hits = narrowed(hits, table.select("proposal_id"))
         passages = self._relevant(question, hits) if hits is not None else []
+        yield plan["route"], {"rows": rows, "chunks": passages, "note": "; ".join(notes)}
         if answers.is_gap(len(passages), len(rows)):
-            return Answer(answers.GAP, data_gap=True, note="; ".join(notes))
+            yield "synthesis", {"answer": answers.GAP, "citations": [], "data_gap": True, "note": "; ".join(notes)}
+            return
         text = self.writer(question, passages, rows).strip()
         kept, problems = self._cite(text, passages)
-        return Answer(text, kept, rows, not text, "; ".join([*notes, *problems]))
+        yield "synthesis", {"answer": text, "citations": kept, "data_gap": not text, "note": "; ".join([*notes, *problems])}
 
     def _relevant(self, question: str, hits: DataFrame) -> list[dict[str, Any]]:
         shown = answers.marked(hits, tie="chunk_id").withColumn("question", F.lit(question))

@@ -1,6 +1,7 @@
 """Objects to versions to answers, templates, cost, streams, command line."""
 
 import datetime as dt
+import io
 import json
 
 import pytest
@@ -10,6 +11,7 @@ from palimpsest import cli
 from palimpsest.operators.upsert import VersionedTable, apply_ddl
 from palimpsest.plans import corpus, pipeline
 from palimpsest.plans.ask import Assistant
+from palimpsest.plans.service import Service
 from palimpsest.plans.templates import TemplateError, Templates
 from palimpsest.sources.objects import protocols
 from palimpsest.streaming import observations
@@ -65,6 +67,33 @@ def test_answers(spark, built):
     assert me.ask("zzzz qqqqq unheard").data_gap
 
 
+def test_service(spark, built):
+    out = built[0]
+    tables = [VersionedTable(spark, f"{out}/{n}").read() for n in ("proposal_versions", "forum_posts")]
+    templates = Templates(*tables)
+    served = Service(spark, templates, Assistant(spark, VersionedTable(spark, f"{out}/vectors").read(), templates, protocols(spark)))
+
+    def call(method, path, query="", body=b""):
+        said = []
+        parts = served({"REQUEST_METHOD": method, "PATH_INFO": path, "QUERY_STRING": query, "CONTENT_LENGTH": str(len(body)), "wsgi.input": io.BytesIO(body)}, lambda status, heads: said.append((int(status[:3]), heads[0][1])))
+        raw = b"".join(parts).decode()
+        return said[0][0], json.loads(raw) if said[0][1].startswith("application/json") else raw
+
+    assert call("GET", "/health") == (200, {"status": "ok", "engine": {"status": "ok"}})
+    status, listed = call("GET", "/api/v1/proposals", "protocol=aave&limit=5")
+    assert status == 200 and [p["proposal_id"] for p in listed] == ["0xa"]
+    assert call("GET", "/api/v1/proposals", "protocol=nobody")[0] == 400 and call("GET", "/api/v1/proposals", "limit=ten")[0] == 400
+    assert call("GET", "/api/v1/proposals/0xa")[1]["title"] == "Fee switch" and call("GET", "/api/v1/proposals/0xq")[0] == 404
+    assert len(call("GET", "/api/v1/proposals/0xa/history")[1]) == 1 and call("GET", "/api/v1/proposals/a'b")[0] == 400
+    assert call("POST", "/api/v1/proposals")[0] == 405 and call("GET", "/api/v1/chat")[0] == 405 and call("GET", "/nowhere")[0] == 404
+    status, said = call("POST", "/api/v1/chat", body=json.dumps({"question": "how many proposals are there"}).encode())
+    assert (status, said["route"], said["data_gap"]) == (200, "sql", False) and call("POST", "/api/v1/chat", body=b"{")[0] == 400
+    events = call("GET", "/api/v1/chat/stream", "question=word1+word2+word3+word4+fees")[1]
+    assert [e.partition("\n")[0] for e in events.strip().split("\n\n")] == ["event: router", "event: vector", "event: synthesis"]
+    served.assistant.router = lambda *a: 1 / 0
+    assert call("GET", "/api/v1/chat/stream", "question=x")[1].startswith("event: error") and call("GET", "/api/v1/chat/stream")[0] == 400
+
+
 def test_command_line(spark, built, capsys, monkeypatch):
     assert cli.main(["search", "fee switch word1 word2", "--data", built[0], "--json", "--min-gap", "0", "--max-distance", "2"]) == 0
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])
