@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators import answers, search
+from palimpsest.operators import answers, index, search
 from palimpsest.queries.registry import query, table
+from palimpsest.shared import scratch
 
 #: The query vector is that of vec_id 0.
 QUERY_ID = 0
@@ -224,3 +225,20 @@ def k_by_shape(spark: SparkSession, d: str) -> DataFrame:
         "vec_id", F.lit(route).alias("route"), F.lit(scope).alias("scope"), F.row_number().over(Window.orderBy("distance", "vec_id")).cast("long").alias("n")
     )
     return hits("vector", "one").unionByName(hits("vector", "all")).unionByName(hits("hybrid", "one"))
+
+
+@query(f"SELECT vec_id, {SHOWN} FROM ({NEAR}) WHERE distance <= 1e-9")
+def ann_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """What equals the query lies in its own bucket: an index finds it wherever the planes are."""
+    normals = index.planes(len(query_vector(spark, d)))
+    stored = scratch(spark, "index")
+    index.indexed(vectors(spark, d), normals).write.partitionBy("bucket").mode("overwrite").parquet(stored)
+    hits = index.nearest(spark.read.parquet(stored), query_vector(spark, d), 100, normals, flips=0)
+    return hits.where("distance <= 1e-9").select("vec_id", shown())
+
+
+@query(f"SELECT vec_id, {SHOWN} FROM ({TOP.format(10)})")
+def ann_all_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Probing every bucket is the exact search."""
+    normals = index.planes(len(query_vector(spark, d)), bits=3)
+    return index.nearest(index.indexed(vectors(spark, d), normals), query_vector(spark, d), 10, normals, flips=3).select("vec_id", shown())

@@ -193,3 +193,25 @@ def test_more_queries_than_one_block(spark):
     want = {(i, r + 1, int(j)) for i in range(n) for r, j in enumerate(np.lexsort((np.arange(30), d[i]))[:2])}
     found = search.search_many(data, queries, 2).collect()
     assert len(found) == 2 * n and {(r.query_id, r.rank, r.vec_id) for r in found} == want
+
+
+def test_index_recall_and_pruning(spark, tmp_path):
+    import numpy as np
+
+    from palimpsest.operators import index
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 32))
+    x[750:] = x[:750] + rng.normal(size=(750, 32)) * 0.2
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    normals = index.planes(32)
+    index.indexed(df, normals).write.partitionBy("bucket").parquet(f"{tmp_path}/i")
+    stored = spark.read.parquet(f"{tmp_path}/i")
+    found = {r.vec_id: r.bucket for r in stored.collect()}
+    sides = (x @ normals.T >= 0) @ (1 << np.arange(8))
+    assert all(found[i] == b for i, b in enumerate(sides))
+    reached = [sides[i + 750] in index.probed(list(x[i]), normals) for i in range(750)]
+    assert np.mean(reached) >= 0.95 and len(index.probed(list(x[0]), normals)) == 37
+    hits = index.nearest(stored, list(x[0]), 2, normals)
+    assert "PartitionFilters: [bucket" in hits._jdf.queryExecution().executedPlan().toString()
+    assert [r.vec_id for r in hits.collect()] == [0, 750]
