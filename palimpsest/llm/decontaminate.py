@@ -7,13 +7,19 @@ that distance is unharmed, so an Aho-Corasick pass over the document finds every
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from palimpsest.llm.common import cut
 from palimpsest.shipping import ship
 
 RATE = 0.08
@@ -61,7 +67,7 @@ def distance(pattern: str, text: str, most: int) -> tuple[int, int] | None:
 class Matcher:
     """All pieces of some items in one automaton."""
 
-    items: list[tuple[list[int], str, int]]  # ids, normalised text, error budget
+    items: list[tuple[list, str, int]]  # ids, normalised text, error budget
 
     def build(self) -> None:
         pieces: dict[str, list[tuple[int, int]]] = {}
@@ -77,7 +83,7 @@ class Matcher:
     def __getstate__(self) -> dict:
         return {"items": self.items}
 
-    def matches(self, raw: str) -> list[tuple[int, int, int]]:
+    def matches(self, raw: str) -> list[tuple]:
         """(item id, edits, end in the normalised text) of every item in the text, the best place of each."""
         if not hasattr(self, "find"):
             self.build()
@@ -109,71 +115,93 @@ class Matcher:
                         lo, hi = (a, b) if lo is None else (lo, max(hi, b))
             if best:
                 found += [(i, *best) for i in ids]
-        return sorted(found)
+        return sorted(found, key=lambda f: (f[0] is None, f))
 
 
-MATCH = "array<struct<item_id:bigint,edits:int,end:int>>"
+#: Blocks of the benchmark that are matched in one pass, held by the driver and every worker at once.
+HELD = 4
 
 
-def matchers(benchmark: DataFrame, id: str = "item_id", text: str = "text", rate: float = RATE, block: int = BLOCK) -> list[Matcher]:
+def matchers(benchmark: DataFrame, id: str = "item_id", text: str = "text", rate: float = RATE, block: int = BLOCK) -> Iterator[Matcher]:
     """Matchers that together hold all items, each of at most ``block`` characters or one item.
 
     Null texts and texts without letters or digits match nothing; items with equal normalised texts share their place.
-    The items are brought to the driver one block's worth of ids at a time.
+    The items are brought to the driver one block's worth of ids at a time, as each matcher is asked for.
     """
     items = benchmark.where(F.length(text) > 0).select(F.col(id).alias("id"), F.col(text).alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * size // block))
     placed = items.withColumn("b", F.pmod(F.xxhash64("text"), F.lit(blocks)))
-    out: list[Matcher] = []
     for n in range(blocks):
-        by: dict[str, list[int]] = {}
-        for row in (placed.where(F.col("b") == n) if blocks > 1 else placed).collect():
+        by: dict[str, list] = {}
+        for row in (placed.where(F.col("b") == n) if blocks > 1 else placed).toLocalIterator():
             if key := normal(row.text):
                 by.setdefault(key, []).append(row.id)
         held, length = [], 0
         for key in sorted(by):
             if held and length + len(key) > block:
-                out.append(Matcher(held))
+                yield Matcher(held)
                 held, length = [], 0
             held.append((sorted(by[key], key=lambda i: (i is None, i)), key, int(rate * len(key))))
             length += len(key)
         if held:
-            out.append(Matcher(held))
-    return out
+            yield Matcher(held)
 
 
-def matched(benchmark: DataFrame, text: str = "text", **options: object) -> Column:
-    """A column of the benchmark items in ``text``: array of (item_id, edits, end), empty for null texts."""
+def passes(benchmark: DataFrame, text: str = "text", id: str = "item_id", **options: object) -> Iterator[tuple[Column, Callable[[], None], bool]]:
+    """A column of the benchmark items in ``text``, array of (item_id, edits, end), for each pass over the documents: of
+    up to HELD blocks; what ends the pass and frees its blocks; and whether it is the last. Empty for null texts. One
+    pass at least."""
     spark = benchmark.sparkSession
     ship(spark)
+    kind = T.StructType([T.StructField("item_id", benchmark.schema[id].dataType), T.StructField("edits", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    arrow = pa.list_(to_arrow_type(kind))
 
-    def column(one: Matcher) -> Column:
+    def column(one: Matcher) -> tuple[Column, Callable[[], None]]:
         held = spark.sparkContext.broadcast(one)
 
-        @F.arrow_udf(MATCH)
+        @F.arrow_udf(T.ArrayType(kind))
         def work(texts: pa.Array) -> pa.Array:
             me = held.value
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("end", pa.int32())]))
             rows = (me.matches(t.as_py() or "") for t in texts)
-            return pa.array([[{"item_id": i, "edits": e, "end": z} for i, e, z in r] for r in rows], kind)
+            return pa.array([[{"item_id": i, "edits": e, "end": z} for i, e, z in r] for r in rows], arrow)
 
-        return work(F.col(text))
+        return work(F.col(text)), held.unpersist
 
-    return F.concat(F.array().cast(MATCH), *(column(one) for one in matchers(benchmark, **options)))
+    found = matchers(benchmark, id, text, **options)
+    group = list(islice(found, HELD))
+    while True:
+        after = list(islice(found, HELD))
+        made = [column(one) for one in group]
+        yield F.concat(F.array().cast(T.ArrayType(kind)), *(c for c, _ in made)), lambda made=made: [free() for _, free in made] and None, not after
+        if not after:
+            return
+        group = after
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
     """id, item_id, edits, end: every benchmark item that a document holds within the item's error budget.
 
     ``end`` is the place, in the normalised text, where the best match ends. A row of ``docs`` that repeats gives its
-    rows again; null and empty texts give none, nor do empty tables. Other columns don't take part.
+    rows again; null and empty texts give none, nor do empty tables. Other columns don't take part. A benchmark of more
+    than HELD blocks takes several passes; all but the last are written to the shared folder as they are made.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    found = rows.select("id", matched(benchmark, "text", **options).alias("m")).select("id", F.explode("m").alias("m"))
-    return found.select(F.col("id").alias(id), "m.item_id", "m.edits", "m.end")
+    parts = []
+    for matched, free, last in passes(benchmark, "text", **options):
+        found = rows.select("id", matched.alias("m")).select("id", F.explode("m").alias("m"))
+        parts.append(found.select(F.col("id").alias(id), "m.item_id", "m.edits", "m.end"))
+        if not last:
+            parts[-1] = cut(parts[-1])
+            free()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options: object) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    return docs.where(F.size(matched(benchmark, text, **options)) == 0)
+    """The rows of ``docs`` that hold no benchmark item; passes as for ``contaminated``."""
+    for matched, free, last in passes(benchmark, text, **options):
+        docs = docs.where(F.size(matched) == 0)
+        if not last:
+            docs = cut(docs)
+            free()
+    return docs

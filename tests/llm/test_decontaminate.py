@@ -69,3 +69,20 @@ def test_operator_against_brute_force(spark):
     assert sorted(r.doc_id for r in dc.clean(d, b).collect()) == sorted(i for i, *_ in docs if i not in bad)
     assert dc.contaminated(d, b.limit(0)).count() == 0 and dc.clean(d, b.limit(0)).count() == len(docs)
     assert dc.contaminated(d.limit(0), b).count() == 0
+
+
+def test_benchmarks_of_many_blocks_and_ids_of_any_type(spark, monkeypatch):
+    monkeypatch.setattr(dc, "HELD", 1)
+    rng = random.Random(7)
+    items = [(f"i{n}", " ".join(f"{rng.randrange(900)}" for _ in range(20))) for n in range(12)] + [(None, "no id but a text of its own")]
+    docs = [(n, f"before {items[n % 13][1]} after") for n in range(26)] + [(90, "nothing"), (91, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    found = dc.contaminated(d, b, block=200)
+    assert sorted(((r.doc_id, r.item_id, r.edits) for r in found.collect()), key=str) == sorted(((n, items[n % 13][0], 0) for n in range(26)), key=str)
+    assert sorted(r.doc_id for r in dc.clean(d, b, block=200).collect()) == [90, 91]
+
+
+def test_very_long_texts(spark):
+    item = "a passage of the benchmark that hides in a very long text"
+    d = spark.createDataFrame([(1, "word " * 200_000 + item + " end" * 1000)], "doc_id long, text string")
+    assert [(r.item_id, r.edits) for r in dc.contaminated(d, spark.createDataFrame([(3, item)], "item_id int, text string")).collect()] == [(3, 0)]
