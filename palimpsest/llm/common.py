@@ -2,42 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.shared import scratch, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["components", "cut", "scratch", "shared_dir", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Where none is set, a local session (as in tests) gets a
-    temporary one; on a cluster that is an error, as no folder of one machine would do."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            found = current.get()
-        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            found = tempfile.mkdtemp(prefix="palimpsest-")
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one for what outlives a job; it goes when the application ends."""
-    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(path)
-    files.deleteOnExit(path)
-    return folder
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,16 +35,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = cut(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")))
     while True:
-        near = (
-            both.join(labels.select(F.col("u").alias("v"), F.col("l").alias("m")), "v")
-            .groupBy("u")
-            .agg(F.min("m").alias("m"))
-        )
-        step = labels.join(near, "u").select("u", F.col("l").alias("was"), F.least("l", "m").alias("l"))
+        told = both.join(labels.select(F.col("u").alias("v"), F.col("l").alias("m")), "v").select("u", "m", F.lit(None).cast(labels.schema["l"].dataType).alias("was"))
+        heard = told.unionByName(labels.select("u", F.col("l").alias("m"), F.col("l").alias("was"))).groupBy("u").agg(F.max("was").alias("was"), F.min("m").alias("l"))
         jump = labels.select(F.col("u").alias("l"), F.col("l").alias("far"))
-        step = step.join(jump, "l").select("u", "was", F.least("l", "far").alias("l"))
-        step = cut(step)
-        moved = step.where("was <> l").limit(1).count()
+        moved = Observation()
+        step = heard.join(jump, "l").select("u", "was", F.least("l", "far").alias("l"))
+        step = cut(step.observe(moved, F.count_if(F.col("was") != F.col("l")).alias("n")))
         labels = step.select("u", "l")
-        if not moved:
+        if not moved.get["n"]:
             return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))

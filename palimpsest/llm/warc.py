@@ -9,6 +9,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from typing import Any
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import cut, shared_dir
+from palimpsest.llm.common import cut, scratch
 from palimpsest.shipping import ship
 
 # Fixed values of the archive formats.
@@ -36,16 +37,21 @@ def file_system(uri: str) -> tuple[Any, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def record(kind: str, page: int | None, url: str | None, payload: bytes, digest: str, first: int | None, date: str) -> bytes:
+def name_of(page: Any) -> str:
+    """A page's record id; records of pages without an id have one of their own."""
+    return f"<urn:uuid:{uuid.uuid4()}>" if page is None else f"<urn:page:{quote(str(page), safe='')}>"
+
+
+def record(kind: str, page: Any, url: str | None, payload: bytes, digest: str, first: Any, date: str) -> bytes:
     """One WARC record; a revisit keeps the HTTP header, with the payload's length, and leaves the payload out."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if kind == "response":
         block += payload
-    head = [VERSION, f"WARC-Type: {kind}", f"WARC-Date: {date}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>"]
+    head = [VERSION, f"WARC-Type: {kind}", f"WARC-Date: {date}", f"WARC-Record-ID: {name_of(page)}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if kind == "revisit":
-        head += [f"WARC-Profile: {SAME_PAYLOAD}", f"WARC-Refers-To: <urn:page:{first}>"]
+        head += [f"WARC-Profile: {SAME_PAYLOAD}", f"WARC-Refers-To: {name_of(first)}"]
     head += [
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
@@ -162,18 +168,36 @@ def train(pages: DataFrame, id: str = "page_id", html: str = "html", samples: in
         return b""
 
 
-def plan_records(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0) -> DataFrame:
+#: Payloads that several pages share which are sent to every executor (some 60 bytes each); more are joined in a shuffle.
+HELD = 500_000
+#: A payload of more than this share of all pages is hot: there are fewer than so many, so these are always sent.
+HOT = 200
+
+
+def plan_records(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, held: int = HELD) -> DataFrame:
     """id, url, html and first: the smallest id among pages with the same payload of at least ``revisit_from`` bytes.
 
     A null html is an empty payload. A null id never is the smallest. Rows that repeat the smallest id are responses
-    themselves. Other columns don't take part. Equal payloads meet as digests in partial aggregates, so a payload that
-    many pages share costs no task more than others.
+    themselves. Other columns don't take part. Equal payloads meet as digests in partial aggregates, and pages stay where
+    they are: the digests that several share are broadcast. Beyond ``held`` of them only the hot ones are, and the pages of
+    the others are shuffled by digest.
     """
     rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
-    firsts = rows.groupBy("digest").agg(F.min("id").alias("first"))
+    digest = F.sha1(F.encode("html", "utf-8"))
     large = F.octet_length("html") >= revisit_from
-    return rows.join(firsts, "digest").select("id", "url", "html", F.when(large, F.col("first")).alias("first"))
+    shared = cut(rows.where(large).groupBy(digest.alias("d")).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+
+    def told(part: DataFrame) -> DataFrame:
+        return part.select("id", "url", "html", F.when(large, F.coalesce("first", "id")).alias("first"))
+
+    if shared.count() <= held:
+        return told(rows.join(F.broadcast(shared.select("d", "first")), digest == F.col("d"), "left"))
+    total = pages.count()
+    hot = F.broadcast(shared.where(F.col("n") * HOT > total).select("d", "first"))
+    rest = shared.where(F.col("n") * HOT <= total).select(F.col("d").alias("d2"), F.col("first").alias("first2"))
+    marked = rows.withColumn("digest", digest).join(hot, F.col("digest") == F.col("d"), "left")
+    other = marked.where("d is null").drop("first").join(rest, F.col("digest") == F.col("d2"), "left").withColumnRenamed("first2", "first")
+    return told(marked.where("d is not null")).unionByName(told(other))
 
 
 def write_archives(records: DataFrame, folder: str, dictionary: bytes, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = 64 << 20) -> DataFrame:
@@ -217,6 +241,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, date: str
 
 def read_archives(archives: DataFrame, folder: str, id_type: T.DataType | None = None) -> DataFrame:
     """Every record of the listed archives: id, url, kind, payload_bytes, digest, refers_to and payload (of responses).
+    Ids are of ``id_type``, long by default.
 
     Frames are read one by one; a record that breaks the format, or an archive with another number of records than
     listed, raises BadArchive.
@@ -224,22 +249,22 @@ def read_archives(archives: DataFrame, folder: str, id_type: T.DataType | None =
     ship(archives.sparkSession)
     schema = T.StructType(
         [
-            T.StructField("id", T.LongType()),
+            T.StructField("id", T.StringType()),
             T.StructField("url", T.StringType()),
             T.StructField("kind", T.StringType()),
             T.StructField("payload_bytes", T.LongType()),
             T.StructField("digest", T.StringType()),
-            T.StructField("refers_to", T.LongType()),
+            T.StructField("refers_to", T.StringType()),
             T.StructField("payload", T.BinaryType()),
         ]
     )
 
-    def number(urn: str | None) -> int | None:
-        found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
-        return int(found[1]) if found else None
+    def page(urn: str | None) -> str | None:
+        found = re.fullmatch(r"<urn:page:([^>]*)>", urn or "")
+        return unquote(found[1]) if found else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         store, _ = file_system(folder)
         rows: list[tuple] = []
         held = 0
@@ -259,7 +284,7 @@ def read_archives(archives: DataFrame, folder: str, id_type: T.DataType | None =
                         head, payload = found["head"], found["payload"]
                         kind = head["warc-type"]
                         digest = head["warc-payload-digest"].removeprefix("sha1:")
-                        rows.append((number(head["warc-record-id"]), head.get("warc-target-uri"), kind, found["http_length"], digest, number(head.get("warc-refers-to")), payload if kind == "response" else None))
+                        rows.append((page(head["warc-record-id"]), head.get("warc-target-uri"), kind, found["http_length"], digest, page(head.get("warc-refers-to")), payload if kind == "response" else None))
                         held += len(payload) + 200
                         if held > 8 << 20:
                             yield flush()
@@ -269,12 +294,10 @@ def read_archives(archives: DataFrame, folder: str, id_type: T.DataType | None =
         if rows:
             yield flush()
 
-    return archives.select("path", "records").mapInArrow(work, schema)
+    found = archives.select("path", "records").mapInArrow(work, schema)
+    return found.withColumns({c: F.col(c).cast(id_type or T.LongType()) for c in ("id", "refers_to")})
 
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder for archives in the shared folder."""
-    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    store, path = file_system(folder)
-    store.create_dir(path)
-    return folder
+    return scratch(spark, "warc")

@@ -5,6 +5,7 @@ import struct
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from palimpsest.llm import warc
 
@@ -80,3 +81,29 @@ def test_small_payloads_are_all_responses(spark):
 
 def test_nothing(spark):
     assert run(spark, [])[1] == []
+
+
+def test_shared_payloads_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    rows = [(n, "u", ["", None, f"<p>{n % 7}</p>", f"<p>own {n}</p>"][n % 4]) for n in range(120)] + [(None, "u", "<p>3</p>"), (5, "u", "<p>own</p>"), (5, "u", "<p>own</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    want = {}
+    for i, _, h in rows:
+        if i is not None:
+            want[h or ""] = min(i, want.get(h or "", i))
+    expected = sorted(((i, h or "", want[h or ""]) for i, _, h in rows), key=str)
+    monkeypatch.setattr(warc, "HOT", 10)
+    for held in (warc.HELD, 0):
+        found = warc.plan_records(df, held=held).collect()
+        assert sorted(((r.id, r.html, r.first) for r in found), key=str) == expected
+    assert warc.plan_records(df.limit(0), held=-1).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([("a b>c", "u", "x"), ("é", "u", "x"), (None, "u", "own"), (None, "u", "own2")], "page_id string, url string, html string")
+    folder = warc.archive_folder(spark)
+    written = warc.write_archives(warc.plan_records(df), folder, b"")
+    found = warc.read_archives(written, folder, T.StringType()).select("id", "kind", "refers_to", "payload").collect()
+    got = {(r.id, r.kind, r.refers_to, r.payload and bytes(r.payload)) for r in found}
+    assert got == {("a b>c", "response", None, b"x"), ("é", "revisit", "a b>c", None), (None, "response", None, b"own"), (None, "response", None, b"own2")}
