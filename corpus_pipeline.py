@@ -6,13 +6,11 @@ documents. ``run`` writes each stage's result to the shared folder and reads it
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, linededup, minhash, rules, sentencepiece_codec
-from palimpsest.llm.common import shared_dir, table
+from palimpsest.llm.common import scratch, table
 from palimpsest.llm.queries import GOOD, piece_model
 
 #: The stages can't be said in SQL; tests hold them against plain versions.
@@ -61,7 +59,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the table ``documents``."""
-    top = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    top = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
