@@ -41,6 +41,12 @@ def ranked(vectors: DataFrame, query: list[float], k: int, embedding: str = "emb
     return vectors.withColumn("distance", cosine_distance(F.col(embedding), q, unit)).orderBy("distance", tie).limit(k)
 
 
+def within(vectors: DataFrame, query: list[float], most: float, embedding: str = "embedding", unit: bool = False) -> DataFrame:
+    """All rows no further than ``most``, with distance and in no order: a scan and a filter."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    return vectors.withColumn("distance", cosine_distance(F.col(embedding), q, unit)).where(F.col("distance") <= most)
+
+
 def capped(hits: DataFrame, k: int, per_document: int = PER_DOCUMENT, document: list[str] | None = None, tie: str = "vec_id", by: list[str] | None = None) -> DataFrame:
     """At most ``per_document`` rows of a document in order of distance, then ``k`` rows; ``by`` splits into queries."""
     by = by or []

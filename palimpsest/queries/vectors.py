@@ -68,9 +68,7 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT vec_id, {SHOWN} FROM ({NEAR}) WHERE distance <= 0.7")
 def knn_threshold(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors(spark, d)
-    hits = search.search(v, query_vector(spark, d), v.count(), 0.7, None, None, model=None, scheme=None)
-    return hits.select("vec_id", shown())
+    return search.within(vectors(spark, d), query_vector(spark, d), 0.7).select("vec_id", shown())
 
 
 @query(f"SELECT vec_id, source, document_id, {SHOWN} FROM (SELECT * FROM ({CAP.format(TOP.format(40), 1)}) ORDER BY distance, vec_id LIMIT 10)")
