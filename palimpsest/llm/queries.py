@@ -82,6 +82,21 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("component").alias("component_id"), "kept")
 
 
+#: Shingles told apart by occurrence, so that shared and all of two documents' are those of their counts.
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_\x{80}-\x{10ffff}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+grams AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' ')) ELSE [array_to_string(w, ' ')] END) AS gram FROM words WHERE len(w) > 0),
+once AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id, gram) AS n FROM grams),
+size AS (SELECT doc_id, count(*) AS n FROM once GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM once a JOIN once b ON a.gram = b.gram AND a.n = b.n AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE shared.n >= 0.8 * (x.n + y.n - shared.n) - 1e-9),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node)
+SELECT node AS doc_id, min(root) AS component_id, min(root) = node AS kept FROM reach GROUP BY node
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines that are later copies of repeated runs, and its text without them."""
     docs = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -95,6 +110,26 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Runs of lines that just hold 50 words, forwards and backwards; every copy of one but the first goes.
+OP5_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE length(text) > 0),
+w AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM l),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w),
+runs AS (
+  SELECT a.doc_id, a.i AS lo, min(b.i) AS hi FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 50 AND b.upto - a.upto + a.words >= 50 GROUP BY ALL
+  UNION
+  SELECT a.doc_id, max(b.i) AS lo, a.i AS hi FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i - 50 AND a.i AND a.upto - b.upto + b.words >= 50 GROUP BY ALL),
+named AS (SELECT r.doc_id, lo, hi, sha256(string_agg(line, chr(10) ORDER BY i)) AS run FROM runs r JOIN l ON l.doc_id = r.doc_id AND i BETWEEN lo AND hi GROUP BY ALL),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, lo) AS n FROM named) WHERE n > 1),
+gone AS (SELECT DISTINCT l.doc_id, i FROM later r JOIN l ON l.doc_id = r.doc_id AND i BETWEEN lo AND hi),
+told AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_dropped, coalesce(string_agg(CAST(g.i AS VARCHAR), ',' ORDER BY l.i), '') AS dropped_lines,
+  coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS kept FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_dropped, 0) AS INTEGER) AS n_dropped, coalesce(dropped_lines, '') AS dropped_lines,
+  length(coalesce(kept, text)) AS kept_chars, sha256(coalesce(kept, text)) AS kept_sha256
+FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id
+"""
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in forty shards of equal counts."""
     docs = table(spark, sf_dir, "documents").select(
@@ -190,6 +225,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
+    "op4_minhash": OP4_SQL,
+    "op5_line_dedup": OP5_SQL,
     "op7_embeddings": OP7_SQL,
     "op10_warc": OP10_SQL,
 }
