@@ -150,6 +150,9 @@ class Codec:
         # Normalising changes nothing but blanks then.
         self.plain = self.charmap is None and not own and not self.squeeze
         self.rank = {p: cost for p, (cost, _) in self.index.items()}
+        # Short words merge many at once where only merges decide and what is no piece becomes bytes.
+        self.batched, self.pairs = not own and not self.unused and bool(self.byte_id), None
+        self.bytes_of = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)], np.int32)
         self.surface = [
             bytes([int(p[3:5], 16)])
             if k == BYTE
@@ -308,6 +311,86 @@ class Codec:
                 costs[i] = get(parts[i] + parts[i + 1], none)
         return parts
 
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every pair of symbols that merges, in order: both in one number, what the merge costs, and what it gives.
+
+        A piece is the symbol of its id; a character that is no piece has a number beyond them.
+        """
+        symbol = self.symbols
+        for piece, (_, i) in self.index.items():
+            symbol[piece] = i
+        for piece in self.index:
+            for c in piece:
+                symbol.setdefault(c, len(self.pieces) + len(symbol))
+        found = [
+            (symbol[left] << 32 | symbol[right], cost, i)
+            for piece, (cost, i) in self.index.items()
+            for k in range(1, len(piece))
+            if (left := piece[:k]) in symbol and (right := piece[k:]) in symbol
+        ]
+        found.sort()
+        keys, costs, gives = zip(*found, strict=True) if found else ((), (), ())
+        return np.array(keys, np.int64), np.array(costs, float), np.array(gives, np.int64)
+
+    def _merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and normalised bytes of all words' pieces, and how many each has: every round merges the best pair of every
+        word, first among equals."""
+        if self.pairs is None:
+            self.symbols: dict[str, int] = {}
+            self.pairs = self._pairs()
+        keys, costs, gives = self.pairs
+        symbol, base = self.symbols, len(self.pieces)
+        for c in set("".join(words)) - symbol.keys():
+            symbol[c] = base + len(symbol)
+        sym = np.fromiter((symbol[c] for w in words for c in w), np.int64, sum(map(len, words)))
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+
+        def look(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = left << 32 | right
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            return np.where(hit, costs[at] if len(keys) else 0, np.inf), gives[at] if len(keys) else key
+
+        cost, give = np.full(len(sym), np.inf), np.zeros(len(sym), np.int64)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        cost[inner], give[inner] = look(sym[inner], sym[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            best = np.minimum.reduceat(cost, starts)
+            sizes = np.diff(np.concatenate([starts, [len(sym)]]))
+            over = np.repeat(np.isinf(best), sizes)
+            if 2 * over.sum() > len(sym):
+                done.append((word[over], sym[over]))
+                keep = ~over
+                sym, word, cost, give = sym[keep], word[keep], cost[keep], give[keep]
+                continue
+            hits = np.flatnonzero((cost == np.repeat(best, sizes)) & ~over)
+            first = hits[np.concatenate([[True], word[hits[1:]] != word[hits[:-1]]])]
+            sym[first] = give[first]
+            keep = np.ones(len(sym), bool)
+            keep[first + 1] = False
+            sym, word, cost, give = sym[keep], word[keep], cost[keep], give[keep]
+            first -= np.arange(len(first))
+            for left in (first[first > 0] - 1, first):
+                same = np.append(word[1:] == word[:-1], False)[left]
+                cost[left] = np.inf
+                left = left[same]
+                cost[left], give[left] = look(sym[left], sym[left + 1])
+        if done:
+            word, sym = (np.concatenate(x) for x in zip(*done, strict=True))
+            order = np.argsort(word, kind="stable")
+            word, sym = word[order], sym[order]
+        # Characters that are no piece become their bytes.
+        other = sym >= base
+        if not other.any():
+            return sym.astype(np.int32), self.bytes_of[sym], np.bincount(word, minlength=len(words))
+        names = {symbol_: [self.byte_id[b] for b in c.encode("utf-8", "replace")] for c, symbol_ in symbol.items() if symbol_ >= base}
+        parts = [names[i] if i >= base else [i] for i in sym.tolist()]
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        ids = np.fromiter((i for part in parts for i in part), np.int32, int(count.sum()))
+        return ids, np.where(np.repeat(other, count), 1, self.bytes_of[ids]).astype(np.int32), np.bincount(word, count, len(words)).astype(np.int64)
+
     def _ids(self, text: str) -> tuple[list[int], list[int]]:
         """Ids and the normalised bytes each covers."""
         ids, sizes = [], []
@@ -351,15 +434,20 @@ class Codec:
         if None not in found:
             return np.array(found, np.int64)
         fresh = list(dict.fromkeys(w for w, k in zip(words, found, strict=True) if k is None))
-        cut = [self._ids(w) for w in fresh]
+        if self.batched:
+            fresh.sort(key=len)  # long words, of which each merges by itself, come last
+            short = next((k for k, w in enumerate(fresh) if len(w) > self.WORD), len(fresh))
+        else:
+            short = 0
+        parts = [self._merge_words(fresh[:short])] if short else []
+        parts += [(np.array(i, np.int32), np.array(z, np.int32), np.array([len(i)])) for i, z in map(self._ids, fresh[short:])]
+        new_ids, new_sizes, count = (np.concatenate(x) for x in zip(*parts, strict=True))
         n, m = self.filled
-        count = np.fromiter((len(a) for a, _ in cut), np.int64, len(cut))
-        total = int(count.sum())
-        ids, sizes, starts = (_room(t, k) for t, k in zip(self.table, (n + total, n + total, m + len(cut)), strict=True))
-        ids[n : n + total] = np.fromiter((i for a, _ in cut for i in a), np.int32, total)
-        sizes[n : n + total] = np.fromiter((i for _, a in cut for i in a), np.int32, total)
-        starts[m : m + len(cut)] = n + np.cumsum(count)
-        self.table, self.filled = (ids, sizes, starts), (n + total, m + len(cut))
+        total = len(new_ids)
+        ids, sizes, starts = (_room(t, k) for t, k in zip(self.table, (n + total, n + total, m + len(fresh)), strict=True))
+        ids[n : n + total], sizes[n : n + total] = new_ids, new_sizes
+        starts[m : m + len(fresh)] = n + np.cumsum(count)
+        self.table, self.filled = (ids, sizes, starts), (n + total, m + len(fresh))
         now = dict(zip(fresh, range(m - 1, m - 1 + len(fresh)), strict=True))
         places = [now[w] if k is None else k for w, k in zip(words, found, strict=True)]
         known.update((w, k) for w, k in now.items() if len(w) <= self.WORD)

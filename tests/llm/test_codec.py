@@ -44,8 +44,13 @@ def test_both_normalisers_agree(both):
 def test_both_mergers_agree(both):
     _, own = both
     rng = random.Random(9)
-    words = ["".join(rng.choice("▁aeinrst日") for _ in range(rng.randint(1, 40))) for _ in range(1500)]
+    words = ["".join(rng.choice("▁aeinrst日") for _ in range(rng.randint(1, 40))) for _ in range(1500)] + ["a", "日", "▁▁", "\u0378x"]
     quick = [own.cut(w) for w in words]
+    ids, sizes, count = own._merge_words(words)
+    at = 0
+    for w, n in zip(words, count.tolist(), strict=True):
+        assert own._ids(w) == (ids[at : at + n].tolist(), sizes[at : at + n].tolist()), w
+        at += n
     own.WORD = 0
     try:
         assert [own.cut(w) for w in words] == quick
