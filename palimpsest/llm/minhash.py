@@ -197,16 +197,26 @@ def _sum(x: np.ndarray, places: np.ndarray) -> np.ndarray:
     return whole[places[1:]] - whole[places[:-1]]
 
 
-def sketch(docs: DataFrame, id: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
-    """id, k1, k2 (name of the shingle set), n (its size), s0..s3 (two bits a coordinate), bands array<long>."""
+def _occurrences(own: np.ndarray, gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, element), an element for each occurrence of a shingle: the first is the shingle itself, later ones are
+    told apart by number. The Jaccard similarity of such sets is the weighted one of the counts."""
+    if (count == 1).all():
+        return own, gram
+    rows = np.repeat(np.arange(len(own)), count)
+    number = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+    element = np.where(number > 0, mix(gram[rows] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), gram[rows])
+    return own[rows], element
+
+
+def sketch(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, k1, k2 (name of the shingles and their counts), n (their sum), s0..s3 (two bits a coordinate), bands array<long>."""
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             own, gram, count = shingles(texts)
             n = len(texts)
-            places = np.searchsorted(own, np.arange(n + 1))
-            sig = signatures(own, gram, count if weighted else np.ones(len(own)), n)
+            sig = signatures(own, gram, count, n)
             bands = sig[:, : BANDS * ROWS].reshape(n, BANDS, ROWS)
             key = np.zeros((n, BANDS), np.uint64)
             for r in range(ROWS):
@@ -214,12 +224,14 @@ def sketch(docs: DataFrame, id: str = "doc_id", text: str = "text", weighted: bo
             key = mix(key + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
             two = (sig & np.uint64(3)).reshape(n, 4, 32)
             short = np.bitwise_or.reduce(two << (2 * np.arange(32, dtype=np.uint64)), axis=2)
+            own, element = _occurrences(own, gram, count)
+            places = np.searchsorted(own, np.arange(n + 1))
             size = np.diff(places)
             offsets = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
-                    *(pa.array(_sum(mix(gram ^ salt(s)), places).view(np.int64)) for s in (7, 8)),
+                    *(pa.array(_name(element, places, s)) for s in (7, 8)),
                     pa.array(size.astype(np.int32)),
                     *(pa.array(short[:, s].copy().view(np.int64)) for s in range(4)),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[size > 0].reshape(-1).view(np.int64))),
@@ -233,21 +245,24 @@ def sketch(docs: DataFrame, id: str = "doc_id", text: str = "text", weighted: bo
     )
 
 
+def _name(element: np.ndarray, places: np.ndarray, s: int) -> np.ndarray:
+    return _sum(mix(element ^ salt(s)), places).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """id and the shingles of each text, array<long>; ``docs`` has id and text."""
+    """id, node (the first name of the text's shingles) and its elements, an occurrence of a shingle each, array<long>;
+    ``docs`` has id and text."""
     ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            own, gram, _ = shingles(texts)
+            own, element = _occurrences(*shingles(texts))
             places = np.searchsorted(own, np.arange(len(texts) + 1))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(gram.view(np.int64)))],
-                names=["id", "grams"],
-            )
+            grams = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(element.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_name(element, places, 7)), grams], names=["id", "node", "grams"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(work, f"id {kind}, grams array<long>")
+    return docs.select("id", "text").mapInArrow(work, f"id {kind}, node long, grams array<long>")
 
 
 def _agreement(a: str, b: str) -> Column:
@@ -255,73 +270,95 @@ def _agreement(a: str, b: str) -> Column:
     odd = F.lit(0x5555555555555555)
     total = F.lit(K)
     for s in range(4):
-        x = F.col(f"{a}.s{s}").bitwiseXOR(F.col(f"{b}.s{s}"))
+        x = F.col(f"{a}s{s}").bitwiseXOR(F.col(f"{b}s{s}"))
         total = total - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(odd))
     return total
 
 
 def _plausible(a: str, b: str) -> Column:
-    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
     return (_agreement(a, b) >= AGREE) & (small >= large * SIMILAR)
 
 
 def _similar(a: str, b: str) -> Column:
-    """Whether two shingle sets have a Jaccard similarity of SIMILAR or more."""
+    """Whether two sets have a Jaccard similarity of SIMILAR or more."""
     both = F.size(F.array_intersect(a, b))
     return both >= SIMILAR * (F.size(a) + F.size(b) - both) - 1e-9
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar."""
-    left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
+    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     return pairs.join(left, "a").join(right, "b").where(_similar("ga", "gb")).select("a", "b")
 
 
+#: Pairs of a bucket of up to so many classes are told by name and checked after; a class is in few such pairs. Buckets
+#: of more are compared within the join, which then gives links only, the one side of it in parts of so many.
+SMALL, PART = 64, 1024
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id, component (smallest id that links reach) and kept (id = component).
 
-    Documents link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Equal sets are one
-    class from the start, so exact copies cost one row each whatever their number. Null texts, empty texts and texts
-    without words link with nothing; rows that share an id are one document. Other columns don't take part, and an
-    empty table gives an empty result.
+    Documents link if the weighted Jaccard similarity of their five-word shingles, each weighing as often as it occurs,
+    is 0.8 or more. Equal weighted sets are one class from the start, so exact copies cost one row each whatever their
+    number. Null texts, empty texts and texts without words link with nothing. Rows that share an id and differ in
+    text are documents of their own; those with equal texts are alike. Null ids link with nothing. Other columns don't
+    take part, and an empty table gives an empty result.
 
     Within a bucket of the banded join, each class first tries the one other that looks most like it among the buckets'
     smallest; most of a group of copies is joined then. Only classes that share a bucket and still lie in different
-    components are then compared, those whose short sketches agree well enough, within the join itself: it gives links,
-    never candidate pairs, so no group is spelled out in pairs.
+    components are then compared, those whose short sketches agree well enough: on one side of it all of the bucket, on
+    the other what lies outside the bucket's smallest component.
     """
     sketches = cut(sketch(docs, id, text).where(F.col("id").isNotNull()))
-    named = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    reps = sketches.join(named, ["k1", "k2"]).where("id = rep")
-    rows = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    facts = reps.select("id", "n", "s0", "s1", "s2", "s3")
-    held = cut(rows.join(shared.select("bucket"), "bucket").distinct().join(facts, "id"))
-
-    pivot = held.groupBy("bucket").agg(F.min(F.struct("id", "n", "s0", "s1", "s2", "s3")).alias("p")).select("bucket", "p.*")
-    tries = held.alias("x").join(pivot.alias("y"), F.col("x.bucket") == F.col("y.bucket"))
-    tries = tries.where((F.col("x.id") != F.col("y.id")) & _plausible("x", "y"))
-    tries = tries.groupBy(F.col("x.id").alias("a")).agg(F.max(F.struct(_agreement("x", "y").alias("g"), F.col("y.id").alias("b"))).alias("m"))
+    facts = ("n", "s0", "s1", "s2", "s3")
+    named = sketches.where("n > 0").groupBy("k1", "k2")
+    reps = cut(named.agg(F.min("id").alias("rep"), F.any_value(F.struct(*facts, "bands")).alias("f")))
+    rows = reps.select(F.col("k1").alias("node"), F.explode("f.bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    own = reps.select(F.col("k1").alias("node"), F.col("rep").alias("id"), *(f"f.{c}" for c in facts))
+    held = cut(rows.join(shared, "bucket").join(own, "node"))
+
+    # The smallest id: of a group of copies it mostly is the one that the others are copies of, in every bucket.
+    pivot = held.groupBy("bucket").agg(F.min(F.struct("id", "node", *facts)).alias("p"))
+    tries = held.join(pivot, "bucket").where((F.col("node") != F.col("p.node")) & _plausible("", "p."))
+    tries = tries.groupBy(F.col("node").alias("a")).agg(F.max(F.struct(_agreement("", "p.").alias("g"), F.col("p.node").alias("b"))).alias("t"))
     source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    candidates = held.select("id").distinct()
-    sets = cut(shingle_sets(source.join(candidates, "id", "left_semi")).dropDuplicates(["id"]))
-    linked = cut(_verified(tries.select("a", "m.b"), sets))
-
-    groups = components(linked)
-    placed = held.join(groups, held["id"] == groups["node"], "left").select(held["*"], F.coalesce("component", "id").alias("c"))
-    placed = cut(placed)
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    rest = cut(placed.join(open_, "bucket", "left_semi").join(sets, "id"))
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c"))
-    linking = apart & _plausible("x", "y") & _similar("x.grams", "y.grams")
-    more = rest.alias("x").join(rest.alias("y"), linking).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    groups = components(linked.unionByName(more))
-
-    classes = named.join(groups, named["rep"] == groups["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("c"))
+    candidates = held.select("id", "node").distinct()
+    sets = shingle_sets(source.join(candidates.select("id").distinct(), "id", "left_semi"))
+    sets = cut(sets.join(candidates, ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "grams"))
+    linked = cut(_verified(tries.select("a", "t.b"), sets))
+
+    first = components(linked)
+    placed = cut(held.drop("id").join(first, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
+    open_ = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket", "lo")
+    rest = cut(placed.join(open_, "bucket"))
+    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c"))
+    apart &= (F.col("y.c") == F.col("y.lo")) | (F.col("x.node") < F.col("y.node"))
+    few = rest.where(F.col("m") <= SMALL)
+    pairs = few.where("c <> lo").alias("x").join(few.alias("y"), apart & _plausible("x.", "y."))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    # A pair shares many buckets: the smallest of them is where it is compared. Both sides are dealt out as they are, for
+    # adaptive execution would cut both sides of a hot bucket and run each pair of cuts as a task.
+    many = rest.where(F.col("m") > SMALL).join(sets, "node").join(reps.select(F.col("k1").alias("node"), "f.bands"), "node")
+    many = many.withColumn("parts", F.ceil(F.col("m") / PART).cast("int"))
+    left = many.where("c <> lo").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).repartition("bucket", "part")
+    right = many.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).repartition("bucket", "part")
+    owner = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
+    linking = (F.col("x.part") == F.col("y.part")) & apart & _plausible("x.", "y.") & owner & _similar("x.grams", "y.grams")
+    # One link of a class to each other component says as much as all.
+    within = left.alias("x").join(right.alias("y"), linking).groupBy(F.col("x.node").alias("a"), F.col("y.c").alias("c"))
+    within = within.agg(F.min("y.node").alias("b")).select("a", "b")
+    groups = components(linked.unionByName(_verified(pairs, sets)).unionByName(within))
+
+    classes = reps.select("k1", "k2", "rep").join(groups, reps["k1"] == groups["node"], "left").select("k1", "k2", "rep", F.coalesce("component", "k1").alias("c"))
+    least = classes.groupBy("c").agg(F.min("rep").alias("component"))
+    classes = classes.join(least, "c").select("k1", "k2", "component")
     found = sketches.join(classes, ["k1", "k2"], "left")
     # A row without words belongs to no class, though all such rows have one name.
-    component = F.when(F.col("n") > 0, F.coalesce("c", "id")).otherwise(F.col("id"))
-    own = found.select("id", component.alias("component"))
+    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    told = found.select("id", component.alias("component"))
     alone = docs.where(F.col(id).isNull()).select(F.col(id).alias("id"), F.col(id).alias("component"))
-    return own.unionByName(alone).select(F.col("id").alias(id), "component", F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    return told.unionByName(alone).select(F.col("id").alias(id), "component", F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
