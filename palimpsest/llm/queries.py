@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontaminate, html, linededup, minhash, pq, rules, sentencepiece_codec, shard, warc
+from palimpsest.llm import chat, codes, decontaminate, html, linededup, minhash, negatives, packing, pq, rules, sentencepiece_codec, shard, warc
 from palimpsest.llm.common import table
 
 
@@ -211,6 +211,84 @@ FROM b
 """
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of five positives of every fiftieth embedding; every seventh label is shifted."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(CASE WHEN len(a.e) = len(b.e) THEN list_inner_product(a.e, b.e) END AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
+def word_tokenizer() -> str:
+    """The word tokenizer's file, as text."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in sequences of 4,096."""
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding's code, its error and that of its label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    coded = codes.encode(rows, codes.fit(rows)).drop("embedding")
+    return codes.with_group_errors(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op13_sql(rounds: int = 6) -> str:
+    """Rounds as one step after another; doubles hold these integers and their sums exactly."""
+    near = """near{i} AS MATERIALIZED (
+  SELECT p.vec_id, p.k, any_value(p.e) AS e, arg_min(b.j, (b.n - 2 * list_inner_product(p.e, b.e)) * 16 + b.j) AS j,
+    any_value(p.n) + min(b.n - 2 * list_inner_product(p.e, b.e)) AS d
+  FROM p JOIN book{i} b ON b.k = p.k GROUP BY p.vec_id, p.k)"""
+    book = """sums{i} AS (
+  SELECT k, j, place, floor(sum(c) / count(*)) AS c FROM (SELECT k, j, unnest(e) AS c, unnest(range(len(e))) AS place FROM near{i}) GROUP BY k, j, place),
+new{i} AS (SELECT k, j, list(c ORDER BY place) AS e FROM sums{i} GROUP BY k, j),
+book{n} AS MATERIALIZED (
+  SELECT b.k, b.j, coalesce(new{i}.e, b.e) AS e, list_inner_product(coalesce(new{i}.e, b.e), coalesce(new{i}.e, b.e)) AS n
+  FROM book{i} b LEFT JOIN new{i} ON new{i}.k = b.k AND new{i}.j = b.j)"""
+    steps = [near.format(i=i) + ",\n" + book.format(i=i, n=i + 1) for i in range(rounds)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cuts AS (SELECT vec_id, k, e[CAST(k * len(e) // 8 + 1 AS BIGINT) : CAST((k + 1) * len(e) // 8 AS BIGINT)] AS e FROM v, (SELECT unnest(range(8)) AS k)),
+p AS MATERIALIZED (SELECT *, list_inner_product(e, e) AS n FROM cuts),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM v QUALIFY j < 16),
+book0 AS MATERIALIZED (SELECT k, j, e, n FROM p JOIN seeds USING (vec_id)),
+{(',' + chr(10)).join(steps)},
+{near.format(i=rounds)},
+digest AS (
+  SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY k, j, place)) AS codebooks_sha256
+  FROM (SELECT k, j, unnest(e) AS c, unnest(range(len(e))) AS place FROM book{rounds})),
+coded AS (SELECT vec_id, string_agg(printf('%02x', j), '' ORDER BY k) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (vec_id), digest
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat": op2_chat,
@@ -222,6 +300,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_html": op9_html,
     "op10_warc": op10_warc,
+    "op11_negatives": op11_negatives,
+    "op12_packing": op12_packing,
+    "op13_codes": op13_codes,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
@@ -229,4 +310,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op7_embeddings": OP7_SQL,
     "op10_warc": OP10_SQL,
+    "op11_negatives": OP11_SQL,
+    "op13_codes": OP13_SQL,
 }
