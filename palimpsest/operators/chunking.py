@@ -175,31 +175,4 @@ def chunks_native(docs: DataFrame, text: str, target: int = TARGET, overlap: int
     return cut.select(*docs.columns, F.posexplode(windows_of("__t", target, overlap)).alias("chunk_index", "chunk"))
 
 
-def greedy_batches(df: DataFrame, weight: str, order: list[str], most_rows: int = 128, most_weight: int = 100_000) -> DataFrame:
-    """``df`` with batch long: rows in order, a new batch when the next would pass either bound.
-
-    The state resets at every batch, so this is one pass over one ordered stream: for lists that a single client will
-    send anyway. Only ``df``'s columns travel to that task, through a shuffle, so that what makes them stays parallel.
-    """
-    ship(df.sparkSession)
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batch = rows = total = 0
-        for pdf in frames:
-            out = []
-            for w in pdf[weight]:
-                if rows and (rows >= most_rows or total + w > most_weight):
-                    batch, rows, total = batch + 1, 0, 0
-                rows += 1
-                total += w
-                out.append(batch)
-            yield pdf.assign(batch=out)
-
-    return df.repartition(1).sortWithinPartitions(*order).mapInPandas(work, _with(df, "batch long"))
-
-
-def _with(df: DataFrame, more: str) -> str:
-    return ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), more])
-
-
-__all__ = ["BlankTokenizer", "PieceTokenizer", "chunk", "chunk_documents", "chunk_titled", "chunks_native", "fold_short", "greedy_batches", "native_sections", "prefixed", "sections", "token_windows", "windows_of"]
+__all__ = ["BlankTokenizer", "PieceTokenizer", "chunk", "chunk_documents", "chunk_titled", "chunks_native", "fold_short", "native_sections", "prefixed", "sections", "token_windows", "windows_of"]

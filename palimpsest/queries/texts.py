@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.functions.identity import chunk_ref, drop_fields, forum_chunk_index, forum_document, json_hash, object_key, safe
-from palimpsest.operators import chunking
+from palimpsest.operators import batches, chunking
 from palimpsest.plans.corpus import estimate
 from palimpsest.queries.registry import query, table
 
@@ -225,8 +225,8 @@ BATCHES = """
 WITH RECURSIVE o AS (SELECT item_id, length(text) AS w, row_number() OVER (ORDER BY item_id) AS i FROM benchmark), f AS (
   SELECT item_id, w, i, CAST(0 AS BIGINT) AS batch, 1 AS n, w AS total FROM o WHERE i = 1
   UNION ALL
-  SELECT o.item_id, o.w, o.i, CASE WHEN f.n >= 5 OR f.total + o.w > 900 THEN f.batch + 1 ELSE f.batch END,
-    CASE WHEN f.n >= 5 OR f.total + o.w > 900 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 5 OR f.total + o.w > 900 THEN o.w ELSE f.total + o.w END
+  SELECT o.item_id, o.w, o.i, CASE WHEN f.n >= 128 OR f.total + o.w > 100000 THEN f.batch + 1 ELSE f.batch END,
+    CASE WHEN f.n >= 128 OR f.total + o.w > 100000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 128 OR f.total + o.w > 100000 THEN o.w ELSE f.total + o.w END
   FROM f JOIN o ON o.i = f.i + 1)
 SELECT item_id, batch FROM f
 """
@@ -235,13 +235,26 @@ SELECT item_id, batch FROM f
 @query(BATCHES)
 def greedy_batches(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "benchmark").select("item_id", F.length("text").cast("long").alias("w"))
-    return chunking.greedy_batches(rows, "w", ["item_id"], 5, 900).select("item_id", "batch")
+    return batches.greedy_batches(rows, "w", ["item_id"]).select("item_id", "batch")
 
 
-@query(BATCHES.replace("benchmark", "documents").replace("item_id", "doc_id").replace("n >= 5", "n >= 128").replace("> 900", "> 100000"))
+@query(BATCHES.replace("benchmark", "documents").replace("item_id", "doc_id"))
 def greedy_batches_documents(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("w"))
-    return chunking.greedy_batches(rows, "w", ["doc_id"]).select("doc_id", "batch")
+    return batches.greedy_batches(rows, "w", ["doc_id"]).select("doc_id", "batch")
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT event_id, event_id * 7919 % 1600 AS w, row_number() OVER (ORDER BY event_id) AS i FROM events),
+p AS MATERIALIZED (SELECT *, sum(w) OVER (ORDER BY i) AS upto, sum(w) OVER (ORDER BY i) - w AS before FROM o),
+n AS MATERIALIZED (SELECT a.i, a.i + greatest(1, count(*) FILTER (b.upto <= a.before + 100000)) AS nxt FROM (SELECT i, before, unnest(range(128)) AS k FROM p) a JOIN p b ON b.i = a.i + k GROUP BY a.i),
+s AS (SELECT CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS batch UNION ALL SELECT n.nxt, batch + 1 FROM s JOIN n USING (i))
+SELECT event_id, batch FROM o ASOF JOIN s ON o.i >= s.i
+""")
+def greedy_batches_events(spark: SparkSession, d: str) -> DataFrame:
+    """Both bounds bind in turns, and the list goes over several blocks."""
+    rows = table(spark, d, "events").select("event_id", (F.col("event_id") * 7919 % 1600).alias("w"))
+    return batches.greedy_batches(rows, "w", ["event_id"], block=4096).select("event_id", "batch")
 
 
 @query(f"SELECT count(*) AS chunks, CAST(sum(n) AS BIGINT) AS tokens, round(CAST(sum(n) AS BIGINT) / 1e6 * 0.131, 6) AS cost FROM (SELECT {TOKENS.format('text')} AS n FROM documents)")

@@ -95,11 +95,6 @@ def test_titles():
     assert chunking.chunk_titled(None, None, None, blank) == []
 
 
-def test_greedy_batches(spark):
-    df = spark.createDataFrame([(i, w) for i, w in enumerate([5, 5, 5, 20, 1, 1, 1])], "i int, w long")
-    assert [r.batch for r in chunking.greedy_batches(df, "w", ["i"], 2, 10).orderBy("i").collect()] == [0, 0, 1, 2, 3, 3, 4]
-
-
 def test_prune_and_hash():
     post = {"post_stream": {"posts": [{"id": 1, "reads": 5}, {"id": 2, "reads": 6}]}, "views": 3, "id": 9}
     again = {"id": 9, "post_stream": {"posts": [{"reads": 7, "id": 1}, {"id": 2}]}, "views": 4}
