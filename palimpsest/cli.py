@@ -10,7 +10,7 @@ from typing import Any
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators.answers import hashing_embedder
+from palimpsest.operators.embedding import hashing_embedder
 from palimpsest.operators.search import K, MAX_DISTANCE, MIN_GAP, search
 from palimpsest.plans.ask import MODEL, SCHEME
 

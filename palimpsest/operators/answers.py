@@ -110,45 +110,6 @@ def overlap_judge(questions: list[str], texts: list[str]) -> list[int]:
     return out
 
 
-def embed(docs: DataFrame, embedder: Callable[[list[str]], list[list[float]]], text: str = "chunk", out: str = "embedding") -> DataFrame:
-    """``docs`` with vectors from an injected ``embedder`` of lists of texts."""
-    ship(docs.sparkSession)
-
-    @F.pandas_udf("array<float>")
-    def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(in_order(embedder(texts.fillna("").tolist()), len(texts)))
-
-    return docs.withColumn(out, work(F.col(text)))
-
-
-def in_order(found: list, n: int) -> list[list[float]]:
-    """``n`` vectors in the order of their texts: as they come, or by the index that an API's items carry."""
-    if found and isinstance(found[0], dict):
-        found = sorted(found, key=lambda item: item["index"])
-        if [item["index"] for item in found] != list(range(len(found))):
-            raise ValueError("the embedder's items don't have each index once")
-        found = [item["embedding"] for item in found]
-    if len(found) != n:
-        raise ValueError("the embedder gave another number of vectors than texts")
-    return found
-
-
-def hashing_embedder(texts: list[str], dims: int = 64) -> list[list[float]]:
-    """The offline embedder: signed word hashes, scaled to unit length."""
-    import zlib
-
-    out = []
-    for text in texts:
-        v = [0.0] * dims
-        for word in re.findall(r"\w+", text.lower()):
-            h = zlib.crc32(word.encode())
-            v[h % dims] += 1.0 if h >> 16 & 1 else -1.0
-        size = sum(x * x for x in v) ** 0.5 or 1.0
-        out.append([x / size for x in v])
-    return out
-
-
 def is_gap(relevant: int, rows: int) -> bool:
     """Neither passages nor structured rows: say so instead of answering."""
     return not relevant and not rows

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import answers
+from palimpsest.operators.embedding import hashing_embedder
 from palimpsest.operators.search import empty_groups, fan_out, filtered, narrowed, search
 from palimpsest.plans.templates import TemplateError, Templates
 
@@ -52,7 +53,7 @@ class Assistant:
     vectors: DataFrame
     templates: Templates
     dimension: DataFrame
-    embedder: Callable[[list[str]], list[list[float]]] = answers.hashing_embedder
+    embedder: Callable[[list[str]], list[list[float]]] = hashing_embedder
     router: Callable[[str, list[str]], dict[str, Any]] = offline_router
     judge: Callable[[list[str], list[str]], list[int]] = answers.overlap_judge
     writer: Callable[[str, list[dict[str, Any]], list[dict[str, Any]]], str] = offline_writer

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.identity import VOLATILE, json_hash, object_key
-from palimpsest.operators.answers import embed, hashing_embedder
+from palimpsest.operators.embedding import Embedder, embed, hashing_embedder, usage
 from palimpsest.operators.upsert import VersionedTable
 from palimpsest.plans import corpus, silver
+from palimpsest.shared import scratch
 from palimpsest.sources.objects import protocols, scan_proposals, scan_topics, write_manifest, write_objects
 from palimpsest.sources.paged import OBJECTS, Transport, proposal_objects, read_paged, topic_objects
 
@@ -34,7 +34,7 @@ def harvest(spark: SparkSession, transport: Transport, path: str, run: str, name
 
 
 def run(
-    spark: SparkSession, proposals_path: str, topics_path: str, out: str, embedder: Callable[[list[str]], list[list[float]]] = hashing_embedder,
+    spark: SparkSession, proposals_path: str, topics_path: str, out: str, embedder: Embedder = hashing_embedder,
     model: str = "hashing", scheme: str = "v2", ceiling: float = corpus.CEILING,
 ) -> dict[str, Any]:
     """Build and merge both version tables, then embed the chunks that are new under a cost ceiling; a report."""
@@ -51,7 +51,11 @@ def run(
     stored = vectors.read().where((F.col("embedding_model") == model) & (F.col("chunk_scheme") == scheme)) if vectors.versions() else chunks.limit(0)
     fresh = corpus.pending(chunks, stored)
     report["cost"] = corpus.check_cost(fresh, ceiling)
-    made: DataFrame = embed(fresh, embedder).withColumns({"embedding_model": F.lit(model), "chunk_scheme": F.lit(scheme)})
+    paid = scratch(spark, "embedded")
+    embed(fresh, embedder, tokens=F.col("tokens"), calls=True).write.parquet(f"{paid}/rows")  # what follows reads it again and pays nothing
+    made = spark.read.parquet(f"{paid}/rows")
+    report["embedding"] = usage(made).first().asDict()
+    made = made.drop("embed_call", "embed_place", "embed_tokens", "embed_billed").withColumns({"embedding_model": F.lit(model), "chunk_scheme": F.lit(scheme)})
     made = made.withColumn("chunk_id", F.sha2(F.concat_ws("|", "content_hash", "chunk_index", "embedding_model", "chunk_scheme"), 256))
     report["vectors"] = vectors.merge(made, ["content_hash", "chunk_index", "embedding_model", "chunk_scheme"])
     report["dropped"] = dropped.first().asDict()

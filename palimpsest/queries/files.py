@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import schemas
 from palimpsest.functions.identity import VOLATILE, json_hash, object_key
-from palimpsest.operators import answers, chunking
+from palimpsest.operators import answers, chunking, embedding
 from palimpsest.operators.upsert import VersionedTable, apply_ddl
 from palimpsest.plans import corpus, pipeline, silver
 from palimpsest.queries.registry import query, table
@@ -229,6 +229,12 @@ def label_report(spark: SparkSession, d: str) -> DataFrame:
     return answers.unresolved(answers.resolve_labels(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"], ["quality"]))
 
 
+def billing_embedder(texts: list[str]) -> dict[str, Any]:
+    """An API's whole answer; it bills a token for each word and one for each text."""
+    words = sum(len([w for w in t.replace("\n", " ").split(" ") if w]) for t in texts)
+    return {"data": counting_embedder(texts), "usage": {"total_tokens": words + len(texts)}}
+
+
 def counting_embedder(texts: list[str]) -> list[dict[str, Any]]:
     """What an API might answer: items out of order, each with its text's index."""
     return [{"index": i, "embedding": [float(len(texts[i])), float(texts[i].count("e"))]} for i in reversed(range(len(texts)))]
@@ -236,10 +242,20 @@ def counting_embedder(texts: list[str]) -> list[dict[str, Any]]:
 
 @query("SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS chars, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) AS DOUBLE) AS es FROM documents")
 def embed_texts(spark: SparkSession, d: str) -> DataFrame:
-    made = answers.embed(table(spark, d, "documents").select("doc_id", "text"), counting_embedder, "text")
+    made = embedding.embed(table(spark, d, "documents").select("doc_id", "text"), counting_embedder, "text")
     return made.select("doc_id", F.get("embedding", F.lit(0)).cast("double").alias("chars"), F.get("embedding", F.lit(1)).cast("double").alias("es"))
 
 
+@query("""
+SELECT count(*) AS texts, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) + count(*) AS BIGINT) AS billed, CAST(0 AS BIGINT) AS over_texts, CAST(0 AS BIGINT) AS over_tokens, CAST(0 AS BIGINT) AS early FROM (
+  SELECT len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n]+'), lambda t: t <> '')) AS n FROM documents)
+""")
+def embed_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Whatever the partitions: all texts are embedded once, no call passes a bound, none is closed early."""
+    made = embedding.embed(table(spark, d, "documents").select("doc_id", "text"), billing_embedder, "text", calls=True)
+    return embedding.usage(made).drop("calls")
+
+
 @query("SELECT doc_id, CAST(length(text[:900]) % 4 AS INTEGER) AS score FROM documents WHERE length(text[:900]) % 4 >= 2")
 def judge_passages(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", "text", F.lit("why?").alias("question"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import answers
+from palimpsest.operators.embedding import embed, hashing_embedder
 from palimpsest.queries.registry import query, table
 
 RAW = """
@@ -77,7 +78,7 @@ def ask(spark: SparkSession, d: str) -> DataFrame:
         F.lit(0).cast("long").alias("chunk_index"), F.col("o_orderkey").cast("string").alias("chunk_id"), chunk.alias("chunk"), F.lit(MODEL).alias("embedding_model"), F.lit(SCHEME).alias("chunk_scheme"),
     )
     dimension = spark.createDataFrame([(p,) for p in PRIORITIES], "protocol_name string")
-    me = Assistant(spark, answers.embed(chunks, answers.hashing_embedder), templates(spark, d), dimension)
+    me = Assistant(spark, embed(chunks, hashing_embedder), templates(spark, d), dimension)
     asked = ("how many proposals are there", "what about nothing3 nothing4 nothing5", "tell about proposal word1 word2 word3")
     said = [(q, me.ask(q)) for q in asked]
     return spark.createDataFrame([(q, a.data_gap, len(a.rows), bool(a.citations)) for q, a in said], "question string, data_gap boolean, rows bigint, cited boolean")

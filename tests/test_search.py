@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import answers, search
+from palimpsest.operators import answers, embedding, search
 
 
 def hits(spark, distances, documents=None):
@@ -166,10 +166,10 @@ def test_scopes_and_labels(spark):
 
 def test_vectors_take_the_order_of_their_index():
     items = [{"index": 1, "embedding": [1.0]}, {"index": 0, "embedding": [0.0]}]
-    assert answers.in_order(items, 2) == [[0.0], [1.0]] and answers.in_order([[3.0]], 1) == [[3.0]]
+    assert embedding.in_order(items, 2) == [[0.0], [1.0]] and embedding.in_order([[3.0]], 1) == [[3.0]]
     for wrong, n in ((items, 3), ([{"index": 2, "embedding": []}], 1), ([[1.0]], 2)):
         with pytest.raises(ValueError):
-            answers.in_order(wrong, n)
+            embedding.in_order(wrong, n)
 
 
 def test_keep_relevant_counts_missing_as_zero(spark):
