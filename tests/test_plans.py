@@ -47,7 +47,8 @@ def test_first_and_second_run(built):
     assert first["forum_posts"] == {"inserts": 9, "updates": 0}
     assert first["dropped"] == {"boilerplate": 3, "unaddressable": 2, "short": 2}
     assert first["vectors"]["inserts"] == 3  # equal posts on two hosts share a text and are embedded once
-    assert second == first | {"proposal_versions": {"inserts": 0, "updates": 0}, "forum_posts": {"inserts": 0, "updates": 0}, "vectors": {"inserts": 0, "updates": 0}, "cost": 0.0}
+    assert (first["embedding"]["texts"], first["embedding"]["calls"], first["embedding"]["billed"]) == (3, 1, 75)  # the second run calls nobody
+    assert second == first | {"embedding": dict.fromkeys(first["embedding"], 0), "proposal_versions": {"inserts": 0, "updates": 0}, "forum_posts": {"inserts": 0, "updates": 0}, "vectors": {"inserts": 0, "updates": 0}, "cost": 0.0}
 
 
 def test_same_topic_on_two_hosts_keeps_apart(spark, built):
