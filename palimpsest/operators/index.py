@@ -44,6 +44,18 @@ def probed(query: list[float], normals: np.ndarray, flips: int = FLIPS) -> list[
     return sorted(own ^ sum(1 << i for i in some) for k in range(min(flips, n) + 1) for some in combinations(range(n), k))
 
 
-def nearest(table: DataFrame, query: list[float], k: int, normals: np.ndarray, flips: int = FLIPS, bucket: str = "bucket", tie: str = "vec_id") -> DataFrame:
-    """The ``k`` nearest of the rows in the buckets that are probed, with their exact distance."""
-    return ranked(table.where(F.col(bucket).isin(probed(query, normals, flips))), query, k, tie=tie)
+def near_buckets(query: list[float], normals: np.ndarray, n: int) -> list[int]:
+    """The ``n`` buckets most likely to hold neighbours: those that cross the planes nearest to the query (by the sum of
+    the squared distances to the planes crossed), its own first."""
+    margin = normals @ np.array(query, float) / np.sqrt((normals * normals).sum(1))
+    every = np.arange(1 << len(normals))
+    own = sum(1 << i for i, side in enumerate(margin >= 0) if side)
+    crossed = ((every ^ own)[:, None] >> np.arange(len(normals))) & 1
+    return [int(b) for b in np.argsort(crossed @ (margin * margin), kind="stable")[:n]]
+
+
+def nearest(table: DataFrame, query: list[float], k: int, normals: np.ndarray, flips: int = FLIPS, bucket: str = "bucket", tie: str = "vec_id", buckets: int | None = None) -> DataFrame:
+    """The ``k`` nearest of the rows in the buckets that are probed, with their exact distance: those that differ in up to
+    ``flips`` bits, or as many ``buckets`` as given, by distance to the planes."""
+    wanted = probed(query, normals, flips) if buckets is None else near_buckets(query, normals, buckets)
+    return ranked(table.where(F.col(bucket).isin(wanted)), query, k, tie=tie)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from palimpsest.functions.vectors import cosine_distance
 from palimpsest.operators.scd2 import valid_at
@@ -16,8 +17,8 @@ from palimpsest.shipping import ship
 K, MAX_DISTANCE, MIN_GAP, EXEMPT, PER_DOCUMENT = 5, 0.48, 0.025, 0.42, 1
 #: Rows fetched for each one wanted when documents are capped, and the window of the gate.
 FETCH, GATE_WINDOW = 4, 10
-#: Queries of one matrix product, and about how many rows each part of the vectors has where many blocks meet them.
-BLOCK, PART = 4096, 4096
+#: Queries of one matrix product, and about how many rows each part of the vectors has where more queries meet them.
+BLOCK, PART = 4096, 16_384
 
 
 def filtered(
@@ -97,61 +98,109 @@ def search(
     return hits if max_distance is None else hits.where(F.col("distance") <= max_distance)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; those of length 0 stay."""
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+
+def matrix(column: pa.ListArray) -> np.ndarray:
+    """A column of vectors of one length, without nulls, as doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def best_of(q: np.ndarray, x: np.ndarray, ties: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` rows of ``x`` nearest to each row of ``q``: (query, row, distance), a query's together and in order, ties
+    by ``ties``. All are unit vectors. Only rows as near as the kth are sorted."""
+    if not k or not len(x) or not len(q):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    d = 1 - q @ x.T
+    near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] if len(x) > k else np.ones(d.shape, bool)
+    i, j = np.nonzero(near)
+    order = np.lexsort((ties[j], d[i, j], i))
+    i, j = i[order], j[order]
+    first = np.searchsorted(i, np.arange(len(q)))
+    keep = np.arange(len(i)) - first[i] < k
+    return i[keep], j[keep], d[i[keep], j[keep]]
+
+
+def meet(rows: DataFrame, probes: DataFrame, k: int, embedding: str, tie: str, query: str, query_vector: str, tasks: int) -> DataFrame:
+    """The ``k`` nearest rows of each probe in each part: query, distance, and the rows' columns but the vector.
+
+    Both sides have __part, ``rows`` so that a part fits into a task. A part's rows are held and its probes stream past
+    them, BLOCK at a time, so however many probes come, a task holds no more.
+    """
+    ship(rows.sparkSession)
+    kept = [c for c in rows.columns if c not in (embedding, "__part")]
+    kinds = dict(rows.dtypes)
+    at_query = dict(probes.dtypes)[query]
+    none = lambda t: F.lit(None).cast(t)
+    left = rows.where(F.col(embedding).isNotNull()).select("__part", F.lit(0).alias("__role"), none(at_query).alias("__q"), F.col(embedding).cast("array<double>").alias("__v"), *kept)
+    right = probes.select("__part", F.lit(1).alias("__role"), F.col(query).alias("__q"), F.col(query_vector).cast("array<double>").alias("__v"), *(none(kinds[c]).alias(c) for c in kept))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gathered, held = None, [], None
+        for whole in batches:
+            parts, roles = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            turns = np.flatnonzero(np.concatenate([[True], (parts[1:] != parts[:-1]) | (roles[1:] != roles[:-1])]))
+            for a, b in zip(turns, [*turns[1:], whole.num_rows], strict=True):
+                if roles[a] == 0:
+                    if now != parts[a]:
+                        now, gathered, held = parts[a], [], None
+                    gathered.append(whole.slice(a, b - a))
+                    continue
+                if now != parts[a]:
+                    continue  # a part without rows
+                if held is None:
+                    t = pa.Table.from_batches(gathered).combine_chunks().to_batches()[0]
+                    held, gathered = (t, unit(matrix(t.column(3))), t.column(4 + kept.index(tie)).to_numpy(zero_copy_only=False)), []
+                for start in range(a, b, BLOCK):
+                    some = whole.slice(start, min(BLOCK, b - start))
+                    i, j, d = best_of(unit(matrix(some.column(3))), held[1], held[2], k)
+                    yield pa.RecordBatch.from_arrays([some.column(2).take(pa.array(i)), pa.array(d), *(held[0].column(4 + n).take(pa.array(j)) for n in range(len(kept)))], names=[query, "distance", *kept])
+
+    schema = ", ".join([f"`{query}` {at_query}", "distance double", *(f"`{c}` {kinds[c]}" for c in kept)])
+    both = left.unionByName(right).repartition(max(1, min(tasks, 20_000)), "__part").sortWithinPartitions("__part", "__role")
+    return both.mapInArrow(work, schema)
+
+
+def first_of_each(near: DataFrame, k: int, query: str, tie: str) -> DataFrame:
+    """The first ``k`` rows of each query with rank."""
+    w = Window.partitionBy(query).orderBy("distance", tie)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query, "rank", "distance", *(c for c in near.columns if c not in (query, "distance")))
+
+
 def search_many(vectors: DataFrame, queries: DataFrame, k: int, embedding: str = "embedding", tie: str = "vec_id", query: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """The ``k`` nearest rows of every query: query, rank, distance, and the rows' columns but the vector.
 
     Up to BLOCK queries are a block on the driver; each Arrow batch is one matrix product and keeps its k best of every
-    query, so what is shuffled is k rows a query and batch. More queries are dealt by hash into blocks that meet every
-    hashed part of the vectors on the executors: the same products, and neither side is ever in one place.
+    query, so what is shuffled is k rows a query and batch. With more queries the vectors are dealt once, by hash, into
+    parts of about PART, and queries stream past every part. (``pivots`` has an index that rules parts out.)
     """
     ship(vectors.sparkSession)
     rows = queries.select(query, query_vector).limit(BLOCK + 1).collect()
     kept = [c for c in vectors.columns if c != embedding]
-    most = BLOCK
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-
-    def best_of(pdf: pd.DataFrame, ids: list, q: np.ndarray) -> Iterator[pd.DataFrame]:
-        d = 1 - q @ unit(np.stack(pdf[embedding].to_numpy()).astype(np.float64)).T
-        ties = pdf[tie].to_numpy()
-        for i, row in enumerate(d):
-            best = np.lexsort((ties, row))[:k]
-            yield pdf.iloc[best][kept].assign(**{query: ids[i], "distance": row[best]})[[query, "distance", *kept]]
-
-    kind = dict(queries.dtypes)[query]
-    schema = ", ".join([f"`{query}` {kind}", "distance double", *(f"`{c}` {t}" for c, t in vectors.dtypes if c != embedding)])
-    if len(rows) <= most:
-        ids = [r[0] for r in rows]
-        q = unit(np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1))
-
-        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                pdf = pdf[pdf[embedding].notna()]
-                if not pdf.empty and ids:
-                    yield from best_of(pdf, ids, q)
-
-        near = vectors.mapInPandas(work, schema)
-    else:
-        # Half a block on average, so that hashing fills none beyond it; one that is larger is worked on in slices.
-        blocks = -(-2 * queries.count() // most)
+    if len(rows) > BLOCK:
         parts = -(-vectors.count() // PART) or 1
+        left = vectors.withColumn("__part", F.pmod(F.xxhash64(tie, embedding), F.lit(parts)).cast("int"))
+        right = queries.select(query, query_vector, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"))
+        return first_of_each(meet(left, right, k, embedding, tie, query, query_vector, parts), k, query, tie)
+    ids, kind, id_type = [r[0] for r in rows], dict(queries.dtypes)[query], to_arrow_type(queries.schema[query].dataType)
+    q = unit(np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1))
+    at, at_tie = vectors.columns.index(embedding), vectors.columns.index(tie)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = None
+        for whole in batches:
+            batch = whole.filter(whole.column(at).is_valid())
+            if not batch.num_rows or not ids:
+                continue
+            named = pa.array(ids, id_type) if named is None else named
+            i, j, d = best_of(q, unit(matrix(batch.column(at))), batch.column(at_tie).to_numpy(zero_copy_only=False), k)
+            found = batch.take(pa.array(j))
+            yield pa.RecordBatch.from_arrays([named.take(pa.array(i)), pa.array(d), *(found.column(c) for c in kept)], names=[query, "distance", *kept])
 
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            found = []
-            for at in range(0, len(right) if len(left) else 0, most):
-                block = right.iloc[at : at + most]
-                found += best_of(left, block[query].tolist(), unit(np.stack(block[query_vector].to_numpy()).astype(np.float64)))
-            return pd.concat(found) if found else pd.DataFrame(columns=[query, "distance", *kept])
-
-        every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-        dealt = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
-        left = vectors.where(F.col(embedding).isNotNull()).withColumn("__part", dealt(parts, tie, embedding)).select("*", every(blocks, "__block"))
-        right = queries.select(query, query_vector, dealt(blocks, query, query_vector).alias("__block")).select("*", every(parts, "__part"))
-        near = left.groupBy("__block", "__part").cogroup(right.groupBy("__block", "__part")).applyInPandas(meet, schema)
-    w = Window.partitionBy(query).orderBy("distance", tie)
-    best = near.withColumn("rank", F.row_number().over(w))
-    return best.where(F.col("rank") <= k).select(query, "rank", "distance", *kept)
+    schema = ", ".join([f"`{query}` {kind}", "distance double", *(f"`{c}` {t}" for c, t in vectors.dtypes if c != embedding)])
+    return first_of_each(vectors.mapInArrow(work, schema), k, query, tie)
 
 
 def fan_out(

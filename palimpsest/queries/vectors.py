@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import answers, index, search
+from palimpsest.operators.pivots import PivotIndex
 from palimpsest.queries.registry import query, table
 from palimpsest.shared import scratch
 
@@ -240,3 +241,18 @@ def ann_all_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Probing every bucket is the exact search."""
     normals = index.planes(len(query_vector(spark, d)), bits=3)
     return index.nearest(index.indexed(vectors(spark, d), normals), query_vector(spark, d), 10, normals, flips=3).select("vec_id", shown())
+
+
+@query(f"SELECT vec_id, label, {SHOWN} FROM ({TOP.format(10)})")
+def pivot_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The exact nearest rows through an index, by the bands that their distances to pivots must lie in."""
+    made = PivotIndex.build(vectors(spark, d), f"{scratch(spark, 'pivots')}/i")
+    return made.nearest(query_vector(spark, d), 10).select("vec_id", "label", shown())
+
+
+@query(f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, {SHOWN} FROM ({MANY})")
+def pivot_batch(spark: SparkSession, d: str) -> DataFrame:
+    """As knn_batch, through the index: queries go to the cells that could hold something nearer."""
+    queries = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    made = PivotIndex.build(vectors(spark, d).select("vec_id", "label", "embedding"), f"{scratch(spark, 'pivots')}/i")
+    return made.nearest_many(queries, 5).select("query_id", "rank", "vec_id", shown())
