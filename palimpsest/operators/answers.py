@@ -14,6 +14,8 @@ from palimpsest.functions.identity import chunk_ref
 from palimpsest.shipping import ship
 
 ROUTES, SCOPES, SOURCES = ("sql", "vector", "hybrid"), ("one", "all"), ("proposal", "forum")
+#: White space that a model may put around a word.
+BLANKS = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTEXT, RELEVANT, PREVIEW_ROWS, PREVIEW_CHARS = 24, 2, 25, 900
 GAP = "DATA GAP IDENTIFIED — the corpus does not contain material that answers this question."
 
@@ -23,7 +25,7 @@ def normalise_routes(raw: DataFrame, protocols: list[str]) -> DataFrame:
 
     A named protocol narrows the scope to one unless the route is sql. ``raw`` has these columns as strings.
     """
-    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    low = lambda c: F.lower(F.btrim(F.coalesce(F.col(c), F.lit("")), F.lit(BLANKS)))
     route = F.when(low("route").isin(*ROUTES), low("route")).otherwise("vector")
     scope = F.when(low("scope").isin(*SCOPES), low("scope")).otherwise("all")
     protocol = F.when(F.lower("protocol").isin(*protocols), F.lower("protocol"))
@@ -35,7 +37,7 @@ def normalise_routes(raw: DataFrame, protocols: list[str]) -> DataFrame:
 
 def normalise_route(raw: dict[str, Any], protocols: list[str]) -> dict[str, Any]:
     """``normalise_routes`` for one question on the driver."""
-    text = lambda k: str(raw.get(k) or "").strip(" ").lower()
+    text = lambda k: str(raw.get(k) or "").strip(BLANKS).lower()
     named = raw["protocol"].lower() if isinstance(raw.get("protocol"), str) and raw["protocol"].lower() in protocols else None
     route = text("route") if text("route") in ROUTES else "vector"
     scope = text("scope") if text("scope") in SCOPES else "all"

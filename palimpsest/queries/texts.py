@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import text
+from palimpsest.functions import bytepairs, text
 from palimpsest.functions.identity import chunk_ref, drop_fields, forum_chunk_index, forum_document, json_hash, object_key, safe
 from palimpsest.operators import batches, chunking
 from palimpsest.plans.corpus import estimate
@@ -98,6 +101,34 @@ def token_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.token_count(F.col("text")).alias("tokens"))
 
 
+def ranks(spark: SparkSession, d: str) -> Callable[[], bytepairs.BytePairTokenizer]:
+    import public_tokenizers
+
+    return bytepairs.byte_pairs(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query()
+def bpe_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every document as models count them; no SQL merges pairs, so a test holds the ids against the published tokenizer."""
+    found = bytepairs.encoded(table(spark, d, "documents").select("doc_id", "text"), ranks(spark, d))
+    return found.select("doc_id", F.size("ids").cast("long").alias("tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS piece_bytes FROM documents")
+def bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's ids, read back as bytes and text."""
+    make = ranks(spark, d)
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        me = make()
+        for batch in batches:
+            texts = [me.bytes_of(ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "raw"])
+
+    found = bytepairs.encoded(table(spark, d, "documents").select("doc_id", "text"), make).select("doc_id", "ids").mapInArrow(back, "doc_id long, raw binary")
+    return found.select("doc_id", F.sha2("raw", 256).alias("decoded_sha256"), F.octet_length("raw").cast("long").alias("piece_bytes"))
+
+
 CURATED = f"""
 SELECT conv_id, turn, role, n, CASE WHEN n <= 0 THEN FALSE WHEN role = 'system' AND turns = 1 THEN TRUE ELSE n >= 20 END AS keep FROM (
   SELECT conv_id, turn, role, {TOKENS.format('text')} AS n, count(*) OVER (PARTITION BY conv_id, role) AS turns FROM conversations)
