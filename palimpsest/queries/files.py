@@ -427,15 +427,13 @@ SELECT CAST(user_id AS VARCHAR) AS key, event_type AS record, valid_from, valid_
 WHERE valid_to IS NOT NULL
 """)
 def stream_closed(spark: SparkSession, d: str) -> DataFrame:
-    name, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    before = spark.conf.get(name)
+    """A shuffled log in several batches: windows are given, split by what comes late, and taken back."""
     top = scratch(spark, "stream")
-    put_log(spark, d, top, F.lit(True))
-    spark.conf.set(name, wanted)
-    try:
-        closed = observations.closed_versions(spark.readStream.schema(LOG).parquet(f"{top}/in"), "user_id", "event_type", "ts")
-        observations.run_available(closed, lambda df, _: df.write.mode("append").parquet(f"{top}/out"), f"{top}/checkpoint")
-    finally:
-        spark.conf.set(name, before)
-    found = spark.read.schema(observations.CLOSED).parquet(f"{top}/out")
+    rows = table(spark, d, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.pmod(F.xxhash64("event_id"), F.lit(3)).alias("turn"))
+    rows.write.partitionBy("turn").parquet(f"{top}/in")
+    stream = observations.with_rocksdb(spark).readStream.schema(LOG).option("maxFilesPerTrigger", 1)
+    for turn in range(3):
+        changes = observations.version_changes(stream.parquet(f"{top}/in/turn={{{','.join(map(str, range(turn + 1)))}}}"), "user_id", "event_type", "ts", "3650 days")
+        observations.to_files(changes, f"{top}/out", f"{top}/checkpoint")
+    found = observations.closed_of(spark.read.schema(observations.CHANGES).parquet(f"{top}/out"))
     return found.select("key", "record", F.col("valid_from").cast("timestamp_ntz").alias("valid_from"), F.col("valid_to").cast("timestamp_ntz").alias("valid_to"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -70,6 +70,100 @@ def closed_versions(stream: DataFrame, key: str, record: str, observed: str) ->
     return rows.groupBy("key").transformWithStateInPandas(OpenVersion(), outputStructType=CLOSED, outputMode="Append", timeMode="None")
 
 
+def timeline(begin: tuple | None, seen: list[tuple]) -> set[tuple]:
+    """Closed windows (record, valid_from, valid_to) of observations (time, record) after an open version ``begin``
+    (valid_from, record): a version lasts until the next record differs; at one time, records are in their own order."""
+    out, held = set(), begin
+    for at, record in sorted(seen):
+        if held is not None and held[1] != record:
+            out.add((held[1], held[0], at))
+        if held is None or held[1] != record:
+            held = (at, record)
+    return out
+
+
+class Timeline(StatefulProcessor):
+    """Holds an entity's observations since the watermark, and the version that was open at it.
+
+    Whatever a batch adds, late rows included, changes some closed windows: those that are no more are taken back
+    (change -1), the new ones given (+1). A timer at each entity's oldest observation folds what the watermark has
+    passed into the open version, as nothing earlier can come any more: state holds no more than the lateness allowed.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.begin = handle.getValueState("begin", "valid_from timestamp, record string")
+        self.seen = handle.getMapState("seen", "observed_at timestamp, record string", "there boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        begin, held = self.begin.get(), {tuple(k) for k in self.seen.keys()}
+        new = {(at.to_pydatetime(), record) for pdf in rows for at, record in zip(pdf["observed_at"], pdf["record"], strict=True)} - held
+        before, after = timeline(begin, list(held)), timeline(begin, list(held | new))
+        for one in new:
+            self.seen.updateValue(one, (True,))
+        if new:
+            self._wait(held | new)
+        changed = [(str(key[0]), *w, n) for windows, n in ((before - after, -1), (after - before, 1)) for w in sorted(windows)]
+        yield pd.DataFrame(changed, columns=["key", "record", "valid_from", "valid_to", "change"])
+
+    def _wait(self, held: set[tuple]) -> None:
+        due = int(min(held)[0].timestamp() * 1000) + 1
+        for timer in list(self.handle.listTimers()):
+            if timer != due:
+                self.handle.deleteTimer(timer)
+        self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = {tuple(k) for k in self.seen.keys()}
+        done = sorted(one for one in held if one[0].timestamp() * 1000 < passed)
+        begin = self.begin.get()
+        for at, record in done:
+            if begin is None or begin[1] != record:
+                begin = (at, record)
+            self.seen.removeKey((at, record))
+        if begin is not None:
+            self.begin.update(begin)
+        if rest := held - set(done):
+            self._wait(rest)
+        yield pd.DataFrame([], columns=["key", "record", "valid_from", "valid_to", "change"])
+
+    def close(self) -> None:
+        pass
+
+
+CHANGES = f"{CLOSED}, change int"
+
+
+def version_changes(stream: DataFrame, key: str, record: str, observed: str, lateness: str = "1 day") -> DataFrame:
+    """Closed versions from a log in any order within ``lateness``: rows with change 1 give a window, those with -1 take
+    back one that a late observation has split or moved. Repeated observations change nothing. ``closed_of`` sums them
+    up. Needs the RocksDB state store."""
+    ship(stream.sparkSession)
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(record).alias("record"), F.col(observed).alias("observed_at"))
+    return rows.withWatermark("observed_at", lateness).groupBy("key").transformWithStateInPandas(Timeline(), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
+
+
+def closed_of(changes: DataFrame) -> DataFrame:
+    """The closed versions that hold after all changes so far."""
+    keys = ["key", "record", "valid_from", "valid_to"]
+    return changes.groupBy(*keys).agg(F.sum("change").alias("n")).where("n > 0").select(*keys)
+
+
+def with_rocksdb(spark: SparkSession) -> SparkSession:
+    """A session of its own, on the same context, whose streams keep state in RocksDB; the given one stays as it is."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    other.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    other.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return other
+
+
+def to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append what is there to Parquet files at ``path``, each batch once however often it is run."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
 def daily(events: DataFrame, time: str, by: list[str], lateness: str | None = None) -> DataFrame:
     """Counts by calendar day, for tables and streams alike."""
     rows = events.withWatermark(time, lateness) if lateness else events
