@@ -16,14 +16,14 @@ from palimpsest.sources.objects import protocols, scan_proposals, scan_topics, w
 from palimpsest.sources.paged import OBJECTS, Transport, proposal_objects, read_paged, topic_objects
 
 
-def harvest(spark: SparkSession, transport: Transport, path: str, run: str, names: list[str] | None = None, proposals: int = 100, topics: int = 30, per_minute: float = 60.0) -> dict[str, Any]:
+def harvest(spark: SparkSession, transport: Transport, path: str, run: str, names: list[str] | None = None, proposals: int = 100, topics: int = 30, per_minute: float = 60.0, most: int = 10) -> dict[str, Any]:
     """Fetch every protocol's proposals and topics (all, or those of ``names``) into content-addressed objects under
-    ``path``: snapshot/space=.../ and discourse/space=.../. Counts by source; they also go into a manifest of the run."""
+    ``path``: snapshot/space=.../ and discourse/space=.../, at most ``topics`` of ``most`` pages of a forum. Counts by source; they also go into a manifest of the run."""
     known = protocols(spark, names)
     report: dict[str, Any] = {}
     for source, column, fetch, volatile in (
         ("snapshot", "snapshot_space", proposal_objects(transport, proposals, per_minute), ()),
-        ("discourse", "discourse_host", topic_objects(transport, topics, per_minute), VOLATILE),
+        ("discourse", "discourse_host", topic_objects(transport, topics, per_minute, most), VOLATILE),
     ):
         spaces = [r[0] for r in known.select(column).collect()]
         found = json_hash(read_paged(spark, spaces, fetch, OBJECTS), "payload", volatile)

@@ -6,9 +6,10 @@ They write to a folder of their own in the shared one. Suppliers play the propos
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -291,71 +292,132 @@ def chunk_any_tokenizer(spark: SparkSession, d: str) -> DataFrame:
     return made.select("conv_id", "turn", "chunk_index", "chunk")
 
 
-def fake_api(method: str, url: str, params: dict[str, Any]) -> tuple[int, dict[str, str], Any]:
-    """Both APIs offline: five proposals of each space, and of each forum four topics of two posts, in two pages."""
-    if url.endswith("/graphql"):
-        v = params["variables"]
-        if "id" in v:
-            return 200, {}, {"data": {"space": {"id": v["id"], "name": v["id"].partition(".")[0], "proposalsCount": 5}}}
-        rows = [{"id": f"{v['space']}-{n}", "title": f"Proposal {n}", "body": "word " * 30, "state": "active", "created": 100 - n, "votes": n, "scores_total": 1.5 * n, "space": {"id": v["space"]}} for n in range(5)]
-        return 200, {}, {"data": {"proposals": [r for r in rows if v["createdLt"] is None or r["created"] < v["createdLt"]][: v["first"]]}}
-    if url.endswith("/latest.json"):
-        return 200, {}, {"topic_list": {"topics": [{"id": 2 * params["page"] + n} for n in range(2)] if params["page"] < 2 else []}}
-    topic = int(url.rpartition("/")[2].removesuffix(".json"))
-    posts = [{"id": 10 * topic + n, "post_number": n + 1, "username": "u", "cooked": f"<p>{url} {n} {'word ' * 30}</p>", "created_at": "2024-01-01T00:00:00Z", "reads": 7} for n in range(2)]
-    return 200, {}, {"id": topic, "title": f"Topic {topic}", "slug": f"topic-{topic}", "post_stream": {"posts": posts}}
+@dataclass
+class TableApi:
+    """Both APIs over the given tables, a page at a time: suppliers are the proposals of five spaces, conversations the
+    topics of five forums. Each process that asks reads the two tables once."""
 
+    d: str
+    upto: int | None = None
+    page: int = 30
+    known: dict[str, list[dict[str, Any]]] = field(default_factory=dict)
 
-def quick(transport: Callable) -> dict[str, Any]:
-    return {"transport": transport, "per_minute": 1e6}
+    def __getstate__(self) -> dict[str, Any]:
+        return {"d": self.d, "upto": self.upto, "page": self.page, "known": {}}
 
+    def rows(self, name: str, columns: list[str]) -> list[dict[str, Any]]:
+        if name not in self.known:
+            self.known[name] = pq.read_table(f"{self.d}/{name}.parquet", columns=columns).to_pylist()
+        return self.known[name]
 
-@query("SELECT source, n AS written, 0::BIGINT AS skipped, 0::BIGINT AS errors, r AS run_id FROM (VALUES ('snapshot', CAST(25 AS BIGINT), 'a'), ('discourse', 20, 'a'), ('snapshot', 0, 'b'), ('discourse', 0, 'b')) t(source, n, r)")
+    def __call__(self, method: str, url: str, params: dict[str, Any]) -> tuple[int, dict[str, str], Any]:
+        if url.endswith("/graphql"):
+            v = params["variables"]
+            space = v.get("id", v.get("space"))
+            mine = [r for r in self.rows("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]) if OWN_SPACES[r["s_suppkey"] % 5] == space and (self.upto is None or r["s_suppkey"] <= self.upto)]
+            if "id" in v:
+                return 200, {}, {"data": {"space": {"id": space, "name": space.partition(".")[0], "proposalsCount": len(mine)}}}
+            mine = sorted((r for r in mine if v["createdLt"] is None or r["s_suppkey"] < v["createdLt"]), key=lambda r: -r["s_suppkey"])[: v["first"]]
+            made = [{"id": f"0x{r['s_suppkey']}", "title": r["s_name"], "body": "word " * 30, "state": "active", "created": r["s_suppkey"], "votes": r["s_nationkey"], "scores_total": r["s_acctbal"], "space": {"id": space}} for r in mine]
+            return 200, {}, {"data": {"proposals": made}}
+        host = url.split("/")[2]
+        turns = self.rows("conversations", ["conv_id", "turn", "role"])
+        if url.endswith("/latest.json"):
+            topics = sorted({r["conv_id"] for r in turns if OWN_HOSTS[r["conv_id"] % 5] == host})
+            return 200, {}, {"topic_list": {"topics": [{"id": t} for t in topics[params["page"] * self.page : (params["page"] + 1) * self.page]]}}
+        topic = int(url.rpartition("/")[2].removesuffix(".json"))
+        if "by" not in self.known:
+            self.known["by"] = []
+            for r in sorted(turns, key=lambda r: (r["conv_id"], r["turn"])):
+                self.known.setdefault(f"t{r['conv_id']}", []).append(r)
+        posts = [
+            {"id": r["turn"], "post_number": r["turn"] + 1, "username": r["role"], "cooked": f"<p>{r['role']} {r['turn'] % 4} {'word ' * 30}</p>", "created_at": "2024-01-01T00:00:00Z", "reads": 7}
+            for r in self.known.get(f"t{topic}", [])
+        ]
+        return 200, {}, {"id": topic, "title": f"Topic {topic}", "slug": f"topic-{topic}", "post_stream": {"posts": posts}}
+
+
+OWN_SPACES, OWN_HOSTS = (json.loads(names.replace("'", '"'))[:5] for names in (SPACES, HOSTS))
+#: More than any of the tables has: the queries take all there is.
+ALL = 1 << 40
+
+
+def whole(d: str) -> dict[str, Any]:
+    return {"transport": TableApi(d), "per_minute": 1e9}
+
+
+COUNTED = "(SELECT count(*) FROM supplier) AS p, (SELECT count(DISTINCT conv_id) FROM conversations) AS t"
+
+
+@query(f"""
+SELECT source, CASE WHEN r = 'a' THEN n ELSE 0 END AS written, CASE WHEN r = 'a' THEN 0 ELSE n END AS skipped, CAST(0 AS BIGINT) AS errors, r AS run_id
+FROM (SELECT unnest(['snapshot', 'discourse']) AS source, unnest([p, t]) AS n FROM (SELECT {COUNTED})), (VALUES ('a'), ('b')) x(r)
+""")
 def harvest(spark: SparkSession, d: str) -> DataFrame:
-    """Two harvests of the same; the second finds everything there (its skipped are shown as 0, as its written are)."""
+    """Two harvests of the same; the second finds everything there."""
     top = scratch(spark, "harvest")
     rows = []
     for run in ("a", "b"):
-        for source, counts in pipeline.harvest(spark, path=top, run=run, **quick(fake_api)).items():
-            rows.append((source, counts["written"], counts["skipped"] - (0 if run == "a" else {"snapshot": 25, "discourse": 20}[source]), counts["errors"], run))
+        for source, counts in pipeline.harvest(spark, path=top, run=run, proposals=ALL, topics=ALL, most=ALL, **whole(d)).items():
+            rows.append((source, counts["written"], counts["skipped"], counts["errors"], run))
     return spark.createDataFrame(rows, "source string, written bigint, skipped bigint, errors bigint, run_id string")
 
 
-@query("SELECT run, name, inserts FROM (VALUES ('first', 'proposal_versions', 25), ('first', 'forum_posts', 40), ('first', 'vectors', 45), ('second', 'proposal_versions', 0), ('second', 'forum_posts', 0), ('second', 'vectors', 0)) t(run, name, inserts)")
+@query("""
+SELECT run, name, CAST(CASE WHEN run = 'first' THEN n ELSE 0 END AS INTEGER) AS inserts FROM (
+  SELECT unnest(['proposal_versions', 'forum_posts', 'vectors']) AS name, unnest([p, f, p + x]) AS n FROM (
+    SELECT (SELECT count(*) FROM supplier) AS p, (SELECT count(*) FROM conversations) AS f, (SELECT count(DISTINCT (role, turn)) FROM conversations) AS x)), (VALUES ('first'), ('second')) r(run)
+""")
 def pipeline_run(spark: SparkSession, d: str) -> DataFrame:
-    """Harvest, build, merge, chunk and embed, twice: equal texts are embedded once, and the second run adds nothing."""
+    """Harvest, build, merge, chunk and embed, twice: equal texts at equal places are embedded once, and the second run adds nothing."""
     top = scratch(spark, "pipeline")
     rows = []
     for run in ("first", "second"):
-        pipeline.harvest(spark, path=f"{top}/objects", run=run, **quick(fake_api))
+        pipeline.harvest(spark, path=f"{top}/objects", run=run, proposals=ALL, topics=ALL, most=ALL, **whole(d))
         report = pipeline.run(spark, f"{top}/objects/snapshot", f"{top}/objects/discourse", f"{top}/out")
         rows += [(run, n, report[n]["inserts"]) for n in ("proposal_versions", "forum_posts", "vectors")]
     return spark.createDataFrame(rows, "run string, name string, inserts int")
 
 
-@query(f"SELECT s AS space, split_part(s, '.', 1) AS name, 5 AS proposals FROM (SELECT unnest(({SPACES})[1:5]) AS s)")
+@query(f"SELECT s AS space, split_part(s, '.', 1) AS name, CAST((SELECT count(*) FROM supplier WHERE s_suppkey % 5 = i) AS INTEGER) AS proposals FROM (SELECT unnest(({SPACES})[1:5]) AS s, unnest(range(5)) AS i)")
 def space_lookup(spark: SparkSession, d: str) -> DataFrame:
+    client = whole(d)
+
     def fetch(space: str):
-        found = paged.ProposalClient(**quick(fake_api)).space(space)
+        found = paged.ProposalClient(**client).space(space)
         yield {"space": found["id"], "name": found["name"], "proposals": found["proposalsCount"]}
 
     spaces = [r[0] for r in objects.protocols(spark).select("snapshot_space").collect()]
     return paged.read_paged(spark, spaces, fetch, "space string, name string, proposals int")
 
 
-@query(f"SELECT h AS forum_host, t AS topic_id, 2 AS posts FROM (SELECT unnest(({HOSTS})[1:5]) AS h), (VALUES (CAST(0 AS BIGINT)), (1), (2)) x(t)")
+@query(f"SELECT ({HOSTS})[conv_id % 5 + 1] AS forum_host, conv_id AS topic_id, CAST(count(*) AS INTEGER) AS posts FROM conversations GROUP BY conv_id")
 def topic_details(spark: SparkSession, d: str) -> DataFrame:
-    """Three listed topics of each forum, each looked up."""
+    """All listed topics of each forum, each looked up."""
+    client = whole(d)
 
     def listed(host: str):
-        return ({"forum_host": host, "topic_id": t["id"]} for t in paged.ForumClient(host, **quick(fake_api)).topics(3))
+        return ({"forum_host": host, "topic_id": t["id"]} for t in paged.ForumClient(host, **client).topics(ALL, ALL))
 
     hosts = [r[0] for r in objects.protocols(spark).select("discourse_host").collect()]
     topics = paged.read_paged(spark, hosts, listed, "forum_host string, topic_id bigint")
-    found = paged.with_details(topics, fake_api, per_minute=1e6)
+    found = paged.with_details(topics, client["transport"], per_minute=1e9)
     return found.select("forum_host", "topic_id", F.size(F.from_json("payload", schemas.TOPIC).post_stream.posts).alias("posts"))
 
 
+@query(f"SELECT ({SPACES})[s_suppkey % 5 + 1] AS space_key, '0x' || s_suppkey AS id, s_suppkey AS created, s_name AS title FROM supplier")
+def stream_harvest(spark: SparkSession, d: str) -> DataFrame:
+    """Proposals followed as a stream that is stopped twice while more of them appear: each arrives once."""
+    top = scratch(spark, "stream")
+    most = table(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0] or 0
+    for upto in (most // 3, most // 2, most):
+        feed = paged.ProposalFeed(TableApi(d, upto), 1e9)
+        observations.to_files(paged.stream_paged(spark, OWN_SPACES, feed), f"{top}/out", f"{top}/checkpoint")
+    found = spark.read.schema(f"{paged.OBJECTS}, created bigint").parquet(f"{top}/out")
+    return found.select("space_key", "id", "created", F.get_json_object("payload", "$.title").alias("title"))
+
+
+
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
 def sql_rows(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "nation").createOrReplaceTempView("sql_rows_nation")

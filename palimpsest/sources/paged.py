@@ -19,7 +19,7 @@ from typing import Any
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from palimpsest.shipping import ship
@@ -214,11 +214,11 @@ def proposal_objects(transport: Transport, limit: int = 100, per_minute: float =
     return fetch
 
 
-def topic_objects(transport: Transport, limit: int = 30, per_minute: float = 60.0) -> Callable[[str], Iterator[dict]]:
+def topic_objects(transport: Transport, limit: int = 30, per_minute: float = 60.0, most: int = 10) -> Callable[[str], Iterator[dict]]:
     """The same for a forum's topics with their posts."""
 
     def fetch(host: str) -> Iterator[dict]:
-        for one in ForumClient(host, transport, per_minute).with_posts(limit):
+        for one in ForumClient(host, transport, per_minute).with_posts(limit, most):
             yield {"id": str(one["id"]), "payload": json.dumps(one, sort_keys=True, ensure_ascii=False)}
 
     return fetch
@@ -241,6 +241,90 @@ def with_details(topics: DataFrame, transport: Transport, host: str = "forum_hos
     return topics.repartition(host).mapInPandas(work, f"{kinds}, payload string")
 
 
+@dataclass
+class ProposalFeed:
+    """What ``stream_paged`` takes to follow the proposals of spaces by when they were made."""
+
+    transport: Transport
+    per_minute: float = 60.0
+    page: int = 50
+    sleep: Callable[[float], None] = time.sleep
+
+    def _page(self, space: str) -> Callable[[int, int | None], list[dict]]:
+        client = ProposalClient(self.transport, self.per_minute, sleep=self.sleep)
+        return lambda n, before: client.ask(PROPOSALS_QUERY, {"space": space, "first": n, "createdLt": before}).get("proposals") or []
+
+    def newest(self, space: str) -> int | None:
+        """The time of the space's newest proposal, null if it has none."""
+        return next((item["created"] for item in self._page(space)(1, None)), None)
+
+    def between(self, space: str, after: int | None, upto: int) -> Iterator[dict]:
+        """Proposals made after one time and not after another, as objects: the same whenever it is asked."""
+        for one in between_pages(self._page(space), after, upto, self.page):
+            yield {"id": one["id"], "created": one["created"], "payload": json.dumps(one, sort_keys=True, ensure_ascii=False)}
+
+
+def between_pages(fetch: Callable[[int, int | None], list[dict]], after: int | None, upto: int, page: int = 50) -> Iterator[dict]:
+    """Objects newest first, made in (after, upto]. A page begins again at the time where the last one ended, as others
+    of that time may have been cut off; a page that is all of one time is asked for anew at twice the size."""
+    seen: set[str] = set()
+    before, size = upto + 1, page
+    while True:
+        batch = fetch(size, before)
+        for item in batch:
+            if after is not None and item["created"] <= after:
+                return
+            if item["id"] not in seen:
+                seen.add(item["id"])
+                yield item
+        if len(batch) < size:
+            return
+        oldest = min(item["created"] for item in batch)
+        if oldest + 1 < before:
+            before, size = oldest + 1, page
+        else:
+            size *= 2
+
+
+class Range(InputPartition):
+    """A space, after a time (null: from the first) and up to another."""
+
+    def __init__(self, name: str, after: int | None, upto: int):
+        self.name, self.after, self.upto = name, after, upto
+
+
+class PagedStreamReader(DataSourceStreamReader):
+    """An offset is the time up to which each space has been read. Ends are fixed before anything is read and logged in
+    the checkpoint, so a batch that is run again asks for the same ranges."""
+
+    def __init__(self, schema: StructType, options: dict[str, str]):
+        self.names, self.spaces = schema.names, [s for s in options["spaces"].split(",") if s]
+        self.feed = cloudpickle.loads(base64.b64decode(options["feed"]))
+        self.last: dict[str, int] = {}
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        for space in self.spaces:
+            newest = self.feed.newest(space)
+            if newest is not None:
+                self.last[space] = max(newest, self.last.get(space, newest))
+        return dict(self.last)
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        # A space that a restart finds without an answer keeps its place.
+        self.last = {**start, **end}
+        return [Range(s, start.get(s), upto) for s, upto in sorted(end.items()) if start.get(s) != upto]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        for item in self.feed.between(partition.name, partition.after, partition.upto):
+            yield tuple(partition.name if n == "space_key" else item.get(n) for n in self.names)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class Space(InputPartition):
     def __init__(self, name: str):
         self.name = name
@@ -260,7 +344,8 @@ class PagedReader(DataSourceReader):
 
 
 class PagedSource(DataSource):
-    """Format ``paged``: options ``spaces`` (by comma) and ``fetch``, a pickled callable from a space to its objects."""
+    """Format ``paged``: options ``spaces`` (by comma) and ``fetch``, a pickled callable from a space to its objects; for
+    a stream ``feed``, a pickled object with ``newest`` and ``between`` (see ``ProposalFeed``)."""
 
     @classmethod
     def name(cls) -> str:
@@ -272,6 +357,9 @@ class PagedSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return PagedReader(schema, dict(self.options))
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802
+        return PagedStreamReader(schema, dict(self.options))
+
 
 def read_paged(spark: SparkSession, spaces: list[str], fetch: Callable[[str], Iterator[dict]], schema: StructType | str | None = None):
     """Objects of every space as rows, one partition each; ``fetch`` runs on the workers."""
@@ -279,3 +367,12 @@ def read_paged(spark: SparkSession, spaces: list[str], fetch: Callable[[str], It
     spark.dataSource.register(PagedSource)
     reader = spark.read.format("paged").option("spaces", ",".join(spaces)).option("fetch", base64.b64encode(cloudpickle.dumps(fetch)).decode())
     return (reader.schema(schema) if schema is not None else reader).load()
+
+
+def stream_paged(spark: SparkSession, spaces: list[str], feed: Any, schema: StructType | str = f"{OBJECTS}, created bigint") -> DataFrame:
+    """What each space has had since the last batch, as a stream; ``feed`` runs on the workers and, for the offsets, on
+    the driver. A stream that stops goes on where its checkpoint says, without loss or repeats. Objects that appear
+    later under a time already passed are not seen: a feed whose times may lag must give a ``newest`` that lags, too."""
+    ship(spark)
+    spark.dataSource.register(PagedSource)
+    return spark.readStream.format("paged").option("spaces", ",".join(spaces)).option("feed", base64.b64encode(cloudpickle.dumps(feed)).decode()).schema(schema).load()
