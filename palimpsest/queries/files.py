@@ -425,23 +425,19 @@ def sql_rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey int, n_name string")
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-
-
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name || chr(9) || '\\' || chr(10) END AS name FROM nation")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus || chr(9) || '\\' || chr(10) END AS status FROM orders")
 def copy_block(spark: SparkSession, d: str) -> DataFrame:
+    """A dump of orders between blocks of other tables, in files by range, read back by as many tasks as it has splits."""
     top = scratch(spark, "dump")
-    rows = table(spark, d, "nation").select("n_nationkey", "n_name").collect()  # a dimension of a few rows
-    lines = [f"{r[0]}\t" + ("\\N" if r[0] % 3 == 0 else f"{r[1]}\\t\\\\\\n") for r in rows]
-    other = "COPY public.region (r, n) FROM stdin;\n1\tother\n\\.\n"
-    put_text(spark, f"{top}/dump.sql", other + "COPY public.nation (n_nationkey, name) FROM stdin;\n" + "".join(f"{x}\n" for x in lines) + "\\.\n" + other)
-    return objects.read_copy(spark, f"{top}/dump.sql", "n_nationkey int, name string", "nation")
+    orders = table(spark, d, "orders")
+    ends = orders.agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("z")).first()
+    line = F.concat(F.col("o_orderkey").cast("string"), F.lit("\t"), F.when(F.col("o_orderkey") % 3 == 0, "\\N").otherwise(F.concat("o_orderstatus", F.lit("\\t\\\\\\n"))))
+    rows = orders.select(F.col("o_orderkey").alias("k"), F.lit(0).alias("i"), line.alias("line"))
+    other = ["COPY public.region (r, n) FROM stdin;", "1\tother", "\\."]
+    around = [((ends.a or 0) - 1, i, x) for i, x in enumerate([*other, "COPY public.orders (o_orderkey, status) FROM stdin;"])] + [((ends.z or 0) + 1, i, x) for i, x in enumerate(["\\.", *other])]
+    text = rows.unionByName(spark.createDataFrame(around, rows.schema)).repartitionByRange(8, "k").sortWithinPartitions("k", "i")
+    text.select("line").write.text(f"{top}/dump")
+    return objects.read_copy(spark, f"{top}/dump", "o_orderkey bigint, status string", "orders")
 
 
 @query("SELECT '0x' || s_suppkey AS id FROM supplier")

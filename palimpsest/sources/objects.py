@@ -6,10 +6,12 @@ import json
 import os
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -165,57 +167,162 @@ def read_manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:
 COPY_HEADER = r"^COPY\s+(\S+)\s+\(([^)]+)\)\s+FROM\s+stdin;\s*$"
 
 
-def read_copy(spark: SparkSession, path: str, schema: str, table: str | None = None) -> DataFrame:
-    """Rows of one COPY block of a (gzipped) SQL dump: tab-separated, ``\\N`` null, backslash escapes, ended by ``\\.``.
+#: Where a line of a dump stands: in no block, in the wanted one, in another, or after the wanted one.
+OUT, IN, ELSEWHERE, OVER = range(4)
+
+
+def _moves(state: int, line: str, header: re.Pattern[str], table: str | None) -> int:
+    """The state after a line that may open or end a block. Inside a block, what looks like a header is a row."""
+    if state in (IN, ELSEWHERE):
+        return (OVER if state == IN and table is None else OUT) if line == "\\." else state
+    if state == OUT and (hit := header.match(line)):
+        return IN if table is None or table in (hit[1], hit[1].rpartition(".")[2]) else ELSEWHERE
+    return state
 
-    The block is that of ``table`` (with or without its schema's name), or the first. A dump is text in order, so a file
-    is one stream: a gzipped one is one split anyway. A row with another number of fields than ``schema`` is an error.
+
+def copy_lines(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
+    """The rows' lines of one COPY block, read by as many tasks as the dump has splits.
+
+    Whether a line lies in the block depends on all lines before it, but what a split does to that state depends on its
+    own lines alone: a first pass sums up, for each split that holds the head or end of a block, where it leads from each
+    state. Going through these in the order of files and places (a row for each such split reaches the driver) gives every
+    split the state it begins in, and a second pass keeps the lines.
     """
     ship(spark)
-    fields = T._parse_datatype_string(schema).fields
     header = re.compile(COPY_HEADER)
-
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside, over = False, False
+    where = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = spark.read.text(path).select("value", *(F.col(c).alias(n) for c, n in zip(where, ("file", "start"), strict=True)))
+
+    def turns(files: pa.Array, starts: pa.Array) -> Iterator[tuple[int, int, tuple[str, int]]]:
+        keys = list(zip(files.to_pylist(), starts.to_pylist(), strict=True))
+        a = 0
+        for b in range(1, len(keys) + 1):
+            if b == len(keys) or keys[b] != keys[a]:
+                yield a, b, keys[a]
+                a = b
+
+    def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], list[int]] = {}
         for batch in batches:
-            kept = []
-            for line in batch.column(0).to_pylist():
-                if inside:
-                    if line == "\\.":
-                        inside, over = False, table is None
-                    else:
-                        kept.append(line)
-                elif not over and (hit := header.match(line)):
-                    inside = table is None or table in (hit[1], hit[1].rpartition(".")[2])
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], names=["value"])
-
-    # Several files or splits of one: lines in the order of files and places, in one task for each read.
-    lines = spark.read.option("wholetext", "false").text(path).coalesce(1).mapInArrow(block, "value string")
+            texts = batch.column(0).to_pylist()
+            for a, b, key in turns(batch.column(1), batch.column(2)):
+                to = found.setdefault(key, [OUT, IN, ELSEWHERE, OVER])
+                for line in texts[a:b]:
+                    to[:] = [_moves(state, line, header, table) for state in to]
+        if found:
+            columns = [pa.array([k[0] for k in found]), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "start", "to"])
+
+    telling = lines.where((F.col("value") == "\\.") | F.col("value").startswith("COPY"))
+    known = telling.mapInArrow(leads, "file string, start long, to array<int>").orderBy("file", "start").collect()
+    begins, state = [], OUT
+    for r in known:
+        begins.append((r.file, r.start, state))
+        state = r.to[state]
+    # A split without such lines begins, and ends, in the state that the last one before it has left.
+    after = [(f, s, begin, r.to[begin]) for (f, s, begin), r in zip(begins, known, strict=True)]
+    held = spark.sparkContext.broadcast(after)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = [(f, s) for f, s, _, _ in held.value]
+        at, state = None, OUT
+        for batch in batches:
+            for a, b, key in turns(batch.column(1), batch.column(2)):
+                if key != at:
+                    n = bisect_left(order, key)
+                    own = n < len(order) and order[n] == key
+                    at, state = key, held.value[n][2] if own else held.value[n - 1][3] if n else OUT
+                texts = batch.column(0).slice(a, b - a)
+                marks = pc.or_(pc.equal(texts, "\\."), pc.starts_with(texts, "COPY"))
+                edge = 0
+                for i in [*pc.indices_nonzero(marks).to_pylist(), len(texts)]:
+                    if state == IN and i > edge:
+                        yield pa.RecordBatch.from_arrays([texts.slice(edge, i - edge)], names=["value"])
+                    if i < len(texts):
+                        line = texts[i].as_py()
+                        now = _moves(state, line, header, table)
+                        if state == now == IN:  # a row that only looks like a header
+                            yield pa.RecordBatch.from_arrays([texts.slice(i, 1)], names=["value"])
+                        state = now
+                    edge = i + 1
+
+    return lines.mapInArrow(keep, "value string")
+
+
+def read_copy(spark: SparkSession, path: str, schema: str, table: str | None = None) -> DataFrame:
+    """Rows of one COPY block of a (gzipped) SQL dump: tab-separated, ``\\N`` null, backslash escapes, ended by ``\\.``.
+
+    The block is that of ``table`` (with or without its schema's name; several blocks of it are taken together), or the
+    first. A plain file is read in splits, a gzipped one in one; files are in the order of their names. A row with another
+    number of fields than ``schema`` is an error.
+    """
+    fields = T._parse_datatype_string(schema).fields
     parts = F.split("value", "\t", -1)
     wrong = F.raise_error(F.format_string(f"a row of %d fields, not {len(fields)}", F.size("p")))
-    rows = lines.select(parts.alias("p")).select(F.when(F.size("p") == len(fields), F.col("p")).otherwise(wrong).alias("p"))
+    rows = copy_lines(spark, path, table).select(parts.alias("p")).select(F.when(F.size("p") == len(fields), F.col("p")).otherwise(wrong).alias("p"))
 
     def plain(c: Column) -> Column:
         text = F.replace(c, F.lit("\\\\"), F.lit("\u0001"))
-        for mark, char in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+        for mark, char in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ("\\v", "\v")):
             text = F.replace(text, F.lit(mark), F.lit(char))
         return F.when(c != "\\N", F.replace(text, F.lit("\u0001"), F.lit("\\")))
 
     return rows.select(*(plain(F.get("p", F.lit(i))).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)))
 
 
-def restore(spark: SparkSession, source: str, target: str, suffixes: Iterable[str] = (".json",)) -> int:
-    """Copy objects with one of the suffixes, keeping their places; how many."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    start = path(source)
-    fs = start.getFileSystem(conf)
-    top = fs.resolvePath(start).toString()
-    found, n = fs.listFiles(start, True), 0
-    while found.hasNext():
-        one = found.next().getPath()
-        if one.getName().endswith(tuple(suffixes)):
-            to = path(target + one.toString()[len(top) :])
-            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, one, to.getFileSystem(conf), to, False, conf)
-            n += 1
-    return n
+#: Where a copy notes what it has done, and the bytes that are held at once.
+RESTORED, PIECE = "_restored", 1 << 20
+
+
+def restore(spark: SparkSession, source: str, target: str, suffixes: Iterable[str] = (".json",)) -> dict[str, int]:
+    """Copy objects with one of the suffixes, keeping their places; counts of copied, skipped and errors.
+
+    Spark lists the files; executors copy each in pieces under another name and then move it, so a task that is lost and
+    run again finds whole objects or none. What was copied is noted in the target's ``_restored`` folder: a later call
+    leaves out what is noted with the same length, and asks for the others one by one.
+    """
+    ship(spark)
+    ends = "{" + ",".join(f"*{s}" for s in suffixes) + "}"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ends).load(source).select("path", "length")
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(source)
+    top = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(place).toString().rstrip("/")
+    wanted = listed.withColumn("name", F.expr("substring(path, length(__top) + 2)".replace("__top", f"'{top}'")))
+    notes = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{RESTORED}")
+    noted = notes.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(notes)
+    kind = "name string, length long, what string"
+    if noted:
+        before = spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(notes.toString()).where("what <> 'errors'").select("name", "length").distinct()
+        done = wanted.join(before, ["name", "length"], "left_semi").count()
+        wanted = wanted.join(before, ["name", "length"], "left_anti")
+    else:
+        done = 0
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, base = FileSystem.from_uri(target if "://" in target else f"file://{os.path.abspath(target)}")
+        for batch in batches:
+            said = []
+            for path, length, name in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "name")), strict=True):
+                try:
+                    fs, own = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                    goal = f"{base}/{name}"
+                    there = to.get_file_info(goal)
+                    if there.type == FileType.File and there.size == length:
+                        said.append("skipped")
+                        continue
+                    folder, _, last = goal.rpartition("/")
+                    to.create_dir(folder, recursive=True)
+                    part = f"{folder}/_{last}.{uuid.uuid4().hex}"
+                    with fs.open_input_stream(own) as given, to.open_output_stream(part) as out:
+                        while piece := given.read(PIECE):
+                            out.write(piece)
+                    to.move(part, goal)
+                    said.append("copied")
+                except OSError:
+                    said.append("errors")
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("length"), pa.array(said, pa.string())], names=["name", "length", "what"])
+
+    run = f"{notes.toString()}/run-{uuid.uuid4().hex}"
+    wanted.select("path", "length", "name").mapInArrow(work, kind).write.parquet(run)
+    found = {r.what: r["count"] for r in spark.read.schema(kind).parquet(run).groupBy("what").count().collect()}
+    return {"copied": found.get("copied", 0), "skipped": found.get("skipped", 0) + done, "errors": found.get("errors", 0)}

@@ -78,7 +78,7 @@ def test_paths_are_quoted(spark, tmp_path):
 def test_restore(spark, tmp_path):
     write(tmp_path / "a/x/1.json", {})
     write(tmp_path / "a/2.txt", {})
-    assert objects.restore(spark, str(tmp_path / "a"), str(tmp_path / "b")) == 1
+    assert objects.restore(spark, str(tmp_path / "a"), str(tmp_path / "b"))["copied"] == 1
     assert (tmp_path / "b/x/1.json").exists()
 
 
