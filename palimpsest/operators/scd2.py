@@ -95,6 +95,35 @@ def fingerprint(table: DataFrame, hash_column: str) -> DataFrame:
     return table.agg(F.count("*").alias("n"), F.sum(part(1)).alias("sum_a"), F.sum(part(9)).alias("sum_b"))
 
 
+#: Hex digits of a leaf's range of hashes; a node above has the ranges that differ in their last two.
+LEAF = 6
+
+
 def exact_fingerprint(table: DataFrame, hash_column: str) -> DataFrame:
-    """sha256 of the sorted hashes, for tables small enough to sort in one task."""
-    return table.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(hash_column)), ","), 256).alias("fingerprint"))
+    """sha256 over all hashes and how often each occurs, whatever their order, as a tree.
+
+    Hashes are counted first, so one that many rows share is one entry; a leaf is the digest of a fixed range of them, in
+    order, and a node that of its up to 256 children. So no group grows with the table beyond a range's hashes, equal
+    tables have equal fingerprints however they are spread, and ``fingerprint_ranges`` tells where two tables differ.
+    """
+    return _above(fingerprint_ranges(table, hash_column), LEAF, 0).select(F.col("digest").alias("fingerprint"))
+
+
+def fingerprint_ranges(table: DataFrame, hash_column: str, digits: int = LEAF) -> DataFrame:
+    """range string, digest: the nodes whose ranges have that many (even) digits."""
+    counted = table.groupBy(F.col(hash_column).alias("h")).agg(F.count("*").alias("n"))
+    leaves = counted.groupBy(F.substring("h", 1, LEAF).alias("range")).agg(_digest(F.concat("h", F.lit(":"), F.col("n").cast("string"))).alias("digest"))
+    return _above(leaves, LEAF, digits)
+
+
+def _digest(entry: Column) -> Column:
+    return F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), ","), 256)
+
+
+def _above(nodes: DataFrame, digits: int, wanted: int) -> DataFrame:
+    while digits > wanted:
+        digits -= 2
+        entry = F.concat("range", F.lit(":"), "digest")
+        parents = nodes.groupBy(F.substring("range", 1, digits).alias("range")) if digits else nodes.groupBy()
+        nodes = parents.agg(_digest(entry).alias("digest"))
+    return nodes

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import variants
 from palimpsest.functions.flags import choice_scores, risk_flags
 from palimpsest.functions.text import label
+from palimpsest.operators import sketches
 from palimpsest.operators.scd2 import versions
 from palimpsest.plans.silver import drop_unknown as split_unknown
 from palimpsest.plans.templates import Templates
@@ -238,3 +240,50 @@ def distinct_dates(spark: SparkSession, d: str) -> DataFrame:
 def scan_json_props(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(F.from_json("props", "k bigint").k.alias("k"), "value")
     return rows.groupBy("k").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+DRIFTING = """
+SELECT event_id, event_type, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{"k":"none","tags":["' || event_type || '","x"]}' WHEN 2 THEN '{"deep":{"v":' || event_id || '.5}}' ELSE '{broken' END AS p FROM events
+"""
+
+
+def drifting(spark: SparkSession, d: str) -> DataFrame:
+    """Events' properties as if their makers had changed them over time; some are no JSON at all."""
+    n = F.col("event_id") % 4
+    p = (
+        F.when(n == 0, F.col("props"))
+        .when(n == 1, F.concat(F.lit('{"k":"none","tags":["'), "event_type", F.lit('","x"]}')))
+        .when(n == 2, F.concat(F.lit('{"deep":{"v":'), F.col("event_id").cast("string"), F.lit(".5}}")))
+        .otherwise("{broken")
+    )
+    return table(spark, d, "events").select("event_id", "event_type", variants.parsed(p).alias("v"))
+
+
+@query(f"""
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN TRY_CAST(json_extract_string(p, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 4 < 2 THEN json_extract_string(p, '$.k') END AS k_text,
+  CASE WHEN event_id % 4 = 2 THEN CAST(json_extract_string(p, '$.deep.v') AS DOUBLE) END AS deep, CASE WHEN event_id % 4 = 1 THEN json_extract_string(p, '$.tags[0]') END AS tag FROM ({DRIFTING})
+""")
+def variant_paths(spark: SparkSession, d: str) -> DataFrame:
+    wanted = {"k": ("$.k", "bigint"), "k_text": ("$.k", "string"), "deep": ("$.deep.v", "double"), "tag": ("$.tags[0]", "string")}
+    return variants.read_paths(drifting(spark, d), "v", wanted).drop("v", "event_type")
+
+
+@query("""
+SELECT event_id % 4 AS maker, count(*) FILTER (event_id % 4 < 3) AS objects,
+  CASE event_id % 4 WHEN 0 THEN 'OBJECT<k: BIGINT>' WHEN 1 THEN 'OBJECT<k: STRING, tags: ARRAY<STRING>>' WHEN 2 THEN 'OBJECT<deep: OBJECT<v: DECIMAL>>' ELSE 'VOID' END AS schema FROM events GROUP BY ALL
+""")
+def variant_schemas(spark: SparkSession, d: str) -> DataFrame:
+    rows = variants.schemas(drifting(spark, d).withColumn("maker", F.col("event_id") % 4), "v", "maker")
+    return rows.withColumn("schema", F.regexp_replace("schema", r"DECIMAL\([0-9,]+\)", "DECIMAL"))
+
+
+@query("""
+SELECT event_type, n AS rows, users, TRUE AS within FROM (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-05' GROUP BY event_type)
+""")
+def sketched_users(spark: SparkSession, d: str) -> DataFrame:
+    """Users of each kind of event since a day, from the days' sketches, beside the exact count: within 5 percent and 2."""
+    events = table(spark, d, "events")
+    since = F.lit("2024-01-05").cast("date")
+    found = sketches.united(sketches.daily_sketches(events, ["event_type"], "ts", "user_id"), ["event_type"], since)
+    exact = events.where(F.to_date("ts") >= since).groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    return found.join(exact, "event_type").select("event_type", "rows", "users", (F.abs(F.col("distinct") - F.col("users")) <= 0.05 * F.col("users") + 2).alias("within"))

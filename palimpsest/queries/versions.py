@@ -136,9 +136,15 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return scd2.fingerprint(table(spark, d, "documents").select(digest("text").alias("h")), "h")
 
 
-@query("SELECT sha256(string_agg(h, ',' ORDER BY h)) AS fingerprint FROM (SELECT sha256(coalesce(text, '')) AS h FROM benchmark)")
+@query("""
+WITH c AS (SELECT h, count(*) AS n FROM (SELECT sha256(coalesce(text, '')) AS h FROM documents) GROUP BY h),
+six AS (SELECT substr(h, 1, 6) AS r, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS d FROM c GROUP BY ALL),
+four AS (SELECT substr(r, 1, 4) AS r, sha256(string_agg(r || ':' || d, ',' ORDER BY r)) AS d FROM six GROUP BY ALL),
+two AS (SELECT substr(r, 1, 2) AS r, sha256(string_agg(r || ':' || d, ',' ORDER BY r)) AS d FROM four GROUP BY ALL)
+SELECT sha256(coalesce(string_agg(r || ':' || d, ',' ORDER BY r), '')) AS fingerprint FROM two
+""")
 def exact_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return scd2.exact_fingerprint(table(spark, d, "benchmark").select(digest("text").alias("h")), "h")
+    return scd2.exact_fingerprint(table(spark, d, "documents").select(digest("text").alias("h")), "h")
 
 
 TARGET = "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 10 < 8"
