@@ -3,9 +3,10 @@
 Tokens are start tags and text nodes, told apart by their path in the page. Tokens that occur equally often on every page
 of a host form an equivalence class; large classes that many pages share, whose members keep their order and whose
 elements nest around text that fewer pages share, are the host's template. What lies between its tokens are slots. The
-slot that holds a page's article is found from the template's elements and the text that flows through them (or is the
-page's content elements, where these hold most of that text), and everything in it is extracted but for the template's
-own texts and elements that are furniture by kind or name.
+slot that holds a page's article is that of the page's content elements or, where it has none, the innermost element of
+the template that holds all text which is not the template's. Everything in it is extracted but for boxes of the
+template's own text that belong to classes which reach beyond the slot, and for furniture by kind or unmistakable name.
+No size of a text decides anything.
 """
 
 from __future__ import annotations
@@ -45,10 +46,11 @@ ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "
 
 # Furniture by element; words of a class, id or role that mean furniture, and those of them that can just as
 # well name a part of an article.
-FURNITURE = frozenset("head nav footer aside form button select script style noscript iframe template svg title textarea dialog menu".split())
+HIDDEN = frozenset("head script style noscript iframe template svg title textarea select button".split())
+SOFT = frozenset("nav footer aside form dialog menu".split())
 PLAIN = (
     r"(?:ads?|advert\w*?|banner|sponsor\w*?|promo\w*?|nav\w*?|breadcrumbs?|sidebar|masthead|cookies?|consent|popup|modal|newsletter|"
-    r"subscri\w*?|share|social|comments?|replies|disqus|login)"
+    r"subscri\w*?|share|social|comments?|replies|disqus|login|readers?|responses?|reactions?|talkback|guestbook)"
 )
 EITHER = r"(?:menu\w*?|header|footer|notices?|related|search)"
 WORD = rf"(?:{PLAIN}|{EITHER})"
@@ -57,6 +59,13 @@ NAMED = re.compile(rf"(?<!\S){WORD}(?:[_-]+{WORD})*(?!\S)", re.I)
 SURELY = re.compile(rf"(?=.*(?<![^\s_-]){PLAIN}(?![^\s_-]))\s*{WORD}(?:[\s_-]+{WORD})*\s*", re.I)
 LOOSELY, STRICTLY = 1, 2
 CONTENT = frozenset({"article", "main"})
+#: An article element of such a name leads to an article and is none; a name of readers' texts, also as an id.
+LEADS = re.compile(r"(?<![^\s_-])(?:teasers?|cards?|previews?|related|promos?)(?![^\s_-])", re.I)
+READERS = re.compile(r"(?<![^\s_-])(?:comments?|replies|disqus)(?![^\s_-])", re.I)
+#: Elements that a name may drop inside the slot; those that make a box of their text there.
+NAMEABLE = frozenset("div section ul ol dl table details fieldset center".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+BOX = frozenset("div section aside nav header footer form fieldset address details dialog center menu hgroup".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>""", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
@@ -65,8 +74,8 @@ ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 
 @dataclass(slots=True)
 class Node:
-    """An element: its parent, tag, path, whether it or a parent is furniture by kind, whether it or a parent is a content
-    element, and how surely its own name makes it furniture."""
+    """An element: its parent, tag, path, whether it is furniture by kind, whether it or a parent is a content element, how
+    surely its own name makes it furniture, and whether it does even inside an article."""
 
     parent: int
     tag: str
@@ -74,6 +83,7 @@ class Node:
     furniture: bool
     content: bool
     named: int = 0
+    sure: bool = False
     token: int = 0
 
 
@@ -151,11 +161,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str, bool]]]:
         named = LOOSELY if any(map(NAMED.search, names)) else 0
         if named and all(map(SURELY.fullmatch, names)):
             named = STRICTLY
-        inside = up.content or tag in CONTENT or attributes.get("role") == "main"
-        furniture = up.furniture or tag in FURNITURE or (tag == "header" and not up.content)
+        kinds = [attributes[k] for k in ("class", "role") if k in attributes]
+        lead = tag == "article" and any(map(LEADS.search, kinds))
+        inside = up.content or (tag in CONTENT and not lead) or attributes.get("role") == "main"
+        furniture = tag in HIDDEN or (tag in SOFT and not (tag == "dialog" and re.search(r"(?<![\w-])open(?![\w-])", hit[3]))) or (tag == "header" and not up.content)
+        sure = tag in NAMEABLE and (named == STRICTLY and bool(kinds) or bool(READERS.fullmatch(attributes.get("id", ""))))
         if tag in BLOCK:
             fresh = True
-        nodes.append(Node(stack[-1], tag, f"{up.path}/{label}", furniture, inside, named))
+        nodes.append(Node(stack[-1], tag, f"{up.path}/{label}", furniture, inside, named, sure))
         if tag in VOID:
             continue
         if tag in RAW:
@@ -233,16 +246,15 @@ class Template:
 
     tokens: dict[int, tuple[int, float, int]]
 
-    def valid(self, nodes: list[Node], texts: list[tuple[int, str, bool]]) -> tuple[set[int], set[int]]:
-        """Elements' tokens, and texts, of the classes that are the template's on this page.
+    def valid(self, nodes: list[Node], texts: list[tuple[int, str, bool]]) -> tuple[dict[int, int], dict[int, int]]:
+        """Elements' tokens, and texts, of the classes that are the template's on this page, each with its class.
 
         Their members keep the template's order, they nest in each other, and an element of theirs holds text that fewer
         pages have: copies of an article share classes too, but nothing flows through these.
         """
         known = [self.tokens.get(name(f"{nodes[i].path}\n{t}")) if (t := " ".join(text.split())) else None for i, text, _ in texts]
-        aside, rarest = [False] * len(nodes), [float("inf")] * len(nodes)
-        for i, node in enumerate(nodes[1:], 1):
-            aside[i] = aside[node.parent] or node.furniture or node.named
+        aside, _ = furniture(nodes, texts, {k: kind[0] for k, kind in enumerate(known) if kind})
+        rarest = [float("inf")] * len(nodes)
         for (i, text, _), kind in zip(texts, known, strict=True):
             if text.strip() and not aside[i]:
                 rarest[i] = min(rarest[i], kind[2] if kind else 0)
@@ -276,8 +288,8 @@ class Template:
         for _, _, kind in sorted(ordered):
             if all(between(where[kind], where[k]) or between(where[k], where[kind]) for k in kinds):
                 kinds.append(kind)
-        good = {token for kind in kinds for _, _, token in seen[kind]}
-        return good, {k for k, kind in enumerate(known) if kind and kind[0] in kinds}
+        good = {token: kind for kind in kinds for _, _, token in seen[kind]}
+        return good, {k: kind[0] for k, kind in enumerate(known) if kind and kind[0] in kinds}
 
 
 def between(inner: list[int], outer: list[int]) -> bool:
@@ -291,32 +303,38 @@ def extract(page: str, template: Template | None) -> str:
     if template:
         for node in nodes[1:]:
             node.token = name(node.path)
-    good, fixed = template.valid(nodes, texts) if template else (set(), set())
-    dropped = dropped_by_name(nodes, texts, fixed)
-    # The slot of the article: the page's content elements, but on pages with a template only if most of the text that
-    # isn't the template's lies in them; else the innermost element of the template with all of that text; else the page.
-    roots = [i for i, n in enumerate(nodes) if n.content and not nodes[n.parent].content and not dropped[i]]
-    if good:
+    good, fixed = template.valid(nodes, texts) if template else ({}, {})
+    dropped, kept = furniture(nodes, texts, fixed)
+
+    def own(skip: list[bool]) -> list[int]:
+        """Characters of text under each element that isn't the template's and isn't dropped."""
         mass = [0] * len(nodes)
         for k, (i, text, _) in enumerate(texts):
-            mass[i] += 0 if k in fixed or dropped[i] else len(text.strip())
+            mass[i] += 0 if k in fixed or skip[i] else len(text.strip())
         for i in range(len(nodes) - 1, 0, -1):
             mass[nodes[i].parent] += mass[i]
-        if 2 * sum(mass[i] for i in roots) < mass[0] or not roots:
-            roots = [i for i, n in enumerate(nodes) if n.token in good and not dropped[i] and mass[i] and mass[i] == mass[0]][-1:]
+        return mass
+
+    # The slot of the article: the page's content elements; else the innermost element of the template with all text
+    # that isn't the template's; else the page.
+    mass = own(dropped)
+    roots = [i for i, n in enumerate(nodes) if n.content and not nodes[n.parent].content and not dropped[i] and (mass[i] or not good)]
+    if not roots and good:
+        roots = [i for i, n in enumerate(nodes) if n.token in good and not dropped[i] and mass[i] and mass[i] == mass[0]][-1:]
     inside = [not roots] * len(nodes)
-    # In a slot that is less than the whole body, a name alone drops nothing that might be a part of the article.
+    # In a slot that is less than the whole body, a name drops only what it names beyond doubt or the template has there.
     sure = bool(roots) and all(nodes[i].tag not in ("html", "body") for i in roots)
     for i in range(1, len(nodes)):
         n, up = nodes[i], nodes[i].parent
         inside[i] = inside[up] or i in roots
         if sure and inside[up]:
-            dropped[i] = dropped[up] or n.furniture or n.named == STRICTLY or (n.named == LOOSELY and n.token in good)
+            dropped[i] = dropped[up] or (i not in kept and (n.furniture or n.sure or (n.named == LOOSELY and n.tag in NAMEABLE and n.token in good)))
+    gone = furnished(nodes, texts, good, fixed, roots, inside, dropped, own(dropped)) if fixed else set()
     blocks: list[list[str]] = []
     new = True
     for k, (i, text, fresh) in enumerate(texts):
         new |= fresh
-        if not inside[i] or dropped[i] or k in fixed:
+        if not inside[i] or dropped[i] or k in gone:
             new = True
             continue
         if new:
@@ -327,28 +345,82 @@ def extract(page: str, template: Template | None) -> str:
     return "\n\n".join(b for b in found if b)
 
 
-def dropped_by_name(nodes: list[Node], texts: list[tuple[int, str, bool]], fixed: set[int]) -> list[bool]:
-    """Elements that are furniture by kind, or by name, but for those named so that hold the page's content elements or
-    most of its own text."""
-    dropped = [n.furniture for n in nodes]
-    if not any(n.named for n in nodes):
-        return dropped
-    mass, tops, under = [0] * len(nodes), [False] * len(nodes), [False] * len(nodes)
-    for k, (i, text, _) in enumerate(texts):
-        mass[i] += 0 if k in fixed or nodes[i].furniture else len(text.strip())
-    for i, n in enumerate(nodes[1:], 1):
-        tops[i] = n.content and not nodes[n.parent].content and not n.furniture
-        under[i] = under[n.parent] or (n.named > 0 and not tops[i])
-    # Where the page has a content element elsewhere, teasers or much text (comments) in what is named don't keep it.
-    elsewhere = any(t and not u for t, u in zip(tops, under, strict=True))
-    holds = [t and not elsewhere for t in tops]
+def furnished(nodes: list[Node], texts: list[tuple[int, str, bool]], good: dict[int, int], fixed: dict[int, int], roots: list[int], inside: list[bool], dropped: list[bool], mass: list[int]) -> set[int]:
+    """The template's texts that are no part of the article though they stand in its slot.
+
+    A class that lies in the slot alone is one of articles that say the same, and stays. Of the others (menus, notices: what
+    also stands around the slot), a box of nothing but the template's text goes, wherever it stands; headings, paragraphs
+    and the like go only before or after all of the page's own text.
+    """
+    around = set()
+    for i in roots:
+        while i:
+            around.add(i)
+            i = nodes[i].parent
+    beyond = {good[n.token] for i, n in enumerate(nodes) if n.token in good and not inside[i] and i not in around}
+    beyond |= {kind for k, kind in fixed.items() if not inside[texts[k][0]]}
+    mine = [k for k, (i, text, _) in enumerate(texts) if k not in fixed and inside[i] and not dropped[i] and text.strip()]
+    out = set()
+    for k, kind in fixed.items():
+        i = texts[k][0]
+        if not inside[i] or (roots and kind not in beyond):
+            continue
+        while i not in roots and nodes[i].parent > 0 and inside[nodes[i].parent] and nodes[i].parent not in roots and not mass[nodes[i].parent]:
+            i = nodes[i].parent
+        box = i not in roots and not mass[i] and nodes[i].tag in BOX
+        if box or not mine or not mine[0] < k < mine[-1]:
+            out.add(k)
+    return out
+
+
+def furniture(nodes: list[Node], texts: list[tuple[int, str, bool]], fixed: dict[int, int]) -> tuple[list[bool], set[int]]:
+    """Which elements are furniture by kind or name, or lie in such; and those that are not, though they look so, as they
+    hold what the page is for.
+
+    That is the content elements, where none stands outside furniture; without any, the first-level headings, where a name
+    or a form holds all of them; without these, all of the page's own text: then names give way first, forms next, those that
+    hold paragraphs or headings before others.
+    """
+    marks = [2 if n.furniture and n.tag != "form" else 1 if n.furniture or n.named == STRICTLY else 0 if n.named else -1 for n in nodes]
+    hidden = [n.tag in HIDDEN for n in nodes]
+    tops = [i for i, n in enumerate(nodes[1:], 1) if n.content and not nodes[n.parent].content]
+    for i in tops:
+        marks[i] = 2 if nodes[i].furniture else -1
+    kept: set[int] = set()
+
+    def spread() -> list[bool]:
+        out = [False] * len(nodes)
+        for i in range(1, len(nodes)):
+            out[i] = out[nodes[i].parent] or hidden[i] or (marks[i] >= 0 and i not in kept)
+        return out
+
+    def release(held: list[int], most: int) -> None:
+        """What holds these elements is no furniture, up to a rank, but for what is hidden."""
+        for i in held:
+            while i > 0:
+                if 0 <= marks[i] <= most and not hidden[i]:
+                    kept.add(i)
+                i = nodes[i].parent
+
+    dropped = spread()
+    heads = [i for i, n in enumerate(nodes) if n.tag == "h1"]
+    if tops and all(dropped[i] for i in tops):
+        release(tops, 2)
+        dropped = spread()
+    elif not tops and heads and all(dropped[i] for i in heads):
+        release(heads, 1)
+        dropped = spread()
+    own = [i for k, (i, text, _) in enumerate(texts) if k not in fixed and text.strip()]
+    prose = [False] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
-        mass[nodes[i].parent] += mass[i]
-        holds[nodes[i].parent] |= holds[i]
-    for i, n in enumerate(nodes[1:], 1):
-        by_name = n.named and not tops[i] and (elsewhere or not holds[i] and 2 * mass[i] <= mass[0])
-        dropped[i] = dropped[i] or dropped[n.parent] or bool(by_name)
-    return dropped
+        prose[i] |= nodes[i].tag in PROSE
+        prose[nodes[i].parent] |= prose[i]
+    for written, rank in ((True, 0), (True, 1), (False, 0), (False, 1)):
+        if own and not tops and all(dropped[i] for i in own):
+            outer = [i for i in range(1, len(nodes)) if dropped[i] and not dropped[nodes[i].parent] and 0 <= marks[i] <= rank and not hidden[i]]
+            kept.update(i for i in outer if prose[i] or not written)
+            dropped = spread()
+    return dropped, kept
 
 
 #: Tokens of templates that are sent to every executor whole (some 64 bytes each); beyond, pages meet their host's template

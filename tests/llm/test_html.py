@@ -200,3 +200,72 @@ def test_large_templates_and_hot_hosts(spark, monkeypatch):
 def test_very_long_pages():
     long = "word " * 200_000
     assert html.extract(f"<body><nav>no</nav><article><p>{long}</p></article></body>", None) == long.strip()
+
+
+def test_what_articles_share_stays(spark):
+    release = "<section class=release><p>About us one.</p><p>About us two.</p><p>About us three.</p><p>For {0} only.</p></section>"
+    bodies = [f"<article><h1>t {n}</h1><p>text {n}</p>{release.format(n) if n % 5 == 0 else ''}<p>end {n}</p></article>" for n in range(20)]
+    found = texts_of(spark, bodies)
+    for n in range(20):
+        shared = ["About us one.", "About us two.", "About us three.", f"For {n} only."] if n % 5 == 0 else []
+        assert found[n] == "\n\n".join([f"t {n}", f"text {n}", *shared, f"end {n}"])
+
+
+def test_headings_between_own_blocks_stay(spark):
+    recipe = "<div class=recipe><h2>Ingredients</h2><ul><li>salt {0}</li></ul><h2>Method</h2><p>stir {0}</p></div>"
+    found = texts_of(spark, [f"<article><h1>t {n}</h1>{recipe.format(n) if n < 6 else f'<p>text {n}</p>'}</article>" for n in range(20)])
+    assert found == {n: f"t {n}\n\n" + (f"Ingredients\n\nsalt {n}\n\nMethod\n\nstir {n}" if n < 6 else f"text {n}") for n in range(20)}
+    found = texts_of(spark, [f"<div class=story><h1>t {n}</h1><p>text {n}</p><h2>Conclusion</h2><p>so {n}</p><p class=foot>Printed on paper</p></div><div class=low>Rights</div>" for n in range(9)])
+    assert found == {n: f"t {n}\n\ntext {n}\n\nConclusion\n\nso {n}" for n in range(9)}
+
+
+def test_a_form_around_the_page_is_no_furniture(spark):
+    inner = "<nav>menu</nav><article><h1>T</h1><p>text</p><form><p>vote</p></form></article><form><p>search</p></form>"
+    assert html.extract(page(1, f"<form runat=server>{inner}</form>"), None) == "T\n\ntext"
+    assert html.extract(page(1, "<form runat=server><nav>menu</nav><div class=story><h1>T</h1><p>text</p></div></form>"), None) == "T\n\ntext"
+    assert html.extract(page(1, "<form runat=server><nav>menu</nav><div class=story><p>text</p></div></form>"), None) == "text"
+    found = texts_of(spark, [f"<form runat=server><div class=top>Site</div><div class=story><p>text {n}</p></div><div class=low>Rights</div></form>" for n in range(6)])
+    assert found == {n: f"text {n}" for n in range(6)}
+
+
+def test_names_and_kinds_inside_an_article():
+    for part in ("<section id=consent><p>x y</p></section>", "<p class=social>x y</p>", "<span class=share>x y</span>", "<dialog open>x y</dialog>"):
+        assert html.extract(page(1, f"<article><p>a</p>{part}<p>b</p></article>"), None) == "a\n\nx y\n\nb", part
+    for part in ("<dialog>no</dialog>", "<div class=share>no</div>", "<div id=comments>no</div>", "<nav>no</nav>", "<footer>no</footer>", "<section class=newsletter>no</section>", "<button>no</button>"):
+        assert html.extract(page(1, f"<article><p>a</p>{part}<p>b</p></article>"), None) == "a\n\nb", part
+
+
+def test_comments_under_other_names_and_menus_alone():
+    assert html.extract(page(1, "<div class=story><h1>T</h1><p>text</p></div><div class=reader-responses><p>me too, and much more of it than of the text</p></div>"), None) == "T\n\ntext"
+    assert html.extract(page(1, "", chrome=False), None) == "" == html.extract("<nav>a</nav><footer>b</footer>", None)
+    assert html.extract(page(1, "<article></article><div>beside</div>"), None) == ""
+
+
+def test_no_size_decides(spark):
+    """What stands beside a content element is no article however long; a name drops its element however much it holds."""
+    for times in (1, 500):
+        beside = f"<div class=x9>{'other ' * times}</div>"
+        found = texts_of(spark, [f"<article><p>text {n}</p></article>{beside}<p>{n} {'beside ' * times}</p>" for n in range(6)])
+        assert found == {n: f"text {n}" for n in range(6)}
+        assert html.extract(page(1, f"<div class='ad box'>{'buy ' * times}</div><div class=story><h1>T</h1></div>"), None) == "T"
+        assert html.extract(page(1, f"<p>tagline {'x ' * times}</p><div class='layout sidebar'><h1>T</h1><p>text</p></div>"), None).endswith("T\n\ntext")
+
+
+#: Pages of four layouts without article elements, and what a reader would call their text.
+LAYOUTS = {
+    "news": ("<div class=bar>The Paper<ul class=k><li><a href=/>World</a><li><a href=/s>Sport</a></ul></div><div class=piece><h1>News {0}</h1><p>It was {0}.</p><h2>Background</h2><p>Since {0}.</p></div><div class=legal>Imprint</div>", "News {0}\n\nIt was {0}.\n\nBackground\n\nSince {0}."),
+    "server": ("<form runat=server><table><tr><td>Intranet</td></tr></table><div class=inner><p>Memo {0}</p><p>Do {0}.</p><div class=tip>Print this page</div><p>Then {0}.</p></div><p class=z>Made by IT</p></form>", "Memo {0}\n\nDo {0}.\n\nThen {0}."),
+    "blog": ("<div class=brand>My blog</div><div class=entry><h1>Post {0}</h1><p>Dear {0}</p></div><div class=talkback><b>u{0}</b><p>I agree with {0}</p></div><div class=low>Powered by it</div>", "Post {0}\n\nDear {0}"),
+    "shop": ("<div class=cart>Basket</div><div class='sidebar layout'><div class=item><h1>Thing {0}</h1><p>Use {0}.</p></div></div><div class=pay>Pay by card</div>", "Thing {0}\n\nUse {0}."),
+}
+
+
+def test_hosts_without_article_elements(spark):
+    bodies = [(kind, n, f"<!DOCTYPE html><html><head><title>x</title></head><body>{body.format(n)}</body></html>") for kind, (body, _) in LAYOUTS.items() for n in range(8)]
+    df = spark.createDataFrame([(i, f"http://{kind}.org/{n}", text) for i, (kind, n, text) in enumerate(bodies)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html.main_text(df).collect()}
+    for i, (kind, n, text) in enumerate(bodies):
+        assert found[i] == LAYOUTS[kind][1].format(n), kind
+        assert html.extract(text, None) != found[i], kind  # the template decides, not the elements
+    mixed = df.withColumn("url", html.F.concat(html.F.lit("http://one.org/"), "page_id"))
+    assert {r.page_id: r.text for r in html.main_text(mixed).collect()} == found
