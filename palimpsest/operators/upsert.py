@@ -7,7 +7,6 @@ import re
 import uuid
 from collections.abc import Iterable
 from datetime import UTC, datetime
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -92,11 +91,12 @@ class VersionedTable:
     isn't there: of two writers that start from the same version, the later fails and changes nothing.
     """
 
-    #: Buckets of a new table: so many parts can be rewritten by themselves.
-    BUCKETS = 64
+    #: Buckets of a new table unless others are given, and the stored bytes that one should not pass: a bucket is what a
+    #: merge rewrites.
+    BUCKETS, BYTES = 64, 1 << 29
 
-    def __init__(self, spark: SparkSession, path: str, partition_by: list[str] | None = None, bucket_by: list[str] | None = None):
-        self.spark, self.path, self.partition_by, self.bucket_by = spark, path.rstrip("/"), partition_by or [], bucket_by
+    def __init__(self, spark: SparkSession, path: str, partition_by: list[str] | None = None, bucket_by: list[str] | None = None, buckets: int | None = None):
+        self.spark, self.path, self.partition_by, self.bucket_by, self.buckets = spark, path.rstrip("/"), partition_by or [], bucket_by, buckets
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -128,11 +128,11 @@ class VersionedTable:
         return self.spark.createDataFrame(found, "version int, committed_at string, operation string, buckets int, summary map<string,string>")
 
     def files(self, version: int | None = None) -> DataFrame:
-        """The files of a version: bucket, file."""
+        """The files of a version: bucket, file. From the folders' listings; no rows are read."""
         _, body = self._version(version)
         paths = [f"{self.path}/{f}" for folders in body["buckets"].values() for f in folders]
-        one = self._scan(T.StructType.fromJson(body["schema"]), paths)
-        rows = one.select((F.col("__file") if "__file" in one.columns else F.col("_metadata.file_path")).alias("file")).distinct()
+        found = self._scan(T.StructType.fromJson(body["schema"]), paths).inputFiles() if paths else []
+        rows = self.spark.createDataFrame([(f,) for f in found], "file string")
         return rows.select(F.regexp_extract("file", "__b=([0-9]+)/", 1).cast("int").alias("bucket"), "file")
 
     def read(self, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
@@ -144,22 +144,15 @@ class VersionedTable:
         return self._scan(schema, paths).select(*schema.names) if paths else self.spark.createDataFrame([], schema)
 
     def _scan(self, schema: T.StructType, paths: list[str]) -> DataFrame:
-        # Folders of one write share a root; each root is a scan of its own, as partition columns are found from it.
-        by: dict[str, list[str]] = {}
-        for path in paths:
-            by.setdefault(path.rpartition("/")[0], []).append(path)
-        found = [self.spark.read.schema(schema).option("basePath", root).parquet(*own) for root, own in sorted(by.items())]
-        if len(found) == 1:
-            return found[0]
-        names = [*schema.names, F.col("_metadata.file_path").alias("__file")]
-        return reduce(DataFrame.unionByName, [one.select(*names) for one in found])
+        # Writes are partition folders, too, so all of them are one scan.
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths)
 
     def _bucket(self, count: int, keys: list[str]) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
 
     def _put(self, df: DataFrame, keys: list[str], count: int) -> dict[str, list[str]]:
         """Write rows to a new folder; its buckets."""
-        name = f"data/{uuid.uuid4().hex}"
+        name = f"data/__w={uuid.uuid4().hex}"
         out = df.withColumn("__b", self._bucket(count, keys)).hint("rebalance", "__b")
         out.write.option("compression", "zstd").partitionBy("__b", *self.partition_by).parquet(f"{self.path}/{name}")
         fs, _, jvm = self._fs()
@@ -187,8 +180,26 @@ class VersionedTable:
 
     def write(self, df: DataFrame, keys: list[str] | None = None) -> int:
         """Replace the table's rows."""
-        keys, base = self.bucket_by or keys or df.columns[:1], self._base()
-        return self._commit(base, "write", df.schema, keys, self.BUCKETS, self._put(df, keys, self.BUCKETS), {})
+        keys, base, count = self.bucket_by or keys or df.columns[:1], self._base(), self.buckets or self.BUCKETS
+        return self._commit(base, "write", df.schema, keys, count, self._put(df, keys, count), {})
+
+    def wanted_buckets(self) -> int:
+        """As many buckets as the newest version has, doubled until none holds more than BYTES on average."""
+        _, body = self._version()
+        fs, folder, jvm = self._fs()
+        paths = [jvm.org.apache.hadoop.fs.Path(f"{self.path}/{f}") for folders in body["buckets"].values() for f in folders]
+        stored, count = sum(fs.getContentSummary(p).getLength() for p in paths), body["count"]
+        while stored > count * self.BYTES:
+            count *= 2
+        return count
+
+    def rebucket(self, count: int | None = None) -> int:
+        """A version with the same rows in another number of buckets (by size, if none is given); the version's number."""
+        base, body = self._version()
+        rows, count = self.read(base), count or self.wanted_buckets()
+        if count == body["count"]:
+            return base
+        return self._commit(base, "rebucket", rows.schema, body["keys"], count, self._put(rows, body["keys"], count), {})
 
     def _touched(self, staged: DataFrame, keys: list[str], body: dict[str, Any]) -> list[int]:
         """Buckets that staged rows fall into: at most as many as the table has."""

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from palimpsest import schemas
 from palimpsest.functions.identity import VOLATILE, json_hash, object_key
 from palimpsest.operators import answers, chunking, embedding
+from palimpsest.operators.log import Log
 from palimpsest.operators.upsert import VersionedTable, apply_ddl
 from palimpsest.plans import corpus, pipeline, silver
 from palimpsest.queries.registry import query, table
@@ -460,11 +461,11 @@ def put_log(spark: SparkSession, d: str, top: str, keep: Column) -> None:
 def stream_fold(spark: SparkSession, d: str) -> DataFrame:
     """Versions by a stream that sees the odd events first and the even ones, older among them, after."""
     top = scratch(spark, "stream")
-    stored, log = VersionedTable(spark, f"{top}/table"), VersionedTable(spark, f"{top}/log")
+    stored, log = VersionedTable(spark, f"{top}/table"), Log(spark, f"{top}/log", ["user_id"])
     for even in (1, 0):
         put_log(spark, d, top, F.col("event_id") % 2 == even)
         stream = spark.readStream.schema(LOG).parquet(f"{top}/in")
-        observations.fold_into(stream, stored, log, ["user_id"], f"{top}/checkpoint", "event_type", "ts").awaitTermination()
+        observations.fold_into(stream, stored, log, f"{top}/checkpoint", "event_type", "ts").awaitTermination()
     # Which of two was current first is no state of the log: the table is what folding all of it gives.
     return stored.read().select("user_id", "event_type", F.col("valid_from").cast("timestamp_ntz").alias("valid_from"), F.col("valid_to").cast("timestamp_ntz").alias("valid_to"), "is_current")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from palimpsest.operators.log import Log
 from palimpsest.operators.scd2 import versions
 from palimpsest.operators.upsert import VersionedTable
 from palimpsest.shipping import ship
@@ -19,22 +20,24 @@ def first_seen(stream: DataFrame, keys: list[str], record: str, observed: str, l
     return stream.withWatermark(observed, lateness).dropDuplicatesWithinWatermark([*keys, record])
 
 
-def fold_into(stream: DataFrame, table: VersionedTable, log: VersionedTable, keys: list[str], checkpoint: str, record: str = "record_hash", observed: str = "observed_at") -> StreamingQuery:
+def fold_into(stream: DataFrame, table: VersionedTable, log: Log, checkpoint: str, record: str = "record_hash", observed: str = "observed_at") -> StreamingQuery:
     """Take what is there and stop: each batch joins the log, and the versions of touched entities are folded anew.
 
-    Late observations re-splice their entity's timeline, as folding is a pure function of the log. The log only grows: a
-    batch adds the observations that it lacks by keys, record and time, so one that is replayed after a failure changes
-    nothing. Log and table are bucketed by entity, so a batch reads and writes the buckets of its own entities.
+    Late observations re-splice their entity's timeline, as folding is a pure function of the set of observations. Log and
+    table are bucketed by entity (the log's keys), so a batch reads and writes the buckets of its own entities, by one scan
+    of the log whatever came before; a batch that is replayed after a failure changes nothing.
     """
-    log.bucket_by, table.bucket_by = keys, keys
-
-    def one(batch: DataFrame, _: int) -> None:
-        log.append_new(batch, [*keys, record, observed])
-        if not log.versions():
-            return
-        touched = batch.select(*keys).distinct()
-        rows = log.read(buckets=log.buckets_of(touched)).join(touched, keys, "left_semi")
-        table.merge(versions(rows, keys, record, observed), [*keys, record])
+    table.bucket_by = log.keys
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            log.append(batch, number)
+            touched = batch.select(*log.keys).distinct()
+            rows = log.read(batch.schema, log.touched(touched)).join(touched, log.keys, "left_semi")
+            table.merge(versions(rows, log.keys, record, observed), [*log.keys, record])
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

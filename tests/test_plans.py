@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import cli
+from palimpsest.operators.log import Log
 from palimpsest.operators.upsert import VersionedTable, apply_ddl
 from palimpsest.plans import corpus, pipeline
 from palimpsest.plans.ask import Assistant
@@ -137,12 +138,12 @@ def test_ddl(spark):
 def test_stream_folds_late_observations(spark, tmp_path):
     schema = "entity string, record_hash string, observed_at timestamp"
     at = [dt.datetime(2026, 8, n) for n in (1, 2, 3)]
-    table, log = VersionedTable(spark, str(tmp_path / "t")), VersionedTable(spark, str(tmp_path / "l"))
+    table, log = VersionedTable(spark, str(tmp_path / "t")), Log(spark, str(tmp_path / "l"), ["entity"])
 
     def step(rows):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        observations.fold_into(stream, table, log, ["entity"], str(tmp_path / "c")).awaitTermination()
+        observations.fold_into(stream, table, log, str(tmp_path / "c")).awaitTermination()
         return sorted((r.record_hash, r.valid_from, r.valid_to) for r in table.read().collect())
 
     assert step([("A", "x", at[0]), ("A", "z", at[2])]) == [("x", at[0], at[2]), ("z", at[2], None)]
