@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,9 @@ class BlankTokenizer:
     def encode(self, text: str) -> list[str]:
         return text.split()
 
+    def each(self, text: str) -> Iterator[str]:
+        return (hit[0] for hit in re.finditer(r"\S+", text))
+
     def decode(self, pieces: list[str]) -> str:
         return " ".join(pieces)
 
@@ -55,60 +59,106 @@ def sections(text: str) -> list[tuple[str | None, str]]:
 
     A text that is one heading and nothing else is kept whole, without the leading signs.
     """
-    parts: list[tuple[str | None, list[str]]] = [(None, [])]
-    lines = deque(text.split("\n"))
-    while lines:
-        line = lines.popleft()
+    return list(each_section(text))
+
+
+def each_section(text: str) -> Iterator[tuple[str | None, str]]:
+    """``sections`` one after another: only the present one is cut out of the text."""
+    heading, begin, headings, kept, resume = None, 0, 0, 0, 0
+    for sign in re.finditer(r"^#", text, re.M):
+        if sign.start() < resume:
+            continue
+        end = _line_end(text, sign.start())
         # A bare sign takes the next line that isn't blank.
-        while BARE.fullmatch(line) and lines:
-            line = f"{line}\n{lines.popleft()}"
-        if heading := HEADING.fullmatch(line):
-            parts.append((heading[2].strip(), []))
-        else:
-            parts[-1][1].append(line)
-    if len(parts) == 1:
-        return [(None, text)]
-    bodies = [(heading, "\n".join(lines).strip()) for heading, lines in parts]
-    kept = [(heading, body) for heading, body in bodies if body]
-    return kept if kept or len(parts) > 2 else [(None, text.lstrip("# ").strip())]
+        while BARE.fullmatch(text, sign.start(), end) and end < len(text):
+            end = _line_end(text, end + 1)
+        resume = end
+        if hit := HEADING.fullmatch(text, sign.start(), end):
+            if body := text[begin : sign.start()].strip():
+                kept += 1
+                yield heading, body
+            heading, begin, headings = hit[2].strip(), end, headings + 1
+    if not headings:
+        yield None, text
+    elif body := text[begin:].strip():
+        yield heading, body
+    elif headings == 1 and not kept:
+        yield None, text.lstrip("# ").strip()
+
+
+def _line_end(text: str, at: int) -> int:
+    found = text.find("\n", at)
+    return len(text) if found < 0 else found
 
 
 def token_windows(text: str, tokenizer, target: int = TARGET, overlap: int = OVERLAP) -> list[str]:
     """Windows of ``target`` tokens that overlap; a text of no more tokens stays as it is."""
-    pieces = tokenizer.encode(text)
-    if len(pieces) <= target:
-        return [text]
+    return list(each_window(text, tokenizer, target, overlap))
+
+
+def each_window(text: str, tokenizer, target: int = TARGET, overlap: int = OVERLAP) -> Iterator[str]:
+    """``token_windows`` one after another. A tokenizer that has ``each``, an iterator of a text's tokens, is asked for no
+    more of them than a window holds."""
     step = max(1, target - overlap)
-    last = -(-(len(pieces) - target) // step) * step
-    cut = (tokenizer.decode(pieces[at : at + target]).strip() for at in range(0, last + 1, step))
-    return [c for c in cut if c]
+    pieces = iter(tokenizer.each(text) if hasattr(tokenizer, "each") else tokenizer.encode(text))
+    held = list(islice(pieces, target + 1))
+    if len(held) <= target:
+        yield text
+        return
+    while True:
+        if cut := tokenizer.decode(held[:target]).strip():
+            yield cut
+        if len(held) <= target:
+            return
+        skipped = deque(islice(pieces, max(0, step - len(held))), maxlen=0)  # a negative overlap leaves tokens out
+        held = [*held[step:], *skipped]
+        held += islice(pieces, target + 1 - len(held))
 
 
 def chunk(text: str | None, tokenizer, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[int, str | None, str, int]]:
     """(index, heading, text, tokens). Pieces of fewer than ``least`` tokens join the one before, heading and all."""
+    return list(each_chunk(text, tokenizer, target, overlap, least))
+
+
+def each_chunk(text: str | None, tokenizer, target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> Iterator[tuple[int, str | None, str, int]]:
+    """``chunk`` one after another: a piece waits only for the next that doesn't join it."""
     if not text or not text.strip():
-        return []
+        return
     joined = lambda heading, body: f"{heading}\n\n{body}" if heading else body
-    out: list[list] = []
-    for heading, body in sections(text):
-        for piece in token_windows(body, tokenizer, target, overlap):
-            if out and len(tokenizer.encode(piece)) < least:
-                out[-1][1] += "\n\n" + joined(heading, piece)
+    n, first, parts = 0, None, []
+
+    def done() -> tuple[int, str | None, str, int]:
+        whole = joined(first, "\n\n".join(parts)).strip()
+        return n, first, whole, len(tokenizer.encode(joined(first, "\n\n".join(parts))))
+
+    for heading, body in each_section(text):
+        for piece in each_window(body, tokenizer, target, overlap):
+            if parts and len(tokenizer.encode(piece)) < least:
+                parts.append(joined(heading, piece))
             else:
-                out.append([heading, piece])
-    whole = [(heading, joined(heading, body)) for heading, body in out]
-    return [(i, heading, text.strip(), len(tokenizer.encode(text))) for i, (heading, text) in enumerate(whole)]
+                if parts:
+                    yield done()
+                    n += 1
+                first, parts = heading, [piece]
+    if parts:
+        yield done()
 
 
 def chunk_titled(label: str | None, title: str | None, body: str | None, tokenizer) -> list[tuple[int, str | None, str, int, int]]:
     """Chunks that lead with label and title; body_tokens leaves the prefix out. No body: the prefix alone, with 0."""
+    return list(each_titled(label, title, body, tokenizer))
+
+
+def each_titled(label: str | None, title: str | None, body: str | None, tokenizer) -> Iterator[tuple[int, str | None, str, int, int]]:
+    """``chunk_titled`` one after another."""
     head = " — ".join(p for p in ((label or "").strip(), (title or "").strip()) if p)
     body = (body or "").strip()
     if not body:
-        return [(*c, 0) for c in chunk(head, tokenizer)]
-    if not head:
-        return [(*c, c[3]) for c in chunk(body, tokenizer)]
-    return [(i, h, f"{head}\n\n{t}", len(tokenizer.encode(f"{head}\n\n{t}")), n) for i, h, t, n in chunk(body, tokenizer)]
+        yield from ((*c, 0) for c in each_chunk(head, tokenizer))
+    elif not head:
+        yield from ((*c, c[3]) for c in each_chunk(body, tokenizer))
+    else:
+        yield from ((i, h, f"{head}\n\n{t}", len(tokenizer.encode(f"{head}\n\n{t}")), n) for i, h, t, n in each_chunk(body, tokenizer))
 
 
 def chunk_documents(docs: DataFrame, label: str | None = None, title: str | None = None, body: str = "body", tokenizer: Callable[[], object] = BlankTokenizer) -> DataFrame:
@@ -127,6 +177,24 @@ def chunk_documents(docs: DataFrame, label: str | None = None, title: str | None
     return docs.withColumn("__c", F.explode(made)).select(*docs.columns, "__c.*")
 
 
+def chunk_rows(docs: DataFrame, label: str | None = None, title: str | None = None, body: str = "body", tokenizer: Callable[[], object] = BlankTokenizer) -> DataFrame:
+    """As ``chunk_documents``, by a table function that is joined to each document: its chunks leave the task as they are
+    cut, so a document of any length takes its own text and a few chunks, and never an array of all of them."""
+    ship(docs.sparkSession)
+
+    class Chunks:
+        def __init__(self) -> None:
+            self.tokenizer = tokenizer()
+
+        def eval(self, label: str | None, title: str | None, body: str | None) -> Iterator[tuple]:
+            yield from each_titled(label, title, body, self.tokenizer)
+
+    made = F.udtf(Chunks, returnType=CHUNK)
+    none = F.lit(None).cast("string")
+    own = lambda c: F.col(c).outer() if c else none
+    return docs.lateralJoin(made(own(label), own(title), own(body)))
+
+
 def native_sections(text: Column) -> Column:
     """array<struct<heading, body>> by heading lines, in JVM expressions: as ``sections`` for texts whose headings have
     their words on the same line."""
@@ -175,4 +243,4 @@ def chunks_native(docs: DataFrame, text: str, target: int = TARGET, overlap: int
     return cut.select(*docs.columns, F.posexplode(windows_of("__t", target, overlap)).alias("chunk_index", "chunk"))
 
 
-__all__ = ["BlankTokenizer", "PieceTokenizer", "chunk", "chunk_documents", "chunk_titled", "chunks_native", "fold_short", "native_sections", "prefixed", "sections", "token_windows", "windows_of"]
+__all__ = ["BlankTokenizer", "PieceTokenizer", "chunk", "chunk_documents", "chunk_rows", "chunk_titled", "chunks_native", "fold_short", "native_sections", "prefixed", "sections", "token_windows", "windows_of"]

@@ -237,7 +237,7 @@ SELECT conv_id, CAST(chunk_index AS INTEGER) AS chunk_index, arg_min(role, (turn
 
 def titled(spark: SparkSession, d: str) -> DataFrame:
     rows = threads(spark, d).select("conv_id", F.lit("Forum").alias("label"), F.concat(F.lit("thread "), F.col("conv_id").cast("string")).alias("title"), "body")
-    return chunking.chunk_documents(rows, "label", "title", "body").select("conv_id", "chunk_index", "heading", "chunk", "tokens", "body_tokens")
+    return chunking.chunk_rows(rows, "label", "title", "body").select("conv_id", "chunk_index", "heading", "chunk", "tokens", "body_tokens")
 
 
 @query(CHUNKED)
