@@ -44,6 +44,13 @@ def offline_writer(question: str, passages: list[dict[str, Any]], rows: list[dic
     return " ".join(f"{p['chunk'][:160]} [{p['marker']}]" for p in passages[:3])
 
 
+def written(said: str | dict[str, Any]) -> tuple[str, bool]:
+    """A writer's text, and whether it says itself that what it was given doesn't answer the question."""
+    if isinstance(said, dict):
+        return str(said.get("answer") or "").strip(), bool(said.get("data_gap"))
+    return said.strip(), False
+
+
 @dataclass
 class Assistant:
     """One question at a time. ``vectors`` has source, document_id, protocol_name, chunk_index, chunk, embedding,
@@ -56,7 +63,8 @@ class Assistant:
     embedder: Callable[[list[str]], list[list[float]]] = hashing_embedder
     router: Callable[[str, list[str]], dict[str, Any]] = offline_router
     judge: Callable[[list[str], list[str]], list[int]] = answers.overlap_judge
-    writer: Callable[[str, list[dict[str, Any]], list[dict[str, Any]]], str] = offline_writer
+    #: Gives a text, or a dictionary with answer and data_gap.
+    writer: Callable[[str, list[dict[str, Any]], list[dict[str, Any]]], str | dict[str, Any]] = offline_writer
     model: str = MODEL
     scheme: str = SCHEME
 
@@ -106,9 +114,9 @@ class Assistant:
         if answers.is_gap(len(passages), len(rows)):
             yield "synthesis", {"answer": answers.GAP, "citations": [], "data_gap": True, "note": "; ".join(notes)}
             return
-        text = self.writer(question, passages, rows).strip()
+        text, gap = written(self.writer(question, passages, rows))
         kept, problems = self._cite(text, passages)
-        yield "synthesis", {"answer": text, "citations": kept, "data_gap": not text, "note": "; ".join([*notes, *problems])}
+        yield "synthesis", {"answer": text, "citations": kept, "data_gap": gap or not text, "note": "; ".join([*notes, *problems])}
 
     def _relevant(self, question: str, hits: DataFrame) -> list[dict[str, Any]]:
         shown = answers.marked(hits, tie="chunk_id").withColumn("question", F.lit(question))

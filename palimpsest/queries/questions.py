@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import answers
 from palimpsest.operators.embedding import embed, hashing_embedder
 from palimpsest.queries.registry import query, table
+from palimpsest.shared import scratch
 
 RAW = """
 SELECT event_id, CASE event_type WHEN 'click' THEN ' SQL ' WHEN 'error' THEN 'hybrid' ELSE event_type END AS route, CASE WHEN event_id % 3 = 0 THEN 'ONE' WHEN event_id % 3 = 1 THEN 'all' END AS scope,
@@ -63,23 +64,34 @@ def scope_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return found.select("expected_scope", "questions", F.round("accuracy", 9).alias("accuracy"))
 
 
-@query(f"""
-SELECT q.question, q.gap AS data_gap, CASE WHEN counted THEN (SELECT count(DISTINCT lower(o_orderpriority)) FROM orders) ELSE 0 END AS rows, cited
-FROM (VALUES ('how many proposals are there', FALSE, TRUE, FALSE), ('what about nothing3 nothing4 nothing5', TRUE, FALSE, FALSE), ('tell about proposal word1 word2 word3', FALSE, FALSE, TRUE)) q(question, gap, counted, cited)
+@query("""
+WITH chunks AS (SELECT 'tell about ' || lower(n_name) || ' word1 word2 word3 of ' || c_custkey AS chunk FROM customer JOIN nation ON c_nationkey = n_nationkey),
+asked AS (
+  SELECT 'how many proposals are there' AS question, TRUE AS counting UNION ALL SELECT 'what about nothing3 nothing4 nothing5', FALSE
+  UNION ALL SELECT 'tell about ' || lower(n_name) || ' word1 word2 word3', FALSE FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'tell about atlantis word4 word5 word6', FALSE)
+SELECT question, NOT counting AND held = 0 AS data_gap, CASE WHEN counting THEN (SELECT count(DISTINCT lower(o_orderpriority)) FROM orders) ELSE 0 END AS rows, held > 0 AS cited
+FROM (SELECT question, counting, (SELECT count(*) FROM chunks WHERE starts_with(chunk, question)) AS held FROM asked)
 """)
 def ask(spark: SparkSession, d: str) -> DataFrame:
-    """Three questions through the whole assistant: one counts, one has no answer, one is answered with a citation."""
+    """Questions through the whole assistant, over a chunk for each customer: one counts, some are about the nations of a
+    region, two have no answer."""
     from palimpsest.plans.ask import MODEL, SCHEME, Assistant
     from palimpsest.queries.relational import PRIORITIES, templates
 
-    chunk = F.concat(F.lit("tell about proposal word1 word2 word3 of "), F.col("o_orderkey").cast("string"))
-    chunks = table(spark, d, "orders").where("o_orderkey < 40").select(
-        F.lit("proposal").alias("source"), F.col("o_orderkey").cast("string").alias("document_id"), F.lower("o_orderpriority").alias("protocol_name"),
-        F.lit(0).cast("long").alias("chunk_index"), F.col("o_orderkey").cast("string").alias("chunk_id"), chunk.alias("chunk"), F.lit(MODEL).alias("embedding_model"), F.lit(SCHEME).alias("chunk_scheme"),
+    nations = table(spark, d, "nation").select("n_nationkey", "n_regionkey", F.lower("n_name").alias("n"))
+    rows = table(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    own = F.col("c_custkey").cast("string")
+    chunk = F.concat(F.lit("tell about "), "n", F.lit(" word1 word2 word3 of "), own)
+    chunks = rows.select(
+        F.lit("proposal").alias("source"), own.alias("document_id"), F.lit(PRIORITIES[0]).alias("protocol_name"), F.lit(0).cast("long").alias("chunk_index"),
+        own.alias("chunk_id"), chunk.alias("chunk"), F.lit(MODEL).alias("embedding_model"), F.lit(SCHEME).alias("chunk_scheme"),
     )
     dimension = spark.createDataFrame([(p,) for p in PRIORITIES], "protocol_name string")
-    me = Assistant(spark, embed(chunks, hashing_embedder), templates(spark, d), dimension)
-    asked = ("how many proposals are there", "what about nothing3 nothing4 nothing5", "tell about proposal word1 word2 word3")
+    stored = f"{scratch(spark, 'asked')}/chunks"
+    embed(chunks, hashing_embedder).write.parquet(stored)
+    me = Assistant(spark, spark.read.parquet(stored), templates(spark, d), dimension)
+    about = [f"tell about {r.n} word1 word2 word3" for r in nations.where("n_regionkey = 1").collect()]
+    asked = ["how many proposals are there", "what about nothing3 nothing4 nothing5", *about, "tell about atlantis word4 word5 word6"]
     said = [(q, me.ask(q)) for q in asked]
     return spark.createDataFrame([(q, a.data_gap, len(a.rows), bool(a.citations)) for q, a in said], "question string, data_gap boolean, rows bigint, cited boolean")
 

@@ -10,6 +10,7 @@ from palimpsest.functions.flags import choice_scores, risk_flags
 from palimpsest.functions.text import label
 from palimpsest.operators import sketches
 from palimpsest.operators.scd2 import versions
+from palimpsest.plans import reports
 from palimpsest.plans.silver import drop_unknown as split_unknown
 from palimpsest.plans.templates import Templates
 from palimpsest.queries.registry import query, table
@@ -149,7 +150,7 @@ def proposal_projection(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, count(*) AS posts FROM conversations GROUP BY conv_id ORDER BY posts DESC, conv_id LIMIT 10")
 def busiest_threads(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("posts")).orderBy(F.desc("posts"), "conv_id").limit(10)
+    return reports.busiest(table(spark, d, "conversations"), "conv_id")
 
 
 @query("SELECT 'document' AS source, CAST(doc_id AS VARCHAR) AS document_id, text AS body FROM documents UNION ALL SELECT 'turn', conv_id || ':' || turn, text FROM conversations")
@@ -166,7 +167,7 @@ def distinct_topics(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lang AS chunk_scheme, count(*) AS n FROM documents GROUP BY ALL")
 def count_by_scheme(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(F.col("lang").alias("chunk_scheme")).agg(F.count("*").alias("n"))
+    return reports.by_scheme(table(spark, d, "documents"), "lang")
 
 
 @query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
@@ -174,10 +175,11 @@ def set_intersect(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id").intersect(table(spark, d, "labels").select("doc_id"))
 
 
-@query("SELECT user_id FROM events EXCEPT SELECT user_id FROM events WHERE event_type = 'error'")
+@query("SELECT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click' EXCEPT SELECT user_id, CAST(ts AS DATE) FROM events WHERE event_type IN ('error', 'purchase')")
 def set_except(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events")
-    return events.select("user_id").subtract(events.where("event_type = 'error'").select("user_id"))
+    """The days of each user with clicks but neither errors nor purchases."""
+    events = table(spark, d, "events").select("user_id", "event_type", F.to_date("ts").alias("day"))
+    return reports.missed(events.where("event_type = 'click'"), events.where("event_type in ('error', 'purchase')"), ["user_id", "day"])
 
 
 @query("""
@@ -185,10 +187,8 @@ SELECT regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS host, count(*) AS pages,
 FROM pages p JOIN documents d ON TRY_CAST(regexp_extract(p.url, '/([0-9]+)', 1) AS BIGINT) = d.doc_id GROUP BY host
 """)
 def thread_join(spark: SparkSession, d: str) -> DataFrame:
-    topic = F.regexp_extract("url", "/([0-9]+)", 1).try_cast("bigint")
-    pages = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]+)/", 1).alias("host"), topic.alias("doc_id"))
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    return pages.join(docs, "doc_id").groupBy("host").agg(F.count("*").alias("pages"), F.count_distinct("lang").alias("langs"))
+    joined = reports.linked(table(spark, d, "pages").select("url"), "url", table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return reports.volume(joined, ["host"], "pages", langs="lang")
 
 
 @query("SELECT conv_id, turn, role, length(text) AS chars FROM conversations")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import bytepairs, text
 from palimpsest.functions.identity import chunk_ref, drop_fields, forum_chunk_index, forum_document, json_hash, object_key, safe
 from palimpsest.operators import batches, chunking
+from palimpsest.plans import reports
 from palimpsest.plans.corpus import estimate
 from palimpsest.queries.registry import query, table
 
@@ -158,11 +159,11 @@ WHERE text NOT LIKE 'De %'
 """)
 def like_predicates(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").where(~t.startswith("De ")).select(
+    return table(spark, d, "documents").where(reports.lacks_prefix(t, "De ")).select(
         "doc_id",
-        (~t.startswith("The ")).alias("other_start"),
-        F.expr("instr(text, substring(text, 1, 12)) = 0").alias("no_title"),
-        F.lower(t).contains("license").alias("licensed"),
+        reports.lacks_prefix(t, "The ").alias("other_start"),
+        reports.lacks_start_of(t, t).alias("no_title"),
+        reports.mentions(t, "License").alias("licensed"),
         F.length(t).cast("long").alias("chars"),
     )
 

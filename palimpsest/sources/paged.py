@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from palimpsest.shared import scratch
 from palimpsest.shipping import ship
 
 Transport = Callable[[str, str, dict[str, Any]], tuple[int, dict[str, str], Any]]
@@ -196,9 +197,24 @@ class ForumClient:
         return (self.topic(t["id"]) for t in self.topics(limit, most))
 
 
+def sql_pages(spark: SparkSession, statement: str, page: int = 10_000, **values: Any) -> Iterator[list[dict[str, Any]]]:
+    """A statement's rows as dictionaries, a page at a time; ``values`` fill its ``:names``.
+
+    Executors write the result in files of a page each, and the driver reads one of them at a time, so results of any size
+    pass through bounded memory and nothing is worked out twice. An order the statement asks for is kept.
+    """
+    rows = spark.sql(statement, args=values or None)
+    folder = f"{scratch(spark, 'pages')}/rows"
+    rows.write.option("maxRecordsPerFile", page).parquet(folder)
+    whole = spark.read.schema(rows.schema).parquet(folder)
+    for path in sorted(whole.inputFiles()):
+        if found := [r.asDict(recursive=True) for r in spark.read.schema(rows.schema).parquet(path).collect()]:
+            yield found
+
+
 def sql_rows(spark: SparkSession, statement: str, **values: Any) -> list[dict[str, Any]]:
-    """Rows of a statement as dictionaries, paged to the driver by partition; ``values`` fill its ``:names``."""
-    return [r.asDict(recursive=True) for r in spark.sql(statement, args=values or None).toLocalIterator()]
+    """All of a statement's rows as dictionaries, for results that a client holds anyway (see ``sql_pages``)."""
+    return [r for rows in sql_pages(spark, statement, **values) for r in rows]
 
 
 OBJECTS = "space_key string, id string, payload string"

@@ -67,6 +67,12 @@ def test_answers(spark, built):
     cited = me.ask("word1 word2 word3 word4 fees")
     assert cited.citations and cited.citations[0]["marker"] == "c0" and "nothing from arbitrum" in cited.note
     assert me.ask("zzzz qqqqq unheard").data_gap
+    # A writer may say itself that the passages don't answer the question; what it cites stays.
+    me.writer = lambda question, passages, rows: {"answer": " Not in here [c0]. ", "data_gap": True}
+    said = me.ask("word1 word2 word3 word4 fees")
+    assert said.data_gap and said.text == "Not in here [c0]." and said.citations
+    me.writer = lambda question, passages, rows: {"answer": None}
+    assert me.ask("word1 word2 word3 word4 fees").data_gap
 
 
 def test_service(spark, built):
