@@ -103,7 +103,7 @@ class Codec:
     unk_surface: str = " ⁇ "
 
     #: Words remembered by one worker, and the longest remembered.
-    REMEMBER, WORD = 600_000, 48
+    REMEMBER, WORD = 250_000, 48
 
     @classmethod
     def load(cls, path: str) -> Codec:
