@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import components, cut
+from palimpsest.llm.common import components, cut, released
 from palimpsest.shipping import ship
 
 K, ROWS = 128, 5
@@ -241,7 +241,7 @@ def sketch(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(
-        work, f"id {kind}, k1 long, k2 long, n int, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+        released(work), f"id {kind}, k1 long, k2 long, n int, s0 long, s1 long, s2 long, s3 long, bands array<long>"
     )
 
 
@@ -262,7 +262,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_name(element, places, 7)), grams], names=["id", "node", "grams"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(work, f"id {kind}, node long, grams array<long>")
+    return docs.select("id", "text").mapInArrow(released(work), f"id {kind}, node long, grams array<long>")
 
 
 def _agreement(a: str, b: str) -> Column:

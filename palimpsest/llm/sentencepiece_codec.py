@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from palimpsest.llm.common import released
 from palimpsest.shipping import ship
 
 SPACE = "▁"
@@ -568,4 +569,4 @@ def encode_documents(
                 )
                 at = end
 
-    return picked.mapInArrow(work, schema)
+    return picked.mapInArrow(released(work, lambda: codec(model)._forget()), schema)
