@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -91,51 +92,64 @@ class Timeline(StatefulProcessor):
     Whatever a batch adds, late rows included, changes some closed windows: those that are no more are taken back
     (change -1), the new ones given (+1). A timer at each entity's oldest observation folds what the watermark has
     passed into the open version, as nothing earlier can come any more: state holds no more than the lateness allowed.
+    All of an entity is one value, so a batch asks the state store for it once and puts it back once, whatever its number
+    of observations; a timer moves only if the oldest observation does. Times are microseconds.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.begin = handle.getValueState("begin", "valid_from timestamp, record string")
-        self.seen = handle.getMapState("seen", "observed_at timestamp, record string", "there boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        begin, held = self.begin.get(), {tuple(k) for k in self.seen.keys()}
-        new = {(at.to_pydatetime(), record) for pdf in rows for at, record in zip(pdf["observed_at"], pdf["record"], strict=True)} - held
-        before, after = timeline(begin, list(held)), timeline(begin, list(held | new))
-        for one in new:
-            self.seen.updateValue(one, (True,))
-        if new:
-            self._wait(held | new)
-        changed = [(str(key[0]), *w, n) for windows, n in ((before - after, -1), (after - before, 1)) for w in sorted(windows)]
-        yield pd.DataFrame(changed, columns=["key", "record", "valid_from", "valid_to", "change"])
-
-    def _wait(self, held: set[tuple]) -> None:
-        due = int(min(held)[0].timestamp() * 1000) + 1
-        for timer in list(self.handle.listTimers()):
-            if timer != due:
-                self.handle.deleteTimer(timer)
-        self.handle.registerTimer(due)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        passed = timerValues.getCurrentWatermarkInMs()
-        held = {tuple(k) for k in self.seen.keys()}
-        done = sorted(one for one in held if one[0].timestamp() * 1000 < passed)
-        begin = self.begin.get()
-        for at, record in done:
+        self.seen = handle.getValueState("seen", "open_since long, open_record string, observed_at array<long>, record array<string>")
+
+    def _held(self) -> tuple[tuple | None, list[tuple]]:
+        """The open version (valid_from, record), and the observations (time, record) in their order."""
+        found = self.seen.get()
+        if found is None:
+            return None, []
+        return (None if found[0] is None else (found[0], found[1])), list(zip(found[2], found[3], strict=True))
+
+    def _hold(self, begin: tuple | None, seen: list[tuple]) -> None:
+        self.seen.update((*(begin or (None, None)), [at for at, _ in seen], [record for _, record in seen]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        begin, held = self._held()
+        new = {(r.at, r.record) for r in rows}.difference(held)
+        if not new:
+            return
+        both = sorted([*held, *new])
+        self._hold(begin, both)
+        if not held or both[0][0] < held[0][0]:
+            if held:
+                self.handle.deleteTimer(due(held[0][0]))
+            self.handle.registerTimer(due(both[0][0]))
+        before, after = timeline(begin, held), timeline(begin, both)
+        for windows, n in ((before - after, -1), (after - before, 1)):
+            for record, since, until in sorted(windows):
+                yield Row(key=str(key[0]), record=record, since=since, until=until, change=n)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        begin, held = self._held()
+        n = bisect_left(held, (passed,))
+        for at, record in held[:n]:
             if begin is None or begin[1] != record:
                 begin = (at, record)
-            self.seen.removeKey((at, record))
-        if begin is not None:
-            self.begin.update(begin)
-        if rest := held - set(done):
-            self._wait(rest)
-        yield pd.DataFrame([], columns=["key", "record", "valid_from", "valid_to", "change"])
+        self._hold(begin, held[n:])
+        if held[n:]:
+            self.handle.registerTimer(due(held[n][0]))
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
+def due(at: int) -> int:
+    """The millisecond after a time in microseconds."""
+    return at // 1000 + 1
+
+
 CHANGES = f"{CLOSED}, change int"
+#: What the state gives, times in microseconds.
+TOLD = "key string, record string, since long, until long, change int"
 
 
 def version_changes(stream: DataFrame, key: str, record: str, observed: str, lateness: str = "1 day") -> DataFrame:
@@ -143,8 +157,9 @@ def version_changes(stream: DataFrame, key: str, record: str, observed: str, lat
     back one that a late observation has split or moved. Repeated observations change nothing. ``closed_of`` sums them
     up. Needs the RocksDB state store."""
     ship(stream.sparkSession)
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(record).alias("record"), F.col(observed).alias("observed_at"))
-    return rows.withWatermark("observed_at", lateness).groupBy("key").transformWithStateInPandas(Timeline(), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(record).alias("record"), F.unix_micros(observed).alias("at"), F.col(observed).alias("observed_at"))
+    told = rows.withWatermark("observed_at", lateness).groupBy("key").transformWithState(Timeline(), outputStructType=TOLD, outputMode="Append", timeMode="EventTime")
+    return told.select("key", "record", F.timestamp_micros("since").alias("valid_from"), F.timestamp_micros("until").alias("valid_to"), "change")
 
 
 def closed_of(changes: DataFrame) -> DataFrame:

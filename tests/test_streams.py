@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 
@@ -61,6 +62,20 @@ def test_state_holds_no_more_than_the_lateness(spark, tmp_path, monkeypatch):
     assert state.count() <= 4
 
 
+def test_an_entitys_state_is_one_value_and_batches_do_not_grow_with_files(spark, small, tmp_path):
+    from palimpsest.queries.files import stream_closed
+
+    spark.read.parquet(f"{small}/events.parquet").where("user_id % 5 = 0").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.glob("stream-*"))
+    stream_closed(spark, str(tmp_path))
+    (top,) = set(shared.glob("stream-*")) - before
+    # A batch for each turn, and perhaps one after it for what the watermark has passed.
+    assert sum(p.name.isdigit() for p in (top / "checkpoint/offsets").iterdir()) <= 6
+    state = spark.read.format("statestore").option("path", f"{top}/checkpoint").option("stateVarName", "seen").load()
+    assert state.count() == spark.read.parquet(f"{tmp_path}/events.parquet").select("user_id").distinct().count()
+
+
 def test_the_sessions_setting_stays(spark):
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
