@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import re
 import uuid
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from typing import Any
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow.fs import FileSystem, FileType
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from palimpsest.functions.identity import space_of
 from palimpsest.schemas import PROPOSAL, TOPIC
@@ -40,10 +44,138 @@ def protocols(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "protocol_name string, snapshot_space string, discourse_host string, display string")
 
 
+#: Levels of folders below a path whose entries are dealt out again before they are opened, and what a batch holds.
+LEVELS, ENTRIES, CHARS = 2, 4096, 1 << 20
+#: What Java leaves as it is in a URI's path, besides letters, digits and all that isn't ASCII.
+PLAIN = "/_-!.~'()*,;:$&+=@"
+FOUND = "store string, path string, folder boolean, length long, modified long"
+
+
+def _encoded(path: str) -> str:
+    return re.sub(r"[\x00-\x7f]+", lambda m: quote(m[0], safe=PLAIN), path)
+
+
+def _store(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a URI as Java writes it, and the path there."""
+    return FileSystem.from_uri(re.sub(r"[^\x00-\x7f]+", lambda m: quote(m[0]), re.sub(r"^file:/+", "file:///", uri)))
+
+
+def _roots(spark: SparkSession, path: str | list[str]) -> list[tuple[str, str, bool, int, int]] | None:
+    """The files and folders that paths or patterns name, as rows of FOUND; none if Spark alone knows their store."""
+    jvm, conf, found = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for one in [path] if isinstance(path, str) else path:
+        place = jvm.org.apache.hadoop.fs.Path(one)
+        hits = place.getFileSystem(conf).globStatus(place)
+        if not hits:
+            raise AnalysisException(f"[PATH_NOT_FOUND] Path does not exist: {one}")
+        for hit in hits:
+            uri = re.sub(r"^file:/+", "file:/", hit.getPath().toUri().toString())  # as Spark names files
+            try:
+                _, own = _store(uri)
+            except (pa.ArrowException, OSError):
+                return None
+            if not uri.endswith(_encoded(own)):
+                return None
+            found.append((uri.removesuffix(_encoded(own)), own, hit.isDirectory(), hit.getLen(), hit.getModificationTime()))
+    return found
+
+
+def _opened(deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Folders as their entries, without hidden ones, down to the files if ``deep``; files stay."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["store", "path", "folder", "length", "modified"])
+
+    def entries(store: str, path: str) -> Iterator[tuple]:
+        fs, _ = _store(store + _encoded(path))
+        for one in fs.get_file_info(FileSelector(path)):
+            name = one.base_name
+            if not ((name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")):
+                folder = one.type == FileType.Directory
+                yield store, one.path, folder, 0 if folder else one.size, one.mtime_ns // 1_000_000
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not row[2]:
+                    out.append(row)
+                waiting = [row] if row[2] else []
+                while waiting:
+                    top = waiting.pop()
+                    for one in entries(top[0], top[1]):
+                        (waiting if deep and one[2] else out).append(one)
+                        if len(out) >= ENTRIES:
+                            yield made(out)
+                            out = []
+        if out:
+            yield made(out)
+
+    return work
+
+
+def listed(spark: SparkSession, path: str | list[str]) -> DataFrame | None:
+    """The files under ``path`` as rows of FOUND (store and path together are the URI, modified is in milliseconds), or
+    None if only Spark knows the store.
+
+    Executors list the folders: the entries of the upper levels are dealt out before they are opened, so the driver holds
+    only what ``path`` names, however many objects there are.
+    """
+    roots = _roots(spark, path)
+    if roots is None:
+        return None
+    ship(spark)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    rows = spark.createDataFrame(roots, FOUND)
+    for _ in range(LEVELS):
+        rows = rows.mapInArrow(_opened(deep=False), FOUND).repartition(parts, "path")
+    return rows.mapInArrow(_opened(deep=True), FOUND)
+
+
+def _texts(files: DataFrame, whole: bool) -> DataFrame:
+    """The lines of listed files, or each file's text, with source_key and observed_at; what is packed is unpacked."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, held = [], 0
+            for store, path, modified in zip(*(batch.column(c).to_pylist() for c in ("store", "path", "modified")), strict=True):
+                uri = store + _encoded(path)
+                fs, own = _store(uri)
+                with fs.open_input_stream(own) as given, io.TextIOWrapper(given, "utf-8" if whole else "utf-8-sig", "replace", "" if whole else None) as text:
+                    for line in [text.read()] if whole else text:
+                        out.append((line if whole else line.removesuffix("\n"), uri, modified))
+                        held += len(line)
+                        if held >= CHARS or len(out) >= ENTRIES:
+                            yield made(out)
+                            out, held = [], 0
+            if out:
+                yield made(out)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.string(), pa.string(), pa.int64()], strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["value", "source_key", "modified"])
+
+    found = files.mapInArrow(work, "value string, source_key string, modified long")
+    return found.select("value", "source_key", F.timestamp_millis("modified").alias("observed_at"))
+
+
 def scan_json(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Every JSON object under ``path`` with source_key, its path, and observed_at, its file time; no schema inference."""
-    raw = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
-    return raw.select("*", F.col("_metadata.file_path").alias("source_key"), F.col("_metadata.file_modification_time").alias("observed_at"))
+    """Every JSON object under ``path`` with source_key, its path, and observed_at, its file time; no schema inference.
+
+    Executors list and read the files (Spark's reader would bring every file's name to the driver); where the store is
+    one that only Spark knows, Spark's reader does it.
+    """
+    files = listed(spark, path)
+    if files is None:
+        raw = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+        return raw.select("*", F.col("_metadata.file_path").alias("source_key"), F.col("_metadata.file_modification_time").alias("observed_at"))
+    lines = _texts(files, whole=False).where(F.trim("value", F.lit(" \t")) != "")
+    # A line may hold one object, or a list of them.
+    many = F.when(F.ltrim("value").startswith("["), F.from_json("value", T.ArrayType(schema)))
+    rows = lines.select(F.explode(F.coalesce(many, F.array(F.from_json("value", schema)))).alias("o"), "source_key", "observed_at")
+    return rows.select("o.*", "source_key", "observed_at")
 
 
 def scan_proposals(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -56,7 +188,10 @@ def scan_topics(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def scan_json_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole objects as text with their path and time, for hashing and untyped access."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    files = listed(spark, path)
+    if files is not None:
+        return _texts(files.where("length > 0"), whole=True).withColumnRenamed("value", "payload")
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return raw.select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("source_key"), F.col("_metadata.file_modification_time").alias("observed_at"))
 
 
@@ -277,17 +412,18 @@ RESTORED, PIECE = "_restored", 1 << 20
 def restore(spark: SparkSession, source: str, target: str, suffixes: Iterable[str] = (".json",)) -> dict[str, int]:
     """Copy objects with one of the suffixes, keeping their places; counts of copied, skipped and errors.
 
-    Spark lists the files; executors copy each in pieces under another name and then move it, so a task that is lost and
+    Executors list the files, and copy each in pieces under another name and then move it, so a task that is lost and
     run again finds whole objects or none. What was copied is noted in the target's ``_restored`` folder: a later call
     leaves out what is noted with the same length, and asks for the others one by one.
     """
     ship(spark)
-    ends = "{" + ",".join(f"*{s}" for s in suffixes) + "}"
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", ends).load(source).select("path", "length")
+    files = listed(spark, source)
+    if files is None:
+        raise ValueError(f"executors can't read {source}")
+    top = _store(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source).toUri().toString() if "://" in source else f"file:///{_encoded(os.path.abspath(source)).lstrip('/')}")[1].rstrip("/")
+    asked = reduce(lambda a, b: a | b, (F.col("path").endswith(s) for s in suffixes), F.lit(False))
+    wanted = files.where(asked).select("store", "path", "length", F.substring("path", F.lit(len(top) + 2), F.length("path")).alias("name"))
     jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(source)
-    top = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(place).toString().rstrip("/")
-    wanted = listed.withColumn("name", F.expr("substring(path, length(__top) + 2)".replace("__top", f"'{top}'")))
     notes = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{RESTORED}")
     noted = notes.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(notes)
     kind = "name string, length long, what string"
@@ -302,9 +438,9 @@ def restore(spark: SparkSession, source: str, target: str, suffixes: Iterable[st
         to, base = FileSystem.from_uri(target if "://" in target else f"file://{os.path.abspath(target)}")
         for batch in batches:
             said = []
-            for path, length, name in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "name")), strict=True):
+            for store, path, length, name in zip(*(batch.column(c).to_pylist() for c in ("store", "path", "length", "name")), strict=True):
                 try:
-                    fs, own = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                    fs, own = _store(store + _encoded(path))
                     goal = f"{base}/{name}"
                     there = to.get_file_info(goal)
                     if there.type == FileType.File and there.size == length:
@@ -323,6 +459,6 @@ def restore(spark: SparkSession, source: str, target: str, suffixes: Iterable[st
             yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("length"), pa.array(said, pa.string())], names=["name", "length", "what"])
 
     run = f"{notes.toString()}/run-{uuid.uuid4().hex}"
-    wanted.select("path", "length", "name").mapInArrow(work, kind).write.parquet(run)
+    wanted.select("store", "path", "length", "name").mapInArrow(work, kind).write.parquet(run)
     found = {r.what: r["count"] for r in spark.read.schema(kind).parquet(run).groupBy("what").count().collect()}
     return {"copied": found.get("copied", 0), "skipped": found.get("skipped", 0) + done, "errors": found.get("errors", 0)}

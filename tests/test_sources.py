@@ -4,6 +4,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from palimpsest import schemas
@@ -24,6 +25,26 @@ def test_scan_with_missing_keys(spark, tmp_path):
     assert objects.query_files(spark, f"{tmp_path}/space=ens.eth/2", "id").first()[0] == "0x2"
 
 
+def test_a_scan_is_listed_by_executors_and_reads_what_sparks_reader_does(spark, tmp_path):
+    top = tmp_path / "o é %"
+    texts = {"space=a/1/x.json": '{"id": "1"}\n\n[{"id": "2"}, {"id": "3", "votes": 4}]\r\n{broken', "b.json": '\ufeff{"id": "4"}', "space=c d/_e=1/f/g/h/é+#[1].json": '{"id": "5", "title": "ö"}', "_hidden/a.json": "{}", "space=a/.b.json": "{}", "empty.json": ""}
+    for name, text in texts.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(text.encode())
+    with gzip.open(top / "z.json.gz", "wt") as f:
+        f.write('{"id": "6"}\n{"id": "7"}\n')
+    for place in (str(top), f"{top}/space=*", [f"{top}/b.json", f"{top}/space=a"]):
+        raw = spark.read.schema(schemas.PROPOSAL).option("recursiveFileLookup", "true").json(place)
+        want = raw.select("id", "title", "votes", F.col("_metadata.file_path").alias("source_key"), F.col("_metadata.file_modification_time").alias("observed_at"))
+        made = objects.scan_json(spark, place, schemas.PROPOSAL)
+        assert sorted(map(repr, made.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+        assert made.inputFiles() == []  # no file is known to the driver
+    whole = spark.read.option("recursiveFileLookup", "true").text(str(top), wholetext=True).collect()
+    assert sorted(r.payload for r in objects.scan_json_text(spark, str(top)).collect()) == sorted(r.value for r in whole)
+    with pytest.raises(AnalysisException):
+        objects.scan_json(spark, f"{tmp_path}/nowhere", schemas.PROPOSAL)
+
+
 def test_tolerant_columns(spark):
     df = spark.createDataFrame([(1, (2,))], "a int, s struct<x:int>")
     row = df.select(objects.optional(df, "a"), objects.optional(df, "b", "double"), objects.optional_field(df, "s", "x"), objects.optional_field(df, "s", "y", "int"), objects.optional_field(df, "z", "y"))
@@ -82,6 +103,21 @@ def test_restore(spark, tmp_path):
     assert (tmp_path / "b/x/1.json").exists()
 
 
+def test_the_driver_lists_no_objects_for_a_copy(spark, tmp_path, monkeypatch):
+    for n in range(3):
+        write(tmp_path / f"o é/x{n}/{n}.json", {})
+
+    def refused(self, *_, **__):
+        raise AssertionError("a reader that lists on the driver")
+
+    from pyspark.sql import DataFrameReader
+
+    kind = DataFrameReader.format
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, name: refused(self) if name == "binaryFile" else kind(self, name))
+    assert objects.restore(spark, str(tmp_path / "o é"), str(tmp_path / "b")) == {"copied": 3, "skipped": 0, "errors": 0}
+    assert (tmp_path / "b/x2/2.json").exists()
+
+
 def test_rate_limit():
     now, slept = [0.0], []
 
