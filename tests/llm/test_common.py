@@ -1,11 +1,13 @@
 """Shared pieces: components against a plain search, the shared folder."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest import shared
-from palimpsest.llm.common import components
+from palimpsest.llm.common import components, cut
 
 
 def plain(links):
@@ -34,6 +36,24 @@ def test_components_against_a_plain_search(spark):
     assert {(r.node, r.component) for r in named} == {("a", "a"), ("b", "a"), ("c", "a")}
 
 
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in found.mkString(" ").split() if "/shuffle_" in f}
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n"))
+    kept = cut(sums)
+    end = time.time() + 10
+    while (left := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    # What was cut, and the query before it, can still be read; later queries keep their files as before.
+    assert kept.count() == sums.count() == 7 and sorted(kept.collect()) == sorted(sums.collect())
+    assert spark.conf.get(shared.CLEANUP) == "false" and shuffle_files(spark) - before
+
+
 class Elsewhere:
     """A session on a cluster that names no shared folder."""
 
