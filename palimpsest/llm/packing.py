@@ -41,7 +41,8 @@ class Words:
     """Ids of whole texts by a tokenizer that drops white space.
 
     Such a tokenizer works on each word between blanks by itself (no normal form joins characters across a blank), so
-    the ids of words are remembered and only new ones go to the library. A text is taken in slices that end at a blank.
+    the ids of words are remembered and only new ones go to the library. Where there are too many, those that have not
+    come again for the last WORDS are forgotten, and the others stay. A text is taken in slices that end at a blank.
     Where the tokenizer's file says so, ASCII is remembered in lower case, and a comma or full stop between a
     letter and a blank is a word of its own.
     """
@@ -51,7 +52,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known = {b"": b""}
+        self.known, self.before = {b"": b""}, {}
         told = json.loads(tokenizer_json)
         parts = [told.get("normalizer") or {}, told.get("pre_tokenizer") or {}]
         normal, before = ([p, *p.get("normalizers", []), *p.get("pretokenizers", [])] for p in parts)
@@ -64,7 +65,9 @@ class Words:
         """The ids of each word: all at once with a special token between words, or one by one where there is none."""
         if self.mark is None or any(self.mark in w for w in words):
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        ids = np.array([self.mark_id, *self.tokenizer.encode(self.mark.join(words), add_special_tokens=False).ids], "<u4")
+        # The fast call leaves out where tokens lie in the text.
+        (said,) = self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)
+        ids = np.array([self.mark_id, *said.ids], "<u4")
         held = ids.tobytes()
         edges = [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), len(held)]
         return [held[i + 4 : j] for i, j in zip(edges, edges[1:], strict=False)]
@@ -85,9 +88,12 @@ class Words:
             if self.lower and not any(lead in part for lead in MARKS):
                 part = part.lower()
             words = part.replace(b"\n", b" ").split(b" ")
-            new = list(set(words).difference(self.known))
+            new = set(words).difference(self.known)
             if len(self.known) + len(new) > WORDS:
-                self.known, new = {b"": b""}, list({*words} - {b""})
+                self.known, self.before, new = {b"": b""}, self.known, {*words} - {b""}
+            if again := [w for w in new if w in self.before]:
+                self.known.update((w, self.before[w]) for w in again)
+                new.difference_update(again)
             short = [w for w in new if len(w) <= WORD]
             for k in range(0, len(short), 4096):
                 some = short[k : k + 4096]

@@ -37,6 +37,18 @@ def test_ids_of_words(tokenizer, monkeypatch):
             assert np.frombuffer(words.of(text), "<u4").tolist() == ids(tokenizer, text)[:-1], text
 
 
+def test_words_that_come_again_are_not_learnt_again(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS", 100)
+    words, asked = packing.Words(word_tokenizer()), []
+    encoded = words._encoded
+    monkeypatch.setattr(words, "_encoded", lambda some: asked.extend(some) or encoded(some))
+    for i in range(30):
+        words.of("the same old words " + " ".join(f"new{i}x{j}" for j in range(20)))
+        assert len(words.known) <= 100 and len(words.before) <= 100
+    assert [asked.count(w) for w in ("the", "same", "old", "words")] == [1] * 4
+    assert len(asked) == 4 + 30 * 20
+
+
 def test_capacities_against_a_plain_search():
     rng = random.Random(0)
     for _ in range(60):
