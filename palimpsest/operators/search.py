@@ -17,8 +17,10 @@ from palimpsest.shipping import ship
 K, MAX_DISTANCE, MIN_GAP, EXEMPT, PER_DOCUMENT = 5, 0.48, 0.025, 0.42, 1
 #: Rows fetched for each one wanted when documents are capped, and the window of the gate.
 FETCH, GATE_WINDOW = 4, 10
-#: Queries of one matrix product, and about how many rows each part of the vectors has where more queries meet them.
+#: Queries that a task holds at once, and about how many rows each part of the vectors has where more queries meet them.
 BLOCK, PART = 4096, 16_384
+#: Distances of one matrix product; a product of more goes in slices of queries.
+CELLS = 1 << 20
 
 
 def filtered(
@@ -110,9 +112,15 @@ def matrix(column: pa.ListArray) -> np.ndarray:
 
 def best_of(q: np.ndarray, x: np.ndarray, ties: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` rows of ``x`` nearest to each row of ``q``: (query, row, distance), a query's together and in order, ties
-    by ``ties``. All are unit vectors. Only rows as near as the kth are sorted."""
+    by ``ties``. All are unit vectors. Only rows as near as the kth are sorted. Of the distances, some CELLS are held."""
     if not k or not len(x) or not len(q):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    step = max(1, CELLS // len(x))
+    parts = [(at, *_best_of(q[at : at + step], x, ties, k)) for at in range(0, len(q), step)]
+    return tuple(np.concatenate(c) for c in zip(*((i + at, j, d) for at, i, j, d in parts), strict=True))
+
+
+def _best_of(q: np.ndarray, x: np.ndarray, ties: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     d = 1 - q @ x.T
     near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] if len(x) > k else np.ones(d.shape, bool)
     i, j = np.nonzero(near)

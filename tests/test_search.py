@@ -1,5 +1,6 @@
 """Ranking: cap, gate, ceiling, fan-out; citations, routes, recall."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +216,20 @@ def test_index_recall_and_pruning(spark, tmp_path):
     hits = index.nearest(stored, list(x[0]), 2, normals)
     assert "PartitionFilters: [bucket" in hits._jdf.queryExecution().executedPlan().toString()
     assert [r.vec_id for r in hits.collect()] == [0, 750]
+
+
+def test_best_of_holds_few_distances_however_many_queries():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, q = search.unit(rng.standard_normal((8192, 8))), search.unit(rng.standard_normal((2048, 8)))
+    ties = np.arange(len(x))
+    tracemalloc.start()
+    i, j, d = search.best_of(q, x, ties, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20  # all the distances are 134 MB
+    want = 1 - q @ x.T
+    assert i.tolist() == [n for n in range(len(q)) for _ in range(5)]
+    assert j.reshape(-1, 5).tolist() == np.argsort(want, axis=1)[:, :5].tolist()
+    assert np.allclose(d, want[i, j])
