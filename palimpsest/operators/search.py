@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -216,14 +217,57 @@ def fan_out(
     embedding: str = "embedding", tie: str = "vec_id",
 ) -> DataFrame:
     """A search of every group, merged: its nearest rows, at most ``per_document`` of a document, then ``k``. One scan and
-    one window instead of a search each."""
-    q = F.array(*(F.lit(float(x)) for x in query))
-    near = vectors.withColumn("distance", cosine_distance(F.col(embedding), q))
+    one window instead of a search each; the window sees what each Arrow batch's nearest rows of every group are."""
+    fetch = k * FETCH if per_document else k
     w = Window.partitionBy(group).orderBy("distance", tie)
-    near = near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= (k * FETCH if per_document else k)).drop("__n")
+    near = _nearest_in_batches(vectors, query, group, fetch, embedding, tie)
+    near = near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= fetch).drop("__n")
     return capped(near, k, per_document, document, tie, [group]) if per_document else near
 
 
+def _distances(column: pa.ListArray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosine distances of a column of vectors, and which are null: as ``cosine_distance`` says, for null or zero vectors,
+    those of another length and those with null components. A row's distance depends on that row alone."""
+    n, size = len(query), np.sqrt((query * query).sum())
+    out, null = np.zeros(len(column)), np.ones(len(column), bool)
+    rows = np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False) == n)
+    for at in range(0, len(rows), step := max(1, CELLS // max(n, 1))):
+        some = rows[at : at + step]
+        flat = column.take(pa.array(some)).flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+        sizes = np.sqrt((x * x).sum(1)) * size
+        gone = sizes <= 0
+        if flat.null_count:
+            gone |= ~flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, n).all(1)
+        with np.errstate(all="ignore"):
+            out[some], null[some] = 1 - (x * query).sum(1) / sizes, gone
+    return out, null
+
+
+def _nearest_in_batches(vectors: DataFrame, query: list[float], group: str, k: int, embedding: str, tie: str) -> DataFrame:
+    """``vectors`` with distance: of each Arrow batch the ``k`` nearest rows of every group, ties by ``tie``, in the order
+    of Spark's sorts (null distances first, NaN last)."""
+    ship(vectors.sparkSession)
+    q, names = np.array(query, np.float64), vectors.columns
+    at, at_group, at_tie = names.index(embedding), names.index(group), names.index(tie)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, null = _distances(batch.column(at), q)
+            place = np.where(null, -np.inf, np.where(np.isnan(d), np.inf, d))
+            own = pc.fill_null(batch.column(at_group).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            ties = pc.rank(batch.column(at_tie), sort_keys="ascending", null_placement="at_start", tiebreaker="min").to_numpy()
+            order = np.lexsort((ties, place, own))
+            own = own[order]
+            order = np.sort(order[np.arange(len(own)) - np.searchsorted(own, own) < k])
+            found = batch.take(pa.array(order))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(d[order], mask=null[order])], names=[*names, "distance"])
+
+    return vectors.mapInArrow(work, ", ".join([*(f"`{c}` {t}" for c, t in vectors.dtypes), "distance double"]))
+
+
 def empty_groups(dimension: DataFrame, hits: DataFrame, on: str) -> DataFrame:
     """Members of the dimension without a hit."""
     return dimension.join(hits.select(on).distinct(), on, "left_anti")

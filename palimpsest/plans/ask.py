@@ -13,6 +13,7 @@ from palimpsest.operators import answers
 from palimpsest.operators.embedding import hashing_embedder
 from palimpsest.operators.search import empty_groups, fan_out, filtered, narrowed, search
 from palimpsest.plans.templates import TemplateError, Templates
+from palimpsest.shared import cut
 
 #: What the offline embedder's vectors are stored under, and the hits of each protocol when all are asked.
 MODEL, SCHEME, FAN_OUT = "hashing", "v2", 8
@@ -73,7 +74,7 @@ class Assistant:
         query = self.embedder([question])[0]
         if plan["scope"] == "all" and not plan["protocol"]:
             seen = filtered(self.vectors, model=self.model, scheme=self.scheme, source=plan["source"])
-            hits = fan_out(seen, query, "protocol_name", FAN_OUT, tie="chunk_id")
+            hits = cut(fan_out(seen, query, "protocol_name", FAN_OUT, tie="chunk_id"))  # few rows, which are read twice
             missing = [r[0] for r in empty_groups(self.dimension.select("protocol_name"), hits, "protocol_name").collect()]
             return hits, sorted(missing)
         k = answers.wanted(plan["route"], plan["scope"])

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import answers, embedding, search
@@ -233,3 +234,28 @@ def test_best_of_holds_few_distances_however_many_queries():
     assert i.tolist() == [n for n in range(len(q)) for _ in range(5)]
     assert j.reshape(-1, 5).tolist() == np.argsort(want, axis=1)[:, :5].tolist()
     assert np.allclose(d, want[i, j])
+
+
+def test_fan_out_against_a_window_over_all_rows(spark):
+    from palimpsest.functions.vectors import cosine_distance
+
+    rng = np.random.default_rng(5)
+    odd = {3: None, 8: [0.0, 0.0, 0.0], 13: [1.0, 2.0], 21: [1.0, None, 2.0], 34: [float("nan"), 1.0, 1.0]}
+    rows = [(i, None if i % 7 == 0 else i % 3, f"t{i % 50:02}", odd.get(i, [float(x) for x in rng.integers(-2, 3, 3)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g int, t string, embedding array<float>").withColumn("tie", F.concat("t", F.col("id").cast("string")))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for k in (1, 5, 200):
+            hits = search.fan_out(df, [1.0, 2.0, -1.0], "g", k, None, tie="tie")
+            assert "zip_with" not in hits._jdf.queryExecution().executedPlan().toString()
+            got = {r.id: r.distance for r in hits.collect()}
+            near = df.withColumn("distance", F.round(cosine_distance(F.col("embedding"), F.array(F.lit(1.0), F.lit(2.0), F.lit(-1.0))), 9))
+            at = F.row_number().over(Window.partitionBy("g").orderBy("distance", "tie"))
+            want = {r.id: r.distance for r in near.withColumn("n", at).where(F.col("n") <= k).collect()}
+            none = lambda d: {i for i, x in d.items() if x is None}
+            assert none(got) == none(want) and len(got) == len(want)
+            key = lambda d: sorted(round(x, 6) for x in d.values() if x is not None and x == x)
+            assert key(got) == key(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
