@@ -51,11 +51,14 @@ def upsert(target: DataFrame, staged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def only_new(staged: DataFrame, target: DataFrame, keys: list[str], order: list[Column | str] | None = None) -> DataFrame:
-    """Staged rows whose key the target lacks, the first of each key by ``order``: insert if absent. Null keys equal."""
+    """Staged rows whose key the target lacks, the first of each key by ``order``: insert if absent. Null keys equal.
+
+    The target's keys meet by a shuffle: Spark estimates them by the size of packed files, and once planned a broadcast
+    stays one however many they turn out to be."""
     w = Window.partitionBy(*keys).orderBy(*(order or keys))
     first = staged.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     known = target.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).distinct()
-    return first.join(known, _same(keys), "left_anti")
+    return first.join(known.hint("merge"), _same(keys), "left_anti")
 
 
 def _same(keys: list[str]) -> Column:

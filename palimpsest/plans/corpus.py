@@ -24,11 +24,11 @@ def load(proposals: DataFrame, posts: DataFrame, dimension: DataFrame, tokenizer
     A proposal's only chunk is kept however short; a post's is not. Posts under boilerplate titles, without an id, or of
     an unknown protocol are dropped; a chunk without a body always is.
     """
-    names = dimension.select("protocol_name", label(F.col("display"), F.col("protocol_name")).alias("label"))
+    names = F.broadcast(dimension.select("protocol_name", label(F.col("display"), F.col("protocol_name")).alias("label")))
     p = proposals.where("is_current").join(names, "protocol_name")
     made = chunk_documents(p, "label", "title", "body", tokenizer).withColumn("alone", F.lit(None).cast("boolean"))
     counts = made.groupBy("proposal_id").agg((F.count("*") == 1).alias("lone"))
-    made = made.join(counts, "proposal_id").withColumn("keep", is_substantive(F.col("body_tokens"), F.col("lone")))
+    made = made.join(counts.hint("merge"), "proposal_id").withColumn("keep", is_substantive(F.col("body_tokens"), F.col("lone")))
     common = ["source", "document_id", "protocol_name", "content_hash", "chunk_index", "heading", "chunk", "tokens", "title", "document_date", "valid_from", "valid_to", "keep"]
     a = made.withColumns({"source": F.lit("proposal"), "document_id": F.col("proposal_id"), "document_date": F.col("proposal_created"), "chunk_index": F.col("chunk_index").cast("long")}).select(*common)
 

@@ -16,14 +16,15 @@ PROPOSAL_KEYS, POST_KEYS = ["proposal_id"], ["forum_host", "topic_id", "post_id"
 
 
 def with_protocol(df: DataFrame, dimension: DataFrame, key: str, dimension_key: str) -> DataFrame:
-    """``df`` with protocol_name from the dimension, 'unknown' where it has none. The dimension is a handful of rows."""
+    """``df`` with protocol_name from the dimension, 'unknown' where it has none. The dimension is a handful of rows, and
+    said to be the side that is broadcast: by its estimate, which goes by files' names, Spark would take ``df`` instead."""
     names = dimension.select(F.col(dimension_key).alias("__k"), F.col("protocol_name"))
-    return df.join(names, F.col(key) == F.col("__k"), "left").drop("__k").withColumn("protocol_name", F.coalesce("protocol_name", F.lit("unknown")))
+    return df.join(F.broadcast(names), F.col(key) == F.col("__k"), "left").drop("__k").withColumn("protocol_name", F.coalesce("protocol_name", F.lit("unknown")))
 
 
 def drop_unknown(df: DataFrame, dimension: DataFrame, key: str, dimension_key: str) -> tuple[DataFrame, DataFrame]:
     """Rows of configured keys, and the count of the others by key."""
-    known = dimension.select(F.col(dimension_key).alias(key)).distinct()
+    known = F.broadcast(dimension.select(F.col(dimension_key).alias(key)).distinct())
     return df.join(known, key, "left_semi"), df.join(known, key, "left_anti").groupBy(key).agg(F.count("*").alias("dropped"))
 
 

@@ -6,9 +6,12 @@ They write to a folder of their own in the shared one. Suppliers play the propos
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -301,39 +304,57 @@ class TableApi:
     d: str
     upto: int | None = None
     page: int = 30
-    known: dict[str, list[dict[str, Any]]] = field(default_factory=dict)
+    known: dict[str, Any] = field(default_factory=dict)
 
     def __getstate__(self) -> dict[str, Any]:
         return {"d": self.d, "upto": self.upto, "page": self.page, "known": {}}
 
-    def rows(self, name: str, columns: list[str]) -> list[dict[str, Any]]:
-        if name not in self.known:
-            self.known[name] = pq.read_table(f"{self.d}/{name}.parquet", columns=columns).to_pylist()
-        return self.known[name]
+    def proposals(self, space: str) -> tuple[list[int], list[dict[str, Any]]]:
+        """A space's suppliers, newest first, and their negated times."""
+        if "proposals" not in self.known:
+            found = pq.read_table(f"{self.d}/supplier.parquet", columns=["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]).to_pylist()
+            by: dict[str, list[dict[str, Any]]] = {}
+            for r in sorted(found, key=lambda r: -r["s_suppkey"]):
+                if self.upto is None or r["s_suppkey"] <= self.upto:
+                    by.setdefault(OWN_SPACES[r["s_suppkey"] % 5], []).append(r)
+            self.known["proposals"] = {s: ([-r["s_suppkey"] for r in rows], rows) for s, rows in by.items()}
+        return self.known["proposals"].get(space, ([], []))
+
+    def turns(self) -> tuple[np.ndarray, np.ndarray, pa.ChunkedArray]:
+        """The conversations' columns by conv_id and turn: arrays, as a row would take some hundred bytes as a dictionary."""
+        if "turns" not in self.known:
+            found = pq.read_table(f"{self.d}/conversations.parquet", columns=["conv_id", "turn", "role"])
+            convs, turns = found["conv_id"].to_numpy(), found["turn"].to_numpy()
+            order = np.lexsort((turns, convs))
+            self.known["turns"] = convs[order], turns[order], found["role"].take(order)
+        return self.known["turns"]
+
+    def topics(self, host: str) -> np.ndarray:
+        if host not in self.known:
+            topics = np.unique(self.turns()[0])
+            self.known[host] = topics[topics % 5 == OWN_HOSTS.index(host)] if host in OWN_HOSTS else topics[:0]
+        return self.known[host]
 
     def __call__(self, method: str, url: str, params: dict[str, Any]) -> tuple[int, dict[str, str], Any]:
         if url.endswith("/graphql"):
             v = params["variables"]
             space = v.get("id", v.get("space"))
-            mine = [r for r in self.rows("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]) if OWN_SPACES[r["s_suppkey"] % 5] == space and (self.upto is None or r["s_suppkey"] <= self.upto)]
+            times, mine = self.proposals(space)
             if "id" in v:
                 return 200, {}, {"data": {"space": {"id": space, "name": space.partition(".")[0], "proposalsCount": len(mine)}}}
-            mine = sorted((r for r in mine if v["createdLt"] is None or r["s_suppkey"] < v["createdLt"]), key=lambda r: -r["s_suppkey"])[: v["first"]]
-            made = [{"id": f"0x{r['s_suppkey']}", "title": r["s_name"], "body": "word " * 30, "state": "active", "created": r["s_suppkey"], "votes": r["s_nationkey"], "scores_total": r["s_acctbal"], "space": {"id": space}} for r in mine]
+            first = 0 if v["createdLt"] is None else bisect_right(times, -v["createdLt"])
+            made = [{"id": f"0x{r['s_suppkey']}", "title": r["s_name"], "body": "word " * 30, "state": "active", "created": r["s_suppkey"], "votes": r["s_nationkey"], "scores_total": r["s_acctbal"], "space": {"id": space}} for r in mine[first : first + v["first"]]]
             return 200, {}, {"data": {"proposals": made}}
         host = url.split("/")[2]
-        turns = self.rows("conversations", ["conv_id", "turn", "role"])
         if url.endswith("/latest.json"):
-            topics = sorted({r["conv_id"] for r in turns if OWN_HOSTS[r["conv_id"] % 5] == host})
-            return 200, {}, {"topic_list": {"topics": [{"id": t} for t in topics[params["page"] * self.page : (params["page"] + 1) * self.page]]}}
+            topics = self.topics(host)[params["page"] * self.page : (params["page"] + 1) * self.page].tolist()
+            return 200, {}, {"topic_list": {"topics": [{"id": t} for t in topics]}}
         topic = int(url.rpartition("/")[2].removesuffix(".json"))
-        if "by" not in self.known:
-            self.known["by"] = []
-            for r in sorted(turns, key=lambda r: (r["conv_id"], r["turn"])):
-                self.known.setdefault(f"t{r['conv_id']}", []).append(r)
+        convs, turns, roles = self.turns()
+        a, z = np.searchsorted(convs, topic), np.searchsorted(convs, topic, "right")
         posts = [
-            {"id": r["turn"], "post_number": r["turn"] + 1, "username": r["role"], "cooked": f"<p>{r['role']} {r['turn'] % 4} {'word ' * 30}</p>", "created_at": "2024-01-01T00:00:00Z", "reads": 7}
-            for r in self.known.get(f"t{topic}", [])
+            {"id": turn, "post_number": turn + 1, "username": role, "cooked": f"<p>{role} {turn % 4} {'word ' * 30}</p>", "created_at": "2024-01-01T00:00:00Z", "reads": 7}
+            for turn, role in zip(turns[a:z].tolist(), roles[a:z].to_pylist(), strict=True)
         ]
         return 200, {}, {"id": topic, "title": f"Topic {topic}", "slug": f"topic-{topic}", "post_stream": {"posts": posts}}
 

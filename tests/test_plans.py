@@ -3,18 +3,19 @@
 import datetime as dt
 import io
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import cli
 from palimpsest.operators.log import Log
-from palimpsest.operators.upsert import VersionedTable, apply_ddl
-from palimpsest.plans import corpus, pipeline
+from palimpsest.operators.upsert import VersionedTable, apply_ddl, only_new
+from palimpsest.plans import corpus, pipeline, silver
 from palimpsest.plans.ask import Assistant
 from palimpsest.plans.service import Service
 from palimpsest.plans.templates import TemplateError, Templates
-from palimpsest.sources.objects import protocols
+from palimpsest.sources.objects import protocols, scan_proposals, scan_topics
 from palimpsest.streaming import observations
 
 WORDS = " ".join(f"word{i}" for i in range(30))
@@ -52,6 +53,26 @@ def test_first_and_second_run(built):
     assert second == first | {"embedding": dict.fromkeys(first["embedding"], 0), "proposal_versions": {"inserts": 0, "updates": 0}, "forum_posts": {"inserts": 0, "updates": 0}, "vectors": {"inserts": 0, "updates": 0}, "cost": 0.0}
 
 
+def test_only_the_protocols_are_broadcast(spark, built):
+    """Objects are estimated by their files' names, so Spark would broadcast them whole where nothing says otherwise."""
+    top, known = built[0].removesuffix("/out"), protocols(spark)
+    made = silver.build(scan_proposals(spark, f"{top}/snapshot"), scan_topics(spark, f"{top}/discourse"), known)
+    kept, lost = silver.drop_unknown(made[0], known, "space_id", "snapshot_space")
+    joined = lambda df: re.findall(r"(SortMergeJoin|BroadcastHashJoin).*?(BuildLeft|BuildRight|$)", df._jdf.queryExecution().executedPlan().toString(), re.M)
+    for df, n in ((made[0], 1), (made[1], 1), (kept, 2), (lost, 2)):
+        assert joined(df) == [("BroadcastHashJoin", "BuildRight")] * n
+    # In the corpus, too; a proposal's count meets its chunks by a shuffle.
+    assert sorted(joined(corpus.load(*made, known)[0])) == [("BroadcastHashJoin", "BuildRight")] * 6 + [("SortMergeJoin", "")]
+
+
+def test_stored_keys_are_not_broadcast(spark, tmp_path):
+    row = lambda n: spark.range(n).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("v"))
+    row(3).write.parquet(f"{tmp_path}/stored")
+    found = only_new(row(5), spark.read.parquet(f"{tmp_path}/stored"), ["k"])
+    assert sorted(r.k for r in found.collect()) == [3, 4]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_same_topic_on_two_hosts_keeps_apart(spark, built):
     posts = VersionedTable(spark, f"{built[0]}/forum_posts").read()
     assert {r.protocol_name for r in posts.where("topic_id = 7").collect()} == {"uniswap", "aave"}
